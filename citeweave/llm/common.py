@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeweave.plans.materialize import materialize
+
+__all__ = ["SPACE", "ascii_lower", "let", "materialize", "table", "words"]
+
 #: ASCII white space, the separators of a word in `[^\x20\x09-\x0D]+`.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -29,21 +30,4 @@ def ascii_lower(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Array of the maximal runs without ASCII white space; empty for null or blank text."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the session names none (tests) a local one is made."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes `df` to the shared folder and reads it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")

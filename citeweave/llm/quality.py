@@ -29,6 +29,10 @@ SYMBOLS = "[^#*$%&|<>]+"
 WINDOW = 8
 
 
+def _among(values: list[str]):
+    return lambda w: w.isin(values)
+
+
 def _counted(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
     """Row per document with its text, words, the size of each character class and its common words."""
     df = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(lang).alias("lang"))
@@ -40,7 +44,7 @@ def _counted(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
     known = sorted({v + end for k in COMMON_WORDS.values() for w in k for v in (w, w.capitalize()) for end in ("", ".", ",")})
     common = F.transform(F.filter("w", lambda w: w.isin(known)), lambda w: F.lower(F.rtrim(w, F.lit(".,"))))
     df = df.withColumn("common", common)
-    hits = [F.struct(F.size(F.filter("common", lambda w, v=v: w.isin(v))).alias("n"), F.lit(k).alias("lang")) for k, v in COMMON_WORDS.items()]
+    hits = [F.struct(F.size(F.filter("common", _among(v))).alias("n"), F.lit(k).alias("lang")) for k, v in COMMON_WORDS.items()]
     guess = F.array_max(F.array(*hits))["lang"]
     return df.withColumn("ref_lang", F.when(F.col("lang").isin(list(COMMON_WORDS)), F.col("lang")).otherwise(guess))
 

@@ -4,16 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeweave.llm import quality
+from citeweave.llm import bpe, language, licenses, quality, simhash, sketches, substrings
 from citeweave.llm.common import table
 
 
+def op1_language_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_id(table(spark, sf_dir, "documents"))
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_round_trip(table(spark, sf_dir, "documents"))
+
+
+def op3_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op4_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_invertible_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.document_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {
-    "op8_quality_divergence": op8_quality_divergence,
-}
+def op10_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_svm, op2_byte_bpe, op3_license_index, op4_simhash_blocks, op6_invertible_sketch, op8_quality_divergence, op10_phrase_automata)}
 
 ORACLES: dict[str, str] = {}
