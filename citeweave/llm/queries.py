@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeweave.llm import bpe, language, licenses, quality, simhash, sketches, substrings
+from citeweave.llm import bpe, language, licenses, packing, pii, quality, simhash, sketches, substrings
 from citeweave.llm.common import table
 
 
@@ -28,14 +28,22 @@ def op6_invertible_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.document_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.private_data(table(spark, sf_dir, "documents"))
+
+
 def op10_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_svm, op2_byte_bpe, op3_license_index, op4_simhash_blocks, op6_invertible_sketch, op8_quality_divergence, op10_phrase_automata)}
+QUERIES = {f.__name__: f for f in (op1_language_svm, op2_byte_bpe, op3_license_index, op4_simhash_blocks, op6_invertible_sketch, op7_linear_grouping, op8_quality_divergence, op9_feistel_pseudonyms, op10_phrase_automata)}
 
 ORACLES: dict[str, str] = {}

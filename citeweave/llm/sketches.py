@@ -85,29 +85,25 @@ def peel(cells: Column, width: int) -> Column:
     return let(F.aggregate(F.sequence(F.lit(0), F.lit(STEPS - 1)), start, step), result)
 
 
-def difference(a: Column, b: Column) -> Column:
-    """struct(plus, minus): digests of `a` not in `b` and of `b` not in `a`.
+def with_difference(df: DataFrame, name: str, a: Column, b: Column) -> DataFrame:
+    """Adds `name`, struct(done, plus, minus): digests of `a` not in `b` and of `b` not in `a`.
 
     Sketches of growing width, each tried only where the one before could not be peeled; past the last, or where the
     sizes alone differ by more than a sketch can hold, the exact set difference.
     """
-    exact = F.struct(F.lit(True).alias("done"), F.array_except(a, b).alias("plus"), F.array_except(b, a).alias("minus"))
-    e = exact
-    for width in reversed(WIDTHS):
+    found = F.lit(None).cast("struct<done:boolean,plus:array<bigint>,minus:array<bigint>>")
+    for width in WIDTHS:
         fits = F.abs(F.size(a) - F.size(b)) <= 3 * width
-        e = F.when(fits, let(peel(subtract(sketch(a, width), sketch(b, width)), width), _or_else(e))).otherwise(e)
-    return e
-
-
-def _or_else(other: Column):
-    return lambda r: F.when(r["done"], r).otherwise(other)
+        df = df.withColumn(name, F.when(found["done"], found).when(fits, peel(subtract(sketch(a, width), sketch(b, width)), width)))
+        found = F.col(name)
+    exact = F.struct(F.lit(True).alias("done"), F.array_except(a, b).alias("plus"), F.array_except(b, a).alias("minus"))
+    return df.withColumn(name, F.when(found["done"], found).otherwise(exact))
 
 
-def likeness(a: Column, b: Column) -> Column:
+def likeness(a: Column, b: Column, difference: Column) -> Column:
     """Dice coefficient of two digest sets, from the recovered difference; 1 for two empty sets."""
     both = F.size(a) + F.size(b)
-    d = let(difference(a, b), lambda d: F.size(d["plus"]) + F.size(d["minus"]))
-    return F.when(both == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - d / both))
+    return F.when(both == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - (F.size(difference["plus"]) + F.size(difference["minus"])) / both))
 
 
 def printed(cells: Column) -> Column:
@@ -155,4 +151,9 @@ def document_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     df = df.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.col("next_text"), F.lit(1), half)))
     df = df.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), paragraph_digests(F.col("text")).alias("a"), paragraph_digests(F.col("edited")).alias("e"), paragraph_digests(F.col("next_text")).alias("b"))
     df = df.withColumns({"fingerprint": printed(sketch(F.col("a"), WIDTHS[0])), "edited_fingerprint": printed(sketch(F.col("e"), WIDTHS[0]))})
-    return df.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("a"), F.col("e")).alias("near_edited"), likeness(F.col("a"), F.col("b")).alias("near_next"))
+    a, e, b = F.col("a"), F.col("e"), F.col("b")
+    df = with_difference(with_difference(df, "to_edited", a, e), "to_next", a, b)
+    return df.select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        likeness(a, e, F.col("to_edited")).alias("near_edited"), likeness(a, b, F.col("to_next")).alias("near_next"),
+    )
