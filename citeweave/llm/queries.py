@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeweave.llm import bpe, language, licenses, packing, pii, quality, simhash, sketches, substrings
+from citeweave.llm import bpe, html, language, licenses, packing, pii, quality, simhash, sketches, substrings
 from citeweave.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op4_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_host_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_invertible_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.document_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,6 @@ def op10_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_svm, op2_byte_bpe, op3_license_index, op4_simhash_blocks, op6_invertible_sketch, op7_linear_grouping, op8_quality_divergence, op9_feistel_pseudonyms, op10_phrase_automata)}
+QUERIES = {f.__name__: f for f in (op1_language_svm, op2_byte_bpe, op3_license_index, op4_simhash_blocks, op5_host_consensus, op6_invertible_sketch, op7_linear_grouping, op8_quality_divergence, op9_feistel_pseudonyms, op10_phrase_automata)}
 
 ORACLES: dict[str, str] = {}

@@ -1,0 +1,352 @@
+"""Each operator against a brute-force version, over sf0.001 and over rows with nulls, blanks, ties and repeats."""
+
+import base64
+import hashlib
+import html as htmllib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from citeweave.llm import bpe, html, language, licenses, packing, pii, quality, simhash, sketches, substrings
+from citeweave.llm.common import table
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOREM = " ".join(f"word{i % 97}x{i % 13}" for i in range(130))
+ODD = [
+    (1, None, None), (2, "", "en"), (3, " \n\t ", "en"), (4, LOREM, "en"), (5, LOREM, "en"), (5, LOREM, "en"),
+    (6, "head " + LOREM + " tail", "fr"), (7, "12345 !!", None), (None, LOREM, "en"), (8, "short  text here\n\nnext line.", "en"),
+    (9, "Released under the MIT License. MIT license, cc by; " + "the end " * 40, "en"),
+    (10, "Grüße aus Köln 你好 \U0001F600 it's  we'll\r\n" * 3, "de"), (11, "x" * 50_000 + " " + "tail " * 3000, "en"),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    df = spark.createDataFrame(ODD, "doc_id long, text string, lang string")
+    return df.withColumns({"n_words": F.lit("clash"), "word": F.lit(1), "fp": F.lit(2), "bucket": F.lit(3), "score": F.lit("x"), "start": F.lit(0), "w": F.lit(0)})
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    return table(spark, sf, "documents")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return [(r.doc_id, r.text, r.lang) for r in docs.select("doc_id", "text", "lang").collect()]
+
+
+def low(x):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in x or "")
+
+
+def sha(x):
+    return hashlib.sha256(x.encode()).hexdigest()
+
+
+def rows(df, *cols):
+    return Counter(tuple(r[c] for c in cols) for r in df.collect())
+
+
+@pytest.mark.parametrize("operator", [
+    language.language_id, bpe.bpe_round_trip, licenses.license_scan, simhash.near_duplicates, sketches.document_fingerprints,
+    packing.pack, quality.quality_rules, pii.private_data, substrings.substring_dedup,
+])
+def test_empty_table(spark, operator):
+    assert operator(spark.createDataFrame([], "doc_id long, text string, lang string, extra int")).count() == 0
+
+
+def test_language_held_out_accuracy(docs, texts):
+    lang = {d: x for d, _, x in texts}
+    got = language.language_id(docs).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    held = [r for r in got if r.held_out]
+    assert np.mean([r.lang_pred == lang[r.doc_id] for r in held]) >= 0.97
+
+
+def test_language_odd(odd):
+    got = language.language_id(odd).collect()
+    assert len(got) == len(ODD)
+    for r in got:
+        if r.doc_id in (1, 2, 3, 7):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        assert 0 <= r.score <= 1
+
+
+@pytest.fixture(scope="module")
+def encoding():
+    import tiktoken
+
+    with open(bpe.ranks_file(), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("test", pat_str=bpe.pattern(), mergeable_ranks=ranks, special_tokens={})
+
+
+def bpe_rows(texts, encoding):
+    out = Counter()
+    for d, x, _ in texts:
+        ids = encoding.encode_ordinary(x or "")
+        out[d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), sha(x or "")] += 1
+    return out
+
+
+@pytest.mark.parametrize("block", [bpe.BLOCK_CHARS, 3000])
+def test_bpe(docs, texts, odd, encoding, block):
+    cols = ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    assert rows(bpe.bpe_round_trip(docs, block_chars=block), *cols) == bpe_rows(texts, encoding)
+    assert rows(bpe.bpe_round_trip(odd, block_chars=block), *cols) == bpe_rows(ODD, encoding)
+
+
+def license_rows(texts):
+    out = Counter()
+    for d, x, _ in texts:
+        w, starts, labels = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(x)), [], set()
+        for phrase, label in licenses.BASE.items():
+            p = phrase.split()
+            own = [i for i in range(len(w)) if w[i : i + len(p)] == p]
+            starts += own
+            labels |= {label} if own else set()
+        out[d, len(w), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels))] += 1
+    return out
+
+
+def test_licenses(docs, texts, odd):
+    cols = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+    assert rows(licenses.license_scan(docs), *cols) == license_rows(texts)
+    assert rows(licenses.license_scan(odd), *cols) == license_rows(ODD)
+
+
+def test_license_templates(spark):
+    rows_ = [(k, f"pre {notice.upper()}, post", label) for k, (label, notice, _) in enumerate(licenses.TEMPLATES)]
+    rows_.append((99, "the gnu people saw a general in public; a license is version 3", ""))
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(rows_, "doc_id long, text string, label string")).collect()}
+    for k, _, label in rows_[:-1]:
+        assert label in got[k].labels.split(","), got[k]
+        assert got[k].score > 0.99
+        assert any(m.label == label and m.start == 1 for m in got[k].matches)
+    assert got[99].labels == "" and got[99].score == 0
+
+
+def hamming_rows(texts):
+    import xxhash
+
+    prints = []
+    for _, x, _ in texts:
+        w = WORD.findall(low(x))
+        s = [" ".join(w[k : k + 3]) for k in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] if w else []
+        h = [xxhash.xxh64_intdigest(y.encode(), 42) for y in s]
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(y >> b & 1 for y in h) > len(h)))
+    part = list(range(len(prints)))
+    for a in range(len(prints)):
+        for b in range(a):
+            if bin(prints[a] ^ prints[b]).count("1") <= 3 and part[a] != part[b]:
+                part = [part[a] if p == part[b] else p for p in part]
+    least = {}
+    for p, (d, _, _) in zip(part, texts):
+        if d is not None:
+            least[p] = min(d, least.get(p, d))
+    return Counter((d, f"{f:016x}", least.get(p)) for p, f, (d, _, _) in zip(part, prints, texts))
+
+
+@pytest.mark.parametrize("chunk", [simhash.CHUNK, 2])
+def test_simhash(docs, texts, odd, chunk):
+    cols = ("doc_id", "fingerprint", "component_id")
+    assert rows(simhash.near_duplicates(docs, chunk=chunk), *cols) == hamming_rows(texts)
+    assert rows(simhash.near_duplicates(odd, chunk=chunk), *cols) == hamming_rows(ODD)
+
+
+def test_simhash_blocks_lose_no_pair(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(-(2**63), 2**63 - 1, 300)
+    near = [int(np.int64(np.uint64(b & 0xFFFFFFFFFFFFFFFF) ^ np.uint64(sum(1 << int(k) for k in rng.choice(64, 3, False))))) if True else 0 for b in base.tolist()]
+    fps = [(i, int(b)) for i, b in enumerate(base)] + [(1000 + i, b) for i, b in enumerate(near)]
+    links = simhash.near_links(spark.createDataFrame(fps, "doc_id long, fp long")).collect()
+    assert {(min(r.u, r.v), max(r.u, r.v)) for r in links} >= {(i, 1000 + i) for i in range(300)}
+
+
+def test_pages(spark, sf):
+    pages = table(spark, sf, "pages")
+    source = {r.page_id: r for r in pages.collect()}
+    got = html.extract_pages(pages).collect()
+    assert len(got) == len(source)
+    for r in got:
+        article = re.search(r"<article>(.*)</article>", source[r.page_id].html, re.S)[1]
+        assert r.text == " ".join(htmllib.unescape(re.sub(r"<[^>]*>", " ", article)).split())
+        assert r.n_chars == len(r.text) and r.url == source[r.page_id].url
+
+
+def test_pages_odd(spark):
+    good = "<body><nav>Home</nav><div class='post-{}'><h2>Title &amp; more</h2><p>One, two<b>x</b>.<p>Three, four.</div><div class=sidebar><p>" + "Buy, buy, buy. " * 30 + "</div></body>"
+    odd = [(1, None, None), (2, "http://a.example/1", ""), (3, "http://a.example/2", good.format(3)), (3, "http://a.example/2", good.format(3)), (4, "nonsense", "just text"), (5, "http://a.example/3", "<p>a<p>b<!-- x --><script>var p='<p>no</p>'</script>")]
+    got = html.extract_pages(spark.createDataFrame(odd, "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("paths", F.lit(2)))
+    want = {1: "", 2: "", 3: "Title & more One, twox. Three, four.", 4: "just text", 5: "a b"}
+    assert rows(got, "page_id", "text") == Counter({(1, ""): 1, (2, ""): 1, (3, want[3]): 2, (4, want[4]): 1, (5, want[5]): 1})
+    assert html.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def paragraphs(x):
+    return {p for line in x.split("\n") if line for p in (re.split(r"(?<=[.!?])[\x20\x09]+", line) if len(line) > sketches.LONG_PARAGRAPH else [line])}
+
+
+def sketch_rows(texts):
+    order = sorted(((d is None, d or 0, x or "") for d, x, _ in texts))
+    out = Counter()
+    for k, (null, d, x) in enumerate(order):
+        after = order[(k + 1) % len(order)][2]
+        half = len(x) // 2
+        edited = x[: len(x) - half] + after[:half]
+        like = lambda a, b: round(2 * len(a & b) / (len(a) + len(b)), 9) if a or b else 1.0
+        out[None if null else d, len(x), sha(edited), like(paragraphs(x), paragraphs(edited)), like(paragraphs(x), paragraphs(after))] += 1
+    return out
+
+
+def test_sketches(docs, texts, odd):
+    cols = ("doc_id", "n_chars", "edited_sha256", "near_edited", "near_next")
+    near = lambda df: df.withColumns({c: F.round(c, 9) for c in cols[3:]})
+    got = sketches.document_fingerprints(docs)
+    assert rows(near(got), *cols) == sketch_rows(texts)
+    text = {d: x for d, x, _ in texts}
+    same = {}
+    for r in got.collect():
+        assert same.setdefault(text[r.doc_id], r.fingerprint) == r.fingerprint
+    assert rows(near(sketches.document_fingerprints(odd)), *cols) == sketch_rows(ODD)
+
+
+def test_sketch_peels_and_reports_failure(spark):
+    df = spark.createDataFrame([(list(range(50)), list(range(5, 52))), (list(range(400)), list(range(400, 800)))], "a array<long>, b array<long>")
+    peeled = sketches.peel(sketches.subtract(sketches.sketch(F.col("a"), 8), sketches.sketch(F.col("b"), 8)), 8)
+    small, large = (r.p for r in df.select(peeled.alias("p")).collect())
+    assert small.done and sorted(small.plus) == [0, 1, 2, 3, 4] and sorted(small.minus) == [50, 51]
+    assert not large.done
+    d = sketches.with_difference(df, "d", F.col("a"), F.col("b")).collect()[1].d
+    assert sorted(d.plus) == list(range(400)) and sorted(d.minus) == list(range(400, 800))
+
+
+def check_packing(df, texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.vocabulary_file())
+    t.encode_special_tokens = True
+    want = Counter()
+    for d, x, _ in texts:
+        ids = t.encode(x or "", add_special_tokens=False).ids + [0]
+        for k, a in enumerate(range(0, len(ids), 2048)):
+            want[d, k, a, len(ids[a : a + 2048]), zlib.crc32(np.array(ids[a : a + 2048], "<u4").tobytes())] += 1
+    got = df.toPandas().astype({"sequence_id": int})
+    assert rows(df, "doc_id", "piece", "start", "length", "ids_crc32") == want
+    g = got.sort_values(["sequence_id", "offset"])
+    assert (g.groupby("sequence_id").length.cumsum() - g.length == g.offset).all()
+    assert g.groupby("sequence_id").length.sum().max() <= 2048
+    return got.sequence_id.nunique(), -(-got.length.sum() // 2048)
+
+
+def test_packing(docs, texts, odd):
+    used, bound = check_packing(packing.pack(docs), texts)
+    assert used <= 1.03 * bound + 1
+    check_packing(packing.pack(odd), ODD)
+
+
+def test_plan_places_every_rank_once():
+    rng = np.random.default_rng(1)
+    for n in (1, 7, 300, 5000):
+        counts = Counter(rng.integers(1, 101, n).tolist())
+        for large in (10, 33, 51):
+            p = packing.Plan(dict(counts), 100, large, 8)
+            seen, room = set(), Counter()
+            for length, rank, many, first, offset in p.fragments:
+                for k in range(many):
+                    assert (length, rank + k) not in seen
+                    seen.add((length, rank + k))
+                    room[first + k] += length
+            assert len(seen) == n and max(room.values()) <= 100 and len(room) == p.sequences
+
+
+def quality_rows(texts):
+    out = Counter()
+    for d, x, _ in texts:
+        w = WORD.findall(x or "")
+        times = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        cover = {k for i in range(len(w) - 7) if times[tuple(w[i : i + 8])] > 1 for k in range(i, i + 8)}
+        lines = [y for y in (x or "").split("\n") if WORD.search(y)]
+        failed = len(w) < 20 or 100 * len(cover) > 30 * len(w)
+        out[d, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", x or "")), len(lines) - len(set(lines)), len(cover), failed] += 1
+    return out
+
+
+def test_quality(docs, texts, odd, spark, sf):
+    cols = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    got = quality.quality_rules(docs).cache()
+    assert rows(got, *cols) == quality_rows(texts)
+    assert got.where("base_failed and kept").count() == 0
+    assert rows(quality.quality_rules(odd), *cols) == quality_rows(ODD)
+    judged = got.join(table(spark, sf, "labels"), "doc_id").where("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("p")).collect()
+    share = {r.quality: r.p for r in judged}
+    assert share.get(1, 1) >= 0.98 and share.get(0, 0) <= 0.4
+
+
+def test_pii_keeps_formats_and_links(spark):
+    p = pii.Permutation(b"key")
+    assert all(sorted(p(x, n, b"t") for x in range(n)) == list(range(n)) for n in (1, 2, 10, 97))
+    assert all(p(p(x, 97, b"t"), 97, b"t", inverse=True) == x for x in range(97))
+    card, iban = "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00"
+    rows_ = [
+        (1, f"{card} and {card.replace(' ', '')}"), (2, f"pay {card.replace(' ', '-')} to {iban}"), (3, "born 29/02/2024 or 2024-02-29, not 30/02/2024"),
+        (4, "a.b19@mail5.example.com 10.0.0.1 +1 (743) 555-3824 123-45-6789"), (5, None), (6, ""), (7, 'TOKEN = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"!!'), (8, "version 3.14, 999.999.999.999"),
+    ]
+    got = {r.doc_id: r for r in pii.private_data(spark.createDataFrame(rows_, "doc_id long, text string").withColumn("_pii", F.lit(1)).withColumn("kinds", F.lit(1))).collect()}
+    for r in got.values():
+        was = dict(rows_)[r.doc_id]
+        assert (r.text is None) == (was is None) and len(r.text or "") == len(was or "") or r.doc_id == 4
+    first, second = got[1].text.split(" and ")
+    assert first.replace(" ", "") == second and pii.luhn_digit(second[:-1]) == second[-1] and second != card.replace(" ", "")
+    assert second in got[2].text.replace("-", "").replace(" ", "")
+    account = got[2].text.split(" to ")[1].replace(" ", "")
+    assert pii.iban_check(account[:2], account[4:]) == account[2:4] and account[:2] == "DE"
+    assert got[3].n_found == 2 and got[3].text.endswith("not 30/02/2024")
+    day, iso = re.search(r"born (\S+) or ([^,]+)", got[3].text).groups()
+    assert day.split("/")[::-1] == iso.split("-")
+    assert got[4].kinds == "address,email,phone,social" and not any(x in got[4].text for x in ("a.b19", "10.0.0.1", "555-3824", "123-45-6789"))
+    assert got[7].kinds == "secret" and re.fullmatch(r'TOKEN = "[0-9A-F]{40}"!!', got[7].text)
+    assert got[8].n_found == 0 and got[8].text == rows_[7][1]
+
+
+def dedup_rows(texts):
+    first = {}
+    split = [(d, WORD.findall(x or "")) for d, x, _ in texts]
+    for d, w in split:
+        for k in range(len(w) - 49):
+            if d is not None:
+                key = tuple(w[k : k + 50])
+                first[key] = min(d, first.get(key, d))
+    out = Counter()
+    for d, w in split:
+        gone = [False] * len(w)
+        for k in range(len(w) - 49):
+            if d is not None and first[tuple(w[k : k + 50])] < d:
+                gone[k : k + 50] = [True] * 50
+        out[d, len(w), sum(gone), sha(" ".join(a for a, g in zip(w, gone) if not g))] += 1
+    return out
+
+
+def test_substrings(docs, texts, odd, monkeypatch):
+    cols = ("doc_id", "n_words", "n_removed", "kept_sha256")
+    assert rows(substrings.substring_dedup(docs), *cols) == dedup_rows(texts)
+    assert rows(substrings.substring_dedup(odd), *cols) == dedup_rows(ODD)
+
+
+def test_substrings_edited_copies(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in rng.integers(0, 400, 300)]
+    made = []
+    for d in range(40):
+        w = list(base)
+        for k in rng.integers(0, 300, rng.integers(0, 6)):
+            w[k] = f"e{rng.integers(0, 3)}"
+        made.append((int(100 - d), " ".join(w[rng.integers(0, 60) : 300 - rng.integers(0, 60)]), "en"))
+    monkeypatch.setattr(substrings, "RUNS", 5)
+    df = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    assert rows(substrings.substring_dedup(df), "doc_id", "n_words", "n_removed", "kept_sha256") == dedup_rows(made)

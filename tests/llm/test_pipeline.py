@@ -1,0 +1,41 @@
+"""The pipeline's stages against what their operators say of each stage's own input."""
+
+from collections import Counter
+
+import corpus_pipeline as cp
+from test_operators import WORD, check_packing, dedup_rows, hamming_rows, sha
+
+from citeweave.llm import pii
+from citeweave.llm.common import materialize, table
+
+
+def texts(df):
+    return [(r.doc_id, r.text, r.lang) for r in df.collect()]
+
+
+def test_stages(spark, sf):
+    docs = table(spark, sf, "documents")
+    columns = docs.columns
+    assert [n for n, _ in cp.STAGES] == ["language_id", "near_dedup", "substring_dedup", "pii", "packing"]
+    one = materialize(cp.language_id(spark, docs, sf))
+    assert one.columns == columns
+    gone = docs.join(one, "doc_id", "left_anti").collect()
+    assert all(not any(c.isalpha() for c in r.text or "") for r in gone)
+
+    two = materialize(cp.near_dedup(spark, one, sf))
+    assert two.columns == columns
+    want = {d for d, _, c in hamming_rows(texts(one)).elements() if d == c}
+    assert Counter(r.doc_id for r in two.collect()) == Counter(want)
+
+    three = materialize(cp.substring_dedup(spark, two, sf))
+    assert three.columns == columns
+    kept = Counter((d, sha(" ".join(WORD.findall(x)))) for d, x, _ in texts(three))
+    assert kept == Counter((d, k) for d, _, _, k in dedup_rows(texts(two)).elements())
+
+    four = materialize(cp.pseudonyms(spark, three, sf))
+    assert four.columns == columns
+    p = pii.Permutation(b"citeweave")
+    assert Counter(texts(four)) == Counter((d, pii.pseudonymise(x, p)[0], lang) for d, x, lang in texts(three))
+    assert all(r.n_chars == len(r.text) for r in four.collect())
+
+    check_packing(cp.packed(spark, four, sf), texts(four))
