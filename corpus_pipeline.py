@@ -1,18 +1,66 @@
-"""Corpus pipeline: the stages that turn `documents` into packed sequences."""
+"""Corpus pipeline: the stages that turn `documents` into packed sequences.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; all but the last return the
+columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from citeweave.llm import language, packing, pii, simhash, substrings
+from citeweave.llm.common import materialize, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A prediction below this won no majority among the pairs of languages.
+MIN_SCORE = 0.5
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a letter or without a clear language; a missing `lang` is filled in."""
+    model = language.train(docs.where(~language.held_out(F.col("doc_id"))))
+    known = language.identify(docs.select(*COLUMNS), model).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_SCORE))
+    return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each group of near copies."""
+    return simhash.drop_near_duplicates(docs).select(*COLUMNS)
 
-STAGES: list = []
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes passages of 50 words and more out of all documents but the first that has them; rows stay."""
+    return _measured(substrings.remove_recurring(docs))
+
+
+def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by pseudonyms of the same format."""
+    return _measured(pii.with_pseudonyms(docs))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of at most 2048 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("pii", pseudonyms),
+    ("packing", packed),
+]
 
 #: Language models, automata and tokenizers have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from citeweave.llm.common import materialize, table
-
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
