@@ -1,0 +1,85 @@
+"""Names that citations use: chapters with their lengths, and collections with their spellings."""
+
+# Chapter names in order, Latin and Arabic, and the number of verses of each.
+CHAPTER_NAMES = """
+Al-Fatihah; Al-Baqarah; Ali 'Imran; An-Nisa; Al-Ma'idah; Al-An'am; Al-A'raf; Al-Anfal; At-Tawbah; Yunus; Hud; Yusuf; Ar-Ra'd; Ibrahim; Al-Hijr;
+An-Nahl; Al-Isra; Al-Kahf; Maryam; Taha; Al-Anbya; Al-Hajj; Al-Mu'minun; An-Nur; Al-Furqan; Ash-Shu'ara; An-Naml; Al-Qasas; Al-'Ankabut; Ar-Rum;
+Luqman; As-Sajdah; Al-Ahzab; Saba; Fatir; Ya-Sin; As-Saffat; Sad; Az-Zumar; Ghafir; Fussilat; Ash-Shuraa; Az-Zukhruf; Ad-Dukhan; Al-Jathiyah; Al-Ahqaf;
+Muhammad; Al-Fath; Al-Hujurat; Qaf; Adh-Dhariyat; At-Tur; An-Najm; Al-Qamar; Ar-Rahman; Al-Waqi'ah; Al-Hadid; Al-Mujadila; Al-Hashr; Al-Mumtahanah;
+As-Saf; Al-Jumu'ah; Al-Munafiqun; At-Taghabun; At-Talaq; At-Tahrim; Al-Mulk; Al-Qalam; Al-Haqqah; Al-Ma'arij; Nuh; Al-Jinn; Al-Muzzammil;
+Al-Muddaththir; Al-Qiyamah; Al-Insan; Al-Mursalat; An-Naba; An-Nazi'at; 'Abasa; At-Takwir; Al-Infitar; Al-Mutaffifin; Al-Inshiqaq; Al-Buruj; At-Tariq;
+Al-A'la; Al-Ghashiyah; Al-Fajr; Al-Balad; Ash-Shams; Al-Layl; Ad-Duhaa; Ash-Sharh; At-Tin; Al-'Alaq; Al-Qadr; Al-Bayyinah; Az-Zalzalah; Al-'Adiyat;
+Al-Qari'ah; At-Takathur; Al-'Asr; Al-Humazah; Al-Fil; Quraysh; Al-Ma'un; Al-Kawthar; Al-Kafirun; An-Nasr; Al-Masad; Al-Ikhlas; Al-Falaq; An-Nas;
+""".replace("\n", " ").strip(" ;").split("; ")
+CHAPTER_NAMES_ARABIC = """
+الفاتحة; البقرة; آل عمران; النساء; المائدة; الأنعام; الأعراف; الأنفال; التوبة; يونس; هود; يوسف; الرعد; ابراهيم; الحجر; النحل; الإسراء; الكهف; مريم; طه;
+الأنبياء; الحج; المؤمنون; النور; الفرقان; الشعراء; النمل; القصص; العنكبوت; الروم; لقمان; السجدة; الأحزاب; سبإ; فاطر; يس; الصافات; ص; الزمر; غافر; فصلت;
+الشورى; الزخرف; الدخان; الجاثية; الأحقاف; محمد; الفتح; الحجرات; ق; الذاريات; الطور; النجم; القمر; الرحمن; الواقعة; الحديد; المجادلة; الحشر; الممتحنة;
+الصف; الجمعة; المنافقون; التغابن; الطلاق; التحريم; الملك; القلم; الحاقة; المعارج; نوح; الجن; المزمل; المدثر; القيامة; الانسان; المرسلات; النبإ;
+النازعات; عبس; التكوير; الإنفطار; المطففين; الإنشقاق; البروج; الطارق; الأعلى; الغاشية; الفجر; البلد; الشمس; الليل; الضحى; الشرح; التين; العلق; القدر;
+البينة; الزلزلة; العاديات; القارعة; التكاثر; العصر; الهمزة; الفيل; قريش; الماعون; الكوثر; الكافرون; النصر; المسد; الإخلاص; الفلق; الناس;
+""".replace("\n", " ").strip(" ;").split("; ")
+CHAPTER_LENGTHS = [
+    7, 286, 200, 176, 120, 165, 206, 75, 129, 109, 123, 111, 43, 52, 99, 128, 111, 110, 98, 135, 112, 78, 118, 64, 77, 227,
+    93, 88, 69, 60, 34, 30, 73, 54, 45, 83, 182, 88, 75, 85, 54, 53, 89, 59, 37, 35, 38, 29, 18, 45, 60, 49, 62, 55, 78, 96,
+    29, 22, 24, 13, 14, 11, 11, 18, 12, 12, 30, 52, 52, 44, 28, 28, 20, 56, 40, 31, 50, 40, 46, 42, 29, 19, 36, 25, 22, 17,
+    19, 26, 30, 20, 15, 21, 11, 8, 8, 19, 5, 8, 8, 11, 11, 8, 3, 9, 5, 4, 7, 3, 6, 3, 5, 4, 5, 6,
+]
+# Other names of some chapters.
+CHAPTER_ALIASES = {
+    "Ali Imran": 3, "Al-Isra": 17, "Bani Israil": 17, "Asy-Syuara": 26, "Al-Mukmin": 40, "Ghafir": 40, "Fussilat": 41, "Ha Mim Sajdah": 41,
+    "Yasin": 36, "Taha": 20, "Al-Insan": 76, "Ad-Dahr": 76, "Al-Lahab": 111, "Al-Masad": 111, "Al-Ikhlas": 112,
+}
+# The letters-only spellings of each collection, besides its id.
+COLLECTIONS = {
+    "bukhari": "bukhari bukhori albukhari albukhori shahihbukhari sahihbukhari imambukhari",
+    "muslim": "muslim shahihmuslim sahihmuslim imammuslim",
+    "abudawud": "abudawud abudaud abudawood abidawud abidaud sunanabudawud sunanabudaud",
+    "tirmidhi": "tirmidhi tirmidzi tirmizi attirmidhi attirmidzi tirmizy sunantirmidzi jamiattirmidzi",
+    "nasai": "nasai annasai nasaai sunannasai sunanannasai",
+    "ibnmajah": "ibnmajah ibnumajah ibnimajah ibnmaja ibnumaja sunanibnumajah sunanibnmajah",
+    "malik": "malik muwatta muwattha muwaththa muwatha muwattamalik imammalik",
+    "ahmad": "ahmad musnadahmad imamahmad",
+    "darimi": "darimi addarimi sunandarimi",
+    "riyadussalihin": "riyadussalihin riyadhusshalihin riyadhussalihin riyadusshalihin riyadassalihin riyadhasshalihin riyadh riyad riyadhushshalihin",
+    "nawawi": "nawawi arbainnawawi arbain arbaunannawawiyah hadistarbain haditsarbain",
+    "qudsi": "qudsi haditsqudsi",
+    "bulugh": "bulugh bulughulmaram bulughalmaram",
+    "mishkat": "mishkat misykat mishkatalmasabih misykatulmashabih",
+    "adab": "adab adabulmufrad aladabalmufrad",
+    "shamail": "shamail syamail",
+    "hakim": "hakim alhakim mustadrak",
+    "ibnhibban": "ibnhibban ibnuhibban",
+    "ibnkhuzaymah": "ibnkhuzaymah ibnukhuzaimah ibnukhuzaymah",
+    "bayhaqi": "bayhaqi baihaqi albaihaqi",
+    "shuab": "shuab syuabuliman shuabaliman",
+    "tabarani": "tabarani thabrani atthabrani",
+    "tabarani-awsat": "tabaraniawsat thabraniausath",
+    "tabarani-saghir": "tabaranisaghir",
+    "daraqutni": "daraqutni daruquthni daruqutni",
+    "ibnabishaybah": "ibnabishaybah ibnuabisyaibah",
+    "abdalrazzaq": "abdalrazzaq abdurrazzaq abdurrazaq",
+    "nasai-kubra": "nasaikubra",
+    "suyuti": "suyuti suyuthi jamiusshaghir",
+    "bazzar": "bazzar",
+    "abuyaala": "abuyaala abuyala",
+    "tayalisi": "tayalisi thayalisi",
+    "matalib": "matalib",
+    "history": "",
+    "ibnhisham": "ibnhisham ibnuhisyam",
+    "hisn": "hisn hisnulmuslim",
+    "forty": "",
+    "virtues": "",
+    "thulathiyyat": "thulathiyyat",
+    "dehlawi": "dehlawi",
+    "quran": "",
+}
+# Collections by the Arabic name that follows "reported by".
+ARABIC_COLLECTIONS = {
+    "البخاري": "bukhari", "مسلم": "muslim", "داود": "abudawud", "الترمذي": "tirmidhi", "النسائي": "nasai", "ماجه": "ibnmajah", "أحمد": "ahmad", "احمد": "ahmad",
+    "مالك": "malik", "الدارمي": "darimi",
+}
+# Words between a name and its number that say nothing.
+FILLERS = set(
+    "no nomor nomer number num hadits hadis hadith hadist ayat ayah verse ke hr h r riwayat diriwayatkan oleh imam narrated reported by in dalam di kitab qs q s surah surat sura bab".split()
+)

@@ -9,12 +9,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Characters and words that the normal forms treat alike everywhere.
-INVISIBLE = "[​‎‏؜‪-‮⁦-⁩﻿­]"
-MARKS = "[ؐ-ًؚ-ٰۖ-ۭ࣓-ࣿ]"
-MARKS_NOT_DIGITS = "[ؐ-ًؚ-ٰٟۖ-ۭ࣓-ࣿ]"
-ALIF = "[آأإٱٲٳ]"
-LIGATURES = "[ﷺﷻ﵀-﵏]"
-NOT_LETTER = r"[^ء-ي٠-٩\s]"
+INVISIBLE = r"[\u200B\u200E\u200F\u061C\u202A-\u202E\u2066-\u2069\uFEFF\u00AD]"
+MARKS = r"[\u0610-\u061A\u064B-\u0670\u06D6-\u06ED\u08D3-\u08FF]"
+MARKS_NOT_DIGITS = r"[\u0610-\u061A\u064B-\u065F\u0670\u06D6-\u06ED\u08D3-\u08FF]"
+ALIF = r"[\u0622\u0623\u0625\u0671\u0672\u0673]"
+LIGATURES = r"[\uFDFA\uFDFB\uFD40-\uFD4F]"
+NOT_LETTER = r"[^\u0621-\u064A\u0660-\u0669\s]"
 HONORIFICS = [
     "صلي الله عليه وسلم", "رضي الله عنهما", "رضي الله عنهم", "رضي الله عنها", "رضي الله عنه", "عليه الصلاه والسلام", "عليه السلام",
 ]
@@ -77,8 +77,8 @@ def norm(text: Column, composed: bool = False) -> Column:
     text = F.coalesce(text, F.lit(""))
     text = text if composed else nfc(text)
     text = _chain(
-        text, (INVISIBLE, ""), (r"\[\^\d+\]", " "), (LIGATURES, " "), (r"(?<!\S)يَ?ٰٓ?", "يا "), ("وٰ", "ا"),
-        (f"ىٰ(?={MARKS}*[ء-ي])", "ا"),
+        text, (INVISIBLE, ""), (r"\[\^\d+\]", " "), (LIGATURES, " "), (r"(?<!\S)ي\u064E?\u0670\u0653?", "يا "), (r"\u0648\u0670", "ا"),
+        (rf"\u0649\u0670(?={MARKS_NOT_DIGITS}*[\u0621-\u064A])", "ا"),
     )
     text = F.regexp_replace(_unified(text, MARKS), NOT_LETTER, " ")
     text = F.concat(F.lit(" "), squeeze(text), F.lit(" "))
