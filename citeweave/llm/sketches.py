@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from citeweave.llm.common import let
 
-CELL = "array<struct<n:int,key:long,chk:long>>"
+CELL = "array<struct<q:int,n:int,key:long,chk:long>>"
 #: Cells per table of the printed fingerprint and of each retry.
 WIDTHS = (8, 32, 128, 512)
 #: A longer paragraph counts as its sentences.
@@ -32,32 +32,37 @@ def _check(key: Column) -> Column:
     return F.xxhash64(key, F.lit(7))
 
 
-def _placed(key: Column, n: Column, chk: Column, width: int) -> Column:
-    at = [(F.pmod(F.xxhash64(key, F.lit(t)), F.lit(width)) + t * width).cast("int").alias(f"q{t}") for t in range(3)]
-    return F.struct(n.cast("int").alias("n"), key.alias("key"), chk.alias("chk"), *at)
+def _placed(key: Column, n: Column, width: int) -> Column:
+    """The cells that hold one digest, `n` times: one in each table."""
+    at = lambda t: (F.pmod(F.xxhash64(key, F.lit(t)), F.lit(width)) + t * width).cast("int")
+    return let(_check(key), lambda c: F.array(*(F.struct(at(t).alias("q"), n.cast("int").alias("n"), key.alias("key"), c.alias("chk")) for t in range(3))))
 
 
-def _sum(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0), lambda s, x: s + x["n"])
+def _joined(cells: Column) -> Column:
+    """Cells of one place added up, in order of place; empty ones are left out. One sort and one pass, whatever the width."""
+    def runs(c: Column) -> Column:
+        first = F.filter(F.transform(c, lambda x, i: F.when((i == 0) | (x["q"] != F.get(c, i - 1)["q"]), i)), lambda i: i.isNotNull())
 
+        def one(starts: Column) -> Column:
+            def cell(i: Column, k: Column) -> Column:
+                own = F.slice(c, i + 1, F.coalesce(F.get(starts, k + 1), F.size(c)) - i)
+                zero = F.struct(F.lit(0).alias("q"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("chk"))
+                return F.aggregate(own, zero, lambda s, x: F.struct(x["q"].alias("q"), (s["n"] + x["n"]).alias("n"), s["key"].bitwiseXOR(x["key"]).alias("key"), s["chk"].bitwiseXOR(x["chk"]).alias("chk")))
+            return F.transform(starts, cell)
 
-def _xor(a: Column, field: str) -> Column:
-    return F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x[field]))
+        return let(first, one)
+
+    return F.filter(let(F.array_sort(cells), runs), lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["chk"] != 0)).cast(CELL)
 
 
 def sketch(digests: Column, width: int) -> Column:
-    """Array of 3 * width cells."""
-    def cells(placed: Column) -> Column:
-        def table(t: int) -> Column:
-            def cell(j: Column) -> Column:
-                return let(F.filter(placed, lambda e: e[f"q{t}"] == j), lambda own: F.struct(F.size(own).alias("n"), _xor(own, "key").alias("key"), _xor(own, "chk").alias("chk")))
-            return F.transform(F.sequence(F.lit(t * width), F.lit((t + 1) * width - 1)), cell)
-        return F.concat(*(table(t) for t in range(3)))
-    return let(F.transform(digests, lambda d: _placed(d, F.lit(1), _check(d), width)), cells)
+    """The filled cells of a sketch of 3 * width cells."""
+    return _joined(F.flatten(F.transform(digests, lambda d: _placed(d, F.lit(1), width))))
 
 
 def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["key"].bitwiseXOR(y["key"]).alias("key"), x["chk"].bitwiseXOR(y["chk"]).alias("chk")))
+    less = F.transform(b, lambda c: F.struct(c["q"].alias("q"), (-c["n"]).alias("n"), c["key"].alias("key"), c["chk"].alias("chk")))
+    return _joined(F.concat(a, less.cast(CELL)))
 
 
 def peel(cells: Column, width: int) -> Column:
@@ -65,36 +70,36 @@ def peel(cells: Column, width: int) -> Column:
     start = F.struct(cells.cast(CELL).alias("cells"), F.array().cast("array<long>").alias("plus"), F.array().cast("array<long>").alias("minus"))
 
     def step(state: Column, r: Column) -> Column:
-        own = F.slice(state["cells"], (F.pmod(r, F.lit(3)) * width + 1).cast("int"), F.lit(width))
-        single = F.filter(own, lambda c: (F.abs(c["n"]) == 1) & (c["chk"] == _check(c["key"])))
+        # The cells of one table at a time: no two of them hold the same digest.
+        low = F.pmod(r, F.lit(3)) * width
+        single = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["q"] >= low) & (c["q"] < low + width) & (c["chk"] == _check(c["key"])))
 
         def taken(one: Column) -> Column:
-            def less(c: Column, j: Column) -> Column:
-                hit = F.filter(one, lambda e: (e["q0"] == j) | (e["q1"] == j) | (e["q2"] == j))
-                return let(hit, lambda h: F.when(F.size(h) == 0, c).otherwise(F.struct((c["n"] - _sum(h)).alias("n"), c["key"].bitwiseXOR(_xor(h, "key")).alias("key"), c["chk"].bitwiseXOR(_xor(h, "chk")).alias("chk"))))
             keys = lambda n: F.transform(F.filter(one, lambda e: e["n"] == n), lambda e: e["key"])
-            changed = F.struct(F.transform(state["cells"], less).cast(CELL).alias("cells"), F.concat(state["plus"], keys(1)).alias("plus"), F.concat(state["minus"], keys(-1)).alias("minus"))
+            less = F.flatten(F.transform(one, lambda e: _placed(e["key"], -e["n"], width)))
+            changed = F.struct(_joined(F.concat(state["cells"], less.cast(CELL))).alias("cells"), F.concat(state["plus"], keys(1)).alias("plus"), F.concat(state["minus"], keys(-1)).alias("minus"))
             return F.when(F.size(one) == 0, state).otherwise(changed)
 
-        return let(F.transform(single, lambda c: _placed(c["key"], c["n"], c["chk"], width)), taken)
+        return let(single, taken)
 
     def result(s: Column) -> Column:
-        left = F.exists(s["cells"], lambda c: (c["n"] != 0) | (c["key"] != 0))
-        return F.struct((~left).alias("done"), s["plus"].alias("plus"), s["minus"].alias("minus"))
+        return F.struct((F.size(s["cells"]) == 0).alias("done"), s["plus"].alias("plus"), s["minus"].alias("minus"))
 
     return let(F.aggregate(F.sequence(F.lit(0), F.lit(STEPS - 1)), start, step), result)
 
 
-def with_difference(df: DataFrame, name: str, a: Column, b: Column) -> DataFrame:
-    """Adds `name`, struct(done, plus, minus): digests of `a` not in `b` and of `b` not in `a`.
+def with_difference(df: DataFrame, name: str, a: str, b: str, small: dict[str, str] | None = None) -> DataFrame:
+    """Adds `name`, struct(done, plus, minus): digests of column `a` not in column `b` and of `b` not in `a`.
 
     Sketches of growing width, each tried only where the one before could not be peeled; past the last, or where the
-    sizes alone differ by more than a sketch can hold, the exact set difference.
+    sizes alone differ by more than a sketch can hold, the exact set difference. `small` names columns that hold the
+    sketch of the least width of a digest column.
     """
+    of = lambda c, width: F.col(small[c]) if width == WIDTHS[0] and c in (small or {}) else sketch(F.col(c), width)
     found = F.lit(None).cast("struct<done:boolean,plus:array<bigint>,minus:array<bigint>>")
     for width in WIDTHS:
         fits = F.abs(F.size(a) - F.size(b)) <= 3 * width
-        df = df.withColumn(name, F.when(found["done"], found).when(fits, peel(subtract(sketch(a, width), sketch(b, width)), width)))
+        df = df.withColumn(name, F.when(found["done"], found).when(fits, peel(subtract(of(a, width), of(b, width)), width)))
         found = F.col(name)
     exact = F.struct(F.lit(True).alias("done"), F.array_except(a, b).alias("plus"), F.array_except(b, a).alias("minus"))
     return df.withColumn(name, F.when(found["done"], found).otherwise(exact))
@@ -108,9 +113,8 @@ def likeness(a: Column, b: Column, difference: Column) -> Column:
 
 def printed(cells: Column) -> Column:
     """The filled cells of a sketch as text: place, count, digest and check in hexadecimal."""
-    def one(c: Column, j: Column) -> Column:
-        return F.when(c["n"] != 0, F.concat_ws(":", j.cast("string"), c["n"].cast("string"), F.lower(F.hex(c["key"])), F.lower(F.hex(c["chk"].bitwiseAND(F.lit(0xFFFFFFFF))))))
-    return F.array_join(F.array_compact(F.transform(cells, one)), " ")
+    one = lambda c: F.concat_ws(":", c["q"].cast("string"), c["n"].cast("string"), F.lower(F.hex(c["key"])), F.lower(F.hex(c["chk"].bitwiseAND(F.lit(0xFFFFFFFF)))))
+    return F.array_join(F.transform(cells, one), " ")
 
 
 def with_next(docs: DataFrame, per_bucket: int = 256, max_buckets: int = 16384) -> DataFrame:
@@ -150,10 +154,11 @@ def document_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     df = df.withColumn("n_chars", F.length("text").cast("long"))
     df = df.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.col("next_text"), F.lit(1), half)))
     df = df.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), paragraph_digests(F.col("text")).alias("a"), paragraph_digests(F.col("edited")).alias("e"), paragraph_digests(F.col("next_text")).alias("b"))
-    df = df.withColumns({"fingerprint": printed(sketch(F.col("a"), WIDTHS[0])), "edited_fingerprint": printed(sketch(F.col("e"), WIDTHS[0]))})
+    df = df.withColumns({"sketch_a": sketch(F.col("a"), WIDTHS[0]), "sketch_e": sketch(F.col("e"), WIDTHS[0])})
+    small = {"a": "sketch_a", "e": "sketch_e"}
+    df = with_difference(with_difference(df, "to_edited", "a", "e", small), "to_next", "a", "b", small)
     a, e, b = F.col("a"), F.col("e"), F.col("b")
-    df = with_difference(with_difference(df, "to_edited", a, e), "to_next", a, b)
     return df.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        "doc_id", "n_chars", "edited_sha256", printed(F.col("sketch_a")).alias("fingerprint"), printed(F.col("sketch_e")).alias("edited_fingerprint"),
         likeness(a, e, F.col("to_edited")).alias("near_edited"), likeness(a, b, F.col("to_next")).alias("near_next"),
     )

@@ -222,7 +222,7 @@ def test_sketch_peels_and_reports_failure(spark):
     small, large = (r.p for r in df.select(peeled.alias("p")).collect())
     assert small.done and sorted(small.plus) == [0, 1, 2, 3, 4] and sorted(small.minus) == [50, 51]
     assert not large.done
-    d = sketches.with_difference(df, "d", F.col("a"), F.col("b")).collect()[1].d
+    d = sketches.with_difference(df, "d", "a", "b").collect()[1].d
     assert sorted(d.plus) == list(range(400)) and sorted(d.minus) == list(range(400, 800))
 
 
