@@ -6,14 +6,14 @@ are linear in hashed character n-grams, so a prediction is one pass over a text'
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citeweave.llm.common import with_text_columns
+
 # ISO 639-1 codes by family. Codes that are not listed share the family "other".
 FAMILIES = {
     "germanic": "af da de en fo fy is lb nb nl nn no sv yi".split(),
@@ -142,14 +142,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     """Adds `lang_pred` and `score` from the whole text alone; `und` and 0 for a text that is null or has no letter."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: 256 kB for each pair of languages
 
-    @F.pandas_udf("lang string, score double")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = shared.value
-        for texts in batches:
-            yield pd.DataFrame([own.predict(x) for x in texts], columns=["lang", "score"])
-
-    out = docs.withColumn("_lid", predict(F.col(text)))
-    return out.withColumns({"lang_pred": F.col("_lid.lang"), "score": F.col("_lid.score")}).drop("_lid")
+    return with_text_columns(docs, text, lambda: shared.value.predict, [("lang_pred", "string"), ("score", "double")])
 
 
 def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:

@@ -10,12 +10,13 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeweave.llm.common import with_text_columns
+
 ROUNDS = 8
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Dates outside these years are left alone; within them a pseudonym is a date in them too.
@@ -218,14 +219,12 @@ def pseudonymise(text: str | None, p: Permutation) -> tuple[str | None, list[str
 
 def with_pseudonyms(docs: DataFrame, text: str = "text", key: str = "citeweave") -> DataFrame:
     """`docs` with `text` replaced by its pseudonymised form and a column `pii_kinds`, an array of the kinds found."""
-    @F.pandas_udf("text string, kinds array<string>")
-    def changed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def make():
         p = Permutation(key.encode())
-        for texts in batches:
-            yield pd.DataFrame([pseudonymise(x, p) for x in texts], columns=["text", "kinds"])
+        return lambda x: pseudonymise(x, p)
 
-    df = docs.withColumn("_pii", changed(F.col(text)))
-    return df.withColumns({text: F.col("_pii.text"), "pii_kinds": F.col("_pii.kinds")}).drop("_pii")
+    df = with_text_columns(docs, text, make, [("_pseudonymised", "string"), ("pii_kinds", "array<string>")])
+    return df.withColumn(text, F.col("_pseudonymised")).drop("_pseudonymised")
 
 
 def private_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key: str = "citeweave") -> DataFrame:

@@ -6,13 +6,12 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import materialize
+from citeweave.llm.common import materialize, with_text_columns
 from citeweave.operators.graph import connected_components
 
 BITS = 64
@@ -37,12 +36,8 @@ def simhash(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    @F.pandas_udf("long")
-    def computed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([simhash(x, shingle) for x in texts], dtype="int64")
-
-    return docs.select(F.col(doc_id).alias("doc_id"), computed(F.col(text)).alias("fp"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return with_text_columns(rows, "text", lambda: lambda x: (simhash(x, shingle),), [("fp", "long")]).select("doc_id", "fp")
 
 
 def block_keys(fp: Column, n_blocks: int, distance: int) -> Column:
