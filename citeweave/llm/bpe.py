@@ -1,10 +1,10 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
 Documents are gathered into blocks of a bounded number of characters. A block explodes its pre-tokens into two
-tables: each distinct pre-token once, with its slot in the block, and each document's sequence of slots. The
-pre-tokens of all blocks meet by a shuffle, every distinct one is encoded once, and its ids go back to the blocks by a
-join; a block then puts its documents together by position. So the shuffles carry a block's vocabulary and compressed
-positions, never the texts.
+tables: each distinct pre-token once, with its slot in the block, and the documents' sequences of slots. The pre-tokens
+of all blocks meet by a shuffle on the word, where every distinct one is encoded once and its ids join all its slots;
+these go back to their blocks, which put the documents together by position. So the shuffles carry the blocks'
+vocabularies and compressed positions, never the texts, and a frequent word has no more rows than there are blocks.
 """
 
 from __future__ import annotations
@@ -14,9 +14,9 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -24,7 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters that make a block full. A longer document is a block of its own.
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 40_000_000
+#: A row of a block's first table is numbered partition, block, slot.
+SLOT_BITS, BLOCK_BITS = 26, 14
+#: Pieces that a block remembers, and tokens of which the sequences are compressed together.
+PIECES, CHUNK_TOKENS = 150_000, 1_000_000
 #: Code points below this have no other letters, numbers or white space than those `_narrow` names.
 NARROW = 0x250
 
@@ -85,6 +89,7 @@ class Block:
         self.slots: dict[str, int] = {}
         self.pieces: dict[str, int] = {}
         self.parts: list[list[int]] = []
+        self.loose: set[str] = set()
 
     def _slots(self, text: str) -> list[int]:
         slots = self.slots
@@ -95,102 +100,162 @@ class Block:
         k = self.pieces.get(piece, -2)
         if k == -2:
             if not piece or piece[0].isspace() or piece[-1].isspace():
+                self.loose.add(piece)
                 k = -1
             else:
                 k = len(self.parts)
                 self.parts.append(self._slots(" " + piece))
-            self.pieces[piece] = k
+            if len(self.pieces) < PIECES:
+                self.pieces[piece] = k
         return k
 
+    def add(self, text: str) -> None:
+        """Numbers the pre-tokens of a text, in the order in which `sequence` does."""
+        first, *rest = text.split(" ")
+        for x in [x for x in rest if x not in self.pieces]:
+            self._piece(x)
+        whole = not text or not first or first[-1:].isspace() or not self.loose.isdisjoint(rest)
+        self._slots(text if whole else first)
+        del self.parts[PIECES:]
+
     def sequence(self, text: str) -> np.ndarray:
         first, *rest = text.split(" ")
-        piece, own = self.pieces.get, self._piece
-        numbers = [piece(x, -2) for x in rest]
-        numbers = [own(x) if k == -2 else k for x, k in zip(rest, numbers)] if -2 in numbers else numbers
+        known, own = self.pieces.get, self._piece
+        numbers = [known(x, -2) for x in rest]
+        if -2 in numbers:
+            numbers = [own(x) if k == -2 else k for x, k in zip(rest, numbers)]
         if not text or not first or first[-1:].isspace() or -1 in numbers:
-            return np.array(self._slots(text), np.int32)
-        parts, out = self.parts, self._slots(first)
-        for k in numbers:
-            out += parts[k]
+            out = self._slots(text)
+        else:
+            out = self._slots(first)
+            out.extend(chain.from_iterable(map(self.parts.__getitem__, numbers)))
+        del self.parts[PIECES:]  # those of pieces that are not remembered
         return np.array(out, np.int32)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], split: str, words: bool, block_chars: int) -> Iterator[pa.RecordBatch]:
-    """Rows of one of the two tables of each block; both calls see the same partition and so number blocks alike."""
-    part, k, n, block, rows = TaskContext.get().partitionId(), 0, 0, Block(split), []
-    pack = zstandard.ZstdCompressor(level=3).compress
+def _pack(sequences: list[np.ndarray]) -> bytes:
+    """Slots with their bytes by significance, compressed: most slots are small."""
+    flat = np.concatenate(sequences) if sequences else np.zeros(0, np.int32)
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 4).T).tobytes())
 
-    def closed() -> Iterator[pa.RecordBatch]:
-        at = (part << 32) + k
-        if words:
-            yield pa.RecordBatch.from_pydict({"block": pa.array([at] * len(block.slots), pa.int64()), "slot": pa.array(range(len(block.slots)), pa.int32()), "word": pa.array(list(block.slots), pa.string())})
-        else:
-            yield pa.RecordBatch.from_pydict({"block": pa.array([at] * len(rows), pa.int64()), "doc_id": pa.array([r[0] for r in rows], pa.int64()), "slots": pa.array([r[1] for r in rows], pa.binary())})
 
+def _unpack(packed: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view(np.int32).ravel()
+
+
+def _texts(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[tuple[int | None, str | None]]:
+    """Rows of the batches, of which few are Python objects at a time."""
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            text = text or ""
-            if n and n + len(text) > block_chars:
-                yield from closed()
-                k, n, block, rows = k + 1, 0, Block(split), []
-            n += len(text) + 1
-            sequence = block.sequence(text)
-            if not words:
-                rows.append((doc, pack(sequence.tobytes())))
-    if n:
-        yield from closed()
+        for at in range(0, batch.num_rows, rows):
+            part = batch.slice(at, rows)
+            yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist())
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], split: str, words: bool, block_chars: int) -> Iterator[pa.RecordBatch]:
+    """Rows of one of the two tables of each block; both calls see the same partition and so number blocks alike."""
+    part, k, n, held, block = TaskContext.get().partitionId(), 0, 0, 0, Block(split)
+    ids: list[int | None] = []
+    sequences: list[np.ndarray] = []
+
+    def places() -> pa.RecordBatch:
+        row = {"block": pa.array([(part << BLOCK_BITS) + k], pa.int64()), "doc_ids": pa.array([ids], pa.list_(pa.int64())), "sizes": pa.array([[len(x) for x in sequences]], pa.list_(pa.int32())), "slots": pa.array([_pack(sequences)], pa.binary())}
+        return pa.RecordBatch.from_pydict(row)
+
+    def vocabulary() -> Iterator[pa.RecordBatch]:
+        if len(block.slots) >> SLOT_BITS or k >> BLOCK_BITS:
+            raise ValueError("a block has too many distinct words, or a partition too many blocks")
+        first, all_words = (((part << BLOCK_BITS) + k) << SLOT_BITS), list(block.slots)
+        for at in range(0, len(all_words), 50_000):
+            own = all_words[at : at + 50_000]
+            yield pa.RecordBatch.from_pydict({"slot": pa.array(np.arange(at, at + len(own)) + first), "word": pa.array(own, pa.string())})
+
+    for doc, text in _texts(batches):
+        text = text or ""
+        if n and n + len(text) > block_chars:
+            if words:
+                yield from vocabulary()
+            elif ids:
+                yield places()
+            k, n, held, block, ids, sequences = k + 1, 0, 0, Block(split), [], []
+        n += len(text) + 1
+        if words:
+            block.add(text)
+            continue
+        ids.append(doc)
+        sequences.append(block.sequence(text))
+        held += len(sequences[-1])
+        if held >= CHUNK_TOKENS:
+            yield places()
+            ids, sequences, held = [], [], 0
+    if words and n:
+        yield from vocabulary()
+    elif ids:
+        yield places()
 
 
 def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, split: str | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Token ids of every whole text: doc_id, `ids` (little-endian unsigned 32-bit integers) and `decoded` bytes.
+    """Token ids of every whole text: doc_id and `ids` (little-endian unsigned 32-bit integers).
 
     Null is the empty text, which has no ids; repeated rows are encoded each; an empty table gives an empty table;
     other columns are not read. `docs` must give the same rows in the same partitions when it is read twice, as a
     scan of files does.
     """
-    path, split = path or ranks_file(), split or pattern()
+    return _encoded(docs, doc_id, text, path or ranks_file(), split or pattern(), block_chars, lambda ids: (ids,), [("ids", "binary")])
+
+
+_KINDS = {"binary": pa.binary(), "long": pa.int64(), "string": pa.string()}
+
+
+def _encoded(docs: DataFrame, doc_id: str, text: str, path: str, split: str, block_chars: int, finish: Callable[[bytes], tuple], columns: list[tuple[str, str]]) -> DataFrame:
+    """`finish` of the ids of each document, in the task that puts them together."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    kind = "<u2" if len(_ranks(path)) <= 1 << 16 else "<u4"
 
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = rows.mapInArrow(lambda it: _blocks(it, split, True, block_chars), "block long, slot int, word string")
-    words = words.repartition(n, "word")  # shared by both sides of the join
+    words = rows.mapInArrow(lambda it: _blocks(it, split, True, block_chars), "slot long, word string")
 
-    @F.pandas_udf("binary")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = _encoder(path, split)._core_bpe.encode_single_piece
-        whole = _ranks(path).get
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted by word: each distinct one is encoded once, and its ids join all its slots."""
+        encode, whole = _encoder(path, split)._core_bpe.encode_single_piece, _ranks(path).get
+        last, known = None, b""
         for batch in batches:
             out = []
-            for x in batch:
-                raw = x.encode("utf-8")
-                k = whole(raw)
-                out.append(np.array([k] if k is not None else encode(raw), "<u4").tobytes())
-            yield pd.Series(out)
+            for x in batch.column(1).to_pylist():
+                if x != last:
+                    raw = x.encode("utf-8")
+                    last, known = x, np.array(encode(raw) if (k := whole(raw)) is None else [k], kind).tobytes()
+                out.append(known)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["slot", "ids"])
 
-    vocabulary = words.select("word").distinct().withColumn("ids", encoded("word"))
-    known = words.join(vocabulary.hint("shuffle_hash"), "word").select("block", "slot", "ids")
-    places = rows.mapInArrow(lambda it: _blocks(it, split, False, block_chars), "block long, doc_id long, slots binary")
+    known = words.repartition("word").sortWithinPartitions("word").mapInArrow(encoded, "slot long, ids binary")
+    known = known.withColumn("block", F.shiftright("slot", SLOT_BITS))
+    places = rows.mapInArrow(lambda it: _blocks(it, split, False, block_chars), "block long, doc_ids array<long>, sizes array<int>, slots binary")
 
     def together(own: pa.Table, vocab: pa.Table) -> pa.Table:
-        unpack = zstandard.ZstdDecompressor().decompress
-        slot = vocab.column("slot").to_numpy()
+        slot = vocab.column("slot").to_numpy() & ((1 << SLOT_BITS) - 1)
         ids = vocab.column("ids").combine_chunks()
         ids = ids if isinstance(ids, pa.Array) else pa.concat_arrays(ids.chunks)
-        raw, offsets = np.frombuffer(ids.buffers()[2] or b"", np.uint8), np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
-        flat = raw[: offsets[-1] // 4 * 4].view("<u4")
-        start, size = np.zeros(len(slot), np.int64), np.zeros(len(slot), np.int64)
-        start[slot], size[slot] = offsets[:-1] // 4, np.diff(offsets) // 4
-        out = []
-        for packed in own.column("slots").to_pylist():
-            s = np.frombuffer(unpack(packed), np.int32)
-            many = size[s]
-            ends = np.cumsum(many)
-            at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[s] - (ends - many), many)
-            out.append(flat[at].tobytes())
-        return pa.table({"doc_id": own.column("doc_id"), "ids": pa.array(out, pa.binary())})
-
-    whole = places.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(together, "doc_id long, ids binary")
-    return whole
+        many = np.zeros(len(slot), np.int64)
+        offsets = np.zeros(len(slot), np.int64)
+        flat = np.zeros(0, kind)
+        if len(slot):
+            ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64) // int(kind[2])
+            flat = np.frombuffer(ids.buffers()[2], kind, count=ends[-1])
+            offsets[slot], many[slot] = ends[:-1], np.diff(ends)
+        docs_, out = [], []
+        for doc_ids, sizes, packed in zip(*(own.column(c).to_pylist() for c in ("doc_ids", "sizes", "slots"))):
+            s = _unpack(packed)
+            for doc, part in zip(doc_ids, np.split(s, np.cumsum(sizes)[:-1])):
+                size = many[part]
+                ends = np.cumsum(size)
+                at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(offsets[part] - (ends - size), size)
+                docs_.append(doc)
+                out.append(finish(flat[at].astype("<u4").tobytes()))
+        made = list(zip(*out)) or [[] for _ in columns]
+        return pa.table({"doc_id": pa.array(docs_, pa.int64())} | {n: pa.array(x, _KINDS[t]) for x, (n, t) in zip(made, columns)})
+
+    schema = ", ".join(f"{n} {t}" for n, t in [("doc_id", "long"), *columns])
+    return places.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(together, schema)
 
 
 def decode(ids: bytes, path: str) -> bytes:
@@ -207,10 +272,7 @@ def bpe_round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """Encodes every whole text, decodes the ids, and returns digests of both; see `encode_documents`."""
     path = path or ranks_file()
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([(len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(decode(x, path)).hexdigest()) for x in batch], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+    def digests(ids: bytes) -> tuple[int, str, str]:
+        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decode(ids, path)).hexdigest()
 
-    df = encode_documents(docs, doc_id, text, path, block_chars=block_chars)
-    return df.select("doc_id", digests("ids").alias("d")).select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
+    return _encoded(docs, doc_id, text, path, pattern(), block_chars, digests, [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")])
