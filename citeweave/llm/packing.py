@@ -10,7 +10,9 @@ length that take consecutive sequences at one offset), which the documents then
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -26,9 +28,32 @@ CAPACITY = 2048
 END = 0
 #: Rows of one length that a task numbers at once.
 SALT_ROWS = 1000
-_CACHE: dict[bytes, bytes] = {}
-_CACHE_WORDS = 400_000
-_TOKENIZERS: dict[str, object] = {}
+_TOKENIZERS: dict[str, tuple] = {}
+# A word of plain letters and the marks behind it, which the vocabulary's pattern takes apart in just this way.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+class _Known:
+    """Ids that were met lately, in two halves: a full one becomes the older one and a new one is begun."""
+
+    def __init__(self, most: int):
+        self.most, self.now, self.older = most, {"": b""}, {}
+
+    def missing(self, keys) -> list:
+        """The keys that are in neither half; the others are in the newer one from now on."""
+        if len(self.now) > self.most:
+            self.older, self.now = self.now, {"": b""}
+        now, older, out = self.now, self.older.get, []
+        for k in [k for k in keys if k not in now]:
+            ids = older(k)
+            if ids is None:
+                out.append(k)
+            else:
+                now[k] = ids
+        return out
+
+
+_PIECES, _PARTS = _Known(100_000), _Known(200_000)
 
 
 def vocabulary_file(name: str = "word_bpe_49k.json") -> str:
@@ -37,36 +62,48 @@ def vocabulary_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _tokenizer(path: str):
+def _tokenizers(path: str) -> tuple:
+    """The tokenizer, and its model alone for words that its normalizers would leave as they are."""
     if path not in _TOKENIZERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True  # their strings in a text are ordinary text
-        _TOKENIZERS.clear(), _CACHE.clear()
-        _TOKENIZERS[path] = t
+        bare = Tokenizer(t.model)
+        bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        for known in (_PIECES, _PARTS):
+            known.now, known.older = {"": b""}, {}
+        _TOKENIZERS.clear()
+        _TOKENIZERS[path] = t, bare
     return _TOKENIZERS[path]
 
 
+def _ids(tokenizer, words: list[str]) -> Iterator[bytes]:
+    for at in range(0, len(words), 10_000):
+        for e in tokenizer.encode_batch_fast(words[at : at + 10_000], add_special_tokens=False):
+            yield array("I", e.ids).tobytes()
+
+
 def token_bytes(texts: list[str | None], path: str) -> Iterator[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers, with END behind.
 
     This vocabulary's tokens never reach over white space, so a text's ids are those of its pieces between white space,
-    and a piece that was met before is looked up.
+    and a piece that was met before is looked up; so are the lower-cased word and the marks of a plain one.
     """
-    t = _tokenizer(path)
-    pieces = [(x or "").encode("utf-8").split() for x in texts]
-    if len(_CACHE) > _CACHE_WORDS:
-        _CACHE.clear()
-    new = list({w for p in pieces for w in p if w not in _CACHE})
-    for at in range(0, len(new), 20_000):
-        part = new[at : at + 20_000]
-        for w, e in zip(part, t.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-            _CACHE[w] = np.array(e.ids, "<u4").tobytes()
+    full, bare = _tokenizers(path)
+    split = [(x or "").encode("utf-8").split() for x in texts]
+    new = {w: w.decode() for w in _PIECES.missing({w for p in split for w in p})}
+    plain = {w: (m[1].lower(), m[2]) for w, x in new.items() if (m := _PLAIN.fullmatch(x))}
+    parts = _PARTS.missing({y for xs in plain.values() for y in xs if y})
+    part, piece = _PARTS.now, _PIECES.now
+    part.update(zip(parts, _ids(bare, parts)))
+    piece.update((w, part[a] + part[b]) for w, (a, b) in plain.items())
+    other = [w for w in new if w not in plain]
+    piece.update(zip(other, _ids(full, [new[w] for w in other])))
     end = np.array([END], "<u4").tobytes()
-    for p in pieces:
-        yield b"".join(map(_CACHE.__getitem__, p)) + end
+    for p in split:
+        yield b"".join(map(piece.__getitem__, p)) + end
 
 
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
@@ -75,8 +112,8 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                batch = whole.slice(at, 200)
+            for at in range(0, whole.num_rows, 600):
+                batch = whole.slice(at, 600)
                 out = []
                 for doc, raw in zip(batch.column(0).to_pylist(), token_bytes(batch.column(1).to_pylist(), path)):
                     step = 4 * capacity
