@@ -3,7 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline as cp
-from test_operators import WORD, check_packing, dedup_rows, hamming_rows, sha
+from test_llm_operators import WORD, check_packing, dedup_rows, hamming_rows, sha
 
 from citeweave.llm import pii
 from citeweave.llm.common import materialize, table
