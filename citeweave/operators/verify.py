@@ -22,28 +22,40 @@ def placed_grams(words: Column, n: int = GRAM) -> Column:
     return bound(words, grams)
 
 
-def gram_candidates(passages: DataFrame, docs: DataFrame, k: int = 5, n: int = GRAM) -> DataFrame:
-    """(doc_id, item_id, shared, shift): the `k` passages with the most distinct grams in common with a document.
+def gram_pairs(passages: DataFrame, docs: DataFrame, n: int = GRAM, short: bool = False) -> DataFrame:
+    """(doc_id, item_id, gram, p, q): where the word n-grams of the passages stand in the documents, and where in the passage.
 
     Both tables are (id, words). The grams of the passages are broadcast while they are few; every document keeps only
-    grams that a passage has before anything is shuffled. `shift` is where the passage would start in the document.
+    grams that a passage has before anything is shuffled. With `short` a passage of fewer than `n` words is a gram as a
+    whole; one without words has none.
     """
-    right = passages.select(F.col("item_id"), F.explode(placed_grams(F.col("words"), n)).alias("g")).select("item_id", F.col("g.gram").alias("gram"), F.col("g.position").alias("q"))
-    left = docs.select("doc_id", F.explode(placed_grams(F.col("words"), n)).alias("g")).select("doc_id", F.col("g.gram").alias("gram"), F.col("g.position").alias("p"))
-    pairs = left.join(broadcast_if_small(right), "gram")
-    votes = pairs.groupBy("doc_id", "item_id").agg(F.count_distinct("gram").alias("shared"), F.min(F.col("p") - F.col("q")).alias("shift"), F.max(F.col("p") - F.col("q")).alias("last_shift"))
-    return top(votes, ["doc_id"], [F.desc("shared"), "item_id"], k).drop("rank")
+    def placed(df: DataFrame, key: str, position: str, grams: Column) -> DataFrame:
+        return df.select(key, F.explode(grams).alias("g")).select(key, F.col("g.gram").alias("gram"), F.col("g.position").alias(position))
 
+    # at most n - 1 rows
+    sizes = [r.n for r in passages.select(F.size("words").alias("n")).where(F.col("n").between(1, n - 1)).distinct().collect()] if short else []
+    right = placed(passages, "item_id", "q", placed_grams(F.col("words"), n))
+    for size in sizes:
+        right = right.unionByName(placed(passages.where(F.size("words") == size), "item_id", "q", placed_grams(F.col("words"), size)))
+    left = placed(docs, "doc_id", "p", F.concat(*(placed_grams(F.col("words"), size) for size in [n, *sizes])))
+    return left.join(broadcast_if_small(right), "gram")
 
-def verify(passages: DataFrame, docs: DataFrame, k: int = 5, slack: int = SLACK) -> DataFrame:
-    """Findings (doc_id, item_id, similarity, coverage, status, first_word, difference): how each passage stands in the documents that share grams with it.
+
+def gram_candidates(passages: DataFrame, docs: DataFrame, k: int | None = 5, n: int = GRAM) -> DataFrame:
+    """(doc_id, item_id, shared): the `k` passages with the most distinct grams in common with a document, or all that have one."""
+    votes = gram_pairs(passages, docs, n).groupBy("doc_id", "item_id").agg(F.count_distinct("gram").alias("shared"))
+    return top(votes, ["doc_id"], [F.desc("shared"), "item_id"], k).drop("rank") if k else votes
+
+
+def verify(passages: DataFrame, docs: DataFrame, slack: int = SLACK) -> DataFrame:
+    """Findings (doc_id, item_id, similarity, coverage, status, first_word, difference): how each passage stands in every document that shares a gram with it.
 
     The passage is the spoken side and a window of the document the source, so coverage is the share of the passage
     that the document has. Both tables are (id, text).
     """
     p = passages.select("item_id", latin_words(F.col("text")).alias("words"))
     d = docs.select("doc_id", latin_words(F.col("text")).alias("words"))
-    found = gram_candidates(p, d, k)
+    found = gram_pairs(p, d, short=True).groupBy("doc_id", "item_id").agg(F.min(F.col("p") - F.col("q")).alias("shift"), F.max(F.col("p") - F.col("q")).alias("last_shift"))
     df = found.join(p.withColumnRenamed("words", "passage"), "item_id").join(d, "doc_id")
     start = F.greatest(F.col("shift") - slack, F.lit(0))
     size = F.col("last_shift") + F.size("passage") + slack - start

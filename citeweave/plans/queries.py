@@ -127,7 +127,7 @@ SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 24""")
 def rrf_fuse(spark, sf_dir):
     words = T.latin_words(F.col("text")).alias("words")
     items, docs = table(spark, sf_dir, "benchmark").select("item_id", words), table(spark, sf_dir, "documents").select("doc_id", words)
-    grams = V.gram_candidates(items, docs, 1_000_000)
+    grams = V.gram_candidates(items, docs, None)
     grams = top(grams.select(F.col("item_id").alias("query"), F.col("doc_id").alias("key"), "shared"), ["query"], [F.desc("shared"), "key"], 10)
     fused = I.fuse([_bm25(spark, sf_dir), grams], 24)
     return fused.select(F.col("query").alias("item_id"), F.col("key").alias("doc_id"), "score", F.col("rank").cast("long"))

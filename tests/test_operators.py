@@ -94,6 +94,16 @@ def test_verify_statuses(spark):
     assert got == {1: ("verbatim", 2), 2: ("misquote", got[2][1]), 5: ("not_found", 0)}
 
 
+def test_verify_finds_every_passage(spark):
+    texts = {k: " ".join(f"p{k}w{i}" for i in range(12)) for k in range(10)} | {10: "only three words", 11: "", 12: "once", 13: None}
+    passages = spark.createDataFrame(list(texts.items()), "item_id long, text string")
+    docs = spark.createDataFrame([(1, " and then ".join(texts[k] for k in range(10))), (2, "here stand Only, three words; once"), (3, "only three other words"), (4, "only three")], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.status, r.similarity, r.first_word) for r in V.verify(passages, docs).collect()}
+    assert got == {(1, k): ("verbatim", 1.0, 14 * k) for k in range(10)} | {(2, 10): ("verbatim", 1.0, 2), (2, 12): ("verbatim", 1.0, 5)}
+    words = lambda df: df.select(df.columns[0], F.split("text", " ").alias("words"))
+    assert V.gram_candidates(words(passages), words(docs)).count() == 5 and V.gram_candidates(words(passages), words(docs), None).count() == 10
+
+
 def test_choose_match(spark):
     schema = "span int, key string, score double, verbatim boolean, cited boolean, graded boolean, source_rank int, length int, similarity double, coverage double"
     df = spark.createDataFrame([
