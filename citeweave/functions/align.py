@@ -10,8 +10,6 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words of a source that are looked at.
-SOURCE_WORDS = 4000
 SAME, VARIANT, NEAR, OTHER, GAP = 2.0, 1.0, 0.5, -1.0, -1.0
 ALIGNMENT = "similarity double, coverage double, same int, variant int, near int, changed int, extra int, missing int, first int, last int, ops array<struct<op:string,spoken:string,source:string>>"
 
@@ -52,30 +50,35 @@ class Relations:
         if s == t and len(s) >= 2:
             return VARIANT
         most = max(len(a), len(b))
-        if most >= 4 and abs(len(a) - len(b)) <= most / 4 and 1 - edit_distance(a, b) / most >= 0.75:
+        # each letter that only one of the words has is an edit
+        letters, others = set(a), set(b)
+        if most >= 4 and max(abs(len(a) - len(b)), len(letters - others), len(others - letters)) <= most / 4 and 1 - edit_distance(a, b) / most >= 0.75:
             return NEAR
         return OTHER
 
 
 def local_alignment(spoken: list[str], source: list[str], relation) -> dict:
-    """Best local alignment of `spoken` inside `source`. Of equal moves a match goes before a gap in the source, of equal cells the first."""
-    source = source[:SOURCE_WORDS]
+    """Best local alignment of `spoken` inside `source`, with its score and the spoken words up to its `end`.
+
+    Of equal moves a match goes before a gap in the source, of equal cells the first. The table has a cell for each
+    pair of words: a long source is given in windows (`best_alignment`).
+    """
     n, m = len(spoken), len(source)
     if not n or not m:
-        return {"similarity": 0.0, "coverage": 0.0, "same": 0, "variant": 0, "near": 0, "changed": 0, "extra": n, "missing": 0, "first": -1, "last": -1, "ops": [("extra", w, None) for w in spoken]}
+        return {"similarity": 0.0, "coverage": 0.0, "same": 0, "variant": 0, "near": 0, "changed": 0, "extra": n, "missing": 0, "first": -1, "last": -1, "ops": [("extra", w, None) for w in spoken], "score": 0.0, "end": 0}
     names = {w: k for k, w in enumerate(dict.fromkeys(source))}
     at = np.array([names[w] for w in source])
     scores: dict[str, np.ndarray] = {}
     for w in spoken:
         if w not in scores:
-            scores[w] = np.array([relation(w, x) for x in names])[at]
-    table, step = np.zeros((n + 1, m + 1)), -GAP * np.arange(m + 1)
+            scores[w] = np.array([relation(w, x) for x in names], np.float32)[at]
+    table, step = np.zeros((n + 1, m + 1), np.float32), -GAP * np.arange(m + 1)
     for i, w in enumerate(spoken, 1):
         best = np.maximum(0.0, np.maximum(table[i - 1, :-1] + scores[w], table[i - 1, 1:] + GAP))
         best = np.concatenate(([0.0], best))
         table[i] = np.maximum.accumulate(best + step) - step
     i, j = divmod(int(table.argmax()), m + 1)
-    last, near, ops = j - 1, 0, [("extra", w, None) for w in reversed(spoken[i:])]
+    score, end, last, near, ops = float(table[i, j]), i, j - 1, 0, [("extra", w, None) for w in reversed(spoken[i:])]
     while i and j and table[i, j] > 0:
         s = scores[spoken[i - 1]][j - 1]
         if table[i, j] == table[i - 1, j - 1] + s:
@@ -95,10 +98,17 @@ def local_alignment(spoken: list[str], source: list[str], relation) -> dict:
     return {
         "similarity": (count["same"] + 0.75 * count["variant"] + 0.5 * near) / (n + count["missing"]), "coverage": good / n,
         "same": count["same"], "variant": count["variant"], "near": near, "changed": count["changed"] - near, "extra": count["extra"], "missing": count["missing"],
-        "first": j if good else -1, "last": last if good else -1, "ops": ops,
+        "first": j if good else -1, "last": last if good else -1, "ops": ops, "score": score, "end": end,
     }
 
 
+def best_alignment(spoken: list[str], windows: list[tuple[int, list[str]]], relation) -> dict:
+    """The best local alignment over windows (position, words) of one source, `first` and `last` counted in the source. Of equal ones the first cell, as in a single table."""
+    found = [(local_alignment(spoken, words, relation), at) for at, words in windows] or [(local_alignment(spoken, [], relation), 0)]
+    best, at = min(found, key=lambda x: (-x[0]["score"], x[0]["end"], x[0]["last"] + x[1]))
+    return best | {k: best[k] + at if best[k] >= 0 else -1 for k in ("first", "last")}
+
+
 def _stem(w: str) -> str:
     from citeweave.functions.text import PREFIXES, SUFFIXES
 
@@ -108,21 +118,34 @@ def _stem(w: str) -> str:
     return _bare(next((w[: -len(s)] for s in SUFFIXES if w.endswith(s) and len(w) - len(s) >= 2), w))
 
 
+def _frame(found: list[dict]) -> pd.DataFrame:
+    frame = pd.DataFrame(found, columns=[c.split()[0] for c in ALIGNMENT.split(", ")])
+    frame["ops"] = [[{"op": o, "spoken": a, "source": b} for o, a, b in x["ops"]] for x in found]
+    return frame
+
+
 def align(spoken: Column, source: Column) -> Column:
     """struct(similarity, coverage, counts, first, last, ops) of two word arrays."""
     @F.pandas_udf(ALIGNMENT)
     def aligned(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         relation = Relations(_stem)
-        columns = [c.split()[0] for c in ALIGNMENT.split(", ")]
         for left, right in batches:
-            out = [local_alignment(list(a) if a is not None else [], list(b) if b is not None else [], relation) for a, b in zip(left, right)]
-            frame = pd.DataFrame(out, columns=columns)
-            frame["ops"] = [[{"op": o, "spoken": a, "source": b} for o, a, b in x["ops"]] for x in out]
-            yield frame
+            yield _frame([local_alignment(list(a) if a is not None else [], list(b) if b is not None else [], relation) for a, b in zip(left, right)])
 
     return aligned(spoken, source)
 
 
+def align_windows(spoken: Column, positions: Column, windows: Column) -> Column:
+    """As `align`, of a word array and the best of several windows of one source. `positions` has where each window starts."""
+    @F.pandas_udf(ALIGNMENT)
+    def aligned(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        relation = Relations(_stem)
+        for left, at, right in batches:
+            yield _frame([best_alignment(list(a), [(int(k), list(w)) for k, w in zip(ks, ws)], relation) for a, ks, ws in zip(left, at, right)])
+
+    return aligned(spoken, positions, windows)
+
+
 def similarity(a: Column, b: Column) -> Column:
     """Ratcliff-Obershelp ratio of two word arrays; 0 if either is empty."""
     @F.pandas_udf("double")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeweave.functions.align import align, classify, difference_text
+from citeweave.functions.align import align_windows, classify, difference_text
 from citeweave.functions.text import bound, latin_words
 from citeweave.operators.common import broadcast_if_small, first_of, top, when_of
 
 GRAM, SLACK = 4, 10
+#: Least width, in words, of a range of shifts that shares a window.
+WIDTH = 256
 
 
 def placed_grams(words: Column, n: int = GRAM) -> Column:
@@ -37,7 +39,8 @@ def gram_pairs(passages: DataFrame, docs: DataFrame, n: int = GRAM, short: bool
     right = placed(passages, "item_id", "q", placed_grams(F.col("words"), n))
     for size in sizes:
         right = right.unionByName(placed(passages.where(F.size("words") == size), "item_id", "q", placed_grams(F.col("words"), size)))
-    left = placed(docs, "doc_id", "p", F.concat(*(placed_grams(F.col("words"), size) for size in [n, *sizes])))
+    grams = [placed_grams(F.col("words"), size) for size in [n, *sizes]]
+    left = placed(docs, "doc_id", "p", F.concat(*grams) if sizes else grams[0])
     return left.join(broadcast_if_small(right), "gram")
 
 
@@ -50,21 +53,29 @@ def gram_candidates(passages: DataFrame, docs: DataFrame, k: int | None = 5, n:
 def verify(passages: DataFrame, docs: DataFrame, slack: int = SLACK) -> DataFrame:
     """Findings (doc_id, item_id, similarity, coverage, status, first_word, difference): how each passage stands in every document that shares a gram with it.
 
-    The passage is the spoken side and a window of the document the source, so coverage is the share of the passage
-    that the document has. Both tables are (id, text).
+    The passage is the spoken side and the document the source, so coverage is the share of the passage that the
+    document has. Both tables are (id, text). A shared gram gives a shift, where the passage would start. An alignment
+    has fewer than two missing words for each of the passage, so all that run through a gram lie within two lengths
+    on both sides of the passage at its shift. Shifts are dealt into ranges, each with a window of that margin, and
+    the best alignment of all windows is taken: a window is bounded by the passage, however long the document.
     """
     p = passages.select("item_id", latin_words(F.col("text")).alias("words"))
     d = docs.select("doc_id", latin_words(F.col("text")).alias("words"))
-    found = gram_pairs(p, d, short=True).groupBy("doc_id", "item_id").agg(F.min(F.col("p") - F.col("q")).alias("shift"), F.max(F.col("p") - F.col("q")).alias("last_shift"))
+    shifts = gram_pairs(p, d, short=True).select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("shift"))
+    shifts = shifts.join(broadcast_if_small(p.select("item_id", F.size("words").alias("n"))), "item_id")
+    ranges = shifts.groupBy("doc_id", "item_id", F.floor(F.col("shift") / F.greatest(4 * F.col("n"), F.lit(WIDTH))).alias("range")).agg(F.min("shift").alias("low"), F.max("shift").alias("high"))
+    found = ranges.groupBy("doc_id", "item_id").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("ranges"))
     df = found.join(p.withColumnRenamed("words", "passage"), "item_id").join(d, "doc_id")
-    start = F.greatest(F.col("shift") - slack, F.lit(0))
-    size = F.col("last_shift") + F.size("passage") + slack - start
-    df = df.select("doc_id", "item_id", "passage", start.alias("at"), F.slice("words", start + 1, size).alias("window"))
-    df = df.repartition("doc_id", "item_id").withColumn("a", align(F.col("passage"), F.col("window")))
+    n = F.size("passage")
+    margin = 2 * n + slack
+    placed = F.transform("ranges", lambda r: F.struct(F.greatest(r["low"] - margin, F.lit(0)).alias("at"), (r["high"] + n + margin).alias("to")))
+    df = df.select("doc_id", "item_id", "passage", "words", placed.alias("placed"))
+    df = df.select("doc_id", "item_id", "passage", F.col("placed.at").alias("at"), F.transform("placed", lambda r: F.slice("words", r["at"] + 1, r["to"] - r["at"])).alias("windows"))
+    df = df.repartition("doc_id", "item_id").withColumn("a", align_windows(F.col("passage"), F.col("at"), F.col("windows")))
     status = text_status(F.col("a"))
     return df.select(
         "doc_id", "item_id", F.round("a.similarity", 6).alias("similarity"), F.round("a.coverage", 6).alias("coverage"), status.alias("status"),
-        (F.col("at") + F.col("a.first")).cast("long").alias("first_word"), difference_text(F.col("a.ops")).alias("difference"),
+        F.col("a.first").cast("long").alias("first_word"), difference_text(F.col("a.ops")).alias("difference"),
     )
 
 

@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from citeweave.functions.align import Relations, local_alignment
 from citeweave.operators import documents as D
 from citeweave.operators import evaluate as E
 from citeweave.operators import link as L
@@ -104,6 +105,23 @@ def test_verify_finds_every_passage(spark):
     assert V.gram_candidates(words(passages), words(docs)).count() == 5 and V.gram_candidates(words(passages), words(docs), None).count() == 10
 
 
+def test_verify_reads_long_documents_whole(spark):
+    words = [f"p{k}w" for k in range(30)]
+    noise = lambda seed, n: [f"n{(seed * 7919 + i * 31) % 997}x" for i in range(n)]
+    swapped = [w if k % 6 else "changed" for k, w in enumerate(words)]
+    texts = {
+        1: words[3:8] + noise(1, 9000) + words + noise(2, 3000), 2: noise(3, 50) + swapped + noise(4, 6000) + words[:4] + noise(5, 6000),
+        3: words[:12] * 400 + noise(6, 5000) + words, 4: noise(7, 5000) + words[:15] + noise(8, 50) + words[15:] + noise(9, 5000),
+    }
+    passages = spark.createDataFrame([(1, " ".join(words)), (2, "two words")], "item_id long, text string")
+    docs = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()] + [(5, "two words " * 10_000)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.status, r.similarity, r.first_word) for r in V.verify(passages, docs).collect()}
+    whole = {k: local_alignment(words, v, Relations()) for k, v in texts.items()}
+    assert {k: v[1:] for k, v in got.items() if k[1] == 1} == {(k, 1): (round(a["similarity"], 6), a["first"]) for k, a in whole.items()}
+    assert [got[k, 1][0] for k in sorted(texts)] == ["verbatim", "misquote", "verbatim", "not_found"] and got[5, 2] == ("verbatim", 1.0, 0)
+    assert (got[1, 1][2], got[3, 1][2]) == (9005, 9800)
+
+
 def test_choose_match(spark):
     schema = "span int, key string, score double, verbatim boolean, cited boolean, graded boolean, source_rank int, length int, similarity double, coverage double"
     df = spark.createDataFrame([
