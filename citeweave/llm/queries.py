@@ -41,7 +41,7 @@ def op8_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.private_data(table(spark, sf_dir, "documents"))
+    return pii.private_data(table(spark, sf_dir, "documents"), pii.session_key(spark))
 
 
 def op10_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,7 +54,7 @@ def rows(df, *cols):
 
 @pytest.mark.parametrize("operator", [
     language.language_id, bpe.bpe_round_trip, licenses.license_scan, simhash.near_duplicates, sketches.document_fingerprints,
-    packing.pack, quality.quality_rules, pii.private_data, substrings.substring_dedup,
+    packing.pack, quality.quality_rules, lambda df: pii.private_data(df, "a secret"), substrings.substring_dedup,
 ])
 def test_empty_table(spark, operator):
     assert operator(spark.createDataFrame([], "doc_id long, text string, lang string, extra int")).count() == 0
@@ -189,7 +189,31 @@ def test_pages_odd(spark):
 
 
 def paragraphs(x):
-    return {p for line in x.split("\n") if line for p in (re.split(r"(?<=[.!?])[\x20\x09]+", line) if len(line) > sketches.LONG_PARAGRAPH else [line])}
+    return {p for p in re.split(r"\n|(?<=[.!?])[\x20\x09]+", x) if p}
+
+
+def spark_hash(value, seed=42):
+    """Spark's xxhash64 of a string, a long or (value, int): the hash of one value is the seed of the next."""
+    import struct
+
+    import xxhash
+
+    first, rest = value if isinstance(value, tuple) else (value, None)
+    h = xxhash.xxh64_intdigest(first.encode() if isinstance(first, str) else struct.pack("<q", first), seed)
+    if rest is not None:
+        h = xxhash.xxh64_intdigest(struct.pack("<i", rest), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def fingerprint(x):
+    cells = {}
+    for d in {spark_hash(p) for p in paragraphs(x)}:
+        chk = spark_hash((d, -1))
+        for t in range(3):
+            c = cells.setdefault(t * sketches.WIDTH + (spark_hash((d, t)) & (sketches.WIDTH - 1)), [0, 0, 0])
+            c[0], c[1], c[2] = c[0] + (-1 if chk & 1 else 1), c[1] ^ d, c[2] ^ chk
+    full = 1 << 64
+    return " ".join(f"{q}:{n}:{key % full:x}:{chk % (1 << 32):x}" for q, (n, key, chk) in sorted(cells.items()) if (n, key, chk) != (0, 0, 0))
 
 
 def sketch_rows(texts):
@@ -200,37 +224,50 @@ def sketch_rows(texts):
         half = len(x) // 2
         edited = x[: len(x) - half] + after[:half]
         like = lambda a, b: round(2 * len(a & b) / (len(a) + len(b)), 9) if a or b else 1.0
-        out[None if null else d, len(x), sha(edited), like(paragraphs(x), paragraphs(edited)), like(paragraphs(x), paragraphs(after))] += 1
+        out[None if null else d, len(x), sha(edited), fingerprint(x).lower(), fingerprint(edited).lower(), like(paragraphs(x), paragraphs(edited)), like(paragraphs(x), paragraphs(after))] += 1
     return out
 
 
 def test_sketches(docs, texts, odd):
-    cols = ("doc_id", "n_chars", "edited_sha256", "near_edited", "near_next")
-    near = lambda df: df.withColumns({c: F.round(c, 9) for c in cols[3:]})
-    got = sketches.document_fingerprints(docs)
-    assert rows(near(got), *cols) == sketch_rows(texts)
-    text = {d: x for d, x, _ in texts}
-    same = {}
-    for r in got.collect():
-        assert same.setdefault(text[r.doc_id], r.fingerprint) == r.fingerprint
+    cols = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    near = lambda df: df.withColumns({c: F.round(c, 9) for c in cols[5:]})
+    assert rows(near(sketches.document_fingerprints(docs)), *cols) == sketch_rows(texts)
     assert rows(near(sketches.document_fingerprints(odd)), *cols) == sketch_rows(ODD)
 
 
-def test_sketch_peels_and_reports_failure(spark):
-    df = spark.createDataFrame([(list(range(50)), list(range(5, 52))), (list(range(400)), list(range(400, 800)))], "a array<long>, b array<long>")
-    peeled = sketches.peel(sketches.subtract(sketches.sketch(F.col("a"), 8), sketches.sketch(F.col("b"), 8)), 8)
-    small, large = (r.p for r in df.select(peeled.alias("p")).collect())
-    assert small.done and sorted(small.plus) == [0, 1, 2, 3, 4] and sorted(small.minus) == [50, 51]
-    assert not large.done
-    d = sketches.with_difference(df, "d", "a", "b").collect()[1].d
-    assert sorted(d.plus) == list(range(400)) and sorted(d.minus) == list(range(400, 800))
+def test_sketches_of_very_long_texts(spark):
+    long = [(1, "\n".join(f"line {k} of one" for k in range(4000))), (2, "\n".join(f"line {k} of two" for k in range(3000)) + "\n" + "x" * 500_000), (3, "a. b! c? d")]
+    got = {r.doc_id: r for r in sketches.document_fingerprints(spark.createDataFrame(long, "doc_id long, text string")).collect()}
+    want = {k[0]: k for k in sketch_rows([(d, x, None) for d, x in long])}
+    assert all((r.n_chars, r.edited_sha256, r.fingerprint) == want[d][1:4] and abs(r.near_edited - want[d][5]) < 1e-9 and r.near_next == want[d][6] for d, r in got.items())
+
+
+@pytest.mark.parametrize("width", [8, 32, 128, 512])
+def test_sketch_peels_at_each_width(spark, width):
+    rng = np.random.default_rng(width)
+    pairs = []
+    for k in range(20):
+        v = rng.integers(-(2**63), 2**63 - 1, 3 * width).tolist()
+        pairs.append((k, 1, width, v[: width + k], v[k // 2 : width // 2] + v[width : width + width // 4]))
+    df = spark.createDataFrame([*pairs, (90, 1, width, [], []), (91, 1, width, [5, 6], [6, 5])], "rid long, kind int, width int, a array<long>, b array<long>")
+    got = {r.rid: r for r in sketches.differences(df.repartition("rid"), digests=True).collect()}
+    assert sorted(got) == list(range(20))
+    for k, _, _, a, b in pairs:
+        assert got[k].plus == sorted(set(a) - set(b)) and got[k].minus == sorted(set(b) - set(a)) and got[k].n_differing == len(set(a) ^ set(b))
+
+
+def test_sketch_retries_larger_on_failure(spark):
+    df = spark.createDataFrame([(1, 1, 8, list(range(50)), list(range(5, 52))), (2, 1, 8, list(range(400)), list(range(400, 800)))], "rid long, kind int, width int, a array<long>, b array<long>")
+    assert {r.rid for r in sketches.peeled(df).where("not single").collect()} == {2}  # 800 digests do not fit 24 cells
+    got = {r.rid: r for r in sketches.differences(df, digests=True).collect()}
+    assert got[1].plus == [0, 1, 2, 3, 4] and got[1].minus == [50, 51]
+    assert got[2].plus == list(range(400)) and got[2].minus == list(range(400, 800))
 
 
 def check_packing(df, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.vocabulary_file())
-    t.encode_special_tokens = True
     want = Counter()
     for d, x, _ in texts:
         ids = t.encode(x or "", add_special_tokens=False).ids + [0]
@@ -288,16 +325,38 @@ def test_quality(docs, texts, odd, spark, sf):
     assert share.get(1, 1) >= 0.98 and share.get(0, 0) <= 0.4
 
 
-def test_pii_keeps_formats_and_links(spark):
+def private(df):
+    return pii.private_data(df, "a secret")
+
+
+def test_permutations():
     p = pii.Permutation(b"key")
     assert all(sorted(p(x, n, b"t") for x in range(n)) == list(range(n)) for n in (1, 2, 10, 97))
     assert all(p(p(x, 97, b"t"), 97, b"t", inverse=True) == x for x in range(97))
+    big = 1 << 1500  # halves beyond one digest
+    for x in (0, 1, big // 3, big - 1):
+        y = p(x, big, b"t")
+        assert 0 <= y < big and p(y, big, b"t", inverse=True) == x and y != x and (y ^ x) >> 1400
+    alphabets = [pii.DIGITS, pii.LOWER, pii.DIGITS]
+    every = [a + b + c for a in pii.DIGITS for b in pii.LOWER for c in pii.DIGITS]
+    assert sorted(p.symbols(x, b"t", alphabets) for x in every) == every
+    for x in ("7", "ab", "z" * 2000):
+        own = [pii._alphabet(c) for c in x]
+        y = p.symbols(x, b"t", own)
+        assert p.symbols(y, b"t", own, inverse=True) == x
+    assert pii.Permutation("one").symbols("123456789", b"t", [pii.DIGITS] * 9) != pii.Permutation("two").symbols("123456789", b"t", [pii.DIGITS] * 9)
+    with pytest.raises(ValueError):
+        pii.Permutation("")
+
+
+def test_pii_keeps_formats_and_links(spark):
     card, iban = "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00"
     rows_ = [
         (1, f"{card} and {card.replace(' ', '')}"), (2, f"pay {card.replace(' ', '-')} to {iban}"), (3, "born 29/02/2024 or 2024-02-29, not 30/02/2024"),
         (4, "a.b19@mail5.example.com 10.0.0.1 +1 (743) 555-3824 123-45-6789"), (5, None), (6, ""), (7, 'TOKEN = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"!!'), (8, "version 3.14, 999.999.999.999"),
+        (9, "order 4111111111111112 of 9807915762804490"), (10, "4111111111111111 12 and 378282246310005 4111 1111 1111 1111"),
     ]
-    got = {r.doc_id: r for r in pii.private_data(spark.createDataFrame(rows_, "doc_id long, text string").withColumn("_pii", F.lit(1)).withColumn("kinds", F.lit(1))).collect()}
+    got = {r.doc_id: r for r in private(spark.createDataFrame(rows_, "doc_id long, text string").withColumn("_pii", F.lit(1)).withColumn("kinds", F.lit(1))).collect()}
     for r in got.values():
         was = dict(rows_)[r.doc_id]
         assert (r.text is None) == (was is None) and len(r.text or "") == len(was or "") or r.doc_id == 4
@@ -312,6 +371,45 @@ def test_pii_keeps_formats_and_links(spark):
     assert got[4].kinds == "address,email,phone,social" and not any(x in got[4].text for x in ("a.b19", "10.0.0.1", "555-3824", "123-45-6789"))
     assert got[7].kinds == "secret" and re.fullmatch(r'TOKEN = "[0-9A-F]{40}"!!', got[7].text)
     assert got[8].n_found == 0 and got[8].text == rows_[7][1]
+    assert got[9].n_found == 0 and got[9].text == rows_[8][1]  # no check digit is right
+    assert got[10].n_found == 3 and got[10].text.startswith(f"{second} 12 and ") and got[10].text.replace(" ", "").endswith(second)
+
+
+def test_pii_other_scripts_and_long_values(spark):
+    def scripted(x, zero):
+        return x.translate({48 + k: zero + k for k in range(10)})
+
+    values = ["4111-1111-1111-1111", "123-45-6789", "2024-02-29", "10.20.30.40", "+1 (743) 555-3824"]
+    rows_ = [(k * 10 + j, f"see {scripted(v, zero)} there") for k, zero in enumerate((48, 0x660, 0x966, 0xFF10)) for j, v in enumerate(values)]
+    rows_ += [(100, "token=" + "aB3" * 400), (101, "token=" + "0123456789abcdef" * 20_000), (102, "½ ² ٣ and ໓")]
+    got = {r.doc_id: r for r in private(spark.createDataFrame(rows_, "doc_id long, text string")).collect()}
+    for k, zero in enumerate((48, 0x660, 0x966, 0xFF10)):
+        for j in range(len(values)):
+            assert got[k * 10 + j].n_found == 1
+            assert got[k * 10 + j].text == scripted(got[j].text, zero) != dict(rows_)[k * 10 + j]  # linked across scripts
+    for d in (100, 101):
+        was, now = dict(rows_)[d], got[d].text
+        assert len(was) == len(now) and got[d].kinds == "secret"
+        same = "".join("=" if a == b else "." for a, b in zip(was[6:], now[6:]))
+        assert max(map(len, same.split("."))) < 12  # no long part is left as it was
+    assert got[102].text == rows_[-1][1]
+
+
+def test_pii_table(docs, texts):
+    """Every row against the function itself; values that stood in several documents stay linked, different ones apart."""
+    p = pii.Permutation("a secret")
+    got = {r.doc_id: r for r in private(docs).collect()}
+    links = {}
+    for d, x, _ in texts:
+        want, kinds = pii.pseudonymise(x, p)
+        assert (got[d].text, got[d].n_found, got[d].kinds) == (want, len(kinds), ",".join(sorted(set(kinds))))
+        for v in re.findall(r"(?<![0-9])[0-9]{16}(?![0-9])", x or ""):
+            if pii.luhn_digit(v[:-1]) == v[-1]:
+                assert v not in want
+        for pattern in (r"\+1 \([0-9]{3}\) 555-[0-9]{4}", r"[0-9]+(?:\.[0-9]+){3}", r"[a-z0-9.]+@[a-z0-9.]+", r"[0-9a-f]{40}"):
+            for a, b in zip(re.findall(pattern, x or ""), re.findall(pattern.replace("555-", "[0-9]{3}-"), want or "")):
+                assert links.setdefault(a, b) == b and a != b
+    assert len(set(links.values())) == len(links) > 20
 
 
 def dedup_rows(texts):
