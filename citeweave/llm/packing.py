@@ -69,7 +69,6 @@ def _tokenizers(path: str) -> tuple:
         from tokenizers import Tokenizer, pre_tokenizers
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True  # their strings in a text are ordinary text
         bare = Tokenizer(t.model)
         bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         for known in (_PIECES, _PARTS):
