@@ -1,183 +1,194 @@
-"""Citations said or written in texts, as a table: chapter and verses, or collection and number."""
+"""Citations said or written in texts, as a table: chapter and verses, or collection and number.
+
+A text becomes an array of tokens. Every number, and every word that announces a report, is an anchor with the few words
+around it; names are then looked up by joins with the caller's vocabulary, never in code:
+
+- `names` is (name, kind, chapter, collection): spellings, kind being `chapter` or `collection`;
+- `chapters` is (chapter, length): verses outside a chapter are no citation;
+- `cues` has three lists of word keys: `scripture` (words that announce a chapter), `report` (words that announce a
+  collection) and `filler` (words between a name and its number).
+"""
 
 from __future__ import annotations
 
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.functions import names as N
-
-CITATION = "array<struct<kind:string,chapter:int,first:int,last:int,collection:string,number:string,start:int,end:int,text:string>>"
-_ARABIC_NUMBER = "[0-9٠-٩]{1,3}"
-_BRACKETED = re.compile(
-    rf"[\[(]\s*(?:سورة\s+)?(?P<name>[ء-ي\u064B-\u0652\s]{{2,25}}?)\s*[:،]\s*(?P<first>{_ARABIC_NUMBER})(?:\s*[-–]\s*(?P<last>{_ARABIC_NUMBER}))?\s*[\])]"
-    rf"|سورة\s+(?P<name2>[ء-ي\s]{{2,25}}?)\s*[:،]?\s*(?:الآية|آية|اية)\s*(?P<first2>{_ARABIC_NUMBER})"
-)
-_PAIR = re.compile(
-    r"(?:\b(?:QS|Q\.S|Q|surah|surat|sura|quran|qur['’]an|al-?quran|koran)\b\.?\s*(?:[A-Za-z'’\- ]{2,25}\s*)?\[?\s*|\()(?P<chapter>\d{1,3})\s*\]?\s*:\s*(?P<first>\d{1,3})(?:\s*[-–]\s*(?P<last>\d{1,3}))?",
-    re.I,
-)
-_NUMBERED = re.compile(r"(?:no\.?|nomor|nomer|number|#|:|ayat|ayah|verse|\(|\s)\s*(?P<number>\d{1,5})(?P<letter>[a-z])?(?:\s*[-–]\s*(?P<last>\d{1,3}))?\b", re.I)
-_NAMED = re.compile(r"\b(?:HR|H\.R|riwayat|diriwayatkan oleh|narrated by|reported by|recorded by)\.?\s+(?:imam\s+)?(?P<who>[A-Za-z'’-]+(?:\s+[A-Za-z'’-]+){0,2})", re.I)
-_NAMED_ARABIC = re.compile(r"(?:رواه|أخرجه|اخرجه)\s+(?P<who>[^\s،.]+(?:\s+[^\s،.]+)?)")
-_CHAPTER_CUE = re.compile(r"\b(?:qs|q\.s|surah|surat|sura|ayat|ayah|verse|firman)\b", re.I)
-_PHRASE_CUE = re.compile(r"\b(?:HR|H\.R|QS|Q\.S|riwayat|diriwayatkan|surah|surat|shahih|sahih|sunan|musnad|narrated|reported)\b", re.I)
-_SEPARATORS = re.compile(r"[\s,.;:()\[\]\"“”'’«»/]+")
-_SPELLINGS = [("sy|sh", "s"), ("dz|dh", "d"), ("ts|th", "t"), ("kh", "k"), ("gh", "g"), ("q", "k"), ("o", "a"), ("e", "i"), ("w", "u"), ("y", "i"), (r"^a[lnstdrz](?=.{3})", ""), (r"(.)\1+", r"\1"), ("h$", "")]
-
-
-def letters_key(name: str) -> str:
-    plain = "".join(c for c in unicodedata.normalize("NFKD", name) if not unicodedata.combining(c))
-    return re.sub("[^a-z]", "", plain.lower())
-
-
-def chapter_key(name: str) -> str:
-    key = letters_key(name)
-    for pattern, new in _SPELLINGS:
-        key = re.sub(pattern, new, key)
-    return key
-
-
-def _arabic_key(name: str) -> str:
-    plain = re.sub(r"[\u064B-\u065F\u0670]", "", name)
-    plain = re.sub("[آأإٱ]", "ا", plain).translate(str.maketrans("ىةؤئ", "يهوي"))
-    plain = re.sub(r"^سوره\s+", "", " ".join(plain.split()))
-    return re.sub("^ال(?=..)", "", plain)
-
-
-@lru_cache(maxsize=1)
-def _tables() -> tuple[dict[str, int], dict[str, int], dict[str, str]]:
-    latin = {chapter_key(n): k for k, n in enumerate(N.CHAPTER_NAMES, 1)}
-    latin |= {chapter_key(n): k for n, k in N.CHAPTER_ALIASES.items()}
-    arabic = {_arabic_key(n): k for k, n in reversed(list(enumerate(N.CHAPTER_NAMES_ARABIC, 1)))}
-    collections = {a: c for c, spelled in N.COLLECTIONS.items() for a in (c.replace("-", ""), *spelled.split())}
-    return latin, arabic, collections
-
-
-def chapter_by_name(name: str) -> int | None:
-    return _tables()[0].get(chapter_key(name))
-
-
-def _one_edit(a: str, b: str) -> bool:
-    """True if one insertion, removal or change at most makes `a` into `b`."""
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) - len(a) > 1:
-        return False
-    same = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
-    return a[same + (len(a) == len(b)) :] == b[same + 1 :] or a == b
-
-
-def chapter_by_arabic_name(name: str) -> int | None:
-    """Chapter of an Arabic name; one wrong letter is let pass if only one chapter is then meant."""
-    key, arabic = _arabic_key(name), _tables()[1]
-    if not key or key in arabic:
-        return arabic.get(key)
-    near = [k for n, k in arabic.items() if len(n) >= 4 and _one_edit(n, key)]
-    return near[0] if len(near) == 1 else None
-
-
-def collection_by_name(name: str) -> str | None:
-    return _tables()[2].get(letters_key(name))
-
-
-def _tail(before: str) -> list[str]:
-    """The last six words before a number, without fillers at their end."""
-    ws = [w for w in _SEPARATORS.split(before) if w][-6:]
-    while ws and ws[-1].lower() in N.FILLERS:
-        ws.pop()
-    return ws
-
-
-def _chapter_before(before: str) -> int | None:
-    ws = _tail(before) if _CHAPTER_CUE.search(before) else []
-    for k in range(min(3, len(ws)), 0, -1):
-        window = ws[-k:]
-        while window and window[0].lower() in N.FILLERS:
-            window = window[1:]
-        found = chapter_by_name(" ".join(window)) if window else None
-        if found:
-            return found
-    return None
-
-
-def _collection_before(before: str) -> str | None:
-    ws = _tail(before)
-    for k in range(min(4, len(ws)), 0, -1):
-        window = [w for w in ws[-k:] if w.lower() not in N.FILLERS]
-        for part in (window, window[1:]):
-            found = collection_by_name("".join(part)) if part else None
-            if found:
-                return found
-    return None
-
-
-def _phrase_start(text: str, low: int, number: int) -> int:
-    """Where the citation that ends in a number begins: at its cue, else behind the last break and joining word."""
-    window = text[low:number]
-    cue = _PHRASE_CUE.search(window)
-    if cue:
-        return low + cue.start()
-    breaks = re.sub(r"\b(No|Nomor|no)\.", r"\1 ", window)
-    cut = 1 + max(breaks.rfind(c) for c in ".,(")
-    return low + cut + re.match(r"\s*(?:(?:dan|and|serta|&|و)\s+)?", window[cut:]).end()
+from citeweave.functions.text import bound, spelling_key, word_key
+from citeweave.operators.common import broadcast_if_small, top
+from citeweave.plans.materialize import materialize
+
+TOKENS = "array<struct<kind:string,key:string,a:int,b:int,before:string,after:string>>"
+#: Words before an anchor that are looked at, and of them those that a name may have.
+CONTEXT, NAME_WORDS = 6, 4
+_TOKEN = re.compile(r"(?P<word>[^\W\d_][^\W\d_ؐ-ًؚ-ْٰ]*(?:[ؐ-ًؚ-ْٰ'’`ʿʾ-]+[^\W\d_]+)*[ً-ْٰ]*)|(?P<number>\d+)|(?P<mark>\n|[^\w\s]|_)")
 
 
-def citations(text: str | None) -> list[dict]:
-    """Citations of a text in order; where two overlap, the kind that is looked for first stays."""
+def text_tokens(text: str | None) -> list[dict]:
+    """Words, numbers and marks in order, each with its key, its place and the characters next to it (white space aside)."""
     text, out = text or "", []
+    for m in _TOKEN.finditer(text):
+        kind = m.lastgroup
+        key = word_key(m[0]) if kind == "word" else "".join(str(unicodedata.decimal(c)) for c in m[0]) if kind == "number" else m[0]
+        out.append({"kind": kind, "key": key, "a": m.start(), "b": m.end(), "before": text[max(0, m.start() - 3) : m.start()].rstrip()[-1:], "after": text[m.end() : m.end() + 3].lstrip()[:1]})
+    return out
 
-    def claim(start: int, end: int, **fields) -> None:
-        if all(end <= c["start"] or start >= c["end"] for c in out):
-            out.append({"kind": None, "chapter": None, "first": None, "last": None, "collection": None, "number": None} | fields | {"start": start, "end": end, "text": text[start:end]})
-
-    def verses(chapter: int | None, first: int, last: int, start: int, end: int) -> None:
-        if chapter and 1 <= chapter <= len(N.CHAPTER_LENGTHS) and 1 <= first <= last <= N.CHAPTER_LENGTHS[chapter - 1]:
-            claim(start, end, kind="chapter", chapter=chapter, first=first, last=last)
-
-    for m in _BRACKETED.finditer(text):
-        first = int(m["first"] or m["first2"])  # int() reads Arabic digits
-        verses(chapter_by_arabic_name(m["name"] or m["name2"]), first, int(m["last"] or first), *m.span())
-    for m in _PAIR.finditer(text):
-        verses(int(m["chapter"]), int(m["first"]), int(m["last"] or m["first"]), *m.span())
-    for m in _NUMBERED.finditer(text):
-        low, number = max(0, m.start() - 60), m.start("number")
-        before = text[low:number]
-        low = max([low, *(c["end"] for c in out if c["end"] <= number)])
-        chapter = _chapter_before(before)
-        collection = None if chapter else _collection_before(before)
-        if chapter:
-            verses(chapter, int(m["number"]), int(m["last"] or m["number"]), _phrase_start(text, low, number), m.end())
-        elif collection and collection != "quran":
-            claim(_phrase_start(text, low, number), m.end(), kind="collection", collection=collection, number=m["number"] + (m["letter"] or ""))
-    for m in _NAMED.finditer(text):
-        parts = m["who"].split()
-        for k in range(len(parts), 0, -1):
-            collection = collection_by_name("".join(parts[:k]))
-            if collection:
-                claim(m.start(), m.start("who") + len(re.match(r"\s+".join(map(re.escape, parts[:k])), m["who"])[0]), kind="collection", collection=collection, number="")
-                break
-    for m in _NAMED_ARABIC.finditer(text):
-        collection = next((c for n, c in N.ARABIC_COLLECTIONS.items() if n in m["who"]), None)
-        if collection:
-            claim(*m.span(), kind="collection", collection=collection, number="")
-    return sorted(out, key=lambda c: c["start"])
-
-
-def extract_citations(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, kind, chapter, first, last, collection, number, start, end, text) of every citation in a table of texts."""
-    @F.pandas_udf(CITATION)
+
+def tokens(text: Column) -> Column:
+    @F.pandas_udf(TOKENS)
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([citations(x) for x in batch])
-
-    # Texts without a digit or a cue word hold none and need no Python.
-    likely = F.col(text).rlike(r"(?i)\d|[٠-٩]|\bHR\b|H\.R|riwayat|(narrated|reported|recorded) by|رواه|خرجه")
-    df = docs.where(likely).select(F.col(doc_id).alias("doc_id"), F.explode(found(F.col(text))).alias("c"))
-    return df.select("doc_id", "c.*")
+            yield pd.Series([text_tokens(x) for x in batch])
+
+    return found(text)
+
+
+def keys_of(names: DataFrame) -> DataFrame:
+    """(kind, key, chapter, collection) of a table of names; one row for each key."""
+    letters = F.pandas_udf(lambda s: s.map(word_key), "string")
+    df = names.select("kind", letters("name").alias("letters"), "chapter", "collection")
+    df = df.select("kind", name_key(F.col("letters"), F.col("kind")).alias("key"), "chapter", "collection").where("key <> ''")
+    return df.groupBy("kind", "key").agg(F.min(F.struct("chapter", "collection")).alias("v")).select("kind", "key", "v.*")
+
+
+def name_key(letters: Column, kind: Column) -> Column:
+    """Latin chapter names meet by their sound, Arabic ones without the article; collections by their letters."""
+    latin = letters.rlike("^[a-z]")
+    return F.when(kind == "collection", letters).when(latin, spelling_key(letters)).otherwise(F.regexp_replace(letters, "^ال(?=..)", ""))
+
+
+def _number(token: Column) -> Column:
+    return F.when((token["kind"] == "number") & (F.length(token["key"]) <= 5), token["key"].cast("int"))
+
+
+def _anchors(df: DataFrame, report: Column) -> DataFrame:
+    """Row per number that starts a reference, and per word that announces a report, with the words around it."""
+    at = lambda t, i: F.get(t, i)
+    mark = lambda t, i, *marks: F.coalesce(at(t, i)["key"].isin(*marks), F.lit(False))
+    number = lambda t, i: F.coalesce(at(t, i)["kind"] == "number", F.lit(False))
+    words = lambda part: F.filter(part, lambda x: x["kind"] == "word")
+
+    def anchor(t: Column, i: Column) -> Column:
+        colon = i + F.when(mark(t, i + 1, "]"), 2).otherwise(1)  # `[2]: 183` is read like `2: 183`
+        pair = number(t, i) & mark(t, colon, ":") & number(t, colon + 1)
+        own = F.when(pair, colon + 1).otherwise(i)
+        ranged = mark(t, own + 1, "-", "–") & number(t, own + 2)
+        letter = F.when((at(t, own + 1)["kind"] == "word") & (at(t, own + 1)["a"] == at(t, own)["b"]) & (F.length(at(t, own + 1)["key"]) == 1), at(t, own + 1)["key"])
+        low = F.greatest(i - 2 * CONTEXT, F.lit(0))
+        left = F.slice(t, low + 1, i - low)
+        # what an earlier number or line has stays with it
+        stop = F.coalesce(F.array_max(F.transform(left, lambda x, k: F.when((x["kind"] == "number") | x["key"].isin("\n", "!", "?"), k))), F.lit(-1))
+        near = words(F.slice(left, stop + 2, F.lit(2 * CONTEXT)))
+        return F.struct(
+            at(t, i)["kind"].alias("kind"), at(t, i)["a"].alias("at"), (at(t, i)["before"] == "(").alias("opened"),
+            F.when(pair, _number(at(t, i))).alias("chapter"), _number(at(t, own)).alias("first"), F.coalesce(F.when(ranged, _number(at(t, own + 2))), _number(at(t, own))).alias("last"), letter.alias("letter"),
+            F.when(ranged, at(t, own + 2)["b"]).when(letter.isNotNull(), at(t, own + 1)["b"]).otherwise(at(t, own)["b"]).alias("end"),
+            F.slice(near, F.greatest(F.size(near) - (CONTEXT - 1), F.lit(1)), F.lit(CONTEXT)).alias("left"),
+            words(F.slice(t, i + 2, F.lit(2 * CONTEXT))).alias("right"),
+        )
+
+    def places(t: Column) -> Column:
+        # the verse of a pair and the end of a range belong to the number before
+        follows = lambda i: (mark(t, i - 1, ":") & (number(t, i - 2) | (mark(t, i - 2, "]") & number(t, i - 3)))) | (mark(t, i - 1, "-", "–") & number(t, i - 2))
+        starts = lambda x, i: F.when(((x["kind"] == "number") & ~follows(i)) | ((x["kind"] == "word") & F.array_contains(report, x["key"])), i)
+        return F.transform(F.array_compact(F.transform(t, starts)), lambda i: anchor(t, i))
+
+    return df.select("doc_id", "text", F.explode(bound(tokens(F.col("text")), places)).alias("x")).select("doc_id", F.col("x.*"), "text")
+
+
+def _named(anchors: DataFrame, candidates: Column, names: DataFrame) -> DataFrame:
+    """Adds the name that an anchor has, if any: kind, chapter or collection, and its first word and length."""
+    df = anchors.withColumn("c", F.explode(candidates)).select("*", "c.*").drop("c")
+    df = df.withColumn("as", F.explode(F.array(F.lit("chapter"), F.lit("collection")))).withColumn("key", name_key(F.col("letters"), F.col("as")))
+    n = names.select(F.col("kind").alias("as"), "key", F.col("chapter").alias("by_chapter"), "collection")
+    return df.join(broadcast_if_small(n), ["as", "key"], "left")
+
+
+def _misspelt(df: DataFrame, names: DataFrame) -> DataFrame:
+    """(letters, chapter) of Arabic names that are one letter off a single chapter's. Both sides are joined by their forms without one letter."""
+    def forms(key: Column) -> Column:
+        return F.concat(F.array(key), F.transform(F.sequence(F.lit(1), F.length(key)), lambda k: F.concat(F.substring(key, F.lit(1), k - 1), F.substring(key, k + 1, F.length(key)))))
+
+    asked = df.select("letters", "key").distinct().where(F.length("key") >= 3)
+    known = names.where((F.col("kind") == "chapter") & ~F.col("key").rlike("[a-z]") & (F.length("key") >= 4)).select(F.col("key").alias("known"), F.col("chapter").alias("near"))
+    pairs = asked.withColumn("form", F.explode(forms(F.col("key")))).join(known.withColumn("form", F.explode(forms(F.col("known")))), "form").where(F.levenshtein("key", "known") <= 1)
+    return pairs.groupBy("letters").agg(F.min("near").alias("near"), F.count_distinct("near").alias("n")).where("n = 1").drop("n")
+
+
+def extract_citations(docs: DataFrame, names: DataFrame, chapters: DataFrame, cues: dict[str, list[str]], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, kind, chapter, first, last, collection, number, start, end, text) of every citation in a table of texts.
+
+    A number is a citation of the longest name that ends before it, cues and marks aside: of a chapter if a scripture cue
+    or an opening bracket goes before, else of a collection. `chapter:verse` needs a cue or a bracket alone. A report cue
+    followed by a collection without a number is a citation of the collection.
+    """
+    keyed = keys_of(names)
+    scripture, report, filler = (F.array(*map(F.lit, cues[c])).cast("array<string>") for c in ("scripture", "report", "filler"))
+    is_cue = lambda x: F.array_contains(scripture, x["key"]) | F.array_contains(report, x["key"]) | F.array_contains(filler, x["key"])
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    base = F.coalesce(F.col("left")[0]["a"], F.col("at"))
+    df = _anchors(rows.where(F.col("text").isNotNull()), report)
+    df = df.withColumn("left", F.when(F.size("left") > 0, F.col("left"))).withColumn("base", F.least(base, F.col("at")))
+    # only a piece of the text goes on with each anchor
+    df = df.withColumn("piece", F.expr("substring(text, base + 1, greatest(end, at) + 200 - base)")).drop("text").withColumn("left", F.coalesce("left", F.array().cast(df.schema["right"].dataType)))
+    df = materialize(df)  # texts are taken apart once
+    cite = lambda start, end: F.expr(f"substring(piece, {start} - base + 1, {end} - {start})")
+    void = lambda t: F.lit(None).cast(t)
+    verse = ["doc_id", F.lit("chapter").alias("kind"), "chapter", "first", "last", void("string").alias("collection"), void("string").alias("number"), "start", "end", cite("start", "end").alias("text")]
+    lengths = broadcast_if_small(chapters.select("chapter", "length"))
+    within = F.col("first").between(1, F.col("length")) & F.col("last").between(F.col("first"), F.col("length"))
+
+    # chapter:verse
+    cue_at = F.array_max(F.transform(F.slice("left", F.greatest(F.size("left") - 3, F.lit(1)), F.lit(4)), lambda x: F.when(F.array_contains(scripture, x["key"]), x["a"])))
+    pairs = df.where(F.col("chapter").isNotNull()).withColumn("start", F.coalesce(cue_at, F.when(F.col("opened"), F.col("at"))))
+    pairs = pairs.where(F.col("start").isNotNull()).join(lengths, "chapter").where(within).select(*verse)
+
+    # name and number
+    def before(left: Column) -> Column:
+        last = F.coalesce(F.array_max(F.transform(left, lambda x, k: F.when(~is_cue(x), k))), F.lit(-1))
+
+        def of(k: int) -> Column:
+            part = F.slice(left, F.greatest(last - (k - 2), F.lit(1)), F.lit(k))
+            skip = F.array_max(F.transform(left, lambda x, i: F.when((i < last - (k - 1)) & ~is_cue(x), i)))
+            lead = F.slice(left, F.coalesce(skip, F.lit(-1)) + 2, F.greatest(last - (k - 1) - F.coalesce(skip, F.lit(-1)) - 1, F.lit(0)))
+            cue = F.array_min(F.transform(lead, lambda x: F.when(F.array_contains(scripture, x["key"]) | F.array_contains(report, x["key"]), x["a"])))
+            name = F.struct(F.lit(k).alias("size"), F.array_join(F.transform(part, lambda x: x["key"]), "").alias("letters"), part[0]["a"].alias("name_at"), F.coalesce(cue, part[0]["a"]).alias("start"), part[0]["before"].isin("(", "[").alias("bracket"))
+            return F.when(last >= k - 1, name)
+
+        return F.array_compact(F.array(*map(of, range(1, NAME_WORDS + 1))))
+
+    numbered = df.where((F.col("kind") == "number") & F.col("chapter").isNull() & F.col("first").isNotNull())
+    found = _named(numbered, bound(F.col("left"), before), keyed)
+    cued = F.exists("left", lambda x: F.array_contains(scripture, x["key"])) | F.col("bracket")
+    found = found.where((F.col("as") == "collection") | cued)
+    odd = _misspelt(found.where((F.col("as") == "chapter") & F.col("by_chapter").isNull() & F.col("letters").rlike("^[ء-ي]")), keyed)
+    found = found.join(broadcast_if_small(odd), "letters", "left").withColumn("near", F.when(F.col("as") == "chapter", F.col("near")))
+    found = found.where(F.col("by_chapter").isNotNull() | F.col("collection").isNotNull() | F.col("near").isNotNull())
+    order = [F.desc(F.col("as") == "chapter"), F.col("by_chapter").isNull(), F.desc("size"), "key"]
+    found = top(found, ["doc_id", "at"], order, 1, "_first").drop("_first")
+    verses = found.where(F.col("as") == "chapter").withColumn("chapter", F.coalesce("by_chapter", "near")).join(lengths, "chapter").where(within).select(*verse)
+    number = F.concat(F.col("first").cast("string"), F.coalesce("letter", F.lit("")))
+    # the end of a range is not part of a collection's number
+    reports = found.where(F.col("as") == "collection").select("doc_id", F.lit("collection").alias("kind"), void("int").alias("chapter"), void("int").alias("first"), void("int").alias("last"), "collection", number.alias("number"), "start", "end", cite("start", "end").alias("text"), "name_at")
+
+    # report cue and name
+    def behind(right: Column) -> Column:
+        first = F.array_min(F.transform(right, lambda x, k: F.when(~is_cue(x), k)))
+
+        def of(k: int) -> Column:
+            part = F.slice(right, first + 1, F.lit(k))
+            name = F.struct(F.lit(k).alias("size"), F.array_join(F.transform(part, lambda x: x["key"]), "").alias("letters"), part[0]["a"].alias("name_at"), part[k - 1]["b"].alias("stop"))
+            return F.when((first <= 3) & (F.size(part) == k), name)
+
+        return F.array_compact(F.array(*map(of, range(1, NAME_WORDS))))
+
+    told = _named(df.where(F.col("kind") == "word"), bound(F.col("right"), behind), keyed).where((F.col("as") == "collection") & F.col("collection").isNotNull())
+    told = top(told, ["doc_id", "name_at"], ["at", F.desc("size")], 1, "_first").join(reports.select("doc_id", "name_at"), ["doc_id", "name_at"], "left_anti")
+    told = told.select("doc_id", F.lit("collection").alias("kind"), void("int").alias("chapter"), void("int").alias("first"), void("int").alias("last"), "collection", F.lit("").alias("number"), F.col("at").alias("start"), F.col("stop").alias("end"), cite("at", "stop").alias("text"))
+    # two anchors never share a number or a name
+    return pairs.unionByName(verses).unionByName(reports.drop("name_at")).unionByName(told)

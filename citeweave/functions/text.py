@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -13,6 +14,8 @@ INVISIBLE = r"[\u200B\u200E\u200F\u061C\u202A-\u202E\u2066-\u2069\uFEFF\u00AD]"
 MARKS = r"[\u0610-\u061A\u064B-\u0670\u06D6-\u06ED\u08D3-\u08FF]"
 MARKS_NOT_DIGITS = r"[\u0610-\u061A\u064B-\u065F\u0670\u06D6-\u06ED\u08D3-\u08FF]"
 ALIF = r"[\u0622\u0623\u0625\u0671\u0672\u0673]"
+#: Letters and their unified forms; the last one has none.
+UNIFIED = ("ىةؤئیکـ", "يهوييك")
 LIGATURES = r"[\uFDFA\uFDFB\uFD40-\uFD4F]"
 NOT_LETTER = r"[^\u0621-\u064A\u0660-\u0669\s]"
 HONORIFICS = [
@@ -28,6 +31,11 @@ LATIN_STOP = (
     "same another know while last might us great old year off come since against go came right used take three yang dan di ke dari ini itu dengan untuk "
     "tidak ada pada adalah akan juga atau oleh karena sebagai dalam kami kamu mereka saya kita bahwa telah sudah bisa"
 ).split()
+#: Substitutions that fold spellings of a name, in order.
+SPELLINGS = [
+    ("sy|sh", "s"), ("dz|dh", "d"), ("ts|th", "t"), ("kh", "k"), ("gh", "g"), ("q", "k"), ("o", "a"), ("e", "i"), ("w", "u"), ("y", "i"),
+    ("^a[lnstdrz](?=.{3})", ""), (r"(.)\1+", "$1"), ("h$", ""),
+]
 INDONESIAN_WORDS = "yang dan itu dengan ini tidak kita dari untuk adalah".split()
 ENGLISH_WORDS = "the and of to is that with for this are".split()
 
@@ -65,7 +73,19 @@ def _chain(text: Column, *steps: tuple[str, str]) -> Column:
 
 def _unified(text: Column, marks: str) -> Column:
     text = F.regexp_replace(F.regexp_replace(text, marks, ""), ALIF, "ا")
-    return F.translate(text, "ىةؤئیکـ", "يهوييك")
+    return F.translate(text, *UNIFIED)
+
+
+_LEFT_OUT, _ALIF = re.compile(f"{INVISIBLE}|{MARKS_NOT_DIGITS}|{LIGATURES}"), re.compile(ALIF)
+_UNIFIED = str.maketrans(UNIFIED[0][: len(UNIFIED[1])], UNIFIED[1], UNIFIED[0][len(UNIFIED[1]) :])
+
+
+def word_key(word: str | None) -> str:
+    """Key of one word for walking along words: the letters of `linkage_norm`, and Latin letters and digits without accents in lower case."""
+    word = _ALIF.sub("ا", _LEFT_OUT.sub("", word or "")).translate(_UNIFIED)
+    if not word.isascii():
+        word = "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
+    return re.sub("[^a-z0-9ء-ي٠-٩]", "", word.lower())
 
 
 def norm(text: Column, composed: bool = False) -> Column:
@@ -225,15 +245,15 @@ def alias_key(name: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_replace(nfkd(name), r"\p{Mn}", "")), "[^a-z]", "")
 
 
+def spelling_key(letters: Column) -> Column:
+    """Letters of a name folded by sound, so that spellings of one name meet."""
+    for pattern, new in SPELLINGS:
+        letters = F.regexp_replace(letters, pattern, new)
+    return letters
+
+
 def chapter_key(name: Column) -> Column:
-    """Phonetic key under which spellings of one chapter name meet."""
-    k = alias_key(name)
-    for pattern, new in (
-        ("sy|sh", "s"), ("dz|dh", "d"), ("ts|th", "t"), ("kh", "k"), ("gh", "g"), ("q", "k"), ("o", "a"), ("e", "i"), ("w", "u"), ("y", "i"),
-        ("^a[lnstdrz](?=.{3})", ""), (r"(.)\1+", "$1"), ("h$", ""),
-    ):
-        k = F.regexp_replace(k, pattern, new)
-    return k
+    return spelling_key(alias_key(name))
 
 
 def json_or(text: Column, schema: str, default: Column) -> Column:
