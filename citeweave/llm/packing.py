@@ -28,6 +28,8 @@ CAPACITY = 2048
 END = 0
 #: Rows of one length that a task numbers at once.
 SALT_ROWS = 1000
+#: Documents whose words are looked up together.
+ROWS = 1200
 _TOKENIZERS: dict[str, tuple] = {}
 # A word of plain letters and the marks behind it, which the vocabulary's pattern takes apart in just this way.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
@@ -53,7 +55,7 @@ class _Known:
         return out
 
 
-_PIECES, _PARTS = _Known(100_000), _Known(200_000)
+_PIECES, _PARTS = _Known(200_000), _Known(300_000)
 
 
 def vocabulary_file(name: str = "word_bpe_49k.json") -> str:
@@ -111,8 +113,8 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 600):
-                batch = whole.slice(at, 600)
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
                 out = []
                 for doc, raw in zip(batch.column(0).to_pylist(), token_bytes(batch.column(1).to_pylist(), path)):
                     step = 4 * capacity
