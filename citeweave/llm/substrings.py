@@ -2,9 +2,13 @@
 
 A window is 50 consecutive words. Each window has an anchor: of its 8-word phrases the one with the least hash. Equal
 windows have equal anchors at equal places, so only windows with one anchor can be equal, and the windows of a text that
-share an anchor form a run, about one for every 22 words. A run is a row of a few numbers; texts are read again only for
-runs whose anchor also stands in another context, and of equal runs only for one. There recurring windows are confirmed
-by counting them, compiled into automata shard by shard, and the runs are streamed through the automaton of their shard.
+share an anchor form a run, about one for every 22 words. A run is a row of a few numbers.
+
+Runs whose anchor stands in two documents are candidates. Equal runs, and windows of runs that differ, say which
+document has a passage first; neighbouring stretches with the same source are joined, and so give the recurring passages
+and where they are expected. The passages are cut from their first documents and compiled into automata shard by shard,
+and the text of every expected occurrence is streamed through the automaton of its passage: hashes only propose, and no
+word is removed that an automaton has not found.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeweave.llm.common import materialize
@@ -26,8 +30,10 @@ WINDOW, PHRASE = 50, 8
 #: Low bits of a packed anchor hold its position; a longer text is taken in pieces.
 PLACE_BITS = 26
 PIECE = (1 << PLACE_BITS) - WINDOW
-#: Runs of one anchor that a task streams at most, and patterns of one automaton.
-RUNS, SHARD = 512, 4000
+#: Rows of one key that a task takes; more frequent keys are joined by broadcast, and passages salted.
+HOT = 4096
+#: Words of the passages of an automaton, and texts that it streams, on average.
+SHARD_WORDS, SHARD_TEXTS = 200_000, 10_000
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -124,56 +130,106 @@ def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(w), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(d.astype(np.int64)), pa.array(m.astype(np.int64))], names=["anchor", "run", "start", "size", "doc_id", "mark"])
 
 
-def _window_hashes(text: str) -> list[int]:
-    words = _split(text)
-    prefix, down = _prefix(words)
-    return _hashes(prefix, down, np.arange(len(words) - WINDOW + 1), WINDOW).view(np.int64).tolist()
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, mark, text, asked) into the windows of the runs asked for, with their place in the run and in the document."""
+    names = ["anchor", "run", "h", "place", "doc_id", "mark", "start", "last_doc"]
+    for batch in _sliced(batches):
+        out: list[list[np.ndarray]] = [[] for _ in names]
+        for doc, mark, text, asked in zip(*(c.to_pylist() for c in batch.columns)):
+            words = _split(text)
+            for a in asked:
+                prefix, down = _prefix(words[a["start"] : a["start"] + a["size"]])
+                place = np.arange(a["size"] - WINDOW + 1)
+                h = _hashes(prefix, down, place, WINDOW).view(np.int64)
+                for k, x in enumerate((a["anchor"], a["run"], h, place, doc, mark, place + a["start"], a["last_doc"])):
+                    out[k].append(x if isinstance(x, np.ndarray) else np.full(len(h), x, np.int64))
+        if out[0]:
+            kinds = {"place": np.int32, "start": np.int32}
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(kinds.get(n, np.int64))) for n, x in zip(names, out)], names=names)
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, mark, text, asked) into the stretches asked for, with their words."""
+    kinds = {"kind": pa.int32(), "doc_id": pa.int64(), "mark": pa.int64(), "start": pa.int32(), "shards": pa.list_(pa.int32()), "words": pa.string()}
+    for batch in _sliced(batches):
+        out = []
+        for doc, mark, text, asked in zip(*(c.to_pylist() for c in batch.columns)):
+            words = _split(text)
+            out += [(a["kind"], doc, mark, a["start"], a["shards"], b" ".join(words[a["start"] : a["start"] + a["length"]]).decode()) for a in asked]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds.values())], names=list(kinds))
 
 
 def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams runs through automata. Rows are (part, kind, anchor, hash, first_doc, mark, start, text), sorted by part, kind:
-    kind 0 is a confirmed window with the smallest document that has it, kind 1 a run. Gives (doc_id, mark, start, size) to remove."""
-    known: dict[int, int] = {}
-    held: list[tuple] = []
-    patterns: dict[tuple, int] = {}
+    """Streams texts through the automaton of their shard. Rows are (shard, kind, doc_id, mark, start, words), sorted by
+    shard and kind: kind 0 is a passage with the first document that has it, kind 1 a text. Gives (doc_id, mark, start, size) to remove."""
+    shard, auto = None, None
+    first: dict[tuple, int] = {}
     ids: dict[bytes, int] = {}
-    part = None
-
-    def streamed() -> Iterator[pa.RecordBatch]:
-        auto = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for key, doc in patterns.items():
-            auto.add_word(key, doc)
+    for batch in _sliced(batches):
         out = []
-        if patterns:
-            auto.make_automaton()
-            for doc, mark, start, seq in held:
-                hit = [end - WINDOW + 1 for end, first in auto.iter(seq) if first < doc]
-                for k, a in enumerate(hit):
-                    if k and a == hit[k - 1] + 1:
-                        out[-1][3] += 1
-                    else:
-                        out.append([doc, mark, start + a, WINDOW])
-        held.clear(), patterns.clear(), ids.clear()
+        for s, kind, doc, mark, start, text in zip(*(c.to_pylist() for c in batch.columns)):
+            if s != shard:
+                shard, auto = s, None
+                first.clear(), ids.clear()
+            words = _split(text)
+            if kind == 0:
+                key = tuple(ids.setdefault(w, len(ids) + 1) for w in words)
+                first[key] = min(doc, first.get(key, doc))
+                continue
+            if auto is None:
+                auto = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+                for key, d in first.items():
+                    auto.add_word(key, (len(key), d))
+                auto.make_automaton()
+            spans = sorted((end - n + 1, end + 1) for end, (n, d) in auto.iter(tuple(ids.get(w, 0) for w in words)) if d < doc)
+            upto = -1
+            for a, b in spans:
+                if a > upto:
+                    out.append([doc, mark, start + a, b - a])
+                elif b > upto:
+                    out[-1][3] += b - upto
+                upto = max(upto, b)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "mark", "start", "size"])
 
-    for batch in batches:
-        for p, kind, _, h, doc, mark, start, text in zip(*(c.to_pylist() for c in batch.columns)):
-            if p != part:
-                part = p
-                known.clear()
-                if len(patterns) >= SHARD or len(held) >= SHARD:
-                    yield from streamed()
-            if kind == 0:
-                known[h] = doc
-                continue
-            words = _split(text)
-            seq = tuple(ids.setdefault(w, len(ids)) for w in words)
-            for k, x in enumerate(_window_hashes(text)):
-                if x in known:
-                    patterns[seq[k : k + WINDOW]] = known[x]
-            held.append((doc, mark, start, seq))
-    yield from streamed()
+
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """`left` joined with `right`. The keys in `hot`, of which there are few, have too many rows on the left for one task: their right rows are broadcast."""
+    hot = F.broadcast(hot.select(*keys))
+    cold = left.join(hot, keys, "left_anti").join(right, keys)
+    return cold.unionByName(left.join(F.broadcast(right.join(hot, keys, "left_semi")), keys))
+
+
+def _per_document(asked: DataFrame, fields: list) -> DataFrame:
+    """Row per document with all that is asked of its text; no more than the text has places."""
+    return asked.groupBy("doc_id", "mark").agg(F.collect_list(F.struct(*fields)).alias("asked"))
+
+
+def _stretches(rows: DataFrame, shared: DataFrame, distinct: DataFrame, hot: int) -> DataFrame:
+    """(anchor, run, place, length, source, source_mark, source_start): stretches of a run that a document has first, and where."""
+    whole = distinct.where("not varied and doc_id < last_doc").select("anchor", "run", F.lit(0).alias("place"), F.col("size").alias("length"), F.col("doc_id").alias("source"), F.col("mark").alias("source_mark"), F.col("start").alias("source_start"))
+    asked = _per_document(distinct.where("varied"), ["anchor", "run", "start", "size", "last_doc"])
+    read = rows.join(asked, ["doc_id", "mark"]).select("doc_id", "mark", "text", "asked")
+    windows = materialize(read.mapInArrow(_windows, "anchor long, run long, h long, place int, doc_id long, mark long, start int, last_doc long"))
+    first = windows.groupBy("anchor", "h").agg(F.min(F.struct("doc_id", "mark", "start")).alias("w"), F.max("last_doc").alias("last_doc"), F.count("*").alias("n"))
+    first = materialize(first.where(F.col("w.doc_id") < F.col("last_doc")))
+    placed = _joined(windows.select("anchor", "h", "run", "place"), first.select("anchor", "h", "w"), ["anchor", "h"], first.where(F.col("n") > hot))
+    # windows of a run are fewer than words of a window: those with one source and shift join
+    placed = placed.groupBy("anchor", "run", F.col("w.doc_id").alias("source"), F.col("w.mark").alias("source_mark"), (F.col("w.start") - F.col("place")).alias("shift"))
+    placed = placed.agg(F.min("place").alias("place"), (F.max("place") - F.min("place") + WINDOW).alias("length"))
+    return materialize(whole.unionByName(placed.withColumn("source_start", F.col("shift") + F.col("place")).drop("shift")))
+
+
+def _passages(occurrences: DataFrame) -> DataFrame:
+    """Neighbouring stretches of a document joined where their sources are neighbours too."""
+    same = ["doc_id", "mark", "source", "source_mark", "shift"]
+    along = Window.partitionBy(*same).orderBy("start", "length")
+    df = occurrences.withColumn("shift", F.col("start") - F.col("source_start")).withColumn("end", F.col("start") + F.col("length"))
+    apart = F.col("start") > F.coalesce(F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    df = df.withColumn("apart", apart.cast("int")).withColumn("passage", F.sum("apart").over(along))
+    df = df.groupBy(*same, "passage").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return df.select("doc_id", "mark", "start", (F.col("end") - F.col("start")).alias("length"), "source", "source_mark", (F.col("start") - F.col("shift")).alias("source_start"))
 
 
 def recurring_spans(rows: DataFrame) -> DataFrame:
@@ -182,46 +238,36 @@ def recurring_spans(rows: DataFrame) -> DataFrame:
     `rows` has doc_id, mark (a hash of the text: rows of one doc_id may differ) and text.
     """
     found = materialize(rows.mapInArrow(_run_rows, "anchor long, run long, start int, size int, doc_id long, mark long"))
-    # Anchors that stand in two documents, and of those the ones that stand in two contexts.
-    again = found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("run").alias("x"), F.max("run").alias("y")).where("a < b")
-    again = materialize(again.select("anchor", (F.col("x") != F.col("y")).alias("varied")))  # read again, so that a skewed join can be split
-    shared = materialize(found.join(again, "anchor"))
-    first = shared.groupBy("anchor", "run").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.first("varied").alias("varied"))
-    first = materialize(first)
-    same = shared.join(first.where("first_doc < last_doc").select("anchor", "run", "first_doc"), ["anchor", "run"]).where("doc_id > first_doc")
-    same = same.select("doc_id", "mark", "start", "size")
-
-    # One copy of each run of a varied anchor, with its text.
-    varied = first.where("varied").select("anchor", "run", F.col("first_doc").alias("doc_id"))
-    place = F.struct("start", "size", "mark")
-    one = shared.where("varied").join(varied, ["anchor", "run", "doc_id"]).groupBy("anchor", "run", "doc_id").agg(F.min(place).alias("p"))
-    asked = one.groupBy("doc_id", F.col("p.mark").alias("mark")).agg(F.collect_list(F.struct("anchor", "run", F.col("p.start").alias("start"), F.col("p.size").alias("size"))).alias("asked"))
-    read = rows.join(asked, ["doc_id", "mark"]).select("doc_id", "mark", "text", "asked")
-    texts = materialize(read.mapInArrow(_cut, "anchor long, run long, doc_id long, mark long, start int, text string"))
-
-    # Windows that two different runs have, with the smallest document.
-    hashed = F.pandas_udf(lambda s: pd.Series([_window_hashes(x) for x in s]), "array<long>")
-    windows = texts.select("anchor", "doc_id", F.explode(hashed("text")).alias("h"))
-    confirmed = windows.groupBy("anchor", "h").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last_doc")).where("doc_id < last_doc").drop("last_doc")
-
-    sizes = materialize(texts.groupBy("anchor").agg(F.ceil(F.count("*") / RUNS).cast("int").alias("parts")))
-    spread = F.pmod(F.xxhash64("run"), F.col("parts")).cast("int")
-    streams = texts.join(sizes, "anchor").select(F.xxhash64("anchor", spread).alias("part"), F.lit(1).alias("kind"), "anchor", F.col("run").alias("h"), "doc_id", "mark", "start", "text")
-    patterns = confirmed.join(sizes, "anchor").withColumn("spread", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    patterns = patterns.select(F.xxhash64("anchor", "spread").alias("part"), F.lit(0).alias("kind"), "anchor", "h", "doc_id", F.lit(0).cast("long").alias("mark"), F.lit(0).alias("start"), F.lit("").alias("text"))
-    routed = patterns.unionByName(streams).repartition("part").sortWithinPartitions("part", "kind")
-    return same.unionByName(routed.mapInArrow(_located, "doc_id long, mark long, start int, size int"))
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _sliced(batches):
-        out = []
-        for doc, mark, text, asked in zip(*(c.to_pylist() for c in batch.columns)):
-            words = _split(text)
-            out += [(a["anchor"], a["run"], doc, mark, a["start"], b" ".join(words[a["start"] : a["start"] + a["size"]]).decode()) for a in asked]
-        if out:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=["anchor", "run", "doc_id", "mark", "start", "text"])
+    hot = max(HOT, found.count() >> 17)  # of keys with more rows there are at most 2^17
+    again = found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("run").alias("x"), F.max("run").alias("y"), F.count("*").alias("n")).where("a < b")
+    again = materialize(again.select("anchor", (F.col("x") != F.col("y")).alias("varied"), "n"))
+    shared = materialize(_joined(found, again.select("anchor", "varied"), ["anchor"], again.where(F.col("n") > hot)))
+    distinct = shared.groupBy("anchor", "run").agg(F.min(F.struct("doc_id", "mark", "start", "size")).alias("p"), F.max("doc_id").alias("last_doc"), F.first("varied").alias("varied"), F.count("*").alias("n"))
+    distinct = materialize(distinct.select("anchor", "run", "p.*", "last_doc", "varied", "n"))
+
+    stretches = _stretches(rows, shared, distinct, hot)
+    here = _joined(shared.select("anchor", "run", "doc_id", "mark", "start"), stretches, ["anchor", "run"], distinct.where(F.col("n") > hot)).where(F.col("doc_id") > F.col("source"))
+    passages = materialize(_passages(here.select("doc_id", "mark", (F.col("start") + F.col("place")).alias("start"), "length", "source", "source_mark", "source_start")))
+
+    key = ["source", "source_mark", "source_start", "length"]
+    patterns = materialize(passages.groupBy(*key).agg(F.count("*").alias("n")))
+    salts = F.ceil(F.col("n") / hot).cast("int")
+    sizes = patterns.agg(F.coalesce(F.sum(F.col("length") * salts), F.lit(0)).alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("texts")).first()
+    shards = max(1, -(-sizes["words"] // SHARD_WORDS), -(-sizes["texts"] // SHARD_TEXTS))
+
+    def shard(salt: Column) -> Column:
+        return F.pmod(F.xxhash64(*key, salt), F.lit(shards)).cast("int")
+
+    # a frequent passage goes to as many shards as its occurrences ask for
+    frequent = F.broadcast(patterns.where(F.col("n") > hot).select(*key, salts.alias("salts")))
+    texts = passages.join(frequent, key, "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.coalesce("salts", F.lit(1))).cast("int"))
+    stretch = lambda kind, own: [F.lit(kind).alias("kind"), "start", "length", own.alias("shards")]
+    asked = texts.select("doc_id", "mark", *stretch(1, F.array(shard(F.col("salt")))))
+    sources = patterns.select(F.col("source").alias("doc_id"), F.col("source_mark").alias("mark"), F.col("source_start").alias("start"), "length", F.array_distinct(F.transform(F.sequence(F.lit(0), salts - 1), shard)).alias("shards"))
+    asked = _per_document(asked.unionByName(sources.select("doc_id", "mark", *stretch(0, F.col("shards")))), ["kind", "start", "length", "shards"])
+    cut = rows.join(asked, ["doc_id", "mark"]).select("doc_id", "mark", "text", "asked").mapInArrow(_cut, "kind int, doc_id long, mark long, start int, shards array<int>, words string")
+    routed = cut.select(F.explode("shards").alias("shard"), "kind", "doc_id", "mark", "start", "words").repartition("shard").sortWithinPartitions("shard", "kind")
+    return routed.mapInArrow(_located, "doc_id long, mark long, start int, size int")
 
 
 def kept_words(text: str | None, spans) -> tuple[list[bytes], int]:

@@ -436,7 +436,8 @@ def test_substrings(docs, texts, odd, monkeypatch):
     assert rows(substrings.substring_dedup(odd), *cols) == dedup_rows(ODD)
 
 
-def test_substrings_edited_copies(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [3, 4096])
+def test_substrings_edited_copies(spark, monkeypatch, hot):
     rng = np.random.default_rng(5)
     base = [f"w{k}" for k in rng.integers(0, 400, 300)]
     made = []
@@ -445,6 +446,6 @@ def test_substrings_edited_copies(spark, monkeypatch):
         for k in rng.integers(0, 300, rng.integers(0, 6)):
             w[k] = f"e{rng.integers(0, 3)}"
         made.append((int(100 - d), " ".join(w[rng.integers(0, 60) : 300 - rng.integers(0, 60)]), "en"))
-    monkeypatch.setattr(substrings, "RUNS", 5)
+    monkeypatch.setattr(substrings, "HOT", hot)
     df = spark.createDataFrame(made, "doc_id long, text string, lang string")
     assert rows(substrings.substring_dedup(df), "doc_id", "n_words", "n_removed", "kept_sha256") == dedup_rows(made)
