@@ -6,10 +6,12 @@ are linear in hashed character n-grams, so a prediction is one pass over a text'
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeweave.llm.common import with_text_columns
@@ -73,7 +75,7 @@ def train_svm(rows: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray, epoch
                 w[-1] += step * 0.1
         if epoch >= epochs // 2:
             total += scale * w
-    return total / max(1, epochs - epochs // 2)
+    return (total / max(1, epochs - epochs // 2)).astype(np.float32)
 
 
 def _pairs(rows, labels: list[str]) -> dict[tuple[str, str], np.ndarray]:
@@ -120,27 +122,39 @@ class LanguageModel:
         return lang, float(min(p, q))
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 600, max_languages: int = 100) -> LanguageModel:
-    """Fits the models on a bounded sample: about `per_language` rows of each of the `max_languages` most frequent labels.
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features of (lang, text) rows as bytes; texts without a letter give none."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 100):
+            part = batch.slice(k, 100).to_pylist()
+            found = [(r["lang"], f) for r in part if (f := features(r["text"]))]
+            columns = [x for x, _ in found], [at.astype("<u2").tobytes() for _, (at, _) in found], [v.astype("<f4").tobytes() for _, (_, v) in found]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.binary(), pa.binary()))], names=["lang", "at", "value"])
 
-    Rows are chosen by a hash of their text, so equal tables give equal models whatever their partitions.
+
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 600, max_rows: int = 20_000) -> LanguageModel:
+    """Fits the models on a bounded sample: about `per_language` rows of every label, fewer of each where that makes more than `max_rows`.
+
+    Every label that a row has is learned. Rows are chosen by a hash of their text, so equal tables give equal models
+    whatever their partitions. Executors turn texts into features, at most 192 kB each; these alone are collected.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_language / r["count"]))).otherwise(share)
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row per label
+    each = min(per_language, max(10, max_rows // max(1, len(counts))))
+    wanted = labelled.sparkSession.createDataFrame([(x, min(1.0, each / n)) for x, n in counts.items()], "lang string, share double")
     at = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 20)) / (1 << 20)
-    sample = rows.where(at < share).dropDuplicates(["text", "lang"])
-    sample = sample.orderBy(F.xxhash64("text", F.lit(13)), "lang").limit(2 * per_language * max(1, len(counts))).collect()
-    found = [(features(r["text"]), r["lang"]) for r in sample]
-    found = [(f, x) for f, x in found if f]
-    return LanguageModel([f for f, _ in found], [x for _, x in found])
+    chosen = rows.join(F.broadcast(wanted), "lang").where(at < F.col("share")).select("lang", "text").dropDuplicates(["text", "lang"])
+    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text", F.lit(13)), "text"))
+    chosen = chosen.withColumn("n", order).where(F.col("n") <= 2 * each)  # repeats of a text share its hash, never more than this
+    sample = chosen.select("lang", "text").mapInArrow(_rows, "lang string, at binary, value binary").collect()
+    sample.sort(key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["value"])))
+    found = [(np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["value"], "<f4").astype(np.float64)) for r in sample]
+    return LanguageModel(found, [r["lang"] for r in sample])
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """Adds `lang_pred` and `score` from the whole text alone; `und` and 0 for a text that is null or has no letter."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: 256 kB for each pair of languages
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: 128 kB for each pair of languages in a family
 
     return with_text_columns(docs, text, lambda: shared.value.predict, [("lang_pred", "string"), ("score", "double")])
 
@@ -153,7 +167,8 @@ def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
 def language_id(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 600) -> DataFrame:
     """Trains on the rows of `docs` that are not held out and predicts every row; one row per input row.
 
-    Null or letterless texts give `und` with score 0; so does every text if no row has a label to learn from. Repeated
+    Null or letterless texts give `und` with score 0; so does every text if no row has a label to learn from. With a
+    single label every text with a letter gets it, with score 1. Very long texts are read whole in one pass. Repeated
     rows are predicted alike; an empty table gives an empty table; columns besides the three named are not read.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
