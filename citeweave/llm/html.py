@@ -2,16 +2,19 @@
 
 Every container of a page is scored by the text it holds outside links and furniture. Each page gives its score shares
 to the generalised paths (tags and classes, digits as `0`) of its containers; the paths of a host are summed over its
-pages, and each page is extracted again from the path with most support that it has.
+pages, and each page is extracted again from the path with most support that it has. A path is known by a 64-bit hash of
+its last step and of the path before, so a deeply nested page costs no more than a flat one.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +45,7 @@ _SENTENCES = re.compile(r"[.!?…,;](?:\s|$)")
 class Node:
     __slots__ = ("tag", "path", "parent", "furniture", "parts", "score", "headline")
 
-    def __init__(self, tag: str, path: str, parent: Node | None, furniture: bool):
+    def __init__(self, tag: str, path: int, parent: Node | None, furniture: bool):
         self.tag, self.path, self.parent, self.furniture = tag, path, parent, furniture
         self.parts: list[str | Node] = []
         self.score, self.headline = 0.0, False
@@ -53,12 +56,13 @@ def _open(tag: str, raw: str, parent: Node) -> Node:
     label = f"{names.get('class', '')} {names.get('id', '')}".strip()
     furniture = tag in FURNITURE or names.get("role", "").lower() in ROLES or "hidden" in raw.split() or bool(label and tag not in ("body", "html") and NAMES.search(label))
     classes = ".".join(sorted(re.sub(r"\d+", "0", names.get("class", "")).split()))
-    return Node(tag, f"{parent.path}>{tag}{'.' + classes if classes else ''}", parent, furniture)
+    return Node(tag, xxhash.xxh64_intdigest(f"{tag}.{classes}", parent.path), parent, furniture)
 
 
 def parse(page: str) -> Node:
     """A tree of the page's elements and texts; unclosed paragraphs and list items end where HTML ends them."""
-    root = node = Node("", "", None, False)
+    root = node = Node("", 0, None, False)
+    n_open: Counter = Counter()
     for m in _TOKEN.finditer(page):
         text = m[0]
         if text[0] != "<" or text == "<":
@@ -68,11 +72,11 @@ def parse(page: str) -> Node:
         if not tag:
             continue
         if m[2]:
-            at = node
-            while at is not root and at.tag != tag:
-                at = at.parent
-            if at is not root:
-                node = at.parent
+            while n_open[tag]:  # an element that is open ends, and all inside it
+                n_open[node.tag] -= 1
+                node, ended = node.parent, node.tag
+                if ended == tag:
+                    break
             continue
         if tag in VOID:
             if tag in BLOCK:
@@ -82,16 +86,18 @@ def parse(page: str) -> Node:
         if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
             ends.add(tag)
         at = node
-        while ends and at is not root and at.tag not in CONTAINER and at.tag not in ("ul", "ol", "table"):
+        while any(n_open[e] for e in ends) and at is not root and at.tag not in CONTAINER and at.tag not in ("ul", "ol", "table"):
             if at.tag in ends:
-                node = at.parent
+                while node is not at.parent:
+                    n_open[node.tag] -= 1
+                    node = node.parent
                 break
             at = at.parent
         child = _open(tag, m[4] or "", node)
         node.parts.append(child)
-        node = child
-        if m[4] and m[4].rstrip().endswith("/") and tag not in BLOCK:
-            node = child.parent
+        if not (m[4] and m[4].rstrip().endswith("/") and tag not in BLOCK):
+            node = child
+            n_open[tag] += 1
     return root
 
 
@@ -133,7 +139,7 @@ def score(root: Node) -> list[Node]:
                 found[id(node)] = node
             elif node.tag == "h1":
                 at = node
-                while at is not None:
+                while at is not None and not at.headline:
                     at.headline, at = True, at.parent
             for part in reversed(node.parts):
                 if isinstance(part, Node):
@@ -150,9 +156,9 @@ def score(root: Node) -> list[Node]:
     return [x for x in found.values() if x.score > 0]
 
 
-def votes(page: str | None) -> list[tuple[str, float]]:
+def votes(page: str | None) -> list[tuple[int, float]]:
     """(path, share of the page's score) for each path of its containers."""
-    shares: dict[str, float] = {}
+    shares: dict[int, float] = {}
     own = score(parse(page or ""))
     total = sum(x.score for x in own)
     for x in own:
@@ -162,12 +168,13 @@ def votes(page: str | None) -> list[tuple[str, float]]:
 
 def _whole(node: Node, own: list[Node]) -> Node:
     """The container itself, or the one around it if it is one of several parts with one path."""
-    while node.parent.parent is not None and any(x is not node and x.parent is node.parent and x.path == node.path for x in own):
+    parts = Counter((id(x.parent), x.path) for x in own)
+    while node.parent.parent is not None and parts[id(node.parent), node.path] - (node.score > 0) > 0:
         node = node.parent
     return node
 
 
-def extract(page: str | None, paths: list[str] | None) -> str:
+def extract(page: str | None, paths: list[int] | None) -> str:
     """Text of the page's best container on the first of `paths` that it has, else of its best container, else of the page."""
     root = parse(page or "")
     own = score(root)
@@ -187,18 +194,20 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
 
     A host's `best` paths are tried in order of support; a page that has none of them, or whose host is unknown, falls
     back on its own best container. Null and empty pages give an empty text; repeated rows vote and are extracted each;
-    an empty table gives an empty table; other columns are not read. The paths of up to `broadcast_rows` hosts are
+    an empty table gives an empty table; other columns are not read. Very deep or unclosed nesting and very long pages
+    take time and memory in proportion to the page. Each task sends on a host's `best` paths alone, so that a host with
+    very many paths is no large group. The paths of up to `broadcast_rows` hosts are
     broadcast (about 100 MB), and joined by a shuffle beyond.
     """
-    @F.pandas_udf("array<struct<path:string,share:double>>")
+    @F.pandas_udf("array<struct<path:long,share:double>>")
     def voted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([[{"path": p, "share": s} for p, s in votes(x)] for x in batch])
+            yield pd.Series([[{"path": p - (1 << 64) if p >> 63 else p, "share": s} for p, s in votes(x)] for x in batch])
 
     @F.pandas_udf("string")
     def extracted(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, paths in batches:
-            yield pd.Series([extract(x, list(p) if p is not None else None) for x, p in zip(texts, paths)], dtype=object)
+            yield pd.Series([extract(x, [int(y) % (1 << 64) for y in p] if p is not None else None) for x, p in zip(texts, paths)], dtype=object)
 
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html")).withColumn("host", host(F.col("url")))
     support = rows.select("host", F.explode(voted("html")).alias("v")).groupBy("host", F.col("v.path").alias("path")).agg(F.sum("v.share").alias("support"))
