@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,30 +21,70 @@ BASE = {
     "mit license": "mit",
 }
 
-# Fixed values: (label, notice, key phrase that must stand whole at its place in the notice).
-TEMPLATES = [
-    ("agpl-3.0", "under the terms of the gnu affero general public license as published by the free software foundation", "gnu affero general public license"),
-    ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
-    ("bsl-1.0", "distributed under the boost software license version 1 0", "boost software license version 1 0"),
-    ("cc-by-4.0", "licensed under cc by 4 0", "cc by 4 0"),
-    ("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
-    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
-    ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial"),
-    ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
-    ("cc0", "cc0 1 0 universal public domain dedication", "cc0 1 0"),
-    ("epl-2.0", "made available under the terms of the eclipse public license 2 0", "eclipse public license"),
-    ("gpl-2.0", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
-    ("gpl-3.0", "this work is licensed under the gnu general public license version 3", "gnu general public license version 3"),
-    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "terms of the gnu general public license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee is hereby granted"),
-    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
-    ("mit", "released under the mit license", "under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+# Fixed values: (label, key phrases that must stand whole at their place in the notice, notice).
+NOTICES = [
+    ("agpl-3.0", ["gnu affero general public license"], """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero
+General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is
+distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""),
+    ("apache-2.0", ["apache license version 2 0"], """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
+License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the
+specific language governing permissions and limitations under the License."""),
+    ("bsd", ["redistribution and use in source and binary forms"], """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+materials provided with the distribution."""),
+    ("bsl-1.0", ["boost software license version 1 0"], "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"),
+    ("cc-by-4.0", ["cc by 4 0"], "Licensed under CC BY 4.0"),
+    ("cc-by-4.0", ["creative commons attribution 4 0"], """This work is licensed under the Creative Commons Attribution 4.0 International License. To view a copy of this license, visit
+http://creativecommons.org/licenses/by/4.0/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA."""),
+    ("cc-by-nc", ["cc by nc"], "Licensed under CC BY-NC 4.0"),
+    ("cc-by-nc", ["creative commons attribution noncommercial"], "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("cc-by-sa", ["cc by sa"], "Licensed under CC BY-SA 4.0"),
+    ("cc-by-sa", ["creative commons attribution sharealike"], "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc0", ["cc0 1 0"], "CC0 1.0 Universal (CC0 1.0) Public Domain Dedication"),
+    ("epl-2.0", ["eclipse public license"], """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at
+https://www.eclipse.org/legal/epl-2.0/ SPDX-License-Identifier: EPL-2.0"""),
+    ("gpl-2.0", ["gnu general public license version 2"], "Licensed under the GNU General Public License version 2"),
+    ("gpl-3.0", ["gnu general public license version 3"], "This work is licensed under the GNU General Public License version 3."),
+    ("gpl", ["terms of the gnu general public license"], """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as
+published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will
+be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for
+more details. You should have received a copy of the GNU General Public License along with this program."""),
+    ("isc", ["with or without fee is hereby granted"], """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided
+that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO
+THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."""),
+    ("lgpl", ["gnu lesser general public license"], """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License
+as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it
+will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""),
+    ("mit", ["under the mit license"], "Released under the MIT License."),
+    ("mit", ["permission is hereby granted free of charge"], """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense,
+and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and
+this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""),
+    ("mpl-2.0", ["mozilla public license"], """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
+    ("unlicense", ["free and unencumbered software", "public domain"], """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile,
+sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""),
+    ("zlib", ["in no event will the authors be held liable", "altered source versions must be plainly marked"], """This software is provided 'as-is', without any express or implied warranty. In no event will
+the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial
+applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim
+that you wrote the original software. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software."""),
 ]
-VOCABULARY = sorted({w for t in [*BASE, *(t[1] for t in TEMPLATES)] for w in t.split()})
+
+
+def _split(text: str) -> list[str]:
+    return [w for w in re.split(BREAK, text.lower()) if w]
+
+
+#: (label, words of the notice, [(place, words) of each key phrase]).
+TEMPLATES = []
+for _label, _keys, _notice in NOTICES:
+    _own = _split(_notice)
+    _places = [(next(i for i in range(len(_own)) if _own[i : i + len(k)] == k), k) for k in map(_split, _keys)]
+    TEMPLATES.append((_label, _own, _places))
+VOCABULARY = sorted({w for p in BASE for w in p.split()} | {w for _, own, _ in TEMPLATES for w in own})
 #: A place of a template in a text is one number: template * SPAN + start + SHIFT.
 SPAN, SHIFT = 1 << 40, 1 << 10
 
@@ -60,10 +101,6 @@ def _at(word_list: Column, start: Column, phrase: list[str]) -> Column:
     return F.coalesce(e & (start >= 0), F.lit(False))
 
 
-def _places(phrase: list[str]):
-    return lambda w, i: F.when((w == phrase[0]) & _at(F.col("w"), i, phrase), i)
-
-
 def license_words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BREAK), "")
 
@@ -77,65 +114,71 @@ def word_idf(docs: DataFrame, text: str = "text") -> dict[str, float]:
     return {w: math.log((total + 1) / n) for w, n in counts.items()}
 
 
+def _literal(words_: list[str]) -> Column:
+    return F.split(F.lit(" ".join(words_)), " ")
+
+
 def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rarest: int = 6, min_votes: int = 2) -> DataFrame:
     """Finds licence notices in every whole text; one row per input row.
 
-    Base: places of the `BASE` phrases. Method: an index holds, of every template, the `rarest` words with the highest
-    IDF over all documents and their places in it. Where a text has all words of a template's key phrase, its words
-    that are in the index vote for the starts which their places imply; a start with `min_votes` votes counts if the
-    key phrase stands whole at its relative place. `matches` holds those (label, start, share), share being the IDF
-    weight of the template's words that stand in place. `score` is the largest share, or 0.5 for base labels alone,
-    0 without any. Null and empty texts have no words; repeated rows are judged each; equal places are listed once;
-    an empty table gives an empty table; other columns are not read.
+    Base: places of the `BASE` phrases. Method: for every template whose key phrases' words a text has, the `rarest` of
+    the template's words that stand in this very text, by their IDF over all documents, are looked up; their places in
+    the text and their postings in the template imply starts, and a start with `min_votes` votes counts if every key
+    phrase stands whole at its relative place. `matches` holds those (label, start, share), share being the IDF weight
+    of the template's words that stand in place. `score` is the largest share, or 0.5 for base labels alone, 0 without
+    any. Null and empty texts have no words; very long texts are scanned whole; repeated rows are judged each; equal
+    places are listed once; an empty table gives an empty table; other columns are not read.
     """
     idf = word_idf(docs, text)
-    by_idf = sorted(VOCABULARY, key=lambda w: (-idf.get(w, 1e9), w))
-    weight = {w: max(idf.get(w, 20.0), 1e-3) for w in VOCABULARY}
+    weight = {w: round(max(idf.get(w, 20.0), 1e-3), 9) for w in VOCABULARY}
+    by_idf = sorted(VOCABULARY, key=lambda w: (-weight[w], w))
 
     df = docs.select(F.col(doc_id).alias("doc_id"), license_words(F.col(text)).alias("w"))
-    df = df.withColumn("present", F.array_intersect("w", _strings(VOCABULARY)))
-    has = lambda phrase: F.size(F.array_except(_strings(sorted(set(phrase))), F.col("present"))) == 0
-
-    places, labels = [], []
-    for phrase, label in BASE.items():
-        p = phrase.split()
-        found = F.array_compact(F.transform("w", _places(p)))
-        places.append(F.when(has(p), found).otherwise(F.array().cast("array<int>")))
-        labels.append((label, f"at{len(places)}"))
-    df = df.withColumns({f"at{k}": p for k, p in enumerate(places, 1)})
-    df = df.withColumn("starts", F.flatten(F.array(*(c for _, c in labels))))
-    df = df.withColumn("base", F.array_compact(F.array(*(F.when(F.size(c) > 0, F.lit(x)) for x, c in labels))))
+    df = df.withColumn("present", F.array_intersect("w", _literal(VOCABULARY)))
+    has = lambda words_: F.size(F.array_except(_literal(sorted(set(words_))), F.col("present"))) == 0
+    none = F.array().cast("array<int>")
+
+    def places_of(phrase: list[str]) -> Column:
+        return F.array_compact(F.transform("w", lambda w, i: F.when((w == phrase[0]) & _at(F.col("w"), i, phrase), i)))
+
+    df = df.withColumns({f"at{k}": F.when(has(p.split()), places_of(p.split())).otherwise(none) for k, p in enumerate(BASE)})
+    df = df.withColumn("starts", F.flatten(F.array(*(f"at{k}" for k in range(len(BASE))))))
+    df = df.withColumn("base", F.array_compact(F.array(*(F.when(F.size(f"at{k}") > 0, F.lit(x)) for k, x in enumerate(BASE.values())))))
 
     # Templates whose key words are all there; none for almost every text, and nothing more is done then.
-    df = df.withColumn("possible", F.array_compact(F.array(*(F.when(has(t[2].split()), F.lit(k)) for k, t in enumerate(TEMPLATES)))))
-    rare = [set(sorted(set(t[1].split()), key=by_idf.index)[:rarest]) for t in TEMPLATES]
-    postings = {w: [(k, q) for k, t in enumerate(TEMPLATES) for q, x in enumerate(t[1].split()) if x == w and w in rare[k]] for w in by_idf}
-    index = F.array(*(F.struct(F.lit(w).alias("w"), F.array(*(F.struct(F.lit(k).alias("t"), F.lit(q).alias("q")) for k, q in at)).alias("at")) for w, at in postings.items() if at))
-
-    def votes(words_: Column, present: Column, possible: Column) -> Column:
-        def of(x: Column) -> Column:
-            at = F.filter(x["at"], lambda y: F.array_contains(possible, y["t"]))
-            own = F.filter(F.transform(words_, lambda w, i: F.when(w == x["w"], i)), lambda i: i.isNotNull())
-            return F.flatten(F.transform(own, lambda i: F.transform(at, lambda y: y["t"].cast("long") * SPAN + i - y["q"] + SHIFT)))
-        return F.array_sort(F.flatten(F.transform(F.filter(index, lambda x: F.array_contains(present, x["w"])), of)))
+    struct = lambda k: F.struct(F.lit(k).alias("t"), _literal(TEMPLATES[k][1]).alias("words"), _literal(sorted(set(TEMPLATES[k][1]), key=by_idf.index)).alias("by_idf"))
+    possible = [F.when(has([w for _, key in t[2] for w in key]), struct(k)) for k, t in enumerate(TEMPLATES)]
+    df = df.withColumn("possible", F.array_compact(F.array(*possible)))
+
+    def votes(text_words: Column, present: Column, templates: Column) -> Column:
+        def of(t: Column) -> Column:
+            own = F.slice(F.array_intersect(t["by_idf"], present), 1, rarest)  # in order of the first array
+            places = lambda ws, x: F.array_compact(F.transform(ws, lambda w, i: F.when(w == x, i)))
+            start = lambda i, q: t["t"].cast("long") * SPAN + i - q + SHIFT
+            return F.flatten(F.transform(own, lambda x: F.flatten(F.transform(places(text_words, x), lambda i: F.transform(places(t["words"], x), lambda q: start(i, q))))))
+        return F.array_sort(F.flatten(F.transform(templates, of)))
 
-    agreed = let(F.col("votes"), lambda v: F.array_distinct(F.array_compact(F.transform(v, lambda x, i: F.when(F.get(v, i + (min_votes - 1)) == x, x)))))
     df = df.withColumn("votes", F.when(F.size("possible") > 0, votes(F.col("w"), F.col("present"), F.col("possible"))).otherwise(F.array().cast("array<long>")))
+    agreed = let(F.col("votes"), lambda v: F.array_distinct(F.array_compact(F.transform(v, lambda x, i: F.when(F.get(v, i + (min_votes - 1)) == x, x)))))
+
+    labels = _literal([t[0] for t in TEMPLATES])
+    words_ = F.array(*(_literal(t[1]) for t in TEMPLATES))
+    weights = F.array(*(F.split(F.lit(" ".join(repr(weight[w]) for w in t[1])), " ").cast("array<double>") for t in TEMPLATES))
 
     def judged(v: Column) -> Column:
-        t, start = F.floor(v / SPAN), (v % SPAN - SHIFT).cast("int")
-        e = F.lit(None).cast("struct<label:string,start:int,share:double>")
-        for k, (label, notice, key) in enumerate(TEMPLATES):
-            words_ = notice.split()
-            total = sum(weight[w] for w in words_)
-            first = next(i for i in range(len(words_)) if words_[i : i + len(key.split())] == key.split())
-            # an index below 0 gives null, which the sum takes as not in place
-            share = sum((F.when(F.get("w", start + q) == w, F.lit(weight[w] / total)).otherwise(F.lit(0.0)) for q, w in enumerate(words_)), F.lit(0.0))
-            here = F.struct(F.lit(label).alias("label"), start.alias("start"), F.least(share, F.lit(1.0)).alias("share"))
-            e = F.when(t == k, F.when(_at(F.col("w"), start + first, key.split()), here)).otherwise(e)
-        return e
-
-    df = df.withColumn("matches", F.when(F.size("votes") > 0, F.filter(F.transform(agreed, judged), lambda m: m.isNotNull())))
+        t, start = F.floor(v / SPAN).cast("int"), (v % SPAN - SHIFT).cast("int")
+        whole = F.lit(False)
+        for k, (_, _, keys) in enumerate(TEMPLATES):
+            stands = F.lit(True)
+            for place, key in keys:
+                stands = stands & _at(F.col("w"), start + place, key)
+            whole = F.when(t == k, stands).otherwise(whole)
+        # an index below 0 or behind the end gives null, which is not in place
+        in_place = F.zip_with(F.transform(F.get(words_, t), lambda x, q: F.coalesce(F.get("w", start + q) == x, F.lit(False))), F.get(weights, t), lambda hit, w: F.when(hit, w).otherwise(F.lit(0.0)))
+        total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+        return F.when(whole, F.struct(F.get(labels, t).alias("label"), start.alias("start"), F.least(total(in_place) / total(F.get(weights, t)), F.lit(1.0)).alias("share")))
+
+    df = df.withColumn("matches", F.when(F.size("votes") > 0, F.array_compact(F.transform(agreed, judged))))
     df = df.withColumn("matches", F.coalesce("matches", F.array().cast("array<struct<label:string,start:int,share:double>>")))
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
     best = F.array_max(F.transform("matches", lambda m: m["share"]))

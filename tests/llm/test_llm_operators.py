@@ -77,6 +77,18 @@ def test_language_odd(odd):
         assert 0 <= r.score <= 1
 
 
+def test_language_labels(spark):
+    """One label is a model too; with more labels than a list would hold none is left out."""
+    one = language.language_id(spark.createDataFrame([(1, "ab cd", "xx"), (2, "zz", None), (3, "", None)], "doc_id long, text string, lang string")).collect()
+    assert {(r.doc_id, r.lang_pred, r.score) for r in one} == {(1, "xx", 1.0), (2, "xx", 1.0), (3, "und", 0.0)}
+    rng = np.random.default_rng(2)
+    made = [(f"l{k:02d}", [chr(0x3400 + 40 * k + int(c)) for c in rng.integers(0, 40, 8)]) for k in range(30)]
+    rows_ = [(i, " ".join("".join(rng.choice(letters, 4)) for _ in range(30)), lang) for i, (lang, letters) in enumerate(made * 8)]
+    got = {r.doc_id: r for r in language.language_id(spark.createDataFrame(rows_, "doc_id long, text string, lang string")).collect()}
+    assert {r.lang_pred for r in got.values()} == {lang for lang, _ in made}
+    assert np.mean([got[d].lang_pred == lang for d, _, lang in rows_]) > 0.95
+
+
 @pytest.fixture(scope="module")
 def encoding():
     import tiktoken
@@ -120,15 +132,52 @@ def test_licenses(docs, texts, odd):
     assert rows(licenses.license_scan(odd), *cols) == license_rows(ODD)
 
 
+def license_matches(texts):
+    """Labels, matches and score by trying every start of every template in every text."""
+    split = [(d, re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(x))) for d, x, _ in texts]
+    seen = Counter(w for _, ws in split for w in set(ws))
+    weight = {w: round(max(np.log((len(split) + 1) / seen[w]) if seen[w] else 20.0, 1e-3), 9) for w in licenses.VOCABULARY}
+    out = Counter()
+    for d, ws in split:
+        found = []
+        for label, own, keys in licenses.TEMPLATES:
+            if not {w for _, k in keys for w in k} <= set(ws):
+                continue
+            rare = sorted(set(own) & set(ws), key=lambda w: (-weight[w], w))[:6]
+            for s in range(-len(own), len(ws)):
+                here = [(q, w) for q, w in enumerate(own) if 0 <= s + q < len(ws) and ws[s + q] == w]
+                if sum(w in rare for _, w in here) >= 2 and all(s + q >= 0 and ws[s + q : s + q + len(k)] == k for q, k in keys):
+                    found.append((label, s, round(min(1.0, sum(weight[w] for _, w in here) / sum(weight[w] for w in own)), 6)))
+        base = {x for p, x in licenses.BASE.items() for i in range(len(ws)) if ws[i : i + len(p.split())] == p.split()}
+        score = max((m[2] for m in found), default=0.5 if base else 0.0)
+        out[d, ",".join(sorted(base | {m[0] for m in found})), score, tuple(sorted(found))] += 1
+    return out
+
+
+def license_results(df):
+    return Counter((r.doc_id, r.labels, round(r.score, 6), tuple(sorted((m.label, m.start, round(m.share, 6)) for m in r.matches))) for r in df.collect())
+
+
+def test_license_matches(spark, docs, texts, odd):
+    assert license_results(licenses.license_scan(docs)) == license_matches(texts)
+    assert license_results(licenses.license_scan(odd)) == license_matches(ODD)
+    made = [(k, notice, None) for k, (_, _, notice) in enumerate(licenses.NOTICES)]
+    made += [(100 + k, f"pre {n[: len(n) // 2].upper()} cut", None) for k, (_, _, n) in enumerate(licenses.NOTICES)]
+    made += [(200, " -- ".join(n for _, _, n in licenses.NOTICES), None), (201, "the Mozilla Public License alone", None), (202, "public license of mozilla", None)]
+    assert license_results(licenses.license_scan(spark.createDataFrame(made, "doc_id long, text string, lang string"))) == license_matches(made)
+
+
 def test_license_templates(spark):
-    rows_ = [(k, f"pre {notice.upper()}, post", label) for k, (label, notice, _) in enumerate(licenses.TEMPLATES)]
+    rows_ = [(k, f"pre {notice.upper()}, post", label) for k, (label, _, notice) in enumerate(licenses.NOTICES)]
     rows_.append((99, "the gnu people saw a general in public; a license is version 3", ""))
+    rows_.append((98, "see the Mozilla Public License for more", "mpl-2.0"))
     got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(rows_, "doc_id long, text string, label string")).collect()}
-    for k, _, label in rows_[:-1]:
+    for k, _, label in rows_[:-2]:
         assert label in got[k].labels.split(","), got[k]
         assert got[k].score > 0.99
         assert any(m.label == label and m.start == 1 for m in got[k].matches)
     assert got[99].labels == "" and got[99].score == 0
+    assert got[98].labels == "mpl-2.0" and 0 < got[98].score < 1
 
 
 def hamming_rows(texts):
@@ -179,6 +228,33 @@ def test_pages(spark, sf):
         assert r.n_chars == len(r.text) and r.url == source[r.page_id].url
 
 
+def test_pages_consensus(spark, sf):
+    """Votes added up host by host in plain Python, and pages extracted by the best three paths."""
+    source = table(spark, sf, "pages").select("page_id", "url", "html").collect()
+    support = {}
+    for r in source:
+        for path, share in html.votes(r.html):
+            own = support.setdefault(re.sub(r"^[a-z]+://([^/]+)/.*$", r"\1", r.url), Counter())
+            own[path] += share
+    signed = lambda p: p - (1 << 64) if p >> 63 else p
+    best = {h: [p for p, _ in sorted(c.items(), key=lambda x: (-round(x[1], 6), signed(x[0])))[:3]] for h, c in support.items()}
+    want = Counter((r.page_id, html.extract(r.html, best[re.sub(r"^[a-z]+://([^/]+)/.*$", r"\1", r.url)])) for r in source)
+    assert rows(html.extract_pages(table(spark, sf, "pages")), "page_id", "text") == want
+
+
+@pytest.mark.parametrize("page", ["<div>" * 50_000 + "deep text, really.", "<b>" * 50_000 + "<p>deep text,</p> <h1>x</h1>" * 200, "<div><h1>a</h1>" * 20_000 + "</i></div>" * 20_000, "<ul>" + "<li>x<b>y" * 30_000, "<p>" * 50_000 + "</span>" * 50_000 + "z"])
+def test_pages_deep_nesting(page):
+    import time
+    import tracemalloc
+
+    tracemalloc.start()
+    began = time.time()
+    found = html.votes(page)
+    html.extract(page, [p for p, _ in found[:3]])
+    assert time.time() - began < 60 and tracemalloc.get_traced_memory()[1] < 150e6
+    tracemalloc.stop()
+
+
 def test_pages_odd(spark):
     good = "<body><nav>Home</nav><div class='post-{}'><h2>Title &amp; more</h2><p>One, two<b>x</b>.<p>Three, four.</div><div class=sidebar><p>" + "Buy, buy, buy. " * 30 + "</div></body>"
     odd = [(1, None, None), (2, "http://a.example/1", ""), (3, "http://a.example/2", good.format(3)), (3, "http://a.example/2", good.format(3)), (4, "nonsense", "just text"), (5, "http://a.example/3", "<p>a<p>b<!-- x --><script>var p='<p>no</p>'</script>")]
