@@ -401,6 +401,56 @@ def test_quality(docs, texts, odd, spark, sf):
     assert share.get(1, 1) >= 0.98 and share.get(0, 0) <= 0.4
 
 
+def quality_verdicts(texts):
+    """`kept` and both distances in plain Python."""
+    def base_form(w):
+        return w.rstrip(".,").lower()
+
+    counts = {}
+    for _, x, lang in texts:
+        if lang is not None:
+            counts.setdefault(lang, Counter()).update(w for w in map(base_form, WORD.findall(x or "")) if any(c.isalpha() for c in w))
+    common = {k: sorted(c, key=lambda w: (-c[w], w))[:20] for k, c in counts.items()}
+    common = {k: v for k, v in common.items() if v}
+    known = {v + end for k in common.values() for w in k for v in (w, w.capitalize()) for end in ("", ".", ",")}
+    rows_ = []
+    for d, x, lang in texts:
+        x = x or ""
+        w = WORD.findall(x)
+        hits = [base_form(y) for y in w if y in known]
+        ref = lang if lang in common else max(((sum(h in v for h in hits), k) for k, v in common.items()), default=(0, None))[1]
+        classes = [len(re.findall(c, x)) for c in ("[a-z]", r"[\x20\x09-\x0D]", r"[^\x00-\x7F]", "[A-Z]", "[0-9]", "[.,;:!?'\"()-]")]
+        chars = [n / len(x) for n in (*classes, len(x) - sum(classes))] if x else [0.0] * 7
+        shares = [hits.count(c) / len(w) if w else 0.0 for c in common.get(ref, [])]
+        rows_.append((d, ref, lang, len(w), chars, [*shares, 1 - sum(shares)]))
+    refs = {}
+    for k in common:
+        own = [r for r in rows_ if r[2] == k and r[3] >= 50]
+        if own:
+            median = lambda m: sorted(m)[(len(m) + 1) // 2 - 1]
+            refs[k] = [[v / sum(q) for v in q] for q in ([median([r[i][j] for r in own]) for j in range(len(own[0][i]))] for i in (4, 5))]
+
+    def distance(p, q):
+        m = [(a + b) / 2 for a, b in zip(p, q)]
+        return max(0.0, sum((a * np.log2(a / c) if a > 0 else 0) + (b * np.log2(b / c) if b > 0 else 0) for a, b, c in zip(p, q, m)) / 2) ** 0.5
+
+    out = []
+    for d, ref, _, n, chars, shares in rows_:
+        near = [distance(p, q) for p, q in zip((chars, shares), refs[ref])] if ref in refs else None
+        limit = [a + ((len(q) - 1) / (8 * np.log(2) * n)) ** 0.5 for a, q in zip((0.2, 0.12), refs[ref])] if near and n else None
+        out.append((d, n, near, n < 50 or near is None or all(a <= b for a, b in zip(near, limit))))
+    return out
+
+
+def test_quality_verdicts(docs, texts, odd):
+    for df, want in ((docs, quality_verdicts(texts)), (odd, quality_verdicts(ODD))):
+        failed = quality_rows(texts if df is docs else ODD)
+        got = quality.quality_rules(df).collect()
+        shown = Counter((r.doc_id, r.n_words, None if r.word_distance is None else (round(r.char_distance, 6), round(r.word_distance, 6)), r.kept) for r in got)
+        bad = {k[0:2] for k in failed if k[-1]}
+        assert shown == Counter((d, n, near and tuple(round(v, 6) for v in near), kept and (d, n) not in bad) for d, n, near, kept in want)
+
+
 def private(df):
     return pii.private_data(df, "a secret")
 
