@@ -156,8 +156,8 @@ def latin_words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), "")
 
 
-def latin_tokens(text: Column, most: int | None = 16, decompose: bool = False) -> Column:
-    """Distinct words of three characters and more that are no stop words, in order. `decompose` splits accents off first."""
+def latin_tokens(text: Column, most: int | None = None, decompose: bool = False) -> Column:
+    """Distinct words of three characters and more that are no stop words, in order, all or the first `most`. `decompose` splits accents off first."""
     tokens = F.filter(F.array_distinct(latin_words(nfkd(text) if decompose else text)), lambda w: (F.length(w) >= 3) & ~w.isin(LATIN_STOP))
     return F.slice(tokens, 1, most) if most else tokens
 
@@ -204,11 +204,10 @@ def script_share(text: Column) -> Column:
     return a / F.greatest(F.lit(1), a + b)
 
 
-def guess_language(text: Column, sample: int = 20_000) -> Column:
-    """`ar` by script, else `id` or `en` by which common words occur more often."""
-    part = F.substring(text, 1, sample)
-    hits = lambda ws: F.regexp_count(part, F.lit(rf"(?i)\b({'|'.join(ws)})\b"))
-    return F.when(arabic_letters(part) > latin_letters(part), "ar").when(hits(INDONESIAN_WORDS) > hits(ENGLISH_WORDS), "id").otherwise("en")
+def guess_language(text: Column) -> Column:
+    """`ar` by script, else `id` or `en` by which common words occur more often in the whole text."""
+    hits = lambda ws: F.regexp_count(text, F.lit(rf"(?i)\b({'|'.join(ws)})\b"))
+    return F.when(arabic_letters(text) > latin_letters(text), "ar").when(hits(INDONESIAN_WORDS) > hits(ENGLISH_WORDS), "id").otherwise("en")
 
 
 def overlap(a: Column, b: Column) -> Column:

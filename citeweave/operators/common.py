@@ -10,9 +10,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """Marks `df` for broadcast if it has at most `rows` rows; a larger one is left to a shuffle join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def broadcast_if_small(df: DataFrame, most: int = 64 << 20) -> DataFrame:
+    """Marks `df` for broadcast if its rows take at most about `most` bytes as text; a larger one is left to a shuffle join.
+
+    Every row counts as eight bytes for each column and its strings and arrays besides; at most `most` / 16 rows are looked at.
+    """
+    plain = lambda f: F.length(F.col(f"`{f.name}`")) if f.dataType.typeName() == "string" else F.length(F.to_json(F.struct(F.col(f"`{f.name}`"))))
+    wide = [F.coalesce(plain(f), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() in ("string", "array", "struct", "map")]
+    size = sum(wide, F.lit(8 * max(1, len(df.columns))))
+    rows = most // 16
+    n, total = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= most else df
 
 
 def top(df: DataFrame, keys, order, k: int, name: str = "rank") -> DataFrame:
@@ -31,3 +39,37 @@ def when_of(ladder: list[tuple[Column, object]], default) -> Column:
         value = value if isinstance(value, Column) else F.lit(value)
         e = F.when(condition, value) if e is None else e.when(condition, value)
     return e.otherwise(default if isinstance(default, Column) else F.lit(default))
+
+
+def range_of(df: DataFrame, column: str, ranges: int = 256) -> Column:
+    """Number of the range of `column` that a row falls into, of `ranges` about equally full ones. One pass finds the bounds."""
+    cuts = df.agg(F.percentile_approx(column, [i / ranges for i in range(1, ranges)], 10 * ranges).alias("c")).first()["c"] or []
+    bounds = F.array(*(F.lit(c) for c in sorted(set(cuts)))) if cuts else F.array().cast("array<long>")
+    return F.size(F.filter(bounds, lambda c: c <= F.col(column)))
+
+
+def numbered(df: DataFrame, keys: list[str], order: str, name: str, ranges: int = 256) -> DataFrame:
+    """Adds the row's number from 1 among those of its key by `order`: numbered within ranges of `order`, then moved by the ranges before, so that a key with very many rows is dealt over tasks."""
+    df = df.withColumn("_range", range_of(df, order, ranges))
+    counts = df.groupBy(*keys, "_range").agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("_before", before).drop("_size")
+    own = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(order))
+    return df.withColumn("_own", own).join(counts, [*keys, "_range"]).withColumn(name, F.col("_own") + F.col("_before")).drop("_range", "_own", "_before")
+
+
+def at_ranks(df: DataFrame, by: list[str], value: str, ranks: dict[str, Column], ranges: int = 256) -> DataFrame:
+    """(by, n, a column for each rank): the values of `value` (no nulls) at ranks from 0, given as expressions of the group's size `n`.
+
+    Equal values are counted first; ranges of values are added up, and only distinct values of one range are put in
+    order in a task.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_m"))
+    counts = counts.withColumn("_range", range_of(df, value, ranges))
+    sums = counts.groupBy(*by, "_range").agg(F.sum("_m").alias("_s"))
+    group = Window.partitionBy(*by)
+    sums = sums.withColumns({"_before": F.sum("_s").over(group.orderBy("_range")) - F.col("_s"), "n": F.sum("_s").over(group)}).drop("_s")
+    upto = F.col("_before") + F.sum("_m").over(Window.partitionBy(*by, "_range").orderBy(value))
+    placed = counts.join(sums, [*by, "_range"]).withColumn("_upto", upto)
+    here = lambda rank: (F.col("_upto") - F.col("_m") <= rank) & (rank < F.col("_upto"))
+    return placed.groupBy(*by).agg(F.max("n").alias("n"), *(F.max(F.when(here(r), F.col(value))).alias(c) for c, r in ranks.items()))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeweave.operators.common import broadcast_if_small
+
 
 def line_segments(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, seg, text, start): lines of a text and where each begins in the lines joined by one character."""
@@ -144,10 +146,10 @@ def restored(text: Column, quotes: Column) -> Column:
     return F.aggregate(F.transform(quotes, lambda q, i: F.struct(q.alias("q"), i.alias("i"))), text, lambda t, x: F.replace(t, F.format_string("⟦%d⟧", x["i"]), x["q"]))
 
 
-def tag_terms(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, term, form, position): the first whole-word place of each term (term, form, lower_only) in a text; terms are few and broadcast."""
-    words = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.col(text), r"[^\p{L}'’-]+")).alias("position", "word")).where("word != ''")
-    hits = words.join(F.broadcast(terms), F.lower("word") == F.lower("form")).where(~F.col("lower_only") | (F.col("word") == F.lower("word")))
+def tag_terms(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text: str = "text", letter: str = r"\p{L}") -> DataFrame:
+    """(doc_id, term, form, position): the first whole-word place of each term (term, form, lower_only) in a text; terms are broadcast while they are few."""
+    words = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.col(text), rf"[^{letter}'’-]+")).alias("position", "word")).where("word != ''")
+    hits = words.join(broadcast_if_small(terms), F.lower("word") == F.lower("form")).where(~F.col("lower_only") | (F.col("word") == F.lower("word")))
     w = Window.partitionBy("doc_id", "term").orderBy("position", F.desc(F.length("form")), "form")
     return hits.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("doc_id", "term", "form", "position")
 

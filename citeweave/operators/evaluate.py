@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeweave.functions.text import overlap
+from citeweave.operators.common import at_ranks, top
 from citeweave.operators.records import mutual_best
 
 
@@ -84,11 +85,31 @@ def cited_within(answers: DataFrame) -> DataFrame:
 
 
 def percentiles(df: DataFrame, by: list[str], value: str, points: dict[str, float]) -> DataFrame:
-    """Values at the nearest index floor(n * p), by rank, so that no group is gathered."""
-    w = Window.partitionBy(*by)
-    ranked = df.withColumns({"_r": F.row_number().over(w.orderBy(value)), "_n": F.count("*").over(w)})
-    at = lambda p: F.max(F.when(F.col("_r") == F.least(F.col("_n"), F.floor(F.col("_n") * p) + 1), F.col(value)))
-    return ranked.groupBy(*by).agg(*(at(p).alias(n) for n, p in points.items()))
+    """Values at the nearest index floor(n * p) of each group; no group is gathered or put in order in one task."""
+    return at_ranks(df, by, value, {c: F.least(F.col("n") - 1, F.floor(F.col("n") * p)) for c, p in points.items()})
+
+
+def medians(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, n, median): the middle value, or the mean of the two in the middle."""
+    two = at_ranks(df, by, value, {"_low": F.floor((F.col("n") - 1) / 2), "_high": F.floor(F.col("n") / 2)})
+    return two.select(*by, "n", ((F.col("_low") + F.col("_high")) / 2).alias("median"))
+
+
+def comparison_report(compared: DataFrame, kind: str, order: list[str], most: int = 3) -> DataFrame:
+    """How many compared records are of each kind, their share of all in per cent, and the first `most` of them as samples with their `place`."""
+    counts = compared.groupBy(kind).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("_total"))
+    counts = counts.crossJoin(F.broadcast(total)).withColumn("share", 100 * F.col("n") / F.col("_total")).drop("_total")  # one row
+    few = top(compared, [kind], order, most, "place")
+    return counts.join(few, kind)
+
+
+def accepted(*parts: DataFrame) -> DataFrame:
+    """(unit, accepted): the sorted set of keys that count as right for a unit, of any number of (unit, key) tables: its source, same texts, copies."""
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part)
+    return both.groupBy("unit").agg(F.sort_array(F.collect_set("key")).alias("accepted"))
 
 
 def samples(df: DataFrame, kind: str, order: list[str], most: int = 3) -> DataFrame:

@@ -107,8 +107,8 @@ def due_cards(reviews: DataFrame, now: Column) -> DataFrame:
 
 def matching_passages(questions: DataFrame, segments: DataFrame, k: int = 5) -> DataFrame:
     """(query, doc_id, seg, shared, rank): the segments with the most distinct words of a question (query, text)."""
-    q = questions.select("query", F.explode(latin_tokens(F.col("text"), None)).alias("w"))
-    s = segments.select("doc_id", "seg", F.explode(latin_tokens(F.col("text"), None)).alias("w"))
+    q = questions.select("query", F.explode(latin_tokens(F.col("text"))).alias("w"))
+    s = segments.select("doc_id", "seg", F.explode(latin_tokens(F.col("text"))).alias("w"))
     return top(s.join(broadcast_if_small(q), "w").groupBy("query", "doc_id", "seg").agg(F.count("*").alias("shared")), ["query"], [F.desc("shared"), "doc_id", "seg"], k)
 
 
@@ -127,8 +127,8 @@ def messages(box: DataFrame, now: Column, kind: str | None = None, kinds: tuple[
     return (df.where(F.col("kind") == kind) if kind else df).orderBy(F.desc("ts"), "id")
 
 
-def leak_runs(answers: DataFrame, least: int = 5, most: int = 12, word: str = "[ء-ي]+") -> DataFrame:
+def leak_runs(answers: DataFrame, least: int = 5, most: int = 12, word: str = "[ء-ي]+", between: str = r"[\s،.؛:]+") -> DataFrame:
     """(id, n, run): the first runs of `least` target-script words and more outside tags in generated answers (id, text), to be checked against sources."""
     bare = F.regexp_replace("text", r"(?s)<([a-z]+)\b[^>]*>.*?</\1>|<[^>]*>", " | ")
-    runs = F.regexp_extract_all(bare, F.lit(rf"(?:{word}[\s،.؛:]+){{{least - 1},}}{word}"), F.lit(0))
+    runs = F.regexp_extract_all(bare, F.lit(rf"(?:{word}{between}){{{least - 1},}}{word}"), F.lit(0))
     return answers.select("id", F.posexplode(F.slice(runs, 1, most)).alias("n", "run"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeweave.operators.common import first_of, when_of
+from citeweave.operators.common import first_of, numbered, when_of
 from citeweave.operators.graph import connected_components
 from citeweave.plans.materialize import materialize
 
@@ -85,11 +85,11 @@ def grade_summary(combined: DataFrame, units: DataFrame, canonical: tuple[str, .
 
 def pair_equal(left: DataFrame, right: DataFrame, key: str, method: str) -> DataFrame:
     """One-to-one pairs (left_id, right_id, method) of rows with equal keys: the n-th of one side with the n-th of the other, by id."""
-    def numbered(df: DataFrame, name: str) -> DataFrame:
+    def side(df: DataFrame, name: str) -> DataFrame:
         df = df.where(F.col(key).isNotNull()).select(F.col("id").alias(name), F.col(key).alias("_k"))
-        return df.withColumn("_n", F.row_number().over(Window.partitionBy("_k").orderBy(name)))
+        return numbered(df, ["_k"], name, "_n")
 
-    return numbered(left, "left_id").join(numbered(right, "right_id"), ["_k", "_n"]).select("left_id", "right_id", F.lit(method).alias("method"))
+    return side(left, "left_id").join(side(right, "right_id"), ["_k", "_n"]).select("left_id", "right_id", F.lit(method).alias("method"))
 
 
 def match_cascade(left: DataFrame, right: DataFrame, passes: list[tuple[str, str]]) -> DataFrame:
@@ -129,6 +129,26 @@ def families(links: DataFrame, ranks: DataFrame) -> DataFrame:
     return df.join(name, "component").select("key", F.col("_m.key").alias("family_id"))
 
 
+def stacked(parts: dict[str, DataFrame]) -> DataFrame:
+    """All records of several tables with their `origin`; columns that one lacks are null there."""
+    both = None
+    for origin, df in parts.items():
+        df = df.withColumn("origin", F.lit(origin))
+        both = df if both is None else both.unionByName(df, allowMissingColumns=True)
+    return both
+
+
+def family_sizes(members: DataFrame) -> DataFrame:
+    """(family_id, collections, members): how many collections and records a family has."""
+    return members.where("family_id is not null").groupBy("family_id").agg(F.count_distinct("collection").alias("collections"), F.count("*").alias("members"))
+
+
+def chunked(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """Row per chunk with its `first` place and its values in order, `parts`. A chunk is of bounded size by its key."""
+    df = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))).alias("_p"), F.min(order).alias("first"))
+    return df.withColumn("parts", F.transform("_p", lambda x: x["v"])).drop("_p")
+
+
 def same_as_previous(records: DataFrame, partition: list[str], order: list[str], words: Column, marker: Column, key: str, long_words: int = 12) -> DataFrame:
     """Adds `same_as`: for a short record with the marker, the last longer one before it."""
     w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

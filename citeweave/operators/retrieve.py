@@ -107,6 +107,11 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "key", ve
     return top(pairs, ["query"], [F.desc("similarity"), "key"], k)
 
 
+def numbered_hits(hits: DataFrame, order: str) -> DataFrame:
+    """Adds `rank` from 1 within each query by `order`."""
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(order)))
+
+
 def fold_parts(hits: DataFrame) -> DataFrame:
     """Folds `key#part` ids into their key, best rank kept."""
     df = hits.withColumn("key", F.regexp_replace(F.col("key").cast("string"), "#.*$", ""))

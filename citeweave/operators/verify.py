@@ -79,6 +79,31 @@ def verify(passages: DataFrame, docs: DataFrame, slack: int = SLACK) -> DataFram
     )
 
 
+def contained(passages: DataFrame, docs: DataFrame, inner: int = 3) -> DataFrame:
+    """(doc_id, item_id) of every passage whose text stands in a document's, character by character. Both tables are (id, text).
+
+    What stands between the first and the last piece of a passage are whole pieces of any text that has it: up to
+    `inner` of them are the key of a join, and the pairs that meet are checked. Passages of one or two pieces have none
+    and are looked for in every text, while they are few next to the texts.
+    """
+    piece = lambda t: F.array_remove(F.split(t, r"\s+"), "")
+    keyed = passages.where(F.col("text").isNotNull()).select("item_id", F.col("text").alias("passage"), piece(F.col("text")).alias("pieces"))
+    keyed = keyed.withColumn("n", F.least(F.greatest(F.size("pieces") - 2, F.lit(0)), F.lit(inner)))
+    sizes = [r.n for r in keyed.select("n").distinct().collect() if r.n]  # `inner` rows at most
+    d = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
+    found = None
+    for n in sizes:
+        own = keyed.where(F.col("n") == n).select("item_id", F.array_join(F.slice("pieces", 2, n), " ").alias("gram"))
+        grams = d.select("doc_id", F.explode(F.array_distinct(placed_grams(piece(F.col("text")), n)["gram"])).alias("gram"))
+        pairs = grams.join(broadcast_if_small(own), "gram").select("doc_id", "item_id")
+        found = pairs if found is None else found.unionByName(pairs)
+    short = d.join(broadcast_if_small(keyed.where("n = 0").select("item_id", "passage")), F.contains("text", F.col("passage"))).select("doc_id", "item_id")
+    if found is None:
+        return short
+    checked = found.join(d, "doc_id").join(keyed.select("item_id", "passage"), "item_id").where(F.contains("text", F.col("passage")))
+    return checked.select("doc_id", "item_id").unionByName(short)
+
+
 def text_status(a: Column, label: Column | None = None) -> Column:
     """Status of an alignment; in the grey band a stored label, else misquote if words were changed and paraphrase if not."""
     grey = F.when(a["changed"] > 0, "misquote").otherwise("paraphrase")

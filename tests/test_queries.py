@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+from citeweave.plans import library  # noqa: F401
 from citeweave.plans.queries import ORACLES, QUERIES
 
 
