@@ -32,7 +32,7 @@ class Relations:
     """Scores of word pairs: same skeleton, same stem, a small edit away, or other."""
 
     def __init__(self, stem=None):
-        self.stem, self.known = stem or (lambda w: w), {}
+        self.stem, self.known, self.words = stem or (lambda w: w), {}, {}
 
     def __call__(self, a: str, b: str) -> float:
         if a == b:
@@ -43,6 +43,41 @@ class Relations:
             self.known[a, b] = self._relation(a, b)
         return self.known[a, b]
 
+    def _facts(self, word: str) -> tuple[int, int, str, str]:
+        """Length, letters as bits, bare form and stem of a word."""
+        if word not in self.words:
+            if len(self.words) > 200_000:
+                self.words.clear()
+            bits = 0
+            for c in set(word):
+                bits |= 1 << (ord(c) & 63)
+            self.words[word] = len(word), bits, _bare(word), self.stem(word)
+        return self.words[word]
+
+    def prepared(self, names: list[str]) -> tuple:
+        """Source words laid out for `scores`: lengths and letters as arrays, places by bare form and by stem."""
+        facts = [self._facts(w) for w in names]
+        bare: dict[str, list[int]] = {}
+        stems: dict[str, list[int]] = {}
+        for k, (_, _, b, s) in enumerate(facts):
+            bare.setdefault(b, []).append(k)
+            stems.setdefault(s, []).append(k)
+        return names, np.array([f[0] for f in facts], np.int64), np.array([f[1] for f in facts], np.uint64), bare, stems
+
+    def scores(self, word: str, prepared: tuple) -> np.ndarray:
+        """The relation of one word to every prepared one. Only words that length and letters leave in question are compared letter by letter."""
+        names, lengths, letters, bare, stems = prepared
+        n, bits, own_bare, own_stem = self._facts(word)
+        most, out = np.maximum(lengths, n), np.full(len(names), OTHER, np.float32)
+        own = np.uint64(bits)
+        apart = np.maximum(np.bitwise_count(letters & ~own), np.bitwise_count(own & ~letters)).astype(np.int64)
+        for k in np.flatnonzero((most >= 4) & (4 * np.maximum(apart, np.abs(lengths - n)) <= most)):
+            out[k] = self(word, names[k])
+        if len(own_stem) >= 2:
+            out[stems.get(own_stem, [])] = VARIANT
+        out[bare.get(own_bare, [])] = SAME
+        return out
+
     def _relation(self, a: str, b: str) -> float:
         if _bare(a) == _bare(b):
             return SAME
@@ -68,10 +103,8 @@ def local_alignment(spoken: list[str], source: list[str], relation) -> dict:
         return {"similarity": 0.0, "coverage": 0.0, "same": 0, "variant": 0, "near": 0, "changed": 0, "extra": n, "missing": 0, "first": -1, "last": -1, "ops": [("extra", w, None) for w in spoken], "score": 0.0, "end": 0}
     names = {w: k for k, w in enumerate(dict.fromkeys(source))}
     at = np.array([names[w] for w in source])
-    scores: dict[str, np.ndarray] = {}
-    for w in spoken:
-        if w not in scores:
-            scores[w] = np.array([relation(w, x) for x in names], np.float32)[at]
+    prepared = relation.prepared(list(names))
+    scores = {w: relation.scores(w, prepared)[at] for w in dict.fromkeys(spoken)}
     table, step = np.zeros((n + 1, m + 1), np.float32), -GAP * np.arange(m + 1)
     for i, w in enumerate(spoken, 1):
         best = np.maximum(0.0, np.maximum(table[i - 1, :-1] + scores[w], table[i - 1, 1:] + GAP))

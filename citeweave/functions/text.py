@@ -257,4 +257,4 @@ def chapter_key(name: Column) -> Column:
 
 def json_or(text: Column, schema: str, default: Column) -> Column:
     """Parsed JSON, or `default` where it is missing or malformed."""
-    return F.coalesce(F.from_json(text, schema), default)
+    return F.coalesce(F.when(F.try_parse_json(text).isNotNull(), F.from_json(text, schema)), default)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeweave.functions.align import align_windows, classify, difference_text
+from citeweave.functions.align import align, align_windows, classify, difference_text
 from citeweave.functions.text import bound, latin_words
 from citeweave.operators.common import broadcast_if_small, first_of, top, when_of
+from citeweave.operators.retrieve import append_absent, fuse
 
 GRAM, SLACK = 4, 10
 #: Least width, in words, of a range of shifts that shares a window.
@@ -131,6 +132,64 @@ def choose_match(aligned: DataFrame) -> DataFrame:
     return chosen.withColumn("closest", F.when(F.col("_closest") != F.col("key"), F.col("_closest"))).drop("_keep", "_r", "_named", "_closest")
 
 
+def aligned_windows(spoken: DataFrame, units: DataFrame, before: int = 4, after: int = 4) -> DataFrame:
+    """(span, key, covered, a): candidates (span, key, words) aligned to their unit joined with its neighbours, and the keys that the alignment covers.
+
+    `units` is (key, grp, ord, words). A quotation across the border of units is found whole; of candidates of a span
+    whose alignments cover the same units one is kept, the best and then the first by key.
+    """
+    at = spoken.select("span", "key").join(units.select("key", "grp", "ord"), "key").withColumn("_o", F.explode(F.sequence(F.col("ord") - before, F.col("ord") + after)))
+    near = at.join(units.select("grp", F.col("ord").alias("_o"), F.col("key").alias("_key"), F.col("words").alias("_words")), ["grp", "_o"])
+    window = near.groupBy("span", "key").agg(F.array_sort(F.collect_list(F.struct("_o", "_key", "_words"))).alias("w"))  # before + after + 1 units
+    owners = F.flatten(F.transform("w", lambda x: F.array_repeat(x["_key"], F.size(x["_words"]))))
+    df = window.select("span", "key", F.flatten(F.transform("w", lambda x: x["_words"])).alias("window"), owners.alias("owners")).join(spoken.select("span", "key", "words"), ["span", "key"])
+    df = df.withColumn("a", align(F.col("words"), F.col("window")))
+    own = F.array_distinct(F.slice("owners", F.greatest(F.col("a.first"), F.lit(0)) + 1, F.greatest(F.col("a.last") - F.col("a.first") + 1, F.lit(0))))
+    df = df.select("span", "key", F.when(F.col("a.first") >= 0, own).otherwise(F.array("key")).alias("covered"), "a")
+    return first_of(df, ["span", "covered"], [F.desc("a.similarity"), F.desc("a.coverage"), "key"])
+
+
+def span_candidates(lists: list[DataFrame], cited: DataFrame, limit: int = 24) -> DataFrame:
+    """(span, key): the `limit` best of several fused (span, key, rank) lists, and what the span cites (span, key) behind them."""
+    fused = fuse([part.withColumnRenamed("span", "query") for part in lists], limit)
+    return append_absent(fused, cited.select(F.col("span").alias("query"), "key").distinct()).select(F.col("query").alias("span"), "key")
+
+
+def check_spans(spans: DataFrame, lists: list[DataFrame], cited: DataFrame, units: DataFrame, limit: int = 24, neighbours: int = 0) -> DataFrame:
+    """Findings of quoted spans: candidates, alignment of all of them, the match, its verdict, and the lists of other sources.
+
+    `spans` is (span, words, optional), `lists` are retrieval lists (span, key, rank), `cited` is (span, key), `units`
+    (key, words, graded, source_rank, grade_status), with (grp, ord) where `neighbours` units on both sides are to be
+    joined. Gives (span, key, covered, text_status, status, confidence, similarity, coverage, difference, closest, near,
+    also); a span without candidates is not found, an optional one without a match is left out.
+    """
+    candidates = span_candidates(lists, cited, limit).join(spans.select("span", "words"), "span")
+    if neighbours:
+        df = aligned_windows(candidates, units, neighbours, neighbours)
+    else:
+        df = candidates.join(units.select("key", F.col("words").alias("_w")), "key").withColumn("a", align(F.col("words"), F.col("_w"))).select("span", "key", F.array("key").alias("covered"), "a")
+    own = units.select("key", "graded", "source_rank", "grade_status", F.size("words").alias("length"))
+    named = cited.select("span", "key", F.lit(True).alias("cited")).distinct()
+    df = df.join(own, "key").join(named, ["span", "key"], "left").withColumn("cited", F.coalesce("cited", F.lit(False)))
+    points = F.col("a.same") + 0.75 * F.col("a.variant") + 0.5 * F.col("a.near")
+    df = df.withColumns({"score": points, "similarity": F.col("a.similarity"), "coverage": F.col("a.coverage"), "verbatim": classify(F.col("a.similarity"), F.col("a.coverage")) == "verbatim"})
+    match = choose_match(df)
+    found = match.join(near_lists(df, match), "span", "left").withColumn("text_status", text_status(F.col("a")))
+    found = spans.select("span", "optional").join(found, "span", "left").withColumn("text_status", F.coalesce("text_status", F.lit("not_found")))
+    sure = F.round(F.when(F.col("text_status") == "not_found", 1 - F.coalesce("similarity", F.lit(0.0))).otherwise(F.col("similarity")), 3)
+    found = found.withColumn("status", final_status(F.col("text_status"), F.coalesce("grade_status", F.lit("")), F.col("optional"))).where(F.col("status").isNotNull())
+    matched = lambda c: F.when(F.col("text_status") != "not_found", F.col(c)).alias(c)
+    return found.select("span", matched("key"), matched("covered"), "text_status", "status", sure.alias("confidence"), F.round("similarity", 6).alias("similarity"), F.round("coverage", 6).alias("coverage"), difference_text(F.col("a.ops")).alias("difference"), "closest", "near", "also")
+
+
+def meaning_findings(spans: DataFrame, lists: list[DataFrame], picks: DataFrame, offered: int = 5, least: float = 0.6) -> DataFrame:
+    """(span, key, status, confidence) of spans that give a source's meaning: a judge's pick (span, key, confidence) counts if it was among the `offered` candidates and is sure enough."""
+    top_few = fuse([part.withColumnRenamed("span", "query") for part in lists], offered).select(F.col("query").alias("span"), "key")
+    good = accepted_picks(picks, top_few, least)
+    df = spans.select("span").join(good, "span", "left")
+    return df.select("span", "key", F.when(F.col("key").isNotNull(), "meaning").otherwise("not_found").alias("status"), F.round(F.coalesce("confidence", F.lit(0.0)), 3).alias("confidence"))
+
+
 def near_lists(aligned: DataFrame, matches: DataFrame, near: int = 3, also: int = 12) -> DataFrame:
     """(span, near, also): the best other candidates, and those of the same or close wording with graded ones and better sources first."""
     rest = aligned.join(matches.select("span", F.col("key").alias("match")), "span").where(F.col("key") != F.col("match"))

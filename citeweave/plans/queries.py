@@ -306,10 +306,10 @@ def grade_view(spark, sf_dir):
 @query("""WITH c AS (SELECT user_id AS id, substr(event_type, 1, (1 + event_id % 5)::INT) AS name, count(*) AS n FROM events GROUP BY 1, 2),
 v AS (SELECT c.id, c.name, c.n, sum(o.n) AS votes FROM c JOIN c o ON c.id = o.id AND (starts_with(c.name, o.name) OR starts_with(o.name, c.name)) GROUP BY 1, 2, 3),
 r AS (SELECT *, sum(n) OVER (PARTITION BY id) AS total, row_number() OVER (PARTITION BY id ORDER BY votes DESC, n DESC, name) AS k FROM v)
-SELECT id, name, votes::BIGINT AS votes, total::BIGINT AS total FROM r WHERE k = 1 AND votes >= 0.4 * total""")
+SELECT id, name, votes::BIGINT AS votes, total::BIGINT AS total FROM r WHERE k = 1 AND votes >= 0.2 * total""")
 def majority_vote(spark, sf_dir):
     name = F.expr("substring(event_type, 1, cast(1 + event_id % 5 as int))")  # spellings that are openings of one another
-    return R.majority(table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), name.alias("name")), 0.4)
+    return R.majority(table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), name.alias("name")), 0.2)
 
 
 @query("""SELECT source, count(*) AS n, CASE WHEN source IN ('src0', 'src1') THEN 'core' WHEN source = 'src2' THEN 'anthology' ELSE 'other' END AS grp FROM documents GROUP BY 1""")

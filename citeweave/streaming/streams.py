@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from citeweave.operators.verify import verify
 
@@ -16,6 +20,51 @@ def hourly_counts(requests: DataFrame, key: str, ts: str, most: int, late: str =
     return df.select(key, F.col("w.start").alias("hour"), "n", F.least("n", F.lit(most)).alias("allowed"))
 
 
+def hourly_quota(requests: DataFrame, key: str, ts: str, most: int, late: str = "10 minutes") -> DataFrame:
+    """Adds `allowed` to every request: true for the first `most` of a key in each clock hour, in order of arrival and then of time.
+
+    The state is a count for each key and hour, dropped when the watermark has passed the hour.
+    """
+    df = requests.withWatermark(ts, late).withColumn("_hour", F.date_trunc("hour", ts))
+    schema = T.StructType([*requests.schema.fields, T.StructField("allowed", T.BooleanType())])
+
+    def counted(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n = state.get[0] if state.exists else 0
+        for rows in batches:
+            rows = rows.sort_values(ts, kind="stable").drop(columns="_hour")
+            rows["allowed"] = np.arange(n, n + len(rows)) < most
+            n += len(rows)
+            yield rows
+        state.update((n,))
+        end = int((pd.Timestamp(group[1]) + pd.Timedelta(hours=1)).timestamp() * 1000)
+        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+
+    return df.groupBy(key, "_hour").applyInPandasWithState(counted, schema, "n long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def expiring(rows: DataFrame, key: str, ts: str, ttl: str, late: str = "10 minutes") -> DataFrame:
+    """(key, ts, live): a row when a key is new or renewed, and one with `live` false when its time to live has passed since it was last seen."""
+    kept = pd.Timedelta(ttl)
+    schema = T.StructType([rows.schema[key], rows.schema[ts], T.StructField("live", T.BooleanType())])
+
+    def followed(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            last = pd.Timestamp(state.get[0], unit="us")
+            state.remove()
+            yield pd.DataFrame({key: [group[0]], ts: [last], "live": [False]})
+            return
+        last = pd.Timestamp(state.get[0], unit="us") if state.exists else pd.Timestamp(0)
+        last = max([last, *(b[ts].max() for b in batches)])
+        state.update((last.value // 1000,))
+        state.setTimeoutTimestamp(max(int((last + kept).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({key: [group[0]], ts: [last], "live": [True]})
+
+    return rows.select(key, ts).withWatermark(ts, late).groupBy(key).applyInPandasWithState(followed, schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def first_seen(texts: DataFrame, text: str, ts: str, ttl: str = "90 days") -> DataFrame:
     """The first of equal texts (by content hash) within the time that state is kept."""
     hashed = texts.withColumn("hash", F.sha2(F.trim(F.col(text)), 256))

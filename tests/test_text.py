@@ -33,7 +33,7 @@ def test_two_normal_forms(spark):
 def test_latin(spark):
     df = spark.createDataFrame([("The Résumé of résumé naïve cats, cats and 42 dogs",), (None,)], "t string")
     got = df.select(T.latin_tokens(F.col("t"), decompose=True).alias("x"), T.alias_key(F.col("t")).alias("k")).collect()
-    assert got[0].x == ["sume", "nai", "cats", "dogs"] or got[0].x == ["sume", "cats", "dogs"]
+    assert got[0].x == ["sume", "nai", "cats", "dogs"]
     assert got[0].k == "theresumeofresumenaivecatscatsanddogs"
     assert got[1].x == []
 
@@ -45,7 +45,7 @@ def test_small_functions(spark):
         T.cosine(F.col("u"), F.col("v")).alias("k"), T.clip(F.lit("abcdef"), 3).alias("z"), T.arabic_digits(F.lit("a12")).alias("n"), T.content_id(F.lit(" x ")).alias("h"),
         T.chapter_key(F.col("c")).alias("t1"), T.chapter_key(F.col("d")).alias("t2"), T.word_grams(F.array(*map(F.lit, "abcde")), 4).alias("g"), T.word_grams(F.array(F.lit("a")), 4).alias("g1"),
     ).first()
-    assert (r.p, r.c, r.o, json.loads(r.j), round(r.k, 6), r.z, r.n, len(r.h)) == ("a b,c d _e", "2:05", 0.5, {"a": 7}, 0.707107, "abc…", "a١٢", 32) or json.loads(r.j) in ({"a": 7}, {})
+    assert (r.p, r.c, r.o, json.loads(r.j), round(r.k, 6), r.z, r.n, len(r.h)) == ("a b,c d _e", "2:05", 0.5, {"a": 7}, 0.707107, "abc…", "a١٢", 32)
     assert r.t1 != r.t2 and r.g == ["a b c d", "b c d e"] and r.g1 == ["a"]
 
 
