@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,20 +41,63 @@ def rarest_tokens(queries: DataFrame, tokens: Column, frequencies: DataFrame, n_
     return top(df.where(F.col("df") <= n_units * max_share), ["query"], ["df", "position"], k, "pick").drop("pick")
 
 
-def bm25(query_tokens: DataFrame, index: DataFrame, lengths: DataFrame, k: int) -> DataFrame:
-    """(query, key, score, rank): any-token search by BM25. `query_tokens` is (query, token), tokens distinct.
+def bm25(query_tokens: DataFrame, units: DataFrame, k: int, most: int = 64 << 20) -> DataFrame:
+    """(query, key, score, rank): any-token search by BM25. `query_tokens` is (query, token), tokens distinct; `units` is (key, words).
 
-    Query tokens are few next to the index, so they are broadcast while they are; per query only `k` rows are kept.
+    Document frequencies are counted first. Queries of at most about `most` bytes are then sent to the units: each unit
+    is scored where its words are, and a task gives `k` rows for a query, so pairs that only share a word are never
+    shuffled. A larger set of queries is joined with the postings.
     """
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    hits = index.join(broadcast_if_small(query_tokens.select("query", "token")), "token")
-    df = index.join(broadcast_if_small(query_tokens.select("token").distinct()), "token", "left_semi")
-    df = df.groupBy("token").agg(F.count("*").alias("df"))
-    scored = hits.join(broadcast_if_small(df), "token").join(lengths, "key").crossJoin(F.broadcast(stats))
+    q = query_tokens.select("query", "token")
+    stats = units.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean"))
+    n, size = q.agg(F.count("*"), F.coalesce(F.sum(F.length("token") + 24), F.lit(0))).first()
+    vocabulary = q.select("token").distinct()
+    asked = F.broadcast(vocabulary) if size <= most else vocabulary
+    words = lambda c: units.select("key", F.explode(c).alias("token")).join(asked, "token", "left_semi")
+    frequent = words(F.array_distinct("words")).groupBy("token").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    total = scored.groupBy("query", "key").agg(F.round(F.sum(idf * weight), 6).alias("score"))
-    return top(total, ["query"], [F.desc("score"), "key"], k)
+    if size > most:
+        index = words(F.col("words")).groupBy("token", "key").agg(F.count("*").alias("tf"))
+        df = frequent.crossJoin(F.broadcast(stats)).withColumn("idf", idf)  # one row
+        weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+        scored = index.join(df, "token").join(units.select("key", F.size("words").alias("length")), "key").join(q, "token")
+        return top(scored.groupBy("query", "key").agg(F.round(F.sum(weight), 6).alias("score")), ["query"], [F.desc("score"), "key"], k)
+
+    df = frequent.crossJoin(F.broadcast(stats)).withColumn("idf", idf)  # one row
+    pairs = q.join(F.broadcast(df), "token").select("query", "token", "idf", "mean").collect()  # the queries, of the size that was checked
+    names = sorted({r["query"] for r in pairs})
+    at = {x: i for i, x in enumerate(names)}
+    places: dict[str, list] = {}
+    for r in pairs:
+        places.setdefault(r["token"], [r["idf"], []])[1].append(at[r["query"]])
+    mean = pairs[0]["mean"] if pairs else 1.0
+    shared = units.sparkSession.sparkContext.broadcast({t: (weight, np.array(rows)) for t, (weight, rows) in places.items()})
+    types = q.schema["query"].dataType.simpleString(), units.schema["key"].dataType.simpleString()
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index, found = shared.value, {}
+
+        def cut(rows: list) -> list:
+            return sorted(rows, key=lambda x: (-x[0], x[1]))[:k]
+
+        for batch in batches:
+            for key, words in zip(batch["key"], batch["words"]):
+                counts = Counter(w for w in words if w in index)
+                total = np.zeros(len(names))
+                norm = K1 * (1 - B + B * len(words) / mean)
+                for w, tf in counts.items():
+                    weight, rows = index[w]
+                    total[rows] += weight * tf * (K1 + 1) / (tf + norm)
+                for i in np.flatnonzero(total).tolist():
+                    rows = found.setdefault(i, [])
+                    rows.append((round(float(total[i]), 6), key))
+                    if len(rows) >= 8 * k + 64:
+                        found[i] = cut(rows)
+        out = [(names[i], key, score) for i, rows in found.items() for score, key in cut(rows)]
+        yield pd.DataFrame(out, columns=["query", "key", "score"])
+
+    scored = units.select("key", "words").mapInPandas(best, f"query {types[0]}, key {types[1]}, score double")
+    return top(scored, ["query"], [F.desc("score"), "key"], k)
 
 
 def fuse(lists: list[DataFrame], limit: int, constant: int = RRF) -> DataFrame:
@@ -80,31 +124,44 @@ def _unit(rows: pd.Series) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "key", vector: str = "vector", block: int = 512, chunk: int = 8192) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "key", vector: str = "vector", block: int = 16_384) -> DataFrame:
     """(query, key, similarity, rank): exact cosine neighbours. Both tables are (key, vector); a key is no neighbour of itself.
 
-    Queries and vectors are dealt by hash into blocks and chunks of about the sizes given; every block meets every
-    chunk in a task of bounded size, which keeps `k` rows for a query.
+    Queries go to the vectors in broadcast blocks of about `block`, one pass over the vectors for each; a task keeps `k`
+    rows for a query, so no vector is shuffled.
     """
-    n_q, n_v = max(1, -(-queries.count() // block)), max(1, -(-vectors.count() // chunk))
-    side = lambda df, n: df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("own"))
-    q = side(queries, n_q).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n_v - 1)))).withColumnRenamed("own", "b")
-    v = side(vectors, n_v).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))).withColumnRenamed("own", "c")
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query": [], "key": [], "similarity": []}, dtype="int64").astype({"similarity": "float64"})
-        s = np.round(_unit(left.v) @ _unit(right.v).T, 9)
-        s[left.id.to_numpy()[:, None] == right.id.to_numpy()[None, :]] = -2
-        right_ids, out = right.id.to_numpy(), []
-        for i, row in zip(left.id, s):
-            cut = np.partition(row, -k)[-k] if len(row) > k else -2  # ties at the cut all stay; the window breaks them by key
-            at = np.flatnonzero((row >= cut) & (row > -2))
-            out.append(pd.DataFrame({"query": i, "key": right_ids[at], "similarity": row[at]}))
-        return pd.concat(out)
-
-    pairs = q.groupBy("b", "c").cogroup(v.groupBy("b", "c")).applyInPandas(best, "query long, key long, similarity double")
-    return top(pairs, ["query"], [F.desc("similarity"), "key"], k)
+    n = max(1, -(-queries.count() // block))
+    asked = queries.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)))
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
+    spark, found = queries.sparkSession, None
+
+    def passed(ids: np.ndarray, matrix: np.ndarray) -> DataFrame:
+        shared = spark.sparkContext.broadcast((ids, matrix))
+
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own, m = shared.value
+            keys, sims = np.zeros((len(own), 0), np.int64), np.zeros((len(own), 0))
+            step = max(1, 4_000_000 // max(1, len(own)))  # similarities held at a time
+            for batch in (b.iloc[at : at + step] for b in batches for at in range(0, len(b), step)):
+                right = batch["id"].to_numpy(np.int64)
+                s = np.round(m @ _unit(batch["v"]).T, 9)
+                s[own[:, None] == right[None, :]] = -2
+                keys, sims = np.concatenate((keys, np.broadcast_to(right, s.shape)), 1), np.concatenate((sims, s), 1)
+                order = np.lexsort((keys, -sims), axis=1)[:, :k]  # ties by key
+                keys, sims = np.take_along_axis(keys, order, 1), np.take_along_axis(sims, order, 1)
+            real = sims > -2
+            yield pd.DataFrame({"query": np.broadcast_to(own[:, None], keys.shape)[real], "key": keys[real], "similarity": sims[real]})
+
+        return rows.mapInPandas(best, "query long, key long, similarity double")
+
+    for b in range(n):
+        part = asked.where(F.col("b") == b).select("id", "v").collect()  # a block
+        if part:
+            part = passed(np.array([r["id"] for r in part], np.int64), _unit([r["v"] for r in part]))
+            found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], "query long, key long, similarity double")
+    return top(found, ["query"], [F.desc("similarity"), "key"], k)
 
 
 def numbered_hits(hits: DataFrame, order: str) -> DataFrame:
@@ -118,25 +175,6 @@ def fold_parts(hits: DataFrame) -> DataFrame:
     return first_of(df, ["query", "key"], ["rank"])
 
 
-def hashed_vectors(text_words: Column, size: int = 64) -> Column:
-    """Feature-hashed bag of words at unit length: the offline stand-in for an embedding model."""
-    @F.pandas_udf("array<float>")
-    def embedded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import zlib
-
-        for batch in batches:
-            out = []
-            for ws in batch:
-                v = np.zeros(size)
-                for w in ws if ws is not None else []:
-                    h = zlib.crc32(w.encode())
-                    v[h % size] += 1 if h >> 31 else -1
-                out.append((v / (np.linalg.norm(v) or 1)).astype(np.float32).tolist())
-            yield pd.Series(out)
-
-    return embedded(text_words)
-
-
 def embed_missing(texts: DataFrame, cache: DataFrame, embed, model: str, size: int, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(vectors of all texts, new cache rows): only texts whose (model, size, text) hash is not in `cache` (hash, vector) are embedded, each once."""
     hashed = texts.withColumn("hash", F.sha2(F.concat_ws("\x1f", F.lit(model), F.lit(str(size)), F.col(text)), 256))

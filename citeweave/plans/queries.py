@@ -68,9 +68,8 @@ def rarest_tokens(spark, sf_dir):
 
 def _bm25(spark, sf_dir, k=10):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    words = T.latin_words(F.col("text"))
     q = items.select(F.col("item_id").alias("query"), F.explode(T.latin_tokens(F.col("text"))).alias("token"))
-    return I.bm25(q, I.postings(docs, words, "doc_id"), I.unit_lengths(docs, words, "doc_id"), k)
+    return I.bm25(q, docs.select(F.col("doc_id").alias("key"), T.latin_words(F.col("text")).alias("words")), k)
 
 
 _BM25 = f"""{_TOKENS}

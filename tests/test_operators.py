@@ -62,7 +62,7 @@ def test_rank_fusion_and_parts(spark):
 
 def test_embedding_cache(spark):
     texts = spark.createDataFrame([("a b",), ("a b",), ("c",)], "text string")
-    embed = lambda c: I.hashed_vectors(F.split(c, " "), 8)
+    embed = lambda c: F.array(F.length(c).cast("float"))
     cache = spark.createDataFrame([], "hash string, vector array<float>")
     vectors, new = I.embed_missing(texts, cache, embed, "m", 8)
     assert vectors.count() == 3 and new.count() == 2
@@ -71,6 +71,14 @@ def test_embedding_cache(spark):
     assert good.count() == 1 and bad.count() == 2
 
 
+def test_bm25_both_ways(spark):
+    units = spark.createDataFrame([(k, [f"w{(k * j) % 17}" for j in range(1, 2 + k % 9)]) for k in range(60)] + [(99, [])], "key int, words array<string>")
+    q = spark.createDataFrame([(n, f"w{t}") for n in range(6) for t in range(n, n + 4)] + [(7, "absent")], "query int, token string")
+    few, many = (rows(I.bm25(q, units, 5, most).select("query", "key", "score", "rank")) for most in (1 << 20, 0))
+    assert few == many and len(few) == 30
+    assert I.bm25(q.where("query = 7"), units, 5).count() == 0
+
+
 def test_nearest_in_blocks(spark):
     import numpy as np
 
@@ -78,7 +86,7 @@ def test_nearest_in_blocks(spark):
     v = rng.normal(size=(60, 5))
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "key long, vector array<double>")
     got = {}
-    for r in I.nearest(df.where("key % 20 = 0"), df, 4, block=2, chunk=7).collect():
+    for r in I.nearest(df.where("key % 20 = 0"), df, 4, block=2).collect():
         got.setdefault(r["query"], []).append((r["rank"], r.key))
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     for q in (0, 20, 40):
