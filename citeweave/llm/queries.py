@@ -37,7 +37,8 @@ def op7_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(table(spark, sf_dir, "documents"))
+    found = quality.quality_rules(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,4 +51,41 @@ def op10_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_language_svm, op2_byte_bpe, op3_license_index, op4_simhash_blocks, op5_host_consensus, op6_invertible_sketch, op7_linear_grouping, op8_quality_divergence, op9_feistel_pseudonyms, op10_phrase_automata)}
 
-ORACLES: dict[str, str] = {}
+# The rest need models, tokenizers, automata over bytes or hashes that SQL has not; tests hold them against brute force.
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_ROWS = f"d AS (SELECT row_number() OVER (ORDER BY doc_id, text) AS rid, doc_id, lang, coalesce(text, '') AS text, {_WORDS} AS w FROM documents)"
+
+_DEDUP = f"""WITH {_ROWS},
+win AS (SELECT rid, doc_id, i, md5(array_to_string(w[i:i+49], ' ')) AS h FROM d, unnest(generate_series(1, len(w) - 49)) AS t(i)),
+bad AS (SELECT rid, i FROM win JOIN (SELECT h, min(doc_id) AS first FROM win GROUP BY 1) USING (h) WHERE first < doc_id),
+gone AS (SELECT DISTINCT rid, i + k AS p FROM bad, unnest(generate_series(0, 49)) AS t(k)),
+x AS (SELECT rid, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT rid, count(g.p) AS n, string_agg(x, ' ' ORDER BY x.p) FILTER (g.p IS NULL) AS k FROM x LEFT JOIN gone g USING (rid, p) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)"""
+
+_QUALITY = rf"""WITH {_ROWS},
+f AS (SELECT rid, lower(rtrim(unnest(w), '.,')) AS b, unnest(w) AS v FROM d),
+n AS (SELECT lang, b, count(*) AS n FROM f JOIN d USING (rid) WHERE lang IS NOT NULL AND regexp_matches(b, '\pL') GROUP BY 1, 2),
+top AS (SELECT lang AS l, b, row_number() OVER (PARTITION BY lang ORDER BY n DESC, b) AS k FROM n QUALIFY k <= 20),
+form AS (SELECT DISTINCT c || e AS v FROM (SELECT b AS c FROM top UNION SELECT upper(b[1]) || b[2:] FROM top), unnest(['', '.', ',']) AS t(e)),
+hit AS (SELECT rid, b, count(*) AS n FROM f WHERE v IN (SELECT v FROM form) GROUP BY 1, 2),
+guess AS (SELECT rid, max(struct_pack(n := n, l := l)).l AS l FROM (SELECT d.rid, langs.l, coalesce(sum(hit.n), 0) AS n FROM d CROSS JOIN (SELECT DISTINCT l FROM top) langs LEFT JOIN top ON top.l = langs.l LEFT JOIN hit ON hit.rid = d.rid AND hit.b = top.b GROUP BY 1, 2) GROUP BY 1),
+r AS (SELECT rid, doc_id, lang, CASE WHEN lang IN (SELECT l FROM top) THEN lang ELSE guess.l END AS ref, len(w) AS nw, length(text) AS nc, text, w FROM d LEFT JOIN guess USING (rid)),
+cls AS (SELECT rid, unnest(['a', 's', 'w', 'u', 'd', 'p']) AS c, unnest([length(regexp_replace(text, '[^a-z]', '', 'g')), length(regexp_replace(text, '[^\x20\x09-\x0D]', '', 'g')), length(regexp_replace(text, '[\x00-\x7F]', '', 'g')),
+  length(regexp_replace(text, '[^A-Z]', '', 'g')), length(regexp_replace(text, '[^0-9]', '', 'g')), length(regexp_replace(text, '[^.,;:!?''"()-]', '', 'g'))]) AS n FROM d),
+p AS (SELECT r.rid, ref, lang, nw, 'c' AS h, c AS k, CASE WHEN nc > 0 THEN n / nc ELSE 0 END AS p FROM r JOIN cls USING (rid)
+  UNION ALL SELECT r.rid, ref, lang, nw, 'c', 'z', CASE WHEN nc > 0 THEN (nc - (SELECT sum(n) FROM cls WHERE cls.rid = r.rid)) / nc ELSE 0 END FROM r
+  UNION ALL SELECT r.rid, ref, lang, nw, 'w', top.b, CASE WHEN nw > 0 THEN coalesce(hit.n, 0) / nw ELSE 0 END FROM r JOIN top ON top.l = ref LEFT JOIN hit ON hit.rid = r.rid AND hit.b = top.b),
+p2 AS (SELECT * FROM p UNION ALL SELECT rid, ref, lang, nw, 'w', '', 1 - sum(p) FROM p WHERE h = 'w' GROUP BY ALL),
+m AS (SELECT lang AS ref, h, k, quantile_disc(p, 0.5) AS m FROM p2 WHERE lang IS NOT NULL AND nw >= 50 GROUP BY 1, 2, 3),
+q AS (SELECT ref, h, k, m / sum(m) OVER (PARTITION BY ref, h) AS q, count(*) OVER (PARTITION BY ref, h) AS bins FROM m),
+js AS (SELECT rid, h, any_value(bins) AS bins, any_value(nw) AS nw, sqrt(abs(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS s FROM p2 JOIN q USING (ref, h, k) GROUP BY 1, 2),
+far AS (SELECT rid, bool_or(nw >= 50 AND s > CASE h WHEN 'c' THEN 0.2 ELSE 0.12 END + sqrt((bins - 1) / (8 * ln(2) * nw))) AS far FROM js WHERE nw > 0 GROUP BY 1),
+win AS (SELECT rid, i, md5(array_to_string(w[i:i+7], ' ')) AS h FROM d, unnest(generate_series(1, len(w) - 7)) AS t(i)),
+rep AS (SELECT rid, count(DISTINCT i + k) AS n FROM win JOIN (SELECT rid, h FROM win GROUP BY 1, 2 HAVING count(*) > 1) USING (rid, h), unnest(generate_series(0, 7)) AS t(k) GROUP BY 1),
+b AS (SELECT rid, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l, coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN rep USING (rid)),
+v AS (SELECT *, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(far, false) AS kept FROM v LEFT JOIN far USING (rid)"""
+
+ORACLES: dict[str, str] = {"op8_quality_divergence": _QUALITY, "op10_phrase_automata": _DEDUP}
