@@ -26,6 +26,8 @@ RAW = "script|style|noscript|template|textarea|svg|iframe|object|title|head"
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul br".split())
 FURNITURE = frozenset("nav footer aside form button select menu dialog label option canvas audio video".split())
 CONTAINER = frozenset("article body div main section td blockquote".split())
+REPEATED = frozenset("li dt dd tr td th option".split())
+BARRIER = CONTAINER | {"ul", "ol", "table"}
 NAMES = re.compile(
     r"(?:^|[-_\s])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|comment-?list|consent|cookies?\w*|disqus|footer|gdpr|masthead|menu|modal|"
     r"nav|navbar|navigation|newsletter|notice|notices|notification|pagination|popup|promo\w*|recommend\w*|related|replies|responses|respond|share|sharing|"
@@ -62,7 +64,7 @@ def _open(tag: str, raw: str, parent: Node) -> Node:
 def parse(page: str) -> Node:
     """A tree of the page's elements and texts; unclosed paragraphs and list items end where HTML ends them."""
     root = node = Node("", 0, None, False)
-    n_open: Counter = Counter()
+    n_open: dict[str, int] = {}
     for m in _TOKEN.finditer(page):
         text = m[0]
         if text[0] != "<" or text == "<":
@@ -72,7 +74,7 @@ def parse(page: str) -> Node:
         if not tag:
             continue
         if m[2]:
-            while n_open[tag]:  # an element that is open ends, and all inside it
+            while n_open.get(tag):  # an element that is open ends, and all inside it
                 n_open[node.tag] -= 1
                 node, ended = node.parent, node.tag
                 if ended == tag:
@@ -82,22 +84,21 @@ def parse(page: str) -> Node:
             if tag in BLOCK:
                 node.parts.append("\n")
             continue
-        ends = {"p"} if tag in BLOCK else set()
-        if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            ends.add(tag)
-        at = node
-        while any(n_open[e] for e in ends) and at is not root and at.tag not in CONTAINER and at.tag not in ("ul", "ol", "table"):
-            if at.tag in ends:
-                while node is not at.parent:
-                    n_open[node.tag] -= 1
-                    node = node.parent
-                break
-            at = at.parent
+        in_p, in_own = tag in BLOCK and n_open.get("p"), tag in REPEATED and n_open.get(tag)
+        if in_p or in_own:  # an open paragraph, or element of the same kind, ends here
+            at = node
+            while at is not root and at.tag not in BARRIER:
+                if (in_p and at.tag == "p") or (in_own and at.tag == tag):
+                    while node is not at.parent:
+                        n_open[node.tag] -= 1
+                        node = node.parent
+                    break
+                at = at.parent
         child = _open(tag, m[4] or "", node)
         node.parts.append(child)
         if not (m[4] and m[4].rstrip().endswith("/") and tag not in BLOCK):
             node = child
-            n_open[tag] += 1
+            n_open[tag] = n_open.get(tag, 0) + 1
     return root
 
 
