@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from citeweave.functions.align import containment, similarity
 from citeweave.functions.text import word_grams
-from citeweave.operators.common import first_of, top, when_of
+from citeweave.operators.common import broadcast_if_small, first_of, top, when_of
 
 
 def shared_gram_pairs(left: DataFrame, right: DataFrame, k: int, n: int = 4, most: int | None = None) -> DataFrame:
@@ -102,6 +102,12 @@ def merged(left: DataFrame, right: DataFrame, fill: list[str], key: str = "key")
     return df.withColumns({c: F.when(empty(c), F.col(f"_{c}")).otherwise(F.col(c)) for c in fill}).drop(*(f"_{c}" for c in fill))
 
 
+def named_people(mentions: DataFrame, names: DataFrame) -> DataFrame:
+    """Adds `name` to mentions (…, id) from (id, name); a missing or empty name is null."""
+    known = names.where(F.col("name").isNotNull() & (F.trim("name") != "")).select("id", "name")
+    return mentions.join(broadcast_if_small(known), "id", "left")
+
+
 def merged_notes(notes: DataFrame, more: DataFrame, normal: Column, first: int = 80) -> DataFrame:
     """Union of (unit, lang, ord, text) without later notes whose language and first normal characters an earlier one has."""
     both = notes.withColumn("_s", F.lit(0)).unionByName(more.withColumn("_s", F.lit(1))).withColumn("_k", F.substring(normal, 1, first))

@@ -38,7 +38,7 @@ def resolve_keys(asked: DataFrame, units: DataFrame, aliases: DataFrame, pointer
 def presented(units: DataFrame, names: DataFrame, lang: str) -> DataFrame:
     """(key, reference, title, texts, url): units as shown, the collection's name in the language asked for."""
     n = names.select("collection", F.coalesce(F.col(f"name_{lang}"), F.col("name_en")).alias("_name"))
-    df = units.join(F.broadcast(n), "collection", "left")  # one row per collection
+    df = units.join(broadcast_if_small(n), "collection", "left")
     return df.select(
         "key", F.concat_ws(" ", F.coalesce("_name", "collection"), "number").alias("reference"), F.coalesce("title_en", "chapter_en").alias("title"),
         F.struct(F.col("ar_matn").alias("ar"), F.col("en_text").alias("en"), F.col("id_text").alias("id")).alias("texts"), F.coalesce("url", "sunnah_url").alias("url"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeweave.operators.common import first_of, numbered, when_of
+from citeweave.operators.common import broadcast_if_small, first_of, numbered, when_of
 from citeweave.operators.graph import connected_components
 from citeweave.plans.materialize import materialize
 
@@ -129,6 +129,30 @@ def families(links: DataFrame, ranks: DataFrame) -> DataFrame:
     return df.join(name, "component").select("key", F.col("_m.key").alias("family_id"))
 
 
+def corpus_ids(units: DataFrame, ranks: DataFrame) -> DataFrame:
+    """Adds `id` from 1: units (collection, ord, …) in order of their collection's `rank` in `ranks` (collection, rank), then its name, then `ord`.
+
+    Collections are counted and moved by those before; within one the rows are numbered in ranges, so none is in one task.
+    """
+    counts = units.groupBy("collection").agg(F.count("*").alias("_n")).join(ranks, "collection", "left")
+    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy(F.col("rank").asc_nulls_last(), "collection")) - F.col("_n")  # a row per collection
+    offsets = counts.select("collection", before.alias("_before"))
+    df = numbered(units, ["collection"], "ord", "id").join(broadcast_if_small(offsets), "collection")
+    return df.withColumn("id", F.col("id") + F.col("_before")).drop("_before")
+
+
+def renumbered(rows: DataFrame, keys: list[str], order: list, name: str = "n") -> DataFrame:
+    """Adds the row's number from 0 in its group's order."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+
+
+def absorbed(hosts: DataFrame, guests: DataFrame, key: str = "key") -> DataFrame:
+    """Adds `absorbed`, the numbers of the guests (key, ord, number) folded into each host, in order; empty where there are none."""
+    lists = guests.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "number"))), lambda x: x["number"]).alias("absorbed"))
+    df = hosts.join(lists, key, "left")
+    return df.withColumn("absorbed", F.coalesce("absorbed", F.array().cast(lists.schema["absorbed"].dataType)))
+
+
 def stacked(parts: dict[str, DataFrame]) -> DataFrame:
     """All records of several tables with their `origin`; columns that one lacks are null there."""
     both = None

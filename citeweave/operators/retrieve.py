@@ -100,6 +100,11 @@ def bm25(query_tokens: DataFrame, units: DataFrame, k: int, most: int = 64 << 20
     return top(scored, ["query"], [F.desc("score"), "key"], k)
 
 
+def of_kinds(units: DataFrame, kinds: list[str] | None) -> DataFrame:
+    """The units of the kinds asked for, all without any. Ranking works on what is left, so lists are as long as if there were no others, and the filter reaches the scan."""
+    return units.where(F.col("kind").isin(kinds)) if kinds else units
+
+
 def fuse(lists: list[DataFrame], limit: int, constant: int = RRF) -> DataFrame:
     """(query, key, score, rank, lists): reciprocal rank fusion of (query, key, rank) lists; ties by first list, its rank, then key."""
     both = None

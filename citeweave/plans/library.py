@@ -191,6 +191,38 @@ def unit_chunks(spark, sf_dir):
     return df.select("conv_id", F.col("chunk").cast(_LONG), F.array_join("parts", " ").alias("roles"), F.col("first").cast(_LONG).alias("first"))
 
 
+@query("""WITH r AS (SELECT 'BUILDING' AS c, 0 AS k UNION ALL SELECT 'MACHINERY', 1) SELECT c_custkey, row_number() OVER (ORDER BY k NULLS LAST, c_mktsegment, c_custkey) AS id FROM customer LEFT JOIN r ON c = c_mktsegment""")
+def corpus_ids(spark, sf_dir):
+    units = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("collection"), F.col("c_custkey").alias("ord"))
+    ranks = spark.createDataFrame([("BUILDING", 0), ("MACHINERY", 1)], "collection string, rank int")
+    return R.corpus_ids(units, ranks).select("c_custkey", "id")
+
+
+@query("""SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber) - 1 AS n FROM lineitem""")
+def lines_renumbered(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    return R.renumbered(lines, ["l_orderkey"], ["l_shipdate", "l_linenumber"]).select("l_orderkey", "l_linenumber", F.col("n").cast(_LONG))
+
+
+@query("""SELECT o_orderkey AS key, coalesce(string_agg(l_partkey, ',' ORDER BY l_linenumber, l_partkey::VARCHAR) FILTER (l_returnflag = 'R'), '') AS absorbed FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
+def numbers_absorbed(spark, sf_dir):
+    guests = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("ord"), F.col("l_partkey").cast("string").alias("number"))
+    return R.absorbed(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key")), guests).select("key", F.array_join("absorbed", ",").alias("absorbed"))
+
+
+@query("""SELECT s_suppkey, n_name AS name FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey AND n_regionkey <> 2""")
+def people_named(spark, sf_dir):
+    names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.when(F.col("n_regionkey") != 2, F.col("n_name")).otherwise("").alias("name"))
+    return K.named_people(table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("id")), names).select("s_suppkey", "name")
+
+
+@query("""WITH t AS (SELECT doc_id, source, len(regexp_extract_all(lower(text), 'and')) AS n FROM documents WHERE source IN ('src1', 'src3')), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, doc_id) AS k FROM t) SELECT doc_id, source, k FROM r WHERE k <= 10""")
+def kinds_ranked(spark, sf_dir):
+    units = table(spark, sf_dir, "documents").withColumn("kind", F.col("source"))
+    df = I.of_kinds(units, ["src1", "src3"]).select("doc_id", "source", F.regexp_count(F.lower("text"), F.lit("and")).alias("n"))
+    return I.top(df, ["source"], [F.desc("n"), "doc_id"], 10, "k").select("doc_id", "source", F.col("k").cast(_LONG))
+
+
 # --- verdicts --------------------------------------------------------------------------------------------------------
 
 _ALIGNED = """a AS (SELECT user_id AS span, event_id AS key, value AS score, event_type = 'purchase' AS verbatim, event_type = 'click' AS cited, event_id % 2 = 0 AS graded, event_id % 5 AS source_rank, length(event_type) AS length, (value / 100)::DOUBLE AS similarity, ((event_id % 100) / 100.0)::DOUBLE AS coverage FROM events),

@@ -449,7 +449,7 @@ SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS n FROM w JOIN t ON toke
 def term_counts(spark, sf_dir):
     terms = spark.createDataFrame([(w,) for w in ("with", "was", "avec", "nicht", "para")], "term string")
     words = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.latin_words(F.col("text"))).alias("term"))
-    per_doc = words.join(F.broadcast(terms), "term").groupBy("term", "doc_id").agg(F.count("*").alias("m"))
+    per_doc = words.join(broadcast_if_small(terms), "term").groupBy("term", "doc_id").agg(F.count("*").alias("m"))
     return per_doc.groupBy("term").agg(F.count("*").alias("docs"), F.sum("m").alias("n"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeweave.operators.common import broadcast_if_small
+
 from citeweave.operators.common import first_of
 
 ITEM = "struct<ref:string,number:string,title:struct<en:string,ar:string>,text:struct<en:string,ar:string>,chain:struct<en:string,ar:string>,grade:struct<en:string,ar:string>,grader:struct<en:string,ar:string>,id:string,source:struct<ref:string>>"
@@ -82,7 +84,7 @@ def parallel_texts(texts: dict[str, DataFrame], chapters: DataFrame, lead: str)
     parts = F.split("verse_key", ":")
     df = df.withColumns({"chapter": parts[0].cast("int"), "verse": parts[1].cast("int")})
     starts = chapters.select(F.col("id").alias("chapter"), "name", F.col("before"))
-    df = df.join(F.broadcast(starts), "chapter", "left")  # one row per chapter
+    df = df.join(broadcast_if_small(starts), "chapter", "left")
     return df.withColumn("ord", F.col("before") + F.col("verse")).drop("before")
 
 
