@@ -39,7 +39,11 @@ class _Known:
     """Ids that were met lately, in two halves: a full one becomes the older one and a new one is begun."""
 
     def __init__(self, most: int):
-        self.most, self.now, self.older = most, {"": b""}, {}
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.now, self.older = {"": b""}, {}
 
     def missing(self, keys) -> list:
         """The keys that are in neither half; the others are in the newer one from now on."""
@@ -73,8 +77,7 @@ def _tokenizers(path: str) -> tuple:
         t = Tokenizer.from_file(path)
         bare = Tokenizer(t.model)
         bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        for known in (_PIECES, _PARTS):
-            known.now, known.older = {"": b""}, {}
+        _PIECES.clear(), _PARTS.clear()
         _TOKENIZERS.clear()
         _TOKENIZERS[path] = t, bare
     return _TOKENIZERS[path]
@@ -121,6 +124,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
                     out += [(doc, k, a // 4, len(raw[a : a + step]) // 4, zlib.crc32(raw[a : a + step])) for k, a in enumerate(range(0, len(raw), step))]
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        _PIECES.clear(), _PARTS.clear()  # the worker goes on to other tasks, whose memory this is
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
