@@ -17,6 +17,8 @@ from citeweave.operators.graph import connected_components
 BITS = 64
 #: Fingerprints compared with one another in one task at most; a larger block is cut into pairs of chunks.
 CHUNK = 2048
+#: Blocks that full ones are cut into besides, and at most.
+STEP, MOST_BLOCKS = 3, 11
 
 
 def simhash(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -95,14 +97,21 @@ def near_links(reps: DataFrame, distance: int = 3, n_blocks: int | None = None,
     """Links (u, v) between the documents of (doc_id, fp), each fp once, that connect all pairs within `distance` bits.
 
     With `n_blocks` blocks, any such pair agrees in all but `distance` of them; more blocks for more fingerprints keep
-    a chance meeting rare. A block of over `chunk` fingerprints is dealt by hash into chunks, and each pair of chunks is a
-    task: no task grows with the block, nothing is left out, and only links of a forest come out.
+    a chance meeting rare. The fingerprints of blocks with over `chunk` of them are cut into `STEP` blocks more, so that
+    those that meet agree in more bits, as often as there are `MOST_BLOCKS` at most. A block that is full even then is
+    dealt by hash into chunks, and each pair of chunks is a task: no task grows with the block and nothing is left out.
+    Only links of a forest come out.
     """
     if n_blocks is None:
         n = reps.count()
         n_blocks = distance + (2 if n < 1 << 26 else 3 if n < 1 << 32 else 4)
     keyed = reps.select(F.explode(block_keys(F.col("fp"), n_blocks, distance)).alias("key"), "fp", "doc_id")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    full, finer = sizes.where(F.col("n") > chunk), None
+    if n_blocks + STEP <= MOST_BLOCKS and not full.isEmpty():
+        # at most 1 / `chunk` of the keys are full
+        finer = near_links(materialize(keyed.join(full, "key", "left_semi").select("fp", "doc_id").distinct()), distance, n_blocks + STEP, chunk)
+        sizes = sizes.where(F.col("n") <= chunk)
     shared = keyed.join(sizes, "key")
     chunks = F.ceil(F.col("n") / chunk).cast("int")
     own = F.pmod(F.xxhash64("fp", F.lit(5)), F.greatest(chunks, F.lit(1))).cast("int")
@@ -111,7 +120,7 @@ def near_links(reps: DataFrame, distance: int = 3, n_blocks: int | None = None,
     dealt = shared.withColumns({"chunks": chunks, "own": own}).select(F.explode(part).alias("part"), "fp", "doc_id")
     dealt = dealt.repartition("part").sortWithinPartitions("part", "doc_id")
     links = dealt.select("part", F.col("fp"), "doc_id").mapInArrow(lambda it: _links(it, distance), "u long, v long")
-    return links.distinct()
+    return (links if finer is None else links.unionByName(finer)).distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 3, shingle: int = 3, n_blocks: int | None = None, chunk: int = CHUNK) -> DataFrame:

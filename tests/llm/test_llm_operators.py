@@ -213,8 +213,24 @@ def test_simhash_blocks_lose_no_pair(spark):
     base = rng.integers(-(2**63), 2**63 - 1, 300)
     near = [int(np.int64(np.uint64(b & 0xFFFFFFFFFFFFFFFF) ^ np.uint64(sum(1 << int(k) for k in rng.choice(64, 3, False))))) if True else 0 for b in base.tolist()]
     fps = [(i, int(b)) for i, b in enumerate(base)] + [(1000 + i, b) for i, b in enumerate(near)]
-    links = simhash.near_links(spark.createDataFrame(fps, "doc_id long, fp long")).collect()
-    assert {(min(r.u, r.v), max(r.u, r.v)) for r in links} >= {(i, 1000 + i) for i in range(300)}
+    for chunk in (simhash.CHUNK, 3):
+        links = simhash.near_links(spark.createDataFrame(fps, "doc_id long, fp long"), chunk=chunk).collect()
+        assert {(min(r.u, r.v), max(r.u, r.v)) for r in links} >= {(i, 1000 + i) for i in range(300)}
+
+
+def test_simhash_full_blocks(spark):
+    """Fingerprints that differ in few places fill every coarse block; all links are still found."""
+    rng = np.random.default_rng(8)
+    prints = {sum(1 << int(b) for b in rng.choice(40, rng.integers(0, 7), False)) for _ in range(400)}
+    fps = list(enumerate(sorted(prints)))
+    got = simhash.connected_components(simhash.near_links(spark.createDataFrame(fps, "doc_id long, fp long"), chunk=16)).collect()
+    part = {d: d for d, _ in fps}
+    for a, x in fps:
+        for b, y in fps[:a]:
+            if bin(x ^ y).count("1") <= 3 and part[a] != part[b]:
+                old, new = max(part[a], part[b]), min(part[a], part[b])
+                part = {d: new if p == old else p for d, p in part.items()}
+    assert {r.node: r.component for r in got} == {d: p for d, p in part.items() if sum(q == p for q in part.values()) > 1}
 
 
 def test_pages(spark, sf):
