@@ -164,7 +164,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], split: str, words: bool, block_ch
 
     def vocabulary() -> Iterator[pa.RecordBatch]:
         if len(block.slots) >> SLOT_BITS or k >> BLOCK_BITS:
-            raise ValueError("a block has too many distinct words, or a partition too many blocks")
+            raise ValueError("one text has over 2^26 distinct words, or a partition over 2^14 blocks of 40 MB")
         first, all_words = (((part << BLOCK_BITS) + k) << SLOT_BITS), list(block.slots)
         for at in range(0, len(all_words), 50_000):
             own = all_words[at : at + 50_000]
@@ -172,7 +172,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], split: str, words: bool, block_ch
 
     for doc, text in _texts(batches):
         text = text or ""
-        if n and n + len(text) > block_chars:
+        if n and (n + len(text) > block_chars or len(block.slots) >> (SLOT_BITS - 1)):
             if words:
                 yield from vocabulary()
             elif ids:
@@ -194,14 +194,14 @@ def _blocks(batches: Iterator[pa.RecordBatch], split: str, words: bool, block_ch
         yield places()
 
 
-def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, split: str | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Token ids of every whole text: doc_id and `ids` (little-endian unsigned 32-bit integers).
 
     Null is the empty text, which has no ids; repeated rows are encoded each; an empty table gives an empty table;
     other columns are not read. `docs` must give the same rows in the same partitions when it is read twice, as a
     scan of files does.
     """
-    return _encoded(docs, doc_id, text, path or ranks_file(), split or pattern(), block_chars, lambda ids: (ids,), [("ids", "binary")])
+    return _encoded(docs, doc_id, text, path or ranks_file(), pattern(), block_chars, lambda ids: (ids,), [("ids", "binary")])
 
 
 _KINDS = {"binary": pa.binary(), "long": pa.int64(), "string": pa.string()}

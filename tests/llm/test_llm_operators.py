@@ -591,3 +591,16 @@ def test_substrings_edited_copies(spark, monkeypatch, hot):
     monkeypatch.setattr(substrings, "HOT", hot)
     df = spark.createDataFrame(made, "doc_id long, text string, lang string")
     assert rows(substrings.substring_dedup(df), "doc_id", "n_words", "n_removed", "kept_sha256") == dedup_rows(made)
+
+
+def test_substrings_one_passage_in_thousands(spark, monkeypatch):
+    """The same passage in many contexts, and one text in many copies, with keys that count as frequent."""
+    rng = np.random.default_rng(9)
+    passage = " ".join(f"p{k}" for k in range(60))
+    word = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 10**6, n))
+    made = [(d, f"{word(int(rng.integers(0, 9)))} {passage} {word(int(rng.integers(0, 9)))}", "en") for d in range(1500)]
+    copy = word(130)
+    made += [(2000 + d, copy, "en") for d in range(800)] + [(3000 + d, copy[: int(rng.integers(500, 700))], "en") for d in range(200)]
+    monkeypatch.setattr(substrings, "HOT", 64)
+    df = spark.createDataFrame(made, "doc_id long, text string, lang string").repartition(8)
+    assert rows(substrings.substring_dedup(df), "doc_id", "n_words", "n_removed", "kept_sha256") == dedup_rows(made)
