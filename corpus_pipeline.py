@@ -16,14 +16,18 @@ from citeweave.llm.common import materialize, table
 MIN_SCORE = 0.5
 
 
-def _with_row(docs: DataFrame, *names: str) -> DataFrame:
-    """The columns asked for, and every row as it is in one column, so that no name can clash."""
-    return docs.select(F.struct("*").alias("_row"), *names)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Columns by number, so that no name clashes with what a stage adds."""
+    return docs.toDF(*(f"_c{k}" for k in range(len(docs.columns))))
 
 
-def _restored(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
-    """Rows with the columns that they had, some of them changed."""
-    return df.select(*(changed[c].alias(c) if c in changed else F.col(f"_row.`{c}`").alias(c) for c in columns))
+def _number(docs: DataFrame, name: str) -> str:
+    return f"_c{docs.columns.index(name)}"
+
+
+def _named(df: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of `docs` by their names again, some of them changed."""
+    return df.select(*(changed.get(c, F.col(f"_c{k}")).alias(c) for k, c in enumerate(docs.columns)))
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -38,8 +42,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     not matter; without any label to learn from every document is without a language and goes; an empty table stays empty.
     """
     model = language.train(docs.where(~language.held_out(F.col("doc_id"))))
-    known = language.identify(_with_row(docs, "text"), model).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_SCORE))
-    return _restored(known, docs.columns, lang=F.coalesce(F.col("_row.lang"), F.col("lang_pred")))
+    known = language.identify(_numbered(docs), model, _number(docs, "text")).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_SCORE))
+    return _named(known, docs, lang=F.coalesce(_number(docs, "lang"), "lang_pred"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,8 +70,7 @@ def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text stays null and an empty one empty; very long texts take time in proportion to their length; repeated
     rows are changed alike; where formats overlap the earlier start wins; an empty table stays empty.
     """
-    changed = pii.with_pseudonyms(_with_row(docs, "text"), pii.session_key(spark))
-    return _measured(_restored(changed, docs.columns, text=F.col("text")))
+    return _measured(_named(pii.with_pseudonyms(_numbered(docs), pii.session_key(spark), _number(docs, "text")), docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
