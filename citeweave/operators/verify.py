@@ -51,6 +51,17 @@ def gram_candidates(passages: DataFrame, docs: DataFrame, k: int | None = 5, n:
     return top(votes, ["doc_id"], [F.desc("shared"), "item_id"], k).drop("rank") if k else votes
 
 
+def shift_ranges(passages: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, item_id, range, low, high, shared): where a passage would start in a document by each gram that they share, in ranges of shifts as wide as four passages and `WIDTH` words at least.
+
+    Both tables are (id, words); passages shorter than a gram count as a whole.
+    """
+    shifts = gram_pairs(passages, docs, short=True).select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("shift"))
+    shifts = shifts.join(broadcast_if_small(passages.select("item_id", F.size("words").alias("n"))), "item_id")
+    span = F.floor(F.col("shift") / F.greatest(4 * F.col("n"), F.lit(WIDTH))).alias("range")
+    return shifts.groupBy("doc_id", "item_id", span).agg(F.min("shift").alias("low"), F.max("shift").alias("high"), F.count("*").alias("shared"))
+
+
 def verify(passages: DataFrame, docs: DataFrame, slack: int = SLACK) -> DataFrame:
     """Findings (doc_id, item_id, similarity, coverage, status, first_word, difference): how each passage stands in every document that shares a gram with it.
 
@@ -62,10 +73,7 @@ def verify(passages: DataFrame, docs: DataFrame, slack: int = SLACK) -> DataFram
     """
     p = passages.select("item_id", latin_words(F.col("text")).alias("words"))
     d = docs.select("doc_id", latin_words(F.col("text")).alias("words"))
-    shifts = gram_pairs(p, d, short=True).select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("shift"))
-    shifts = shifts.join(broadcast_if_small(p.select("item_id", F.size("words").alias("n"))), "item_id")
-    ranges = shifts.groupBy("doc_id", "item_id", F.floor(F.col("shift") / F.greatest(4 * F.col("n"), F.lit(WIDTH))).alias("range")).agg(F.min("shift").alias("low"), F.max("shift").alias("high"))
-    found = ranges.groupBy("doc_id", "item_id").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("ranges"))
+    found = shift_ranges(p, d).groupBy("doc_id", "item_id").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("ranges"))
     df = found.join(p.withColumnRenamed("words", "passage"), "item_id").join(d, "doc_id")
     n = F.size("passage")
     margin = 2 * n + slack

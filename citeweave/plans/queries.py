@@ -145,6 +145,16 @@ def quoted_verbatim(spark, sf_dir):
     return found.where("status = 'verbatim' and similarity = 1").select("doc_id", "item_id", "status")
 
 
+@query(f"""WITH {_BOTH}
+s AS (SELECT doc_id, item_id, p - q AS shift FROM dg JOIN ig USING (gram)), n AS (SELECT item_id, len(w) AS n FROM items)
+SELECT doc_id, item_id, floor(shift / greatest(4 * n, {V.WIDTH}))::BIGINT AS "range", min(shift)::BIGINT AS low, max(shift)::BIGINT AS high, count(*) AS shared FROM s JOIN n USING (item_id) GROUP BY 1, 2, 3""")
+def candidate_ranges(spark, sf_dir):
+    """What `verify_documents` aligns: every range of shifts of every passage and document that share a gram."""
+    words = T.latin_words(F.col("text")).alias("words")
+    df = V.shift_ranges(table(spark, sf_dir, "benchmark").select("item_id", words), table(spark, sf_dir, "documents").select("doc_id", words))
+    return df.select("doc_id", "item_id", "range", F.col("low").cast("long"), F.col("high").cast("long"), "shared")
+
+
 @query()
 def verify_documents(spark, sf_dir):
     """Flagship: every benchmark passage that a document quotes, aligned and classified."""
