@@ -110,14 +110,19 @@ def token_bytes(texts: list[str | None], path: str) -> Iterator[bytes]:
         yield b"".join(map(piece.__getitem__, p)) + end
 
 
-def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): every document, those over `capacity` tokens in pieces of it."""
+def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, path: str | None = None, together: int = ROWS, remember: int = 200_000) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32): every document, those over `capacity` tokens in pieces of it.
+
+    Words of `together` documents are looked up at a time, and the ids of about four to five times `remember` words and
+    parts of words are held by a worker: what they cost in memory they save in time.
+    """
     path = path or vocabulary_file()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _PIECES.most, _PARTS.most = remember, remember * 3 // 2
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
+            for at in range(0, whole.num_rows, together):
+                batch = whole.slice(at, together)
                 out = []
                 for doc, raw in zip(batch.column(0).to_pylist(), token_bytes(batch.column(1).to_pylist(), path)):
                     step = 4 * capacity
@@ -259,13 +264,13 @@ def best_plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     return min((Plan(counts, capacity, large) for large in (capacity // 3, 2 * capacity // 5, capacity // 2 + 1)), key=lambda p: p.sequences)
 
 
-def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, path: str | None = None, together: int = ROWS, remember: int = 200_000) -> DataFrame:
     """Row per piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset.
 
     Null is the empty text, a document of the end token alone; repeated rows are packed each; an empty table gives an
     empty table; other columns are not read. Only the histogram of lengths, `capacity` rows at most, is collected.
     """
-    items = materialize(pieces(docs, doc_id, text, capacity, path))
+    items = materialize(pieces(docs, doc_id, text, capacity, path, together, remember))
     counts = {r["length"]: r["count"] for r in items.groupBy("length").count().collect()}
     plan = sorted(best_plan(counts, capacity).fragments)
     table = np.array(plan, np.int64).reshape(-1, 5)

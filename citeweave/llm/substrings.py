@@ -109,7 +109,7 @@ def _split(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8").split()  # on bytes this takes ASCII white space only
 
 
-def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
     """The batches in parts of which few rows are Python objects at a time."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
@@ -128,6 +128,7 @@ def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if out[0]:
             a, w, s, n, d, m = (np.concatenate(x) for x in out)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(w), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(d.astype(np.int64)), pa.array(m.astype(np.int64))], names=["anchor", "run", "start", "size", "doc_id", "mark"])
+    _WORDS.clear()
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,6 +147,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if out[0]:
             kinds = {"place": np.int32, "start": np.int32}
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(kinds.get(n, np.int64))) for n, x in zip(names, out)], names=names)
+    _WORDS.clear()
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
