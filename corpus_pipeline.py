@@ -79,7 +79,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text is a document of the end token alone; longer ones than a sequence are cut; repeated rows are
     packed each; pieces of one length are placed in order of doc_id; an empty table gives an empty table.
     """
-    return packing.pack(docs)
+    return packing.pack(docs, together=400, remember=50_000)  # executors hold what earlier stages left, too
 
 
 STAGES = [
