@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeweave.llm import bpe, html, language, licenses, packing, pii, quality, simhash, sketches, substrings
+from citeweave.llm import bpe, html, language, licenses, merkle, packing, pii, quality, simhash, sketches, spelling, substrings, toxicity
 from citeweave.llm.common import table
 
 
@@ -49,7 +49,22 @@ def op10_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_svm, op2_byte_bpe, op3_license_index, op4_simhash_blocks, op5_host_consensus, op6_invertible_sketch, op7_linear_grouping, op8_quality_divergence, op9_feistel_pseudonyms, op10_phrase_automata)}
+def op11_merkle_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_bloom_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_language_svm, op2_byte_bpe, op3_license_index, op4_simhash_blocks, op5_host_consensus, op6_invertible_sketch, op7_linear_grouping,
+    op8_quality_divergence, op9_feistel_pseudonyms, op10_phrase_automata, op11_merkle_exchange, op12_bloom_spelling, op13_kneser_ney_toxicity,
+)}
 
 # The rest need models, tokenizers, automata over bytes or hashes that SQL has not; tests hold them against brute force.
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
