@@ -103,4 +103,51 @@ b AS (SELECT rid, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, '
 v AS (SELECT *, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(far, false) AS kept FROM v LEFT JOIN far USING (rid)"""
 
-ORACLES: dict[str, str] = {"op8_quality_divergence": _QUALITY, "op10_phrase_automata": _DEDUP}
+# crc32 by the usual table of 256 steps, which the query derives
+_CRC_TABLE = "ct AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 1, 2, 3, 4, 5, 6, 7], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS r(i)))"
+
+
+def _crc32(x: str) -> str:
+    octets = f"list_transform(range(octet_length(encode({x}))), lambda i: ('0x' || substr(hex(encode({x})), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _leaf(text: str) -> str:
+    fields = (f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text))
+    return f"sha256({' || '.join(fields)})"
+
+
+def _levels(name: str, start: str) -> str:
+    return f"""{name}(tree, lev, pos, node, n) AS ({start}
+  UNION ALL SELECT tree, lev + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), (n + 2) // 3 FROM {name} WHERE n > 1 GROUP BY tree, lev, pos // 3, n),
+{name}_sides AS (SELECT a.tree, a.lev, a.pos, coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l, coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM {name} a JOIN {name} b ON a.tree = b.tree AND a.lev = b.lev AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY 1, 2, 3)"""
+
+
+_MANIFEST = f"""WITH RECURSIVE {_CRC_TABLE},
+x AS (SELECT *, CASE WHEN doc_id IS NOT NULL AND {_crc32('doc_id::VARCHAR')} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS changed FROM documents, ct),
+d AS (SELECT row_number() OVER () AS rid, doc_id, leaf, found, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n
+  FROM (SELECT doc_id, source, {_leaf('text')} AS leaf, {_leaf('changed')} AS found FROM x)),
+{_levels('low', 'SELECT tree, 0, pos, leaf, n FROM d')},
+subs AS (SELECT tree, node FROM low WHERE n = 1),
+{_levels('high', 'SELECT 0, 0, tree, node, count(*) OVER () FROM subs')},
+path AS (SELECT rid, lev AS step, l, r FROM d JOIN low_sides s ON s.tree = d.tree AND s.pos = d.pos // (3 ** s.lev)::BIGINT
+  UNION ALL SELECT rid, 1000 + lev, l, r FROM d JOIN high_sides s ON s.pos = d.tree // (3 ** s.lev)::BIGINT),
+way AS (SELECT rid, string_agg(l || r, '' ORDER BY step) AS p, list({{'l': l, 'r': r}} ORDER BY step) AS w FROM path GROUP BY 1),
+f AS (SELECT doc_id, leaf, subs.node AS subroot, (SELECT node FROM high WHERE n = 1) AS root, sha256(coalesce(p, '')) AS proof_sha256,
+  list_reduce(list_prepend({{'l': found, 'r': ''}}, coalesce(w, [])), lambda a, s: {{'l': sha256(s.l || a.l || s.r), 'r': ''}}).l AS folded_root FROM d JOIN subs USING (tree) LEFT JOIN way USING (rid))
+SELECT *, folded_root = root AS verified FROM f"""
+
+_SPELLING = f"""WITH RECURSIVE {_CRC_TABLE},
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+h AS (SELECT run, n, {_crc32("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY 1, 2), ct WHERE length(run) >= 7),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, sum(n)::BIGINT AS n FROM h GROUP BY 1 HAVING length(word) >= 7 AND sum(n) >= 2),
+cut AS (SELECT word, n, i, word[:i] || word[i + 2:] AS rest FROM w, unnest(range(length(word))) AS t(i)),
+near AS (SELECT a.word, b.word AS v, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT cut.word, w.word, w.n FROM cut JOIN w ON w.word = rest UNION SELECT w.word, cut.word, cut.n FROM cut JOIN w ON w.word = rest),
+best AS (SELECT word, count(*) AS n_near, min({{'n': -n, 'v': v}}) AS b FROM near GROUP BY 1),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.n >= 10 * w.n THEN b.v END AS form, CASE WHEN -b.n >= 10 * w.n THEN -b.n END AS form_n FROM w LEFT JOIN best USING (word)),
+go(word, spot) AS (SELECT word, word FROM f UNION ALL SELECT go.word, f.form FROM go JOIN f ON f.word = go.spot WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, go.spot AS root, f.n, f.n_near, f.form_n::BIGINT AS form_n FROM f JOIN go USING (word) JOIN f last ON last.word = go.spot WHERE last.form IS NULL"""
+
+ORACLES: dict[str, str] = {"op8_quality_divergence": _QUALITY, "op10_phrase_automata": _DEDUP, "op11_merkle_exchange": _MANIFEST, "op12_bloom_spelling": _SPELLING}
