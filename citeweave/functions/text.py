@@ -57,6 +57,11 @@ def nfkd(text: Column) -> Column:
     return _normal_form("NFKD")(text)
 
 
+def ascii_folded(text: Column) -> Column:
+    """ASCII letters of the decomposed text in lower case; what has none is left out."""
+    return F.lower(F.regexp_replace(nfkd(text), r"[^\x00-\x7F]", ""))
+
+
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"\s+"), "")
 

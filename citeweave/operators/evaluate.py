@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeweave.functions.text import overlap
-from citeweave.operators.common import at_ranks, top
+from citeweave.operators.common import at_ranks, null_safe_join, top
 from citeweave.operators.records import mutual_best
 
 
@@ -27,11 +27,14 @@ def mutate(passages: DataFrame, words: Column, seed: int = 0) -> DataFrame:
 
 
 def assign(expected: DataFrame, findings: DataFrame, least: float = 0.4) -> DataFrame:
-    """One-to-one (doc_id, item, finding) by word overlap of at least `least`, best first. Both sides are (doc_id, id, words)."""
-    e, f = expected.select("doc_id", F.col("id").alias("a"), F.col("words").alias("x")), findings.select("doc_id", F.col("id").alias("b"), F.col("words").alias("y"))
+    """One-to-one (doc_id, item, finding, weight) within each document, by word overlap of at least `least`, best first. Both sides are (doc_id, id, words).
+
+    Ids may repeat over documents; a null doc_id is no document. Pairs without a word in common are never met.
+    """
+    e, f = expected.select("doc_id", F.col("id").alias("item"), F.col("words").alias("x")), findings.select("doc_id", F.col("id").alias("finding"), F.col("words").alias("y"))
     edges = e.join(f, "doc_id").withColumn("weight", overlap(F.col("x"), F.col("y"))).where(F.col("weight") >= least)
-    pairs = mutual_best(edges.select("a", "b", "weight"))
-    return pairs.join(edges.select("doc_id", "a", "b"), ["a", "b"]).select("doc_id", F.col("a").alias("item"), F.col("b").alias("finding"), "weight")
+    pairs = mutual_best(edges.select(F.struct("doc_id", "item").alias("a"), F.struct("doc_id", "finding").alias("b"), "weight"))
+    return pairs.select("a.doc_id", "a.item", "b.finding", "weight")
 
 
 def score_rows(assigned: DataFrame) -> DataFrame:
@@ -96,12 +99,11 @@ def medians(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def comparison_report(compared: DataFrame, kind: str, order: list[str], most: int = 3) -> DataFrame:
-    """How many compared records are of each kind, their share of all in per cent, and the first `most` of them as samples with their `place`."""
+    """How many compared records are of each kind, null being one, their share of all in per cent, and the first `most` of them as samples with their `place`."""
     counts = compared.groupBy(kind).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("_total"))
     counts = counts.crossJoin(F.broadcast(total)).withColumn("share", 100 * F.col("n") / F.col("_total")).drop("_total")  # one row
-    few = top(compared, [kind], order, most, "place")
-    return counts.join(few, kind)
+    return null_safe_join(counts, top(compared, [kind], order, most, "place"), [kind])
 
 
 def accepted(*parts: DataFrame) -> DataFrame:
@@ -111,7 +113,3 @@ def accepted(*parts: DataFrame) -> DataFrame:
         both = both.unionByName(part)
     return both.groupBy("unit").agg(F.sort_array(F.collect_set("key")).alias("accepted"))
 
-
-def samples(df: DataFrame, kind: str, order: list[str], most: int = 3) -> DataFrame:
-    """Up to `most` rows of each kind, for a report."""
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(kind).orderBy(*order))).where(F.col("_r") <= most).drop("_r")

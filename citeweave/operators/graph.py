@@ -5,20 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeweave.operators.common import broadcast_if_small
 from citeweave.plans.materialize import materialize
 
 
+#: Edges of a node that one task takes; the ends of a node with more meet its minimum where they are.
+HUB = 4096
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    """(u, m, degree): the smallest neighbour of each node."""
+    return materialize(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")))
+
+
+def _met(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges with the minimum of `u`. The edges of hubs are not shuffled: their minima, one for `HUB` edges at most, come to them."""
+    hubs = broadcast_if_small(least.where(F.col("degree") > HUB).select("u", "m"))
+    rest = least.where(F.col("degree") <= HUB).select("u", "m")
+    return edges.join(hubs, "u").unionByName(edges.join(hubs, "u", "left_anti").join(rest, "u"))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Links every larger neighbour of a node to the smallest node of its neighbourhood."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    least = _least(both).select("u", F.least("u", "m").alias("m"), "degree")
+    return _met(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Links every smaller neighbour of a node, and the node, to the smallest of them. Edges run from u down to v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+    least = _least(edges)
+    moved = _met(edges, least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -36,7 +53,24 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
         if tuple(now) == before or not now[0]:
             break
         before = tuple(now)
-        e = materialize(_small_star(_large_star(e)))
+        e = materialize(_small_star(materialize(_large_star(e))))
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def extended_components(components: DataFrame, edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
+    """(node, component) of `components` (node, component) and further edges, as if all edges had been there from the start.
+
+    Only the ends of the new edges and the components that they touch are gone through: these become the nodes of a small
+    graph, whose components say which old ones are one now.
+    """
+    known = components.select("node", "component")
+    ends = edges.where(F.col(u).isNotNull() & F.col(v).isNotNull() & (F.col(u) != F.col(v))).select(F.col(u).alias("_a"), F.col(v).alias("_b"))
+    at = ends.join(known.toDF("_a", "_ca"), "_a", "left").join(known.toDF("_b", "_cb"), "_b", "left")
+    at = materialize(at.select("_a", "_b", F.coalesce("_ca", "_a").alias("u"), F.coalesce("_cb", "_b").alias("v")))
+    moved = materialize(connected_components(at).toDF("component", "_to"))
+    old = known.join(broadcast_if_small(moved), "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+    fresh = at.select(F.col("_a").alias("node"), F.col("u").alias("component")).union(at.select(F.col("_b").alias("node"), F.col("v").alias("component"))).distinct()
+    fresh = fresh.join(known.select("node"), "node", "left_anti").join(moved, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+    return old.unionByName(fresh)

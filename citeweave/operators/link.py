@@ -6,22 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeweave.functions.align import containment, similarity
-from citeweave.functions.text import word_grams
 from citeweave.operators.common import broadcast_if_small, first_of, top, when_of
-
-
-def shared_gram_pairs(left: DataFrame, right: DataFrame, k: int, n: int = 4, most: int | None = None) -> DataFrame:
-    """(left_id, right_id, shared): for each left record the `k` right ones with the most shared word grams.
-
-    Both are (id, words). Grams that stand in more than `most` right records are left out if it is given, which bounds
-    a hot gram; none is left out by default.
-    """
-    grams = lambda df, name: df.select(F.col("id").alias(name), F.explode(F.transform(word_grams(F.col("words"), n), lambda g: F.xxhash64(g))).alias("gram"))
-    l, r = grams(left, "left_id"), grams(right, "right_id")
-    if most:
-        r = r.join(r.groupBy("gram").count().where(F.col("count") <= most).select("gram"), "gram", "left_semi")
-    votes = l.join(r, "gram").where("left_id != right_id").groupBy("left_id", "right_id").agg(F.count("*").alias("shared"))
-    return top(votes, ["left_id"], [F.desc("shared"), "right_id"], k).drop("rank")
+from citeweave.operators.records import match_cascade
+from citeweave.operators.similar import contained_pairs, overlapping_pairs
+from citeweave.plans.materialize import materialize
 
 
 def scored(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
@@ -31,23 +19,106 @@ def scored(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     return df.drop("_l", "_r")
 
 
-def text_links(left: DataFrame, right: DataFrame, k: int = 5, contained: float = 0.8, similar: float = 0.55) -> DataFrame:
-    """Accepted pairs among the gram candidates: contained or similar enough."""
-    pairs = scored(shared_gram_pairs(left, right, k), left, right)
+def text_links(left: DataFrame, right: DataFrame, share: float = 0.2, contained: float = 0.8, similar: float = 0.55) -> DataFrame:
+    """Pairs that are contained or similar enough, of all in which either text (id, words) has at least `share` of the other's grams."""
+    pairs = scored(overlapping_pairs(left, right, share).select("left_id", "right_id", "shared"), left, right)
     return pairs.where((F.col("containment") >= contained) | (F.col("similarity") >= similar))
 
 
-def copy_links(copies: DataFrame, sources: DataFrame, ranks: DataFrame, least: float = 0.7, keep: int = 5) -> DataFrame:
-    """(copy, source, score, rank): up to `keep` sources of each copy by containment of the shorter text in the longer, then source rank (id, rank), then id."""
-    pairs = shared_gram_pairs(copies, sources, 20)
+def copy_links(copies: DataFrame, sources: DataFrame, ranks: DataFrame, least: float = 0.7, keep: int = 5, share: float = 0.2) -> DataFrame:
+    """(copy, source, score, rank): up to `keep` sources of each copy by containment of the shorter text in the longer, then source rank (id, rank), then id.
+
+    Every pair in which either text has at least `share` of the other's grams is looked at. The limit is asked of the
+    containment itself; for the order it is rounded to two places.
+    """
     words = lambda df, name, c: df.select(F.col("id").alias(name), F.col("words").alias(c))
-    df = pairs.join(words(copies, "left_id", "a"), "left_id").join(words(sources, "right_id", "b"), "right_id")
+    df = overlapping_pairs(copies, sources, share).join(words(copies, "left_id", "a"), "left_id").join(words(sources, "right_id", "b"), "right_id")
     shorter = F.size("a") <= F.size("b")
-    df = df.withColumn("score", F.round(containment(F.when(shorter, F.col("a")).otherwise(F.col("b")), F.when(shorter, F.col("b")).otherwise(F.col("a"))), 2))
-    df = df.where(F.col("score") >= least).join(ranks.select(F.col("id").alias("right_id"), F.col("rank").alias("source_rank")), "right_id", "left")
+    exact = containment(F.when(shorter, F.col("a")).otherwise(F.col("b")), F.when(shorter, F.col("b")).otherwise(F.col("a")))
+    df = df.withColumn("exact", exact).where(F.col("exact") >= least).withColumn("score", F.round("exact", 2))
+    df = df.join(ranks.select(F.col("id").alias("right_id"), F.col("rank").alias("source_rank")), "right_id", "left")
     return top(df.select(F.col("left_id").alias("copy"), F.col("right_id").alias("source"), "score", "source_rank"), ["copy"], [F.desc("score"), F.col("source_rank").asc_nulls_last(), "source"], keep)
 
 
+def by_numbers(numbers: str, accept):
+    """Edges of a cascade pass: a left record's `numbers` (array, preferred first) against the right ones' `number`; `accept(pairs, left, right)` keeps pairs and gives their weight, below 1."""
+    def edges(left: DataFrame, right: DataFrame) -> DataFrame:
+        wanted = left.select(F.col("id").alias("left_id"), F.posexplode(numbers).alias("place", "number"))
+        pairs = wanted.join(right.select("number", F.col("id").alias("right_id")), "number").groupBy("left_id", "right_id").agg(F.min("place").alias("place"))
+        return accept(pairs, left, right).select("left_id", "right_id", (F.col("weight") - F.col("place")).alias("weight"))
+
+    return edges
+
+
+def by_grams(part: str, share: float, least: float, whole: bool = False):
+    """Edges of a cascade pass: pairs in which the right `words` have at least `share` of the grams of the left `part`, with the share of them that is there, or of both texts' grams with `whole`, as weight of at least `least`."""
+    def edges(left: DataFrame, right: DataFrame) -> DataFrame:
+        pairs = contained_pairs(left.select("id", F.col(part).alias("words")), right.select("id", "words"), share)
+        weight = 2 * F.col("shared") / (F.col("left_size") + F.col("right_size")) if whole else F.col("shared") / F.col("left_size")
+        return pairs.withColumn("weight", weight).where(F.col("weight") >= least).select("left_id", "right_id", "weight")
+
+    return edges
+
+
+def by_overlap(part: str, least: float, or_part: str | None = None, or_least: float = 0.5):
+    """Accepts number candidates whose left `part`, or else `or_part`, has enough of its words in the right text; the better share is the weight."""
+    def accept(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+        own = left.select(F.col("id").alias("left_id"), F.col(part).alias("_a"), (F.col(or_part) if or_part else F.col(part)).alias("_b"))
+        df = pairs.join(own, "left_id").join(right.select(F.col("id").alias("right_id"), F.col("words").alias("_w")), "right_id")
+        within = lambda c: F.coalesce(F.size(F.array_intersect(c, "_w")) / F.nullif(F.size(F.array_distinct(c)), F.lit(0)), F.lit(0.0))
+        df = df.withColumns({"_x": within("_a"), "_y": within("_b")})
+        return df.where((F.col("_x") >= least) | (F.col("_y") >= or_least)).withColumn("weight", F.greatest("_x", "_y") / 2)
+
+    return accept
+
+
+def five_passes(left: DataFrame, right: DataFrame, same: str | None = None) -> DataFrame:
+    """Records of two editions paired one-to-one: number, suffixed number, body in the text, whole text, number with other evidence.
+
+    `left` is (id, numbers, suffixes, chain, body, words), `right` (id, number, words); chains, bodies and texts are
+    arrays of words. Nulls and empty parts meet nothing. With `same`, a column of both sides, rows of equal value are
+    paired before all passes, in order of their ids, so that copies do not meet each other over and over.
+    """
+    agrees = by_overlap("words", 0.5, "body", 0.85)
+    left = left.withColumn("_both", F.concat("numbers", "suffixes"))
+    return match_cascade(left, right, [
+        *([("same", same)] if same else []),
+        ("number", by_numbers("numbers", agrees)),
+        ("suffix", by_numbers("suffixes", agrees)),
+        ("body", by_grams("body", 0.8, 0.8)),
+        ("text", by_grams("words", 0.2, 0.55, whole=True)),
+        ("evidence", by_numbers("_both", by_overlap("chain", 0.7, "body", 0.5))),
+    ])
+
+
+def enriched(guests: DataFrame, hosts: DataFrame, claimed: DataFrame, near: int = 3, letters: str = "abcde", grams: int = 8, share: float = 0.1, least: float = 0.6) -> DataFrame:
+    """The host of each guest of a third source (guest, host, score), both (id, collection, number, words).
+
+    Candidates are the hosts of the very number, of numbers up to `near` away plain or with a letter, of introductions as
+    near; guests that have none among these take the `grams` hosts of the collection with the most shared grams. The
+    share of the guest's words that a host has, in order, decides; hosts that nobody claimed go before others.
+    """
+    base = F.regexp_extract("number", r"^i?(\d+)", 1).cast("int")
+    at = F.transform(F.sequence(F.lit(-near), F.lit(near)), lambda d: d + base)
+    plain = F.flatten(F.transform(at, lambda n: F.concat(F.array(n.cast("string")), F.array(*(F.concat(n.cast("string"), F.lit(x)) for x in letters)))))
+    intro = F.transform(at, lambda n: F.concat(F.lit("i"), F.lpad(n.cast("string"), 3, "0")))
+    wanted = F.array_distinct(F.concat(F.array("number"), F.when(F.col("number").startswith("i"), intro).otherwise(plain)))
+    g = guests.where(base.isNotNull()).select(F.col("id").alias("guest"), "collection", F.explode(wanted).alias("number"))
+    by_number = g.join(hosts.select(F.col("id").alias("host"), "collection", "number"), ["collection", "number"]).select("guest", "host")
+    words = lambda df, name, c: df.select(F.col("id").alias(name), F.col("words").alias(c), F.col("collection").alias(f"{c}_in"))
+
+    def good(pairs: DataFrame) -> DataFrame:
+        df = pairs.join(words(guests, "guest", "_g"), "guest").join(words(hosts, "host", "_h"), "host")
+        return df.withColumn("score", containment(F.col("_g"), F.col("_h"))).where(F.col("score") >= least).select("guest", "host", "score")
+
+    near_ones = materialize(good(by_number))
+    rest = guests.join(near_ones.select(F.col("guest").alias("id")), "id", "left_anti")
+    met = contained_pairs(rest.select(F.struct(F.lit(0).alias("side"), "id").alias("id"), "words"), hosts.select(F.struct(F.lit(1).alias("side"), "id").alias("id"), "words"), share)
+    met = met.select(F.col("left_id.id").alias("guest"), F.col("right_id.id").alias("host"), "shared").join(words(guests, "guest", "_g"), "guest").join(words(hosts, "host", "_h"), "host").where(F.col("_g_in").eqNullSafe(F.col("_h_in")))
+    found = near_ones.unionByName(good(top(met.select("guest", "host", "shared"), ["guest"], [F.desc("shared"), "host"], grams).select("guest", "host")))
+    return unclaimed_first(found, claimed, least)
+
+
 def inherited_grades(links: DataFrame, grades: DataFrame, best: int = 3) -> DataFrame:
     """Grades (unit, …) of the best sources, given to their copies with `via`, the source."""
     return links.where(F.col("rank") <= best).join(grades, links["source"] == grades["unit"]).drop("unit").withColumnsRenamed({"copy": "unit", "source": "via"}).drop("score", "source_rank", "rank")
@@ -61,10 +132,11 @@ def borrowed_grades(members: DataFrame, grades: DataFrame) -> DataFrame:
     return bare.join(lender, "family_id").drop("family_id").join(grades.withColumnRenamed("unit", "via"), "via")
 
 
-def near_numbers(left: DataFrame, right: DataFrame, before: int = 4, after: int = 2, least: float = 0.6) -> DataFrame:
-    """The best right record for each leftover whose number is near: (id, number, words) on both sides, the range as an equality join."""
+def near_numbers(left: DataFrame, right: DataFrame, before: int = 4, after: int = 2, least: float = 0.6, group: str | None = None) -> DataFrame:
+    """The best right record for each leftover whose number is near, in the same `group` if one is named: (id, number, words) on both sides, the range as an equality join."""
+    keys = [group] if group else []
     wide = left.withColumn("_n", F.explode(F.sequence(F.col("number") - before, F.col("number") + after)))
-    pairs = wide.join(right.select(F.col("number").alias("_n"), F.col("id").alias("right_id")), "_n").select(F.col("id").alias("left_id"), "right_id").where("left_id != right_id").distinct()
+    pairs = wide.join(right.select(F.col("number").alias("_n"), F.col("id").alias("right_id"), *keys), ["_n", *keys]).select(F.col("id").alias("left_id"), "right_id").where("left_id != right_id").distinct()
     good = scored(pairs, left, right).where(F.col("containment") >= least)
     return first_of(good, ["left_id"], [F.desc("containment"), "right_id"])
 
@@ -95,13 +167,32 @@ def renamed_collisions(records: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def merged(left: DataFrame, right: DataFrame, fill: list[str], key: str = "key") -> DataFrame:
-    """Left records with empty columns filled from their pairs."""
-    r = right.select(F.col(key), *(F.col(c).alias(f"_{c}") for c in fill))
+    """Left records with empty columns filled from their pairs; of several right rows of a key the least by `fill`, nulls last."""
+    one = first_of(right.select(key, *fill), [key], [F.col(c).asc_nulls_last() for c in fill])
+    r = one.select(F.col(key), *(F.col(c).alias(f"_{c}") for c in fill))
     df = left.join(r, key, "left")
     empty = lambda c: F.col(c).isNull() | (F.col(c).cast("string") == "")
     return df.withColumns({c: F.when(empty(c), F.col(f"_{c}")).otherwise(F.col(c)) for c in fill}).drop(*(f"_{c}" for c in fill))
 
 
+def appended_grades(grades: DataFrame, pairs: DataFrame, others: DataFrame, source: str) -> DataFrame:
+    """Grades (unit, grader, grade, source) and those of the paired records (`pairs`: unit, other; `others`: unit, grader, grade), which come from `source`."""
+    theirs = pairs.join(others.withColumnRenamed("unit", "other"), "other").select("unit", "grader", "grade", F.lit(source).alias("source"))
+    return grades.select("unit", "grader", "grade", "source").unionByName(theirs).distinct()
+
+
+def grader_agreement(grades: DataFrame, others: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(grader, pairs, agreeing, percent): where a grader classed both records of a pair (unit, other), how often in the same class.
+
+    Both tables are (unit, grader, class); a grader's several classes of a unit are compared each with each.
+    """
+    mine = grades.select("unit", "grader", F.col("class").alias("_a")).distinct()
+    theirs = others.select(F.col("unit").alias("other"), "grader", F.col("class").alias("_b")).distinct()
+    both = pairs.select("unit", "other").join(mine, "unit").join(theirs, ["other", "grader"])
+    found = both.groupBy("grader").agg(F.count("*").alias("pairs"), F.count_if(F.col("_a").eqNullSafe(F.col("_b"))).alias("agreeing"))
+    return found.withColumn("percent", F.round(100 * F.col("agreeing") / F.col("pairs"), 1))
+
+
 def named_people(mentions: DataFrame, names: DataFrame) -> DataFrame:
     """Adds `name` to mentions (…, id) from (id, name); a missing or empty name is null."""
     known = names.where(F.col("name").isNotNull() & (F.trim("name") != "")).select("id", "name")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeweave.operators.common import broadcast_if_small, first_of, numbered, when_of
+from citeweave.functions.text import ascii_folded
+from citeweave.operators.common import broadcast_if_small, first_of, null_safe_join, numbered, when_of
 from citeweave.operators.graph import connected_components
 from citeweave.plans.materialize import materialize
 
@@ -32,6 +35,28 @@ def _has(text: Column, values: list[str]) -> Column:
     return e
 
 
+# Spellings of graders' names, the first one that a name holds counts.
+GRADER_ALIASES = [
+    ("albani", "al-Albani"), ("الألباني", "al-Albani"), ("zai", "Zubair Ali Zai"), ("zubair", "Zubair Ali Zai"), ("zubayr", "Zubair Ali Zai"), ("علی زئی", "Zubair Ali Zai"),
+    ("baqi", "Muhammad Fuad Abd al-Baqi"), ("عبد الباقي", "Muhammad Fuad Abd al-Baqi"), ("shakir", "Ahmad Muhammad Shakir"), ("ghuddah", "Abu Ghuddah"), ("hilali", "Salim al-Hilali"),
+    ("arna", "Shuayb al-Arnaut"), ("muhyi", "Muhammad Muhyi al-Din Abd al-Hamid"), ("dhahabi", "al-Dhahabi"), ("darussalam", "Darussalam"), ("bukhari", "al-Bukhari"), ("tirmidhi", "al-Tirmidhi"), ("muslim", "Muslim"),
+]
+
+
+def canonical_graders(rows: DataFrame, name: str, aliases: DataFrame | None = None) -> DataFrame:
+    """Adds `grader`, the one name of a grader: of the first alias (ord, pattern, grader) that stands in the name or in its ASCII lower case, else the name trimmed; null for none.
+
+    Distinct names meet the patterns, which are a short table (`GRADER_ALIASES` by default); rows meet their name.
+    """
+    if aliases is None:
+        aliases = rows.sparkSession.createDataFrame([(k, p, g) for k, (p, g) in enumerate(GRADER_ALIASES)], "ord int, pattern string, grader string")
+    names = rows.select(F.col(name).alias("_name")).where("_name is not null and _name != ''").distinct().withColumn("_folded", ascii_folded(F.col("_name")))
+    holds = F.contains("_folded", F.col("pattern")) | F.contains("_name", F.col("pattern"))
+    known = names.join(broadcast_if_small(aliases.select("ord", "pattern", F.col("grader").alias("_grader"))), holds, "left")
+    known = known.groupBy("_name").agg(F.coalesce(F.min_by("_grader", "ord"), F.trim("_name")).alias("grader"))
+    return rows.join(known, F.col(name) == F.col("_name"), "left").drop("_name")
+
+
 def grade_class(grade: Column, folded: Column) -> Column:
     """Coarse class of a grade's wording. `folded` is the wording in ASCII lower case, for the Latin words."""
     either = lambda pair: _has(folded, pair[0]) | _has(grade, pair[1])
@@ -92,52 +117,74 @@ def pair_equal(left: DataFrame, right: DataFrame, key: str, method: str) -> Data
     return side(left, "left_id").join(side(right, "right_id"), ["_k", "_n"]).select("left_id", "right_id", F.lit(method).alias("method"))
 
 
-def match_cascade(left: DataFrame, right: DataFrame, passes: list[tuple[str, str]]) -> DataFrame:
-    """Pairs by each (method, key column) in turn; each pass sees the rows that the ones before left over."""
-    found = None
-    for method, key in passes:
-        pairs = pair_equal(left, right, key, method)
-        found = pairs if found is None else found.unionByName(pairs)
-        left = left.join(pairs.select(F.col("left_id").alias("id")), "id", "left_anti")
-        right = right.join(pairs.select(F.col("right_id").alias("id")), "id", "left_anti")
-    return found
-
+def match_cascade(left: DataFrame, right: DataFrame, passes: list) -> DataFrame:
+    """Pairs (left_id, right_id, method) by each pass in turn; a pass sees the rows that the ones before left over, so no record is used twice.
 
-def mutual_best(edges: DataFrame, rounds: int = 50) -> DataFrame:
+    A pass is (method, key column), which pairs equal keys in order, or (method, function of both sides that gives edges
+    (left_id, right_id, weight)), of which the best are taken one-to-one. What a pass leaves is written out.
+    """
+    found = []
+    for method, how in passes:
+        if callable(how):
+            edges = how(left, right).select(F.col("left_id").alias("a"), F.col("right_id").alias("b"), "weight")
+            pairs = mutual_best(edges).select(F.col("a").alias("left_id"), F.col("b").alias("right_id"), F.lit(method).alias("method"))
+        else:
+            pairs = pair_equal(left, right, how, method)
+        found.append(materialize(pairs))
+        if len(found) < len(passes):
+            left = materialize(left.join(found[-1].select(F.col("left_id").alias("id")), "id", "left_anti"))
+            right = materialize(right.join(found[-1].select(F.col("right_id").alias("id")), "id", "left_anti"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def mutual_best(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """One-to-one matching of weighted edges (a, b, weight), equal to picking the best edge again and again.
 
-    A round keeps the edges that are the best of both their ends, ties by a then b, and drops both ends; it is written
-    out. Chains of ever lighter edges bound the rounds, and what is left after `rounds` raises.
+    A round keeps the edges that are the best of both their ends and drops both ends; it is written out. Edges of equal
+    weight are ordered by the md5 of `a|b`, so that many equal ones do not wait for one another; the best edge of an end is an
+    aggregate, so no end's edges are gathered. Chains of ever lighter edges bound the rounds; what is left after `rounds`
+    raises.
     """
-    best = lambda side: F.row_number().over(Window.partitionBy(side).orderBy(F.desc("weight"), "a", "b"))
+    order = F.struct((-F.col("weight")).alias("w"), F.md5(F.concat_ws("|", F.col("a").cast("string"), F.col("b").cast("string"))).alias("tie"), "a", "b")
     left, found = materialize(edges.select("a", "b", "weight")), None
     for _ in range(rounds):
         if left.isEmpty():
             return found if found is not None else left
-        ranked = left.withColumn("_a", best("a")).withColumn("_b", best("b"))
-        pairs = materialize(ranked.where("_a = 1 and _b = 1").drop("_a", "_b"))
+        best = lambda side: left.groupBy(side).agg(F.min(order).alias("_m")).select("_m.a", "_m.b", (-F.col("_m.w")).alias("weight"))  # noqa: E731, B023
+        pairs = materialize(best("a").join(best("b").select("a", "b"), ["a", "b"]))
         found = pairs if found is None else found.unionByName(pairs)
         left = materialize(left.join(pairs.select("a"), "a", "left_anti").join(pairs.select("b"), "b", "left_anti"))
     raise RuntimeError(f"edges are left after {rounds} rounds")
 
 
+def family_links(parallels: DataFrame, same_as: DataFrame, matches: DataFrame, pointers: DataFrame, least: float = 0.85) -> DataFrame:
+    """(u, v, link) of all four kinds: parallels and same texts (key, other), anthology pointers (key, other), and matches (key, other, score) of at least `least`."""
+    kinds = {"parallel": parallels, "same_as": same_as, "match": matches.where(F.col("score") >= least), "pointer": pointers}
+    typed = [df.where("key is not null and other is not null and key != other").select(F.col("key").alias("u"), F.col("other").alias("v"), F.lit(k).alias("link")) for k, df in kinds.items()]
+    return reduce(DataFrame.unionByName, typed).distinct()
+
+
 def families(links: DataFrame, ranks: DataFrame) -> DataFrame:
-    """(key, family_id) of linked records (u, v: long ids); the family is named by its member of least (rank, key) in `ranks` (id, key, rank)."""
-    parts = connected_components(links)
-    df = parts.join(ranks, parts["node"] == ranks["id"]).select("component", "key", "rank")
+    """(key, family_id) of linked records (u, v); the family is named by its member of least (rank, key) in `ranks` (id, key, rank). A record without a link has none."""
+    return named_families(connected_components(links), ranks)
+
+
+def named_families(components: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(key, family_id) of components (node, component), as `families`; components that took further links give new names."""
+    df = components.join(ranks, components["node"] == ranks["id"]).select("component", "key", "rank")
     name = df.groupBy("component").agg(F.min(F.struct("rank", "key")).alias("_m"))
     return df.join(name, "component").select("key", F.col("_m.key").alias("family_id"))
 
 
 def corpus_ids(units: DataFrame, ranks: DataFrame) -> DataFrame:
-    """Adds `id` from 1: units (collection, ord, …) in order of their collection's `rank` in `ranks` (collection, rank), then its name, then `ord`.
+    """Adds `id` from 1: units (collection, ord, …) in order of their collection's `rank` in `ranks` (collection, rank), then its name, then `ord`; units without a collection come last.
 
-    Collections are counted and moved by those before; within one the rows are numbered in ranges, so none is in one task.
+    Collections are counted and moved by those before; a large one is numbered in ranges, so none is in one task.
     """
-    counts = units.groupBy("collection").agg(F.count("*").alias("_n")).join(ranks, "collection", "left")
-    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy(F.col("rank").asc_nulls_last(), "collection")) - F.col("_n")  # a row per collection
+    counts = null_safe_join(units.groupBy("collection").agg(F.count("*").alias("_n")), ranks, ["collection"], "left")
+    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy(F.col("rank").asc_nulls_last(), F.col("collection").asc_nulls_last())) - F.col("_n")  # a row per collection
     offsets = counts.select("collection", before.alias("_before"))
-    df = numbered(units, ["collection"], "ord", "id").join(broadcast_if_small(offsets), "collection")
+    df = null_safe_join(numbered(units, ["collection"], "ord", "id"), broadcast_if_small(offsets), ["collection"])
     return df.withColumn("id", F.col("id") + F.col("_before")).drop("_before")
 
 

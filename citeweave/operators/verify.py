@@ -9,6 +9,7 @@ from citeweave.functions.align import align, align_windows, classify, difference
 from citeweave.functions.text import bound, latin_words
 from citeweave.operators.common import broadcast_if_small, first_of, top, when_of
 from citeweave.operators.retrieve import append_absent, fuse
+from citeweave.plans.materialize import materialize
 
 GRAM, SLACK = 4, 10
 #: Least width, in words, of a range of shifts that shares a window.
@@ -88,29 +89,42 @@ def verify(passages: DataFrame, docs: DataFrame, slack: int = SLACK) -> DataFram
     )
 
 
-def contained(passages: DataFrame, docs: DataFrame, inner: int = 3) -> DataFrame:
+def contained(passages: DataFrame, docs: DataFrame, inner: int = 3, few: int = 3) -> DataFrame:
     """(doc_id, item_id) of every passage whose text stands in a document's, character by character. Both tables are (id, text).
 
     What stands between the first and the last piece of a passage are whole pieces of any text that has it: up to
-    `inner` of them are the key of a join, and the pairs that meet are checked. Passages of one or two pieces have none
-    and are looked for in every text, while they are few next to the texts.
+    `inner` of them, hashed, are the key of a join. A passage of one or two pieces is looked up in the vocabulary of
+    the documents, by the first `few` characters of its first piece, which is a part of some piece of any text that has
+    it. All pairs that meet are checked. A passage of white space alone is compared with every text.
     """
     piece = lambda t: F.array_remove(F.split(t, r"\s+"), "")
     keyed = passages.where(F.col("text").isNotNull()).select("item_id", F.col("text").alias("passage"), piece(F.col("text")).alias("pieces"))
     keyed = keyed.withColumn("n", F.least(F.greatest(F.size("pieces") - 2, F.lit(0)), F.lit(inner)))
     sizes = [r.n for r in keyed.select("n").distinct().collect() if r.n]  # `inner` rows at most
     d = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
-    found = None
+    hashed = lambda ws, n: F.transform(F.sequence(F.lit(0), F.size(ws) - n), lambda i: F.xxhash64(*(F.get(ws, i + k) for k in range(n))))
+    met = None
     for n in sizes:
-        own = keyed.where(F.col("n") == n).select("item_id", F.array_join(F.slice("pieces", 2, n), " ").alias("gram"))
-        grams = d.select("doc_id", F.explode(F.array_distinct(placed_grams(piece(F.col("text")), n)["gram"])).alias("gram"))
-        pairs = grams.join(broadcast_if_small(own), "gram").select("doc_id", "item_id")
-        found = pairs if found is None else found.unionByName(pairs)
-    short = d.join(broadcast_if_small(keyed.where("n = 0").select("item_id", "passage")), F.contains("text", F.col("passage"))).select("doc_id", "item_id")
-    if found is None:
-        return short
-    checked = found.join(d, "doc_id").join(keyed.select("item_id", "passage"), "item_id").where(F.contains("text", F.col("passage")))
-    return checked.select("doc_id", "item_id").unionByName(short)
+        own = keyed.where(F.col("n") == n).select("item_id", F.xxhash64(*(F.get("pieces", F.lit(k + 1)) for k in range(n))).alias("key"))
+        there = d.withColumn("ws", piece(F.col("text"))).where(F.size("ws") >= n).select("doc_id", F.explode(F.array_distinct(hashed(F.col("ws"), n))).alias("key"))
+        pairs = there.join(broadcast_if_small(own), "key").select("doc_id", "item_id")
+        met = pairs if met is None else met.unionByName(pairs)
+    short = keyed.where((F.col("n") == 0) & (F.size("pieces") > 0)).select("item_id", F.get("pieces", F.lit(0)).alias("needle"))
+    short = materialize(short.withColumn("key", F.substring("needle", 1, few)))
+    if not short.isEmpty():
+        letters = F.split("piece", "")
+        parts = F.concat(*(F.transform(letters, lambda c, i: F.concat(c, *(F.coalesce(F.get(letters, i + k), F.lit("")) for k in range(1, n)))) for n in range(1, few + 1)))
+        owned = materialize(d.select("doc_id", F.explode(F.array_distinct(piece(F.col("text")))).alias("piece")))
+        words = owned.select("piece").distinct().select("piece", F.explode(F.array_distinct(parts)).alias("key"))
+        held = words.join(broadcast_if_small(short), "key").where(F.contains("piece", F.col("needle"))).select("piece", "item_id")
+        pairs = owned.join(held, "piece").select("doc_id", "item_id").distinct()
+        met = pairs if met is None else met.unionByName(pairs)
+    blank = keyed.where(F.size("pieces") == 0).select("item_id", "passage")
+    found = d.join(broadcast_if_small(blank), F.contains("text", F.col("passage"))).select("doc_id", "item_id")
+    if met is None:
+        return found
+    checked = met.join(d, "doc_id").join(keyed.select("item_id", "passage"), "item_id").where(F.contains("text", F.col("passage")))
+    return checked.select("doc_id", "item_id").unionByName(found)
 
 
 def text_status(a: Column, label: Column | None = None) -> Column:
@@ -218,17 +232,18 @@ def final_status(text: Column, grade_status: Column, optional: Column) -> Column
 def citation_agrees(findings: DataFrame, members: DataFrame) -> DataFrame:
     """Adds `agrees` to (span, key, cited_key, cited_collection): the cited key is the match or of its family, or a family member is in the cited collection.
 
-    `members` is (key, family_id, collection). Null where nothing was cited.
+    `members` is (key, family_id, collection). Null where nothing was cited. A family is met by the key or the collection
+    that is asked for, never as a whole.
     """
-    own = members.select("key", "family_id", F.col("collection").alias("own_collection"))
-    df = findings.join(own, "key", "left")
-    family = members.where("family_id is not null").select(F.col("family_id").alias("_f"), F.col("key").alias("_k"), F.col("collection").alias("_c"))
-    wide = df.join(family, (df["family_id"] == family["_f"]) & ((family["_k"] == df["cited_key"]) | (df["cited_key"].isNull() & (family["_c"] == df["cited_collection"]))), "left")
-    hit = wide.groupBy("span").agg(F.max(F.col("_k").isNotNull()).alias("_hit"))
-    df = df.join(hit, "span")
-    same = F.when(F.col("cited_key").isNotNull(), F.col("cited_key") == F.col("key")).otherwise(F.col("cited_collection") == F.col("own_collection"))
-    agrees = F.when(F.col("cited_key").isNull() & F.col("cited_collection").isNull(), F.lit(None).cast("boolean")).otherwise(F.coalesce(same, F.lit(False)) | F.col("_hit"))
-    return df.withColumn("agrees", agrees).drop("_hit", "family_id", "own_collection")
+    df = findings.join(members.select("key", F.col("family_id").alias("_f"), F.col("collection").alias("_own")), "key", "left")
+    named = members.where("family_id is not null")
+    by_key = named.select(F.col("family_id").alias("_f"), F.col("key").alias("cited_key"), F.lit(True).alias("_same_family")).distinct()
+    by_collection = named.select(F.col("family_id").alias("_f"), F.col("collection").alias("cited_collection"), F.lit(True).alias("_collection_in_family")).distinct()
+    df = df.join(by_key, ["_f", "cited_key"], "left").join(by_collection, ["_f", "cited_collection"], "left")
+    key, collection = F.col("cited_key"), F.col("cited_collection")
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    agrees = F.when(key.isNotNull(), sure(key == F.col("key")) | sure(F.col("_same_family"))).when(collection.isNotNull(), sure(collection == F.col("_own")) | sure(F.col("_collection_in_family")))
+    return df.withColumn("agrees", agrees).select(*findings.columns, "agrees")
 
 
 def split_decided(spans: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:

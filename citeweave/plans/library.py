@@ -28,17 +28,6 @@ def _long(*names):
 # --- linkage ---------------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
-dg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+3], ' ') AS g FROM d, unnest(generate_series(1, greatest(len(w) - 3, 1))) AS t(i) WHERE len(w) > 0),
-bg AS (SELECT DISTINCT item_id, array_to_string(w[i:i+3], ' ') AS g FROM b, unnest(generate_series(1, greatest(len(w) - 3, 1))) AS t(i) WHERE len(w) > 0),
-v AS (SELECT item_id, doc_id, count(*) AS shared FROM bg JOIN dg USING (g) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS k FROM v)
-SELECT item_id, doc_id, shared FROM r WHERE k <= 5""")
-def gram_votes(spark, sf_dir):
-    words = T.latin_words(F.col("text")).alias("words")
-    items, docs = table(spark, sf_dir, "benchmark").select((-F.col("item_id") - 1).alias("id"), words), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), words)
-    return K.shared_gram_pairs(items, docs, 5).select((-F.col("left_id") - 1).alias("item_id"), F.col("right_id").alias("doc_id"), "shared")
-
-
 @query(f"""WITH d AS (SELECT {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
 g AS (SELECT DISTINCT array_to_string(w[i:i+4], ' ') AS g FROM d, unnest(generate_series(1, len(w) - 4)) AS t(i)),
 p AS (SELECT item_id, array_to_string(w[i:i+4], ' ') AS g FROM b, unnest([1, 6, 11, 16]) AS t(i) WHERE i + 4 <= len(w))

@@ -469,9 +469,3 @@ def segment_names(spark, sf_dir):
     counts = table(spark, sf_dir, "customer").groupBy("c_mktsegment", "c_nationkey").agg(F.count("*").alias("n"))
     return counts.join(broadcast_if_small(nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_mktsegment", "n_name", "n")
 
-
-@query("""WITH a AS (SELECT l_suppkey AS s, l_returnflag AS f, count(*) AS n FROM lineitem GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY n DESC, f) AS k FROM a)
-SELECT s AS supplier, max(CASE WHEN k = 1 THEN f END) AS top_flag, round(100.0 * max(CASE WHEN k = 1 THEN n END) / sum(n), 4) AS share FROM b GROUP BY 1""")
-def agreement(spark, sf_dir):
-    counts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("supplier"), F.col("l_returnflag").alias("flag")).agg(F.count("*").alias("n"))
-    return counts.groupBy("supplier").agg(F.min_by("flag", F.struct(-F.col("n"), F.col("flag"))).alias("top_flag"), F.round(100.0 * F.max("n") / F.sum("n"), 4).alias("share"))

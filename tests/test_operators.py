@@ -27,18 +27,6 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_mutual_best_equals_greedy(spark):
-    import random
-
-    rng = random.Random(4)
-    edges = [(a, b, rng.randint(1, 6) / 6) for a in range(12) for b in range(12) if rng.random() < 0.4]
-    used, want = (set(), set()), []
-    for w, a, b in sorted(((w, a, b) for a, b, w in edges), key=lambda x: (-x[0], x[1], x[2])):
-        if a not in used[0] and b not in used[1]:
-            used[0].add(a), used[1].add(b), want.append((a, b, w))
-    assert rows(R.mutual_best(spark.createDataFrame(edges, "a int, b int, weight double"))) == sorted(want, key=str)
-
-
 def test_grades(spark):
     words = ["Sahih", "Hasan Sahih", "Da'if Munkar", "موضوع", "No grade", "Silent", "strong chain", "??", None]
     df = spark.createDataFrame([(w,) for w in words], "g string").select(R.grade_class(F.col("g"), F.lower("g")).alias("c"))
