@@ -8,6 +8,7 @@ its last step and of the path before, so a deeply nested page costs no more than
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
 from collections import Counter
@@ -22,86 +23,214 @@ from citeweave.llm.common import materialize
 
 # Kinds of elements in HTML, and names that furniture goes by.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|textarea|svg|iframe|object|title|head"
+RAW = frozenset("script style noscript template textarea svg iframe object title head".split())
+RAW_TO_THE_END = frozenset("script style textarea title".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul br".split())
-FURNITURE = frozenset("nav footer aside form button select menu dialog label option canvas audio video".split())
+FURNITURE = frozenset("nav footer aside button select menu label option canvas audio video".split())
 CONTAINER = frozenset("article body div main section td blockquote".split())
-REPEATED = frozenset("li dt dd tr td th option".split())
-BARRIER = CONTAINER | {"ul", "ol", "table"}
-NAMES = re.compile(
-    r"(?:^|[-_\s])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|comment-?list|consent|cookies?\w*|disqus|footer|gdpr|masthead|menu|modal|"
+_NAMED = (
+    r"ad|ads|advert\w*|banner|breadcrumbs?|comments?|comment-?list|consent|cookies?\w*|disqus|footer|gdpr|masthead|menu|modal|"
     r"nav|navbar|navigation|newsletter|notice|notices|notification|pagination|popup|promo\w*|recommend\w*|related|replies|responses|respond|share|sharing|"
-    r"sidebar|side-?bar|site-?header|skip|social|sponsor\w*|subscribe|toolbar|widgets?)(?:$|[-_\s\d])",
-    re.I,
+    r"sidebar|side-?bar|site-?header|skip|social|sponsor\w*|subscribe|toolbar|widgets?"
 )
-ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|"
-    r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<",
-    re.S | re.I,
-)
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
+NAMES = re.compile(rf"(?:^|[-_\s])(?:{_NAMED})(?:$|[-_\s\d])", re.I)
+#: A class that says nothing but that: a name, and what kind of box it is.
+PURE = re.compile(rf"(?:{_NAMED})(?:[-_](?:area|bar|box|container|inner|left|list|notice|posts|right|section|thread|wrap|wrapper|[0-9]+))*", re.I)
+ROLES = frozenset("alert banner complementary contentinfo menu menubar navigation search".split())
+
+#: Elements that end where the next of their kind begins, and the element that this reaches up to.
+KINDS = {"li": "li", "dt": "term", "dd": "term", "tr": "row", "td": "cell", "th": "cell", "option": "option"}
+REACH = {"ul": ("li",), "ol": ("li",), "menu": ("li",), "dl": ("term",), "table": ("row", "cell"), "tr": ("cell",), "select": ("option",)}
+FORMS, MAIN = frozenset(("form", "dialog")), frozenset(("article", "main"))
+
+_NAME = re.compile(r"</?[a-zA-Z]")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?>[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+_ATTRIBUTE = re.compile(r"([a-zA-Z-]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']++))")
 _SENTENCES = re.compile(r"[.!?…,;](?:\s|$)")
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "furniture", "parts", "score", "headline")
+    __slots__ = ("tag", "path", "parent", "furniture", "named", "label", "parts", "score", "headline", "mass", "main")
 
-    def __init__(self, tag: str, path: int, parent: Node | None, furniture: bool):
-        self.tag, self.path, self.parent, self.furniture = tag, path, parent, furniture
+    def __init__(self, tag: str, path: int, parent: Node | None, furniture: bool = False, named: bool = False, label: str = ""):
+        self.tag, self.path, self.parent, self.furniture, self.named, self.label = tag, path, parent, furniture, named, label
         self.parts: list[str | Node] = []
         self.score, self.headline = 0.0, False
+        self.mass, self.main = 0, tag in MAIN or tag == "h1"
+
+
+def tokens(page: str) -> Iterator[tuple[str, str | None, str]]:
+    """(text, None, "") and (tag or /tag, attributes, name) of a page, comments and raw elements left out.
+
+    The cursor goes forward only: what is looked for to the end of the page in vain is not looked for again, so time is in
+    proportion to the page. A quote that hides every later `>` is no quote.
+    """
+    at, quotes, unclosed = 0, True, set()
+    while at < len(page):
+        start = page.find("<", at)
+        if start != at:
+            yield page[at : start if start >= 0 else len(page)], None, ""
+            if start < 0:
+                return
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            if end < 0:
+                return
+            at = end + 3
+            continue
+        if page.startswith(("<!", "<?"), start):
+            end = page.find(">", start)
+            if end < 0:
+                yield page[start:], None, ""
+                return
+            at = end + 1
+            continue
+        if not _NAME.match(page, start):
+            yield "<", None, ""
+            at = start + 1
+            continue
+        m = (_TAG if quotes else _PLAIN_TAG).match(page, start)
+        if m is None:
+            if page.find(">", start) < 0:
+                yield page[start:], None, ""
+                return
+            quotes = False
+            m = _PLAIN_TAG.match(page, start)
+        at, tag = m.end(), m[2].lower()
+        if tag in RAW:
+            if m[1]:
+                continue
+            end = None if tag in unclosed else _RAW_END[tag].search(page, at)
+            if end:
+                at = end.end()
+            elif tag in RAW_TO_THE_END:
+                return
+            else:
+                unclosed.add(tag)  # its content is taken for the page's
+            continue
+        yield m[1] + tag, m[3], tag
 
 
 def _open(tag: str, raw: str, parent: Node) -> Node:
     names = {k.lower(): (a or b or c) for k, a, b, c in _ATTRIBUTE.findall(raw)} if "=" in raw else {}
     label = f"{names.get('class', '')} {names.get('id', '')}".strip()
-    furniture = tag in FURNITURE or names.get("role", "").lower() in ROLES or "hidden" in raw.split() or bool(label and tag not in ("body", "html") and NAMES.search(label))
+    role = names.get("role", "").lower()
+    furniture = tag in FURNITURE or role in ROLES or "hidden" in raw.split()
+    named = tag in FORMS or role in FORMS or bool(label and tag not in ("body", "html") and NAMES.search(label))
     classes = ".".join(sorted(re.sub(r"\d+", "0", names.get("class", "")).split()))
-    return Node(tag, xxhash.xxh64_intdigest(f"{tag}.{classes}", parent.path), parent, furniture)
+    return Node(tag, xxhash.xxh64_intdigest(f"{tag}.{classes}", parent.path), parent, furniture, named, label)
 
 
 def parse(page: str) -> Node:
-    """A tree of the page's elements and texts; unclosed paragraphs and list items end where HTML ends them."""
-    root = node = Node("", 0, None, False)
-    n_open: dict[str, int] = {}
-    for m in _TOKEN.finditer(page):
-        text = m[0]
-        if text[0] != "<" or text == "<":
+    """A tree of the page's elements and texts; unclosed paragraphs, list items, rows and cells end where HTML ends them."""
+    root = node = Node("", 0, None)
+    nodes, n_open, paragraph = [root], {}, None
+    last: dict[str, list[Node | None]] = {k: [] for k in set(KINDS.values())}  # open elements of a kind, None where one reaches no further
+
+    def end(at: Node) -> Node:
+        """Ends all open elements up to `at`, which is one of them."""
+        nonlocal paragraph
+        here = node
+        while True:
+            n_open[here.tag] -= 1
+            for kind in REACH.get(here.tag, ()):
+                last[kind].pop()
+            if here.tag in KINDS:
+                last[KINDS[here.tag]].pop()
+            if here is paragraph:
+                paragraph = None
+            if here is at:
+                return here.parent
+            here = here.parent
+
+    for text, attributes, tag in tokens(page):
+        if attributes is None:
             node.parts.append(html.unescape(text))
             continue
-        tag = (m[3] or "").lower()
-        if not tag:
-            continue
-        if m[2]:
-            while n_open.get(tag):  # an element that is open ends, and all inside it
-                n_open[node.tag] -= 1
-                node, ended = node.parent, node.tag
-                if ended == tag:
-                    break
+        if text[0] == "/":
+            if n_open.get(tag):  # an element that is open ends, and all inside it
+                while node.tag != tag:
+                    node = end(node)
+                node = end(node)
             continue
         if tag in VOID:
             if tag in BLOCK:
                 node.parts.append("\n")
             continue
-        in_p, in_own = tag in BLOCK and n_open.get("p"), tag in REPEATED and n_open.get(tag)
-        if in_p or in_own:  # an open paragraph, or element of the same kind, ends here
-            at = node
-            while at is not root and at.tag not in BARRIER:
-                if (in_p and at.tag == "p") or (in_own and at.tag == tag):
-                    while node is not at.parent:
-                        n_open[node.tag] -= 1
-                        node = node.parent
-                    break
-                at = at.parent
-        child = _open(tag, m[4] or "", node)
+        if paragraph is not None and tag in BLOCK:
+            node = end(paragraph)
+        kind = KINDS.get(tag)
+        if kind and last[kind] and last[kind][-1] is not None:
+            node = end(last[kind][-1])
+        child = _open(tag, attributes, node)
+        nodes.append(child)
         node.parts.append(child)
-        if not (m[4] and m[4].rstrip().endswith("/") and tag not in BLOCK):
+        if not (attributes.rstrip().endswith("/") and tag not in BLOCK):
             node = child
             n_open[tag] = n_open.get(tag, 0) + 1
+            if kind:
+                last[kind].append(child)
+            for reached in REACH.get(tag, ()):
+                last[reached].append(None)
+            if tag == "p":
+                paragraph = child
+    _settle(root, nodes)
     return root
 
 
+def _settle(root: Node, nodes: list[Node]) -> None:
+    """Decides which named elements are furniture: all but those that hold the page's text.
+
+    What stands outside links and furniture is weighed. As long as next to nothing stands outside the named elements and
+    one of them holds most of the page, that one is no furniture, and what is named inside it is judged in turn. Elements
+    that hold a headline or are an article themselves are believed sooner, those whose classes are all names of furniture later.
+    """
+    linked = {}
+    for x in nodes:  # parents first
+        linked[x] = x.parent is not None and (x.tag == "a" or linked[x.parent])
+    for x in reversed(nodes):
+        if not linked[x]:
+            x.mass += sum(len(t) - t.count(" ") - t.count("\n") for t in x.parts if isinstance(t, str))
+        if x.parent is not None and not x.furniture:
+            x.parent.mass += x.mass
+            x.parent.main |= x.main
+    total = root.mass
+
+    def outermost(top: Node) -> list[Node]:
+        found, stack = [], [top]
+        while stack:
+            for x in stack.pop().parts:
+                if isinstance(x, Node) and not x.furniture:
+                    (found if x.named else stack).append(x)
+        return found
+
+    heap, order = [], 0
+    left = total
+
+    def add(top: Node) -> None:
+        nonlocal left, order
+        for x in outermost(top):
+            left -= x.mass
+            order += 1
+            heapq.heappush(heap, (-x.mass, order, x))
+
+    add(root)
+    kept = set()
+    while heap and total:
+        mass, _, x = heapq.heappop(heap)
+        pure = bool(x.label) and all(map(PURE.fullmatch, x.label.split()))
+        share = 0.3 if x.main else 0.05 if pure else 0.1
+        if left >= share * total or (pure and not x.main and left >= 16) or -mass < 0.5 * total:
+            break
+        kept.add(x)
+        left -= mass
+        add(x)
+    for x in nodes:
+        x.furniture = x.furniture or (x.named and x not in kept)
+
+
 def _texts(node: Node, inside: bool = False) -> Iterator[str]:
     """Text pieces outside furniture, with a space at each end of a block. A header stays if the container's headline is in it."""
     stack = [iter(node.parts)]
@@ -195,8 +324,10 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
 
     A host's `best` paths are tried in order of support; a page that has none of them, or whose host is unknown, falls
     back on its own best container. Null and empty pages give an empty text; repeated rows vote and are extracted each;
-    an empty table gives an empty table; other columns are not read. Very deep or unclosed nesting and very long pages
-    take time and memory in proportion to the page. Each task sends on a host's `best` paths alone, so that a host with
+    an empty table gives an empty table; other columns are not read. Of tied containers of a page the first counts, of
+    tied paths of a host the least hash. Very deep or unclosed nesting, tags and quotes that never close and very long
+    pages take time and memory in proportion to the page. A page is parsed for its votes and again, once these are
+    counted, for its text: trees are not kept between. Each task sends on a host's `best` paths alone, so that a host with
     very many paths is no large group. The paths of up to `broadcast_rows` hosts are
     broadcast (about 100 MB), and joined by a shuffle beyond.
     """

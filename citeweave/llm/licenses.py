@@ -30,6 +30,7 @@ distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; withou
 License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software
 distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the
 specific language governing permissions and limitations under the License."""),
+    ("apache-2.0", ["apache license version 2 0"], "Licensed under the Apache License, Version 2.0"),
     ("bsd", ["redistribution and use in source and binary forms"], """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
 the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
@@ -51,6 +52,7 @@ https://www.eclipse.org/legal/epl-2.0/ SPDX-License-Identifier: EPL-2.0"""),
 published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will
 be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for
 more details. You should have received a copy of the GNU General Public License along with this program."""),
+    ("gpl", ["terms of the gnu general public license"], "under the terms of the GNU General Public License"),
     ("isc", ["with or without fee is hereby granted"], """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided
 that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO
 THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."""),
@@ -125,8 +127,8 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
     the template's words that stand in this very text, by their IDF over all documents, are looked up; their places in
     the text and their postings in the template imply starts, and a start with `min_votes` votes counts if every key
     phrase stands whole at its relative place. `matches` holds those (label, start, share), share being the IDF weight
-    of the template's words that stand in place. `score` is the largest share, or 0.5 for base labels alone, 0 without
-    any. Null and empty texts have no words; very long texts are scanned whole; repeated rows are judged each; equal
+    of the template's words that stand in place. `score` is 0 without a label, 0.5 for base labels alone, and goes with the
+    largest share from there up to 1 for a notice that stands whole: what is verified never counts less than a bare phrase. Null and empty texts have no words; very long texts are scanned whole; repeated rows are judged each; equal
     places are listed once; an empty table gives an empty table; other columns are not read.
     """
     idf = word_idf(docs, text)
@@ -190,6 +192,6 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
         F.array_max("starts").cast("long").alias("last_word"),
         joined(F.col("base")).alias("base_labels"),
         joined(F.concat("base", F.transform("matches", lambda m: m["label"]))).alias("labels"),
-        F.coalesce(best, F.when(F.size("base") > 0, F.lit(0.5)).otherwise(F.lit(0.0))).alias("score"),
+        F.coalesce(0.5 + best / 2, F.when(F.size("base") > 0, F.lit(0.5)).otherwise(F.lit(0.0))).alias("score"),
         "matches",
     )

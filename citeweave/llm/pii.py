@@ -54,9 +54,13 @@ class Permutation:
         return h[:size] if size <= len(h) else hashlib.shake_256(h).digest(size)
 
     def __call__(self, value: int, n: int, tweak: bytes, inverse: bool = False) -> int:
-        """A number below `n` for a number below `n`: balanced rounds, repeated until the value is in range."""
+        """Another number below `n` for a number below `n`: one step on the cycle in which the rounds put all of them, so none stays what it is."""
         if n < 2:
             return value
+        return self._feistel((self._feistel(value, n, tweak) + (-1 if inverse else 1)) % n, n, tweak, True)
+
+    def _feistel(self, value: int, n: int, tweak: bytes, inverse: bool = False) -> int:
+        """Balanced rounds, repeated until the value is in range."""
         bits = ((n - 1).bit_length() + 1) // 2
         mask, size = (1 << bits) - 1, (bits + 7) // 8
         drawn = lambda k, half: int.from_bytes(self._bytes(tweak, k, half.to_bytes(size, "little"), size), "little") & mask
@@ -69,19 +73,27 @@ class Permutation:
                 return value
 
     def symbols(self, text: str, tweak: bytes, alphabets: list[str], inverse: bool = False) -> str:
-        """Another string whose every place holds a symbol of the same alphabet, in time linear in its length.
-
-        Rounds add to the symbols of one half, each modulo the size of its alphabet, what is drawn from the other half.
-        """
+        """Another string whose every place holds a symbol of the same alphabet, in time linear in its length; again one step on a cycle of all of them."""
+        if not text:
+            return text
         sizes = np.array([len(a) for a in alphabets], np.int64)
-        halves = [slice(0, len(text) // 2), slice(len(text) // 2, None)]
-        value = np.array([a.index(c) for c, a in zip(text, alphabets)], np.int64)
         tweak += sizes.astype("<u2").tobytes()
+        value = self._mixed(np.array([a.index(c) for c, a in zip(text, alphabets)], np.int64), sizes, tweak)
+        for k in reversed(range(len(value))):  # one more, or one less, with carry
+            value[k] = (value[k] + (-1 if inverse else 1)) % sizes[k]
+            if value[k] != (sizes[k] - 1 if inverse else 0):
+                break
+        value = self._mixed(value, sizes, tweak, True)
+        return "".join(a[k] for a, k in zip(alphabets, value.tolist()))
+
+    def _mixed(self, value: np.ndarray, sizes: np.ndarray, tweak: bytes, inverse: bool = False) -> np.ndarray:
+        """Rounds that add to the symbols of one half, each modulo the size of its alphabet, what is drawn from the other half."""
+        halves = [slice(0, len(value) // 2), slice(len(value) // 2, None)]
         for k in reversed(range(ROUNDS)) if inverse else range(ROUNDS):
             to, source = halves[k % 2], halves[1 - k % 2]
             drawn = np.frombuffer(self._bytes(tweak, k, value[source].astype("<u2").tobytes(), 4 * len(sizes[to])), "<u4").astype(np.int64)
             value[to] = (value[to] + (-drawn if inverse else drawn)) % sizes[to]
-        return "".join(a[k] for a, k in zip(alphabets, value.tolist()))
+        return value
 
 
 def _alphabet(c: str) -> str | None:
