@@ -31,7 +31,7 @@ LATIN_STOP = (
     "same another know while last might us great old year off come since against go came right used take three yang dan di ke dari ini itu dengan untuk "
     "tidak ada pada adalah akan juga atau oleh karena sebagai dalam kami kamu mereka saya kita bahwa telah sudah bisa"
 ).split()
-#: Substitutions that fold spellings of a name, in order.
+# Substitutions that fold spellings of a name, in order.
 SPELLINGS = [
     ("sy|sh", "s"), ("dz|dh", "d"), ("ts|th", "t"), ("kh", "k"), ("gh", "g"), ("q", "k"), ("o", "a"), ("e", "i"), ("w", "u"), ("y", "i"),
     ("^a[lnstdrz](?=.{3})", ""), (r"(.)\1+", "$1"), ("h$", ""),

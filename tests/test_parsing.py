@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citeweave.functions import records as P
+from citeweave.operators import parts as X
 from citeweave.functions.citations import extract_citations, text_tokens
 from citeweave.functions.text import chapter_key
 from vocabulary import CUES, tables
@@ -100,16 +101,26 @@ def test_columns(spark):
     assert [(w.id, w.name) for w in r.w] == [("7", "Ali")]
 
 
-def test_said_ranges():
-    shown = "قال رسول الله إنما الأعمال بالنيات ثم سكت"
-    marked = '[matn]قال رسول الله "إِنَّمَا الأَعْمَالُ بِالنِّيَّاتِ" ثم سكت[/matn]'
-    (r,) = P.said_ranges(shown, marked)
-    assert shown[r["a"] : r["b"]] == "إنما الأعمال بالنيات"
-    assert P.said_ranges(None, marked) == [] and P.said_ranges(shown, "no marks") == []
+def test_quoted_speech(spark):
+    shown = "قال رسول الله إنما الأعمال بالنيات ثم سكت وقال لا ضرر ولا ضرار"
+    marked = '[matn]قال رسول الله "إِنَّمَا الأَعْمَالُ بِالنِّيَّاتِ" ثم سكت وقال "لا ضرر [b]ولا[/b] إضرار"[/matn] "خارج"'
+    rows = [(1, shown, marked), (2, None, marked), (3, shown, "no marks"), (4, shown, None), (5, "قال «نعم» ثم", marked), (6, "one two three four", '[matn]"two three" and "one two"[/matn]'), (7, "one two", '[matn]"three four five"[/matn]')]
+    df = spark.createDataFrame(rows, "id int, shown string, marked string")
+    got = sorted((r.id, r.quote, dict((a, b) for a, b, _ in rows)[r.id][r.a : r.b]) for r in X.quoted_speech(df).collect())
+    assert got == [(1, 0, "إنما الأعمال بالنيات"), (1, 1, "لا ضرر ولا ضرار"), (6, 0, "two three")]
 
 
 def test_split_records(spark):
-    rows = [("حدثنا علي عن عمر قال كان النبي يقوم", None, None), ("a b c « one two » three", None, None), ("x y المرء مع من أحب", None, "المرء مع من أحب"), ("كلام قصير", None, None), (None, None, None)]
-    df = spark.createDataFrame(rows, "t string, b string, p string").select(P.split_records(F.col("t"), F.col("b"), F.col("p")).alias("s"))
-    got = [(r.s.chain, r.s.body, r.s.method) for r in df.collect()]
-    assert got == [("حدثنا علي عن عمر قال", "كان النبي يقوم", "chain_then_speech"), ("a b c", "one two » three", "quote_mark"), ("x y", "المرء مع من أحب", "aligned_to_parallel"), (None, "كلام قصير", "unsplit"), (None, "", "unsplit")]
+    long = " ".join(["كلمه"] * 20)
+    cases = [
+        ("حدثنا علي عن عمر قال كان النبي يقوم", None, None, ("حدثنا علي عن عمر قال", "كان النبي يقوم", None, "chain_then_speech")),
+        ("a b c « one two » three", None, None, ("a b c", "one two » three", None, "quote_mark")), ('"a b" c d e f', None, None, (None, '"a b" c d e f', None, "unsplit")),
+        ("x y المرء مع من أحب", None, "المرء مع من أحب", ("x y", "المرء مع من أحب", None, "aligned_to_parallel")), ("كلام قصير", None, None, (None, "كلام قصير", None, "unsplit")),
+        (None, None, None, (None, "", None, "unsplit")), ("", "tirmidhi", "", (None, "", None, "unsplit")),
+        (f"حدثنا علي قال {long} قال أبو عيسى حديث حسن", "tirmidhi", None, ("حدثنا علي قال", long, "قال أبو عيسى حديث حسن", "chain_then_speech")),
+        (f"قال أبو عيسى حدثنا علي قال {long}", "tirmidhi", None, ("قال أبو عيسى حدثنا علي قال", long, None, "chain_then_speech")), ("حدثنا علي قال", None, None, (None, "حدثنا علي قال", None, "unsplit")),
+    ]
+    df = spark.createDataFrame([(k, *c[:3]) for k, c in enumerate(cases)], "id int, text string, book string, parallel string")
+    got = {r.id: (r.chain, r.body, r.notes, r.method) for r in X.split_records(df).collect()}
+    assert got == {k: c[3] for k, c in enumerate(cases)}
+    assert X.split_records(df.limit(0)).count() == 0
