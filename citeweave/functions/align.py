@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -179,25 +178,52 @@ def align_windows(spoken: Column, positions: Column, windows: Column) -> Column:
     return aligned(spoken, positions, windows)
 
 
+def matching_words(a: np.ndarray, b: np.ndarray) -> int:
+    """Words in matching blocks of two coded texts: their longest common run, the first of several, and the same again on both sides of it.
+
+    A row of run lengths is kept for each word of `a`, never a table; rows are arrays over the words of `b`.
+    """
+    found, parts = 0, [(0, len(a), 0, len(b))]
+    while parts:
+        i0, i1, j0, j1 = parts.pop()
+        if i0 >= i1 or j0 >= j1:
+            continue
+        other = b[j0:j1]
+        runs, longest, end_i, end_j = np.zeros(j1 - j0 + 1, np.int32), 0, 0, 0
+        for i in range(i0, i1):
+            longer = np.where(other == a[i], runs[:-1] + 1, 0)
+            runs[1:] = longer
+            at = int(longer.argmax())
+            if longer[at] > longest:
+                longest, end_i, end_j = int(longer[at]), i + 1, j0 + at + 1
+        if longest:
+            found += longest
+            parts += [(i0, end_i - longest, j0, end_j - longest), (end_i, i1, end_j, j1)]
+    return found
+
+
+def _coded(left: pd.Series, right: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of word lists as numbers; what is null is empty. Words that stand on one side only are left out of neither: runs must not close over them."""
+    for x, y in zip(left, right):
+        x, y = list(x) if x is not None else [], list(y) if y is not None else []
+        codes = {w: k for k, w in enumerate(dict.fromkeys([*x, *y]))}
+        yield np.array([codes[w] for w in x], np.int64), np.array([codes[w] for w in y], np.int64)
+
+
 def similarity(a: Column, b: Column) -> Column:
-    """Ratcliff-Obershelp ratio of two word arrays; 0 if either is empty."""
+    """Twice the matching words by the words of both texts; 0 if either is empty."""
     @F.pandas_udf("double")
     def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, list(x), list(y), autojunk=False).ratio() if x is not None and y is not None and len(x) and len(y) else 0.0 for x, y in zip(left, right)])
+        return pd.Series([2 * matching_words(x, y) / (len(x) + len(y)) if len(x) and len(y) else 0.0 for x, y in _coded(left, right)])
 
     return ratio(a, b)
 
 
 def containment(part: Column, whole: Column) -> Column:
     """Share of the words of `part` that stand in `whole` in the same order."""
-    def one(x, y) -> float:
-        if x is None or y is None or not len(x) or not len(y):
-            return 0.0
-        return sum(b.size for b in SequenceMatcher(None, list(x), list(y), autojunk=False).get_matching_blocks()) / len(x)
-
     @F.pandas_udf("double")
     def share(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([one(x, y) for x, y in zip(left, right)])
+        return pd.Series([matching_words(x, y) / len(x) if len(x) and len(y) else 0.0 for x, y in _coded(left, right)])
 
     return share(part, whole)
 

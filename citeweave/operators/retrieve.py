@@ -75,31 +75,58 @@ def bm25(query_tokens: DataFrame, units: DataFrame, k: int, most: int = 64 << 20
     types = q.schema["query"].dataType.simpleString(), units.schema["key"].dataType.simpleString()
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, found = shared.value, {}
-
-        def cut(rows: list) -> list:
-            return sorted(rows, key=lambda x: (-x[0], x[1]))[:k]
+        index, held, size = shared.value, [], 0
+
+        def cut(held: list) -> list:
+            """The `k` best units of each query among what is held."""
+            rows, scores, keys = (np.concatenate(x) for x in zip(*held))
+            _, by_key = np.unique(keys, return_inverse=True)
+            order = np.lexsort((by_key, -scores, rows))
+            rows = rows[order]
+            first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+            place = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows))))
+            order = order[place < k]
+            return [(rows[place < k], scores[order], keys[order])]
 
         for batch in batches:
             for key, words in zip(batch["key"], batch["words"]):
                 counts = Counter(w for w in words if w in index)
-                total = np.zeros(len(names))
+                if not counts:
+                    continue
                 norm = K1 * (1 - B + B * len(words) / mean)
-                for w, tf in counts.items():
-                    weight, rows = index[w]
-                    total[rows] += weight * tf * (K1 + 1) / (tf + norm)
-                for i in np.flatnonzero(total).tolist():
-                    rows = found.setdefault(i, [])
-                    rows.append((round(float(total[i]), 6), key))
-                    if len(rows) >= 8 * k + 64:
-                        found[i] = cut(rows)
-        out = [(names[i], key, score) for i, rows in found.items() for score, key in cut(rows)]
-        yield pd.DataFrame(out, columns=["query", "key", "score"])
+                lists = [index[w] for w in counts]
+                weights = [weight * tf * (K1 + 1) / (tf + norm) for (weight, _), tf in zip(lists, counts.values())]
+                met, place = np.unique(np.concatenate([rows for _, rows in lists]), return_inverse=True)  # the queries that share a word, no others
+                total = np.bincount(place, np.repeat(weights, [len(rows) for _, rows in lists]))
+                held.append((met, np.round(total, 6), np.full(len(met), key, dtype=object)))
+                size += len(met)
+                if size >= 1 << 20:
+                    held = cut(held)
+                    size = len(held[0][0])
+        if held:
+            ((rows, scores, keys),) = cut(held)
+            yield pd.DataFrame({"query": [names[i] for i in rows], "key": keys, "score": scores})
 
     scored = units.select("key", "words").mapInPandas(best, f"query {types[0]}, key {types[1]}, score double")
     return top(scored, ["query"], [F.desc("score"), "key"], k)
 
 
+def search_index(index: DataFrame, lengths: DataFrame, queries: DataFrame, k: int, tokens: int | None = None, max_share: float = 1.0) -> DataFrame:
+    """(query, key, score, rank): BM25 from a saved index, postings (token, key, tf) and lengths (key, length) of one field.
+
+    `queries` is (query, words). Each is asked by its `tokens` rarest words that stand in at most `max_share` of the units,
+    so frequent tokens are not joined. Postings that are bucketed by token stay where they are: what is asked comes to
+    them.
+    """
+    n, mean = lengths.agg(F.count("*"), F.coalesce(F.avg("length"), F.lit(1.0))).first()
+    frequent = index.groupBy("token").agg(F.count("*").alias("df"))
+    asked = rarest_tokens(queries, F.col("words"), frequent, n, tokens or 1 << 30, max_share).where("df > 0")
+    idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
+    hits = index.select("token", "key", "tf").join(broadcast_if_small(asked.select("query", "token", idf.alias("idf"))), "token").join(lengths.select("key", "length"), "key")
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
+    return top(hits.groupBy("query", "key").agg(F.round(F.sum(weight), 6).alias("score")), ["query"], [F.desc("score"), "key"], k)
+
+
 def of_kinds(units: DataFrame, kinds: list[str] | None) -> DataFrame:
     """The units of the kinds asked for, all without any. Ranking works on what is left, so lists are as long as if there were no others, and the filter reaches the scan."""
     return units.where(F.col("kind").isin(kinds)) if kinds else units

@@ -72,8 +72,12 @@ def verify(passages: DataFrame, docs: DataFrame, slack: int = SLACK) -> DataFram
     on both sides of the passage at its shift. Shifts are dealt into ranges, each with a window of that margin, and
     the best alignment of all windows is taken: a window is bounded by the passage, however long the document.
     """
-    p = passages.select("item_id", latin_words(F.col("text")).alias("words"))
-    d = docs.select("doc_id", latin_words(F.col("text")).alias("words"))
+    words = latin_words(F.col("text")).alias("words")
+    return verify_words(passages.select("item_id", words), docs.select("doc_id", words), slack).drop("last_word")
+
+
+def verify_words(p: DataFrame, d: DataFrame, slack: int = SLACK) -> DataFrame:
+    """`verify` of (item_id, words) and (doc_id, words), with the `last_word` too."""
     found = shift_ranges(p, d).groupBy("doc_id", "item_id").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("ranges"))
     df = found.join(p.withColumnRenamed("words", "passage"), "item_id").join(d, "doc_id")
     n = F.size("passage")
@@ -85,7 +89,7 @@ def verify(passages: DataFrame, docs: DataFrame, slack: int = SLACK) -> DataFram
     status = text_status(F.col("a"))
     return df.select(
         "doc_id", "item_id", F.round("a.similarity", 6).alias("similarity"), F.round("a.coverage", 6).alias("coverage"), status.alias("status"),
-        F.col("a.first").cast("long").alias("first_word"), difference_text(F.col("a.ops")).alias("difference"),
+        F.col("a.first").cast("long").alias("first_word"), F.col("a.last").cast("long").alias("last_word"), difference_text(F.col("a.ops")).alias("difference"),
     )
 
 

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.operators.common import broadcast_if_small
-
-from citeweave.operators.common import first_of
+from citeweave.operators.common import broadcast_if_small, first_of
+from citeweave.operators.documents import is_subtitle, markdown_segments, subtitle_segments
 
 ITEM = "struct<ref:string,number:string,title:struct<en:string,ar:string>,text:struct<en:string,ar:string>,chain:struct<en:string,ar:string>,grade:struct<en:string,ar:string>,grader:struct<en:string,ar:string>,id:string,source:struct<ref:string>>"
 SUBSECTION = f"struct<title:struct<en:string,ar:string>,items:array<{ITEM}>>"
@@ -96,3 +95,25 @@ def wiki_text(pages: DataFrame, dropped: tuple[str, ...] = ("references", "notes
     heading = F.lower(F.trim(F.regexp_extract("text", r"^\s*=+\s*(.*?)\s*=+\s*$", 1)))
     section = F.last(F.when(heading != "", heading), ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("line"))
     return lines.withColumn("section", section).where(F.col("section").isNull() | ~F.col("section").isin(*dropped)).drop("section")
+
+
+def text_files(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """(doc_id, kind, text): files of a folder and below, `doc_id` being the path; kind is `subtitle`, `wiki` or `markdown` by what stands in the file.
+
+    With `stream`, files that arrive are read once each. Executors read the files, whatever store they are in.
+    """
+    reader = spark.readStream.schema("value string") if stream else spark.read
+    files = reader.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(path)
+    files = files.select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"))
+    wiki = F.col("text").rlike(r"(?m)^\s*==+[^=\n]+==+\s*$")
+    return files.select("doc_id", F.when(is_subtitle(F.col("text")), "subtitle").when(wiki, "wiki").otherwise("markdown").alias("kind"), "text")
+
+
+def file_segments(files: DataFrame) -> DataFrame:
+    """(doc_id, kind, seg, section, start, end, text): `text_files` cut into segments by their kind, each by the form that columns of texts have too."""
+    of = lambda kind: files.where(F.col("kind") == kind)
+    none = lambda t: F.lit(None).cast(t)
+    marked = markdown_segments(of("markdown")).select("doc_id", F.lit("markdown").alias("kind"), F.col("seg").cast("long"), "section", none("double").alias("start"), none("double").alias("end"), "text")
+    timed = subtitle_segments(of("subtitle")).select("doc_id", F.lit("subtitle").alias("kind"), F.col("seg").cast("long"), none("string").alias("section"), F.col("start").cast("double"), F.col("end").cast("double"), "text")
+    lines = wiki_text(of("wiki")).select("doc_id", F.lit("wiki").alias("kind"), F.col("line").cast("long").alias("seg"), none("string").alias("section"), none("double").alias("start"), none("double").alias("end"), "text")
+    return marked.unionByName(timed).unionByName(lines)

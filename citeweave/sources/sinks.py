@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeweave.operators.common import first_of
+from citeweave.operators.records import upsert
 from citeweave.operators.retrieve import postings, token_df, unit_lengths
+from citeweave.plans.materialize import materialize
 
 
 def write_lines(df: DataFrame, path: str) -> None:
@@ -47,6 +50,64 @@ def read_results(spark: SparkSession, path: str, results: str, schema: str) -> t
     return found.join(manifest, "id", "left_semi"), manifest.join(found.select("id"), "id", "left_anti")
 
 
+def read_index(spark: SparkSession, name: str, field: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths) of one field of a saved index, for `retrieve.search_index`."""
+    return tuple(spark.table(f"{name}_{part}").where(F.col("field") == field) for part in ("postings", "lengths"))
+
+
+BUCKET = "_bucket"
+
+
+def _bucketed(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    return df.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+
+
+def write_keyed(df: DataFrame, path: str, keys: list[str], buckets: int = 64) -> None:
+    """Saves a table in `buckets` parts by the hash of its keys, so that later changes read and write the parts that they touch."""
+    _bucketed(df, keys, buckets).repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(path)
+
+
+def read_keyed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop(BUCKET)
+
+
+def _change(spark: SparkSession, path: str, by: DataFrame, keys: list[str], buckets: int, change) -> int:
+    """Rewrites the parts that hold keys of `by` as `change(old rows, rows of `by`)` says; returns how many parts that were.
+
+    The new rows are written beside the table before a part is replaced, so a lost job leaves the old parts or is run again.
+    """
+    by = materialize(_bucketed(by, keys, buckets))
+    touched = sorted(r[0] for r in by.select(BUCKET).distinct().collect())  # `buckets` numbers at most
+    if not touched:
+        return 0
+    old = spark.read.parquet(path).where(F.col(BUCKET).isin(touched))
+    new = materialize(change(old, by))
+    new.repartition(BUCKET).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(BUCKET).parquet(path)
+    left = {r[0] for r in new.select(BUCKET).distinct().collect()}
+    for k in set(touched) - left:  # a part without rows is not written over
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{BUCKET}={k}")
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return len(touched)
+
+
+def upsert_keyed(spark: SparkSession, path: str, rows: DataFrame, keys: list[str], order: list[str], buckets: int = 64) -> int:
+    """Puts `rows` over those of equal keys, the first by `order` where a key repeats; rewrites only the parts that they fall into."""
+    def change(old: DataFrame, new: DataFrame) -> DataFrame:
+        return upsert(old, first_of(new, keys, order), keys)
+
+    return _change(spark, path, rows, keys, buckets, change)
+
+
+def backfill_keyed(spark: SparkSession, path: str, values: DataFrame, key: str, column: str, buckets: int = 64) -> int:
+    """`backfill` of a saved table, in the parts that hold the keys."""
+    return _change(spark, path, values, [key], buckets, lambda old, v: backfill(old, v, key, column))
+
+
+def delete_keyed(spark: SparkSession, paths: list[str], gone: DataFrame, keys: list[str], buckets: int = 64) -> int:
+    """Deletes keys from several saved tables, in the parts that hold them."""
+    return sum(_change(spark, path, gone.select(*keys).distinct(), keys, buckets, lambda old, g: old.join(g.select(*keys), keys, "left_anti")) for path in paths)
+
+
 def backfill(df: DataFrame, values: DataFrame, key: str, column: str) -> DataFrame:
     """`column` set from (key, column) where a value is given."""
     v = values.select(F.col(key), F.col(column).alias("_v"))

@@ -1,4 +1,4 @@
-"""Streaming forms: quotas, first-seen texts, expiring state, and quotes checked as segments arrive."""
+"""Streaming forms: quotas, first-seen texts, and quotes checked as segments arrive."""
 
 from __future__ import annotations
 
@@ -11,13 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from citeweave.operators.verify import verify
-
-
-def hourly_counts(requests: DataFrame, key: str, ts: str, most: int, late: str = "10 minutes") -> DataFrame:
-    """(key, hour, n, allowed): requests of each key in each hour and how many of them the quota lets pass. State ends with the watermark."""
-    df = requests.withWatermark(ts, late).groupBy(F.window(ts, "1 hour").alias("w"), key).agg(F.count("*").alias("n"))
-    return df.select(key, F.col("w.start").alias("hour"), "n", F.least("n", F.lit(most)).alias("allowed"))
+from citeweave.functions.text import latin_words
+from citeweave.operators.verify import SLACK, verify_words
+from citeweave.plans.materialize import materialize
+from citeweave.streaming.state import with_tails
 
 
 def hourly_quota(requests: DataFrame, key: str, ts: str, most: int, late: str = "10 minutes") -> DataFrame:
@@ -45,44 +42,38 @@ def hourly_quota(requests: DataFrame, key: str, ts: str, most: int, late: str =
     return df.groupBy(key, "_hour").applyInPandasWithState(counted, schema, "n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def expiring(rows: DataFrame, key: str, ts: str, ttl: str, late: str = "10 minutes") -> DataFrame:
-    """(key, ts, live): a row when a key is new or renewed, and one with `live` false when its time to live has passed since it was last seen."""
-    kept = pd.Timedelta(ttl)
-    schema = T.StructType([rows.schema[key], rows.schema[ts], T.StructField("live", T.BooleanType())])
-
-    def followed(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            last = pd.Timestamp(state.get[0], unit="us")
-            state.remove()
-            yield pd.DataFrame({key: [group[0]], ts: [last], "live": [False]})
-            return
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else pd.Timestamp(0)
-        last = max([last, *(b[ts].max() for b in batches)])
-        state.update((last.value // 1000,))
-        state.setTimeoutTimestamp(max(int((last + kept).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({key: [group[0]], ts: [last], "live": [True]})
-
-    return rows.select(key, ts).withWatermark(ts, late).groupBy(key).applyInPandasWithState(followed, schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def first_seen(texts: DataFrame, text: str, ts: str, ttl: str = "90 days") -> DataFrame:
     """The first of equal texts (by content hash) within the time that state is kept."""
     hashed = texts.withColumn("hash", F.sha2(F.trim(F.col(text)), 256))
     return hashed.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(["hash"])
 
 
-def live_rows(rows: DataFrame, ts: str, ttl: str) -> DataFrame:
-    """Adds `expires_at`; a consumer drops what has expired, and the watermark bounds the state that later steps keep."""
-    return rows.withWatermark(ts, ttl).withColumn("expires_at", F.col(ts) + F.expr(f"interval {ttl}"))
-
-
-def check_segments(segments: DataFrame, passages: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):
+def check_segments(segments: DataFrame, passages: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, ts: str | None = None, idle: str = "1 hour"):
     """Checks each micro-batch of (doc_id, text) segments against the passages (item_id, text) and hands the findings to `sink`.
 
-    `passages` is static and read once per batch; candidates and alignment are those of the batch operator.
+    `passages` is static: words and grams are made once. With `ts`, a time column, and (doc_id, seg, text), the last words
+    of a document are kept until the next segment comes, so that a quotation over the border of segments is found; the
+    longest passage says how many. Candidates and alignment are those of the batch operator, over the kept and the new
+    words; a finding that ends in the kept words alone was given before and is left out. `first_word` counts from the
+    document's first word.
     """
-    def batch(df: DataFrame, number: int) -> None:
-        if not df.isEmpty():
-            sink(verify(passages, df.select("doc_id", "text")), number)
+    known = materialize(passages.select("item_id", latin_words(F.col("text")).alias("words")).where(F.size("words") > 0))
+    if ts is None:
+        def batch(df: DataFrame, number: int) -> None:
+            if not df.isEmpty():
+                sink(verify_words(known, df.select("doc_id", latin_words(F.col("text")).alias("words"))), number)
+
+        return segments.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    longest = known.agg(F.coalesce(F.max(F.size("words")), F.lit(1))).first()[0]
+    windows = with_tails(segments.select("doc_id", "seg", latin_words(F.col("text")).alias("words"), ts), "doc_id", "seg", "words", ts, longest + SLACK, idle)
+
+    def joined(df: DataFrame, number: int) -> None:
+        df = materialize(df.withColumn("_w", F.struct("doc_id", "start")))
+        if df.isEmpty():
+            return
+        found = verify_words(known, df.select(F.col("_w").alias("doc_id"), "words")).join(df.select(F.col("_w").alias("doc_id"), "kept", F.size("words").alias("n")), "doc_id")
+        fresh = found.where((F.col("first_word") < 0) | (F.col("last_word") >= F.col("kept")))
+        sink(fresh.select("doc_id.doc_id", "item_id", "similarity", "coverage", "status", F.when(F.col("first_word") >= 0, F.col("first_word") + F.col("doc_id.start")).otherwise(F.col("first_word")).alias("first_word"), "difference"), number)
 
-    return segments.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return windows.writeStream.foreachBatch(joined).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -78,3 +78,16 @@ def test_alignment_columns(spark):
     r = got.select("a.similarity", A.classify(F.col("a.similarity"), F.col("a.coverage")).alias("k"), A.difference_text(F.col("a.ops")).alias("d"), F.round("s", 6).alias("s"), "c").collect()
     assert tuple(r[0]) == (1.0, "verbatim", "", 0.8, 1.0) and r[1].k == "not_found"
     assert A.edit_distance("kitten", "sitting") == 3
+
+
+def test_matching_words_against_difflib():
+    import random
+    from difflib import SequenceMatcher
+
+    import numpy as np
+
+    rng = random.Random(2)
+    for _ in range(400):
+        a, b = ([rng.randint(0, rng.choice([2, 6, 40])) for _ in range(rng.randint(0, 25))] for _ in "ab")
+        want = sum(x.size for x in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+        assert A.matching_words(np.array(a, np.int64), np.array(b, np.int64)) == want, (a, b)
