@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citeweave.functions.text import alias_key, clip, latin_tokens
 from citeweave.operators.common import broadcast_if_small, first_of, top, when_of
+from citeweave.operators.verify import verify_words
 
 
 def by_keys(units: DataFrame, keys: DataFrame, key: str = "key", columns: list[str] | None = None) -> DataFrame:
@@ -15,6 +16,33 @@ def by_keys(units: DataFrame, keys: DataFrame, key: str = "key", columns: list[s
     return df.join(broadcast_if_small(keys.select(key).distinct()), key, "left_semi")
 
 
+def ranged(refs: DataFrame, rows: DataFrame, first: str, last: str, number: str) -> DataFrame:
+    """Rows whose `number` is from `first` to `last` of a reference: the range as an equality join."""
+    return refs.withColumn(number, F.explode(F.sequence(first, last))).drop(first, last).join(rows, number)
+
+
+def collection_counts(units: DataFrame, collection: str, groups: dict[str, str], default: str) -> DataFrame:
+    """(collection, n, grp): units of each collection and the group that it is shown in."""
+    return units.groupBy(collection).agg(F.count("*").alias("n")).withColumn("grp", when_of([(F.col(collection) == c, g) for c, g in groups.items()], default))
+
+
+def chapter_list(units: DataFrame, collection: str, chapter: str, order: str) -> DataFrame:
+    """(collection, chapter, n, first, place): units of each chapter, where it begins, and its place by that among those of its collection."""
+    df = units.groupBy(collection, chapter).agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(collection).orderBy("first")).cast("long"))  # chapters, not units
+
+
+def totals(units: DataFrame, counted: dict[str, Column], distinct: dict[str, str], added: dict[str, str]) -> DataFrame:
+    """One row: rows for which each condition holds, distinct values and sums of columns, by their names."""
+    return units.agg(*(F.count_if(c).alias(k) for k, c in counted.items()), *(F.count_distinct(c).alias(k) for k, c in distinct.items()), *(F.sum(c).alias(k) for k, c in added.items()))
+
+
+def mention_counts(mentions: DataFrame) -> DataFrame:
+    """(id, name, n): how often each narrator of (id, name, ord) is mentioned, by the first name given; a null name is none."""
+    first = F.min_by("name", F.when(F.col("name").isNotNull(), F.struct("ord", "name")))
+    return mentions.where(F.col("id").isNotNull()).groupBy("id").agg(first.alias("name"), F.count("*").alias("n"))
+
+
 def resolve_keys(asked: DataFrame, units: DataFrame, aliases: DataFrame, pointers: DataFrame) -> DataFrame:
     """(ask, key, resolved_by) of free-form asks: `c:v` of the scripture, `prefix:c:v`, a key, `name number`, or a pointer's key.
 
@@ -132,3 +160,17 @@ def leak_runs(answers: DataFrame, least: int = 5, most: int = 12, word: str = "[
     bare = F.regexp_replace("text", r"(?s)<([a-z]+)\b[^>]*>.*?</\1>|<[^>]*>", " | ")
     runs = F.regexp_extract_all(bare, F.lit(rf"(?:{word}{between}){{{least - 1},}}{word}"), F.lit(0))
     return answers.select("id", F.posexplode(F.slice(runs, 1, most)).alias("n", "run"))
+
+
+def leaks(answers: DataFrame, sources: DataFrame, words: Column, least: float = 0.75, **runs) -> DataFrame:
+    """(id, n, run, source, similarity): runs of generated answers that are a source's words, each with the source that it is most like, of at least `least`.
+
+    `sources` is (key, text); `words` are the words of a column `text`, for runs and sources alike. A run is aligned to the
+    sources that share a gram with it.
+    """
+    found = leak_runs(answers, **runs)
+    as_text = found.select(F.struct("id", "n").alias("item_id"), F.col("run").alias("text"))
+    met = verify_words(as_text.select("item_id", words.alias("words")), sources.select(F.col("key").alias("doc_id"), words.alias("words")))
+    best = first_of(met.where(F.col("similarity") >= least), ["item_id"], [F.desc("similarity"), "doc_id"])
+    best = best.select(F.col("item_id.id").alias("id"), F.col("item_id.n").alias("n"), F.col("doc_id").alias("source"), "similarity")
+    return found.join(best, ["id", "n"])

@@ -272,6 +272,11 @@ def changed_rows(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -
     return new.join(o, key, "left").where(differs).select(new.columns)
 
 
+def missing_rows(units: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """Units whose key has no result yet."""
+    return units.join(done.select(key).distinct(), key, "left_anti")
+
+
 def majority(names: DataFrame, share: float = 0.6) -> DataFrame:
     """(id, name, votes, total) of the spelling that wins: spellings that are a prefix of one another support each other."""
     counts = names.groupBy("id", "name").agg(F.count("*").alias("n"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from citeweave.functions import text as T
 from citeweave.operators import documents as D
 from citeweave.operators import evaluate as E
+from citeweave.operators import listing as G
 from citeweave.operators import records as R
 from citeweave.operators import retrieve as I
 from citeweave.operators import verify as V
@@ -323,14 +324,12 @@ def majority_vote(spark, sf_dir):
 
 @query("""SELECT source, count(*) AS n, CASE WHEN source IN ('src0', 'src1') THEN 'core' WHEN source = 'src2' THEN 'anthology' ELSE 'other' END AS grp FROM documents GROUP BY 1""")
 def collection_counts(spark, sf_dir):
-    df = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
-    return df.withColumn("grp", F.when(F.col("source").isin("src0", "src1"), "core").when(F.col("source") == "src2", "anthology").otherwise("other"))
+    return G.collection_counts(table(spark, sf_dir, "documents"), "source", {"src0": "core", "src1": "core", "src2": "anthology"}, "other")
 
 
 @query("""SELECT source, lang, n, first_doc, row_number() OVER (PARTITION BY source ORDER BY first_doc) AS chapter FROM (SELECT source, lang, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1, 2)""")
 def chapters(spark, sf_dir):
-    df = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
-    return df.withColumn("chapter", F.row_number().over(Window.partitionBy("source").orderBy("first_doc")).cast("long"))
+    return G.chapter_list(table(spark, sf_dir, "documents"), "source", "lang", "doc_id").withColumnsRenamed({"first": "first_doc", "place": "chapter"})
 
 
 @query("""SELECT doc_id, source, lang, n_chars, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS place FROM documents""")
@@ -342,19 +341,19 @@ def chapter_rows(spark, sf_dir):
 
 @query("""WITH r AS (SELECT o_orderkey, c.c_custkey, c_acctbal FROM orders JOIN customer c ON c.c_custkey BETWEEN o_custkey AND o_custkey + 2) SELECT o_orderkey, c_custkey, c_acctbal FROM r""")
 def range_expand(spark, sf_dir):
-    refs = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.sequence(F.col("o_custkey"), F.col("o_custkey") + 2)).alias("c_custkey"))
-    return refs.join(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "c_custkey").select("o_orderkey", "c_custkey", "c_acctbal")
+    refs = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("first"), (F.col("o_custkey") + 2).alias("last"))
+    return G.ranged(refs, table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "first", "last", "c_custkey")
 
 
 @query("""SELECT DISTINCT u.doc_id, u.lang, u.n_chars FROM documents u JOIN labels l ON u.doc_id = l.doc_id WHERE l.toxic = 1""")
 def batch_lookup(spark, sf_dir):
-    keys = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(broadcast_if_small(keys), "doc_id", "left_semi")
+    return G.by_keys(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("toxic = 1"), "doc_id", ["lang", "n_chars"])
 
 
 @query("""SELECT count(*) AS docs, count(*) FILTER (lang = 'en') AS english, count(*) FILTER (n_chars > 1000) AS long_docs, count(DISTINCT source) AS sources, sum(n_chars)::BIGINT AS chars FROM documents""")
 def corpus_totals(spark, sf_dir):
-    return table(spark, sf_dir, "documents").agg(F.count("*").alias("docs"), F.count_if(F.col("lang") == "en").alias("english"), F.count_if(F.col("n_chars") > 1000).alias("long_docs"), F.count_distinct("source").alias("sources"), F.sum("n_chars").alias("chars"))
+    counted = {"docs": F.lit(True), "english": F.col("lang") == "en", "long_docs": F.col("n_chars") > 1000}
+    return G.totals(table(spark, sf_dir, "documents"), counted, {"sources": "source"}, {"chars": "n_chars"})
 
 
 @query("""SELECT event_type, round(median(value), 6) AS median, round(100 * avg(CASE WHEN value >= 50 THEN 1 ELSE 0 END), 4) AS share, count(*) AS n FROM events GROUP BY 1""")
@@ -396,7 +395,7 @@ def cascade_delete(spark, sf_dir):
 
 @query("""SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def incremental_todo(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+    return R.missing_rows(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels"), "doc_id")
 
 
 @query("""SELECT event_id FROM events WHERE ts + INTERVAL 7 DAY > (SELECT max(ts) FROM events)""")

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from citeweave.functions import records as P
+from citeweave.functions import text as T
+from citeweave.operators import listing as G
 from citeweave.operators import parts as X
-from citeweave.operators.common import table
+from citeweave.operators import records as R
+from citeweave.operators.common import table, when_of
 from citeweave.plans.queries import query
 
 _CHAIN, _SPEECH = ["de", "the", "der", "que"], ["la", "and", "und", "en"]
@@ -37,3 +41,41 @@ def speech_ranges(spark, sf_dir):
     kept = F.transform(F.split("shown", r"(?<=[.])\s+"), lambda s: F.array_join(F.filter(F.split(F.translate(s, '"[]', ""), r"\s+"), lambda w, i: i % 7 != 6), " "))
     marked = F.concat(F.lit("[matn]"), F.array_join(F.transform(kept, lambda s: F.concat(F.lit('"'), s, F.lit('"'))), " and "), F.lit("[/matn]"))
     return X.quoted_speech(rows.withColumn("marked", marked))
+
+
+_REFERENCES = """WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS k, l_partkey % 900 AS m, l_linenumber AS n FROM lineitem),
+x AS (SELECT id, CASE n WHEN 1 THEN k || '' WHEN 2 THEN k || '-' || (k + 3) WHEN 3 THEN k || 'a-c' WHEN 4 THEN k || ', ' || m || '/7b' WHEN 5 THEN k || ',' || m || ' d' WHEN 6 THEN 'Introduction ' || m ELSE ' ' END AS number,
+  CASE n WHEN 1 THEN [k || ''] WHEN 2 THEN [k || '', (k + 1) || '', (k + 2) || '', (k + 3) || ''] WHEN 3 THEN [k || 'a', k || 'b', k || 'c'] WHEN 4 THEN [k || 'b', m || 'b', '7b'] WHEN 5 THEN [k || 'd', m || 'd'] WHEN 6 THEN ['i' || lpad(m || '', 3, '0')] ELSE [] END AS e FROM r)"""
+
+
+@query(f"{_REFERENCES} SELECT id, array_to_string(e, ' ') AS numbers FROM x")
+def numbers_expanded(spark, sf_dir):
+    """References written as single numbers, ranges, letter ranges, lists with a letter for all, introductions and blanks; the SQL builds what each must give."""
+    k, m, n = F.col("l_orderkey").cast("string"), (F.col("l_partkey") % 900).cast("string"), F.col("l_linenumber")
+    last = (F.col("l_orderkey") + 3).cast("string")
+    forms = when_of([(n == 1, k), (n == 2, F.concat(k, F.lit("-"), last)), (n == 3, F.concat(k, F.lit("a-c"))), (n == 4, F.concat(k, F.lit(", "), m, F.lit("/7b"))), (n == 5, F.concat(k, F.lit(","), m, F.lit(" d"))), (n == 6, F.concat(F.lit("Introduction "), m))], " ")
+    refs = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + n).alias("id"), forms.alias("number"))
+    return refs.select("id", F.array_join(P.expand_numbers(F.col("number")), " ").alias("numbers"))
+
+
+@query("""SELECT user_id AS id, min_by(event_type, event_id) AS name, count(*) AS n FROM events WHERE user_id IS NOT NULL GROUP BY 1""")
+def narrator_mentions(spark, sf_dir):
+    """How often each one is mentioned, by the first name given."""
+    return G.mention_counts(table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("name"), F.col("event_id").alias("ord")))
+
+
+@query("""WITH o AS (SELECT doc_id, lang, source, n_chars FROM documents), n AS (SELECT doc_id + CASE WHEN doc_id % 7 = 0 THEN 1000000 ELSE 0 END AS doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE lang END AS lang, source, n_chars FROM documents)
+SELECT n.doc_id FROM n LEFT JOIN o ON o.doc_id = n.doc_id WHERE o.doc_id IS NULL OR n.lang IS DISTINCT FROM o.lang""")
+def rows_changed(spark, sf_dir):
+    """Rows that are new or that differ, nulls included, from the table before."""
+    old = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    new = old.withColumns({"lang": F.when(F.col("doc_id") % 5 == 0, F.lit(None)).otherwise(F.col("lang")), "doc_id": F.col("doc_id") + F.when(F.col("doc_id") % 7 == 0, 1_000_000).otherwise(0)})
+    return R.changed_rows(old, new, "doc_id", ["lang", "n_chars"]).select("doc_id")
+
+
+@query()
+def leaks_matched(spark, sf_dir):
+    """Passages taken for generated answers: runs of words in them that a document has, with the document; `tests` has a case by hand."""
+    answers = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    sources = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
+    return G.leaks(answers, sources, T.latin_words(F.col("text")), word="[A-Za-z]+", between="[ ,.;:]+").select("id", F.col("n").cast("long"), "run", "source", "similarity")

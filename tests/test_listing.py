@@ -4,6 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from citeweave.functions import text as T
 from citeweave.operators import listing as L
 
 
@@ -56,3 +57,20 @@ def test_lists(spark):
     st = spark.createDataFrame([("verbatim", True), ("paraphrase", False), ("misquote", None), ("verbatim", None)], "status string, agrees boolean")
     assert L.attention(st).count() == 2 and L.review_queue(st).count() == 1
     assert [r.t for r in st.select(L.tone(F.col("status")).alias("t")).collect()] == ["good", "none", "warn", "good"]
+
+
+def test_leaks(spark):
+    """A run that is a source's words, one that is nearly, one of nobody, and one in a tag."""
+    source = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    answers = spark.createDataFrame([(1, f"He wrote: {source}."), (2, "some other words that stand nowhere at all"), (3, f"<q>{source}</q> done"), (4, "5 alpha beta gamma delta epsilon zeta eta 6"), (5, None)], "id int, text string")
+    sources = spark.createDataFrame([(7, source), (8, "alpha beta gamma delta and then quite other words")], "key int, text string")
+    got = {(r.id, r.source) for r in L.leaks(answers, sources, T.latin_words(F.col("text")), word="[a-z]+", between="[ ,.;:]+").collect()}
+    assert got == {(1, 7), (4, 7)}
+
+
+def test_mentions_and_ranges(spark):
+    m = spark.createDataFrame([(1, None, 1), (1, "Ali", 3), (1, "Aly", 2), (None, "x", 1), (2, None, 1)], "id int, name string, ord int")
+    assert {(r.id, r.name, r.n) for r in L.mention_counts(m).collect()} == {(1, "Aly", 3), (2, None, 1)}
+    refs = spark.createDataFrame([("a", 1, 3), ("b", 5, 5)], "ref string, low int, high int")
+    rows = spark.createDataFrame([(2, "x"), (3, "y"), (5, "z")], "number int, text string")
+    assert sorted((r.ref, r.text) for r in L.ranged(refs, rows, "low", "high", "number").collect()) == [("a", "x"), ("a", "y"), ("b", "z")]
