@@ -117,10 +117,10 @@ def source_quiz(findings: DataFrame, most: int = 4) -> DataFrame:
 
     The wrong options are the next sources of the document in order, and the right one's place follows from the question's number.
     """
-    sources = first_of(findings.where("key is not null"), ["doc_id", "reference"], ["span"])
+    sources = first_of(findings.where("key is not null"), ["doc_id", "reference"], ["span", "key"])
     w = Window.partitionBy("doc_id")
-    df = sources.withColumns({"n": F.row_number().over(w.orderBy("span")) - 1, "total": F.count("*").over(w)})
-    df = df.withColumn("all", F.collect_list("reference").over(w.orderBy("span").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).where("total >= 3 and n < {}".format(most))
+    df = sources.withColumns({"n": F.row_number().over(w.orderBy("span", "reference")) - 1, "total": F.count("*").over(w)})
+    df = df.withColumn("all", F.collect_list("reference").over(w.orderBy("span", "reference").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).where("total >= 3 and n < {}".format(most))
     wrong = F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.col("total") - 1)), lambda k: F.get("all", ((F.col("n") + k) % F.col("total")).cast("int")))
     slot = (F.col("n") % (F.size(wrong) + 1)).cast("int")
     options = F.concat(F.slice(wrong, F.lit(1), slot), F.array("reference"), F.slice(wrong, slot + 1, F.size(wrong)))

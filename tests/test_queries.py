@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from citeweave.plans import library, linkage, texts  # noqa: F401
+from citeweave.plans import library, linkage, showing, texts  # noqa: F401
 from citeweave.plans.queries import ORACLES, QUERIES
 
 
