@@ -59,7 +59,10 @@ class _Known:
         return out
 
 
-_PIECES, _PARTS = _Known(200_000), _Known(300_000)
+#: Words that a worker remembers, about.
+REMEMBER = 200_000
+
+_PIECES, _PARTS = _Known(REMEMBER), _Known(REMEMBER * 3 // 2)
 
 
 def vocabulary_file(name: str = "word_bpe_49k.json") -> str:
@@ -110,11 +113,12 @@ def token_bytes(texts: list[str | None], path: str) -> Iterator[bytes]:
         yield b"".join(map(piece.__getitem__, p)) + end
 
 
-def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, path: str | None = None, together: int = ROWS, remember: int = 200_000) -> DataFrame:
+def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, path: str | None = None, together: int = ROWS, remember: int = REMEMBER) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): every document, those over `capacity` tokens in pieces of it.
 
     Words of `together` documents are looked up at a time, and the ids of about four to five times `remember` words and
-    parts of words are held by a worker: what they cost in memory they save in time.
+    parts of words are held by a worker: what they cost in memory they save in time. A worker keeps them from task to
+    task, and with fewer than `REMEMBER` only within one, for executors that are short of memory.
     """
     path = path or vocabulary_file()
 
@@ -129,7 +133,8 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
                     out += [(doc, k, a // 4, len(raw[a : a + step]) // 4, zlib.crc32(raw[a : a + step])) for k, a in enumerate(range(0, len(raw), step))]
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
-        _PIECES.clear(), _PARTS.clear()  # the worker goes on to other tasks, whose memory this is
+        if remember < REMEMBER:
+            _PIECES.clear(), _PARTS.clear()  # the worker goes on to other tasks, whose memory this is
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
@@ -264,7 +269,7 @@ def best_plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     return min((Plan(counts, capacity, large) for large in (capacity // 3, 2 * capacity // 5, capacity // 2 + 1)), key=lambda p: p.sequences)
 
 
-def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, path: str | None = None, together: int = ROWS, remember: int = 200_000) -> DataFrame:
+def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, path: str | None = None, together: int = ROWS, remember: int = REMEMBER) -> DataFrame:
     """Row per piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset.
 
     Null is the empty text, a document of the end token alone; repeated rows are packed each; an empty table gives an
