@@ -54,6 +54,21 @@ def test_contained_pairs_equal_the_full_join(spark, monkeypatch, share):
     assert similar.contained_pairs(df.limit(0), df, share).count() == similar.contained_pairs(df, df.limit(0), share).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.2, 0.8])
+@pytest.mark.parametrize("ranked", [3, 1 << 20])
+def test_pairs_without_a_small_side(spark, monkeypatch, share, ranked):
+    """Both sides are shuffled, few or all frequent grams are ranked; a table that meets itself has the pairs of two equal sides."""
+    monkeypatch.setattr(similar, "DEALT", 7)
+    monkeypatch.setattr(similar, "FEW", -1)
+    monkeypatch.setattr(similar, "RANKED", ranked)
+    made = texts(random.Random(4), 60)
+    df = spark.createDataFrame(made, "id string, words array<string>")
+    sets = {i: grams(w) for i, w in made if w}
+    want = [(a, b, len(sets[a] & sets[b]), len(sets[a]), len(sets[b])) for a in sets for b in sets if a != b and len(sets[a] & sets[b]) >= max(1, -(-round(share * len(sets[a]) * 1000) // 1000))]
+    for right in (df, None):
+        assert rows(similar.contained_pairs(df, right, share)) == sorted(want, key=str)
+
+
 def test_copy_links_asks_the_limit_of_the_exact_share(spark):
     """139 of 200 words are 0.695, which rounds to 0.70 and is below 0.7; 141 are enough. More than twenty sources are all looked at."""
     words = [f"w{k}" for k in range(200)]
