@@ -41,11 +41,17 @@ def copy_links(copies: DataFrame, sources: DataFrame, ranks: DataFrame, least: f
 
 
 def by_numbers(numbers: str, accept):
-    """Edges of a cascade pass: a left record's `numbers` (array, preferred first) against the right ones' `number`; `accept(pairs, left, right)` keeps pairs and gives their weight, below 1."""
+    """Edges of a cascade pass: a left record's `numbers` (array, preferred first) against the right ones' `number`.
+
+    `accept` gives columns of both sides and the weight, below 1 and null for a pair that does not count; the weight of
+    a pair is reckoned where the two meet, so no pair is shuffled that does not count.
+    """
     def edges(left: DataFrame, right: DataFrame) -> DataFrame:
-        wanted = left.select(F.col("id").alias("left_id"), F.posexplode(numbers).alias("place", "number"))
-        pairs = wanted.join(right.select("number", F.col("id").alias("right_id")), "number").groupBy("left_id", "right_id").agg(F.min("place").alias("place"))
-        return accept(pairs, left, right).select("left_id", "right_id", (F.col("weight") - F.col("place")).alias("weight"))
+        own, theirs, weight = accept
+        wanted = left.select(F.col("id").alias("left_id"), F.posexplode(numbers).alias("place", "number"), *own)
+        pairs = wanted.join(right.select("number", F.col("id").alias("right_id"), *theirs), "number").select("left_id", "right_id", "place", weight.alias("weight"))
+        best = pairs.where("weight is not null").groupBy("left_id", "right_id").agg(F.min("place").alias("place"), F.max("weight").alias("weight"))
+        return best.select("left_id", "right_id", (F.col("weight") - F.col("place")).alias("weight"))
 
     return edges
 
@@ -61,15 +67,12 @@ def by_grams(part: str, share: float, least: float, whole: bool = False):
 
 
 def by_overlap(part: str, least: float, or_part: str | None = None, or_least: float = 0.5):
-    """Accepts number candidates whose left `part`, or else `or_part`, has enough of its words in the right text; the better share is the weight."""
-    def accept(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-        own = left.select(F.col("id").alias("left_id"), F.col(part).alias("_a"), (F.col(or_part) if or_part else F.col(part)).alias("_b"))
-        df = pairs.join(own, "left_id").join(right.select(F.col("id").alias("right_id"), F.col("words").alias("_w")), "right_id")
-        within = lambda c: F.coalesce(F.size(F.array_intersect(c, "_w")) / F.nullif(F.size(F.array_distinct(c)), F.lit(0)), F.lit(0.0))
-        df = df.withColumns({"_x": within("_a"), "_y": within("_b")})
-        return df.where((F.col("_x") >= least) | (F.col("_y") >= or_least)).withColumn("weight", F.greatest("_x", "_y") / 2)
-
-    return accept
+    """For `by_numbers`: counts pairs whose left `part`, or else `or_part`, has enough of its words in the right text; half the better share is the weight."""
+    hashed = lambda c, name: F.array_distinct(F.transform(c, lambda w: F.xxhash64(w))).alias(name)
+    within = lambda c: F.coalesce(F.size(F.array_intersect(c, "_w")) / F.nullif(F.size(c), F.lit(0)), F.lit(0.0))
+    x, y = within("_a"), within("_b")
+    weight = F.when((x >= least) | (y >= or_least), F.greatest(x, y) / 2)
+    return [hashed(part, "_a"), hashed(or_part or part, "_b")], [hashed("words", "_w")], weight
 
 
 def five_passes(left: DataFrame, right: DataFrame, same: str | None = None) -> DataFrame:

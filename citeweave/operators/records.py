@@ -121,19 +121,25 @@ def match_cascade(left: DataFrame, right: DataFrame, passes: list) -> DataFrame:
     """Pairs (left_id, right_id, method) by each pass in turn; a pass sees the rows that the ones before left over, so no record is used twice.
 
     A pass is (method, key column), which pairs equal keys in order, or (method, function of both sides that gives edges
-    (left_id, right_id, weight)), of which the best are taken one-to-one. What a pass leaves is written out.
+    (left_id, right_id, weight)), of which the best are taken one-to-one. Records are written out once, pairs by every
+    pass; what a pass leaves is read without those.
     """
-    found = []
+    found, sides = [], (materialize(left), materialize(right))
+
+    def rest(side: int) -> DataFrame:
+        df, name = sides[side], ("left_id", "right_id")[side]
+        for pairs in found:
+            df = df.join(broadcast_if_small(pairs.select(F.col(name).alias("id"))), "id", "left_anti")
+        return df
+
     for method, how in passes:
+        left, right = rest(0), rest(1)
         if callable(how):
             edges = how(left, right).select(F.col("left_id").alias("a"), F.col("right_id").alias("b"), "weight")
             pairs = mutual_best(edges).select(F.col("a").alias("left_id"), F.col("b").alias("right_id"), F.lit(method).alias("method"))
         else:
             pairs = pair_equal(left, right, how, method)
         found.append(materialize(pairs))
-        if len(found) < len(passes):
-            left = materialize(left.join(found[-1].select(F.col("left_id").alias("id")), "id", "left_anti"))
-            right = materialize(right.join(found[-1].select(F.col("right_id").alias("id")), "id", "left_anti"))
     return reduce(DataFrame.unionByName, found)
 
 

@@ -272,3 +272,16 @@ def test_enrichment(spark):
     hosts = spark.createDataFrame([("h1", "c", "5", text(1)), ("h2", "c", "11b", text(2)), ("h3", "c", "i004", text(3)), ("h4", "c", "300", text(4)), ("h5", "c", "7", text(5)), ("h6", "c", "8", text(5)), ("h7", "c", "200", text(2))], "id string, collection string, number string, words array<string>")
     claimed = spark.createDataFrame([("h5",)], "host string")
     assert rows(L.enriched(guests, hosts, claimed).select("guest", "host")) == [("g1", "h1"), ("g2", "h2"), ("g3", "h3"), ("g4", "h4"), ("g5", "h6")]
+
+
+def test_cascade_keeps_places_and_writes_records_once(spark, monkeypatch):
+    """The second place of a repeated number counts as before; records are written once, then pairs alone."""
+    words = "one two three four five six seven eight".split()
+    left = spark.createDataFrame([(1, ["7", "7", "9"], [], [], words, words), (3, ["8"], [], [], [], ["no"])], "id long, numbers array<string>, suffixes array<string>, chain array<string>, body array<string>, words array<string>")
+    right = spark.createDataFrame([(2, "9", words), (4, "8", ["yes"])], "id long, number string, words array<string>")
+    edges = L.by_numbers("numbers", L.by_overlap("words", 0.5))(left, right)
+    assert rows(edges) == [(1, 2, 0.5 - 2)]
+    written, plain = [], R.materialize
+    monkeypatch.setattr(R, "materialize", lambda df: written.append(df.columns) or plain(df))
+    assert rows(L.five_passes(left, right)) == [(1, 2, "number")]
+    assert sum("words" in columns for columns in written) == 2
