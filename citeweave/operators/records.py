@@ -67,7 +67,7 @@ def grade_class(grade: Column, folded: Column) -> Column:
 
 
 def combine_grades(grades: DataFrame) -> DataFrame:
-    """One row per (unit, grader, class): first grade by `ord`, sorted wordings and sources, any primary; `conflict` if the grader has more classes."""
+    """One row per (unit, grader, class): first grade by `ord` (of any orderable type, without ties), sorted wordings and sources, any primary; `conflict` if the grader has more classes."""
     df = grades.groupBy("unit", "grader", "class").agg(
         F.min_by("grade", F.when(F.col("grade").isNotNull(), F.col("ord"))).alias("grade"),
         F.sort_array(F.collect_set("grade")).alias("wordings"),

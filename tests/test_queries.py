@@ -39,3 +39,18 @@ def test_flagship(spark):
     import __spark_entry__
 
     assert "verbatim" in {r.status for r in __spark_entry__.entry(spark).collect()}
+
+
+def test_first_grade_of_equal_numbers_is_the_first_row(spark, tmp_path):
+    """Lines of one order and line number that differ in their grade: the SQL takes the first row, whatever stands behind it."""
+    import duckdb
+
+    from citeweave.plans import queries as plans
+
+    made = [(k % 40, 4 * (k % 3), 5, 1, float(10 + 30 * (k * 7 % 11 % 2)), 0.01, "A", "OF"[k % 2]) for k in range(4000)]
+    names = "l_partkey long, l_suppkey long, l_orderkey long, l_linenumber int, l_quantity double, l_discount double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame(made, names).coalesce(1).sortWithinPartitions("l_linestatus").write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect(config={"threads": 1})
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.sql(plans.ORACLES["grade_combine"]).fetchall()
+    assert sorted(tuple(r) for r in plans.QUERIES["grade_combine"](spark, str(tmp_path)).collect()) == sorted(want)
