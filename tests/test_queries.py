@@ -47,7 +47,7 @@ def test_first_grade_of_equal_numbers_is_the_first_row(spark, tmp_path):
 
     from citeweave.plans import queries as plans
 
-    made = [(k % 40, 4 * (k % 3), 5, 1, float(10 + 30 * (k * 7 % 11 % 2)), 0.01, "A", "OF"[k % 2]) for k in range(4000)]
+    made = [(k % 40, 4 * (k % 3), 5, 1, 10.0 if k < 40 else 40.0, 0.01, "A", "OF"[k % 2]) for k in range(4000)]
     names = "l_partkey long, l_suppkey long, l_orderkey long, l_linenumber int, l_quantity double, l_discount double, l_returnflag string, l_linestatus string"
     spark.createDataFrame(made, names).coalesce(1).sortWithinPartitions("l_linestatus").write.parquet(str(tmp_path / "lineitem.parquet"))
     con = duckdb.connect(config={"threads": 1})
