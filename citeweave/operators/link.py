@@ -209,8 +209,12 @@ def merged_notes(notes: DataFrame, more: DataFrame, normal: Column, first: int =
 
 
 def presence(probes: DataFrame, grams: DataFrame) -> DataFrame:
-    """(id, present): `none`, `some` or `all` of a record's probes (id, gram) are in the other source's grams (gram)."""
-    known = grams.select("gram").distinct().withColumn("_hit", F.lit(1))
+    """(id, present): `none`, `some` or `all` of a record's probes (id, gram) are in the other source's grams (gram).
+
+    Grams that nobody asks for are dropped before any is shuffled, as long as the probes are few.
+    """
+    asked = broadcast_if_small(probes.select("gram").distinct())
+    known = grams.select("gram").join(asked, "gram", "left_semi").distinct().withColumn("_hit", F.lit(1))
     df = probes.join(known, "gram", "left").groupBy("id").agg(F.count("*").alias("n"), F.count("_hit").alias("hits"))
     return df.select("id", F.when(F.col("hits") == 0, "none").when(F.col("hits") == F.col("n"), "all").otherwise("some").alias("present"))
 

@@ -285,3 +285,31 @@ def test_cascade_keeps_places_and_writes_records_once(spark, monkeypatch):
     monkeypatch.setattr(R, "materialize", lambda df: written.append(df.columns) or plain(df))
     assert rows(L.five_passes(left, right)) == [(1, 2, "number")]
     assert sum("words" in columns for columns in written) == 2
+
+
+def test_most_shared_has_every_text_that_shares_a_gram(spark, monkeypatch):
+    """One gram of a hundred is enough to be among the first; both ways to join give the same."""
+    words = [f"w{k}" for k in range(103)]
+    items = spark.createDataFrame([("i", words)], "id string, words array<string>")
+    docs = spark.createDataFrame([("d1", words[:4]), ("d2", words[50:60]), ("d3", ["none", "of", "them", "here"])], "id string, words array<string>")
+    want = [("i", "d1", 1), ("i", "d2", 7)]
+    assert rows(similar.most_shared(items, docs, 5)) == want
+    monkeypatch.setattr(similar, "FEW", -1)
+    assert rows(similar.most_shared(items, docs, 5)) == want
+
+
+def test_overlaps_with_few_sources_shuffle_no_texts(spark, monkeypatch):
+    """Sources that are few meet the copies in their scan: no table is written for the join."""
+    monkeypatch.setattr(similar, "materialize", None)
+    made = texts(random.Random(5), 30)
+    df = spark.createDataFrame(made, "id string, words array<string>")
+    sets = {i: grams(w) for i, w in made if w}
+    want = {(a, b) for a in sets for b in sets if a != b and len(sets[a] & sets[b]) >= min(-(-len(sets[a]) // 5), -(-len(sets[b]) // 5))}
+    assert {(r.left_id, r.right_id) for r in similar.overlapping_pairs(df, df, 0.2).collect()} == want
+
+
+def test_presence_shuffles_only_grams_that_are_asked_for(spark):
+    probes = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, "z")], "id int, gram string")
+    found = L.presence(probes, spark.createDataFrame([("a",), ("a",), ("c",)], "gram string"))
+    assert rows(found) == [(1, "some"), (2, "all"), (3, "none")]
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
