@@ -32,7 +32,8 @@ def copy_links(copies: DataFrame, sources: DataFrame, ranks: DataFrame, least: f
     containment itself; for the order it is rounded to two places.
     """
     words = lambda df, name, c: df.select(F.col("id").alias(name), F.col("words").alias(c))
-    df = overlapping_pairs(copies, sources, share).join(words(copies, "left_id", "a"), "left_id").join(words(sources, "right_id", "b"), "right_id")
+    pairs = broadcast_if_small(materialize(overlapping_pairs(copies, sources, share)))  # comes to the texts
+    df = words(copies, "left_id", "a").join(pairs, "left_id").join(words(sources, "right_id", "b"), "right_id")
     shorter = F.size("a") <= F.size("b")
     exact = containment(F.when(shorter, F.col("a")).otherwise(F.col("b")), F.when(shorter, F.col("b")).otherwise(F.col("a")))
     df = df.withColumn("exact", exact).where(F.col("exact") >= least).withColumn("score", F.round("exact", 2))
