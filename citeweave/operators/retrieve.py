@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeweave.operators.common import broadcast_if_small, first_of, top
+from citeweave.plans.materialize import materialize
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 RRF = 60
+#: Queries and vectors whose similarities a task holds at a time.
+HELD = 512, 1024
 
 
 def postings(units: DataFrame, tokens: Column, key: str = "key", field: str = "text") -> DataFrame:
@@ -127,6 +130,26 @@ def search_index(index: DataFrame, lengths: DataFrame, queries: DataFrame, k: in
     return top(hits.groupBy("query", "key").agg(F.round(F.sum(weight), 6).alias("score")), ["query"], [F.desc("score"), "key"], k)
 
 
+def search_units(units: DataFrame, queries: DataFrame, k: int, tokens: int | None = None, max_share: float = 1.0) -> DataFrame:
+    """(query, key, score, rank): what `search_index` gives, for units (key, words; keys are unique) that have no saved index.
+
+    The units are scanned twice: once to count in how many the queries' tokens stand, once for the places of those that
+    are asked. No other posting is made or shuffled.
+    """
+    n, mean = units.agg(F.count("*"), F.coalesce(F.avg(F.size("words")), F.lit(1.0))).first()
+    wanted = queries.select(F.explode("words").alias("token")).distinct()
+    there = units.select("key", F.size("words").alias("length"), F.explode("words").alias("token"))
+    held = units.select(F.explode(F.array_distinct("words")).alias("token")).join(broadcast_if_small(wanted), "token", "left_semi")
+    frequent = materialize(held.groupBy("token").agg(F.count("*").alias("df")))
+    asked = rarest_tokens(queries, F.col("words"), frequent, n, tokens or 1 << 30, max_share).where("df > 0")
+    idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
+    asked = materialize(asked.select("query", "token", idf.alias("idf")))
+    index = there.join(broadcast_if_small(asked.select("token").distinct()), "token", "left_semi").groupBy("token", "key").agg(F.count("*").alias("tf"), F.max("length").alias("length"))
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
+    scored = index.join(broadcast_if_small(asked), "token").groupBy("query", "key").agg(F.round(F.sum(weight), 6).alias("score"))
+    return top(scored, ["query"], [F.desc("score"), "key"], k)
+
+
 def of_kinds(units: DataFrame, kinds: list[str] | None) -> DataFrame:
     """The units of the kinds asked for, all without any. Ranking works on what is left, so lists are as long as if there were no others, and the filter reaches the scan."""
     return units.where(F.col("kind").isin(kinds)) if kinds else units
@@ -172,15 +195,17 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "key", ve
 
         def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             own, m = shared.value
-            keys, sims = np.zeros((len(own), 0), np.int64), np.zeros((len(own), 0))
-            step = max(1, 4_000_000 // max(1, len(own)))  # similarities held at a time
-            for batch in (b.iloc[at : at + step] for b in batches for at in range(0, len(b), step)):
-                right = batch["id"].to_numpy(np.int64)
-                s = np.round(m @ _unit(batch["v"]).T, 9)
-                s[own[:, None] == right[None, :]] = -2
-                keys, sims = np.concatenate((keys, np.broadcast_to(right, s.shape)), 1), np.concatenate((sims, s), 1)
-                order = np.lexsort((keys, -sims), axis=1)[:, :k]  # ties by key
-                keys, sims = np.take_along_axis(keys, order, 1), np.take_along_axis(sims, order, 1)
+            keys, sims = np.full((len(own), k), -1, np.int64), np.full((len(own), k), -2.0)
+            for batch in (b.iloc[at : at + HELD[1]] for b in batches for at in range(0, len(b), HELD[1])):
+                right, v = batch["id"].to_numpy(np.int64), _unit(batch["v"]).T
+                for at in range(0, len(own), HELD[0]):  # similarities of a few queries at a time
+                    part = slice(at, at + HELD[0])
+                    s = np.round(m[part] @ v, 9)
+                    s[own[part, None] == right[None, :]] = -2
+                    some = np.flatnonzero((s >= sims[part, -1:]).any(axis=0))  # as good as the last one that is kept
+                    both = np.concatenate((keys[part], np.broadcast_to(right[some], (len(s), len(some)))), 1), np.concatenate((sims[part], s[:, some]), 1)
+                    order = np.lexsort((both[0], -both[1]), axis=1)[:, :k]  # ties by key
+                    keys[part], sims[part] = (np.take_along_axis(x, order, 1) for x in both)
             real = sims > -2
             yield pd.DataFrame({"query": np.broadcast_to(own[:, None], keys.shape)[real], "key": keys[real], "similarity": sims[real]})
 

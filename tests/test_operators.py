@@ -82,6 +82,22 @@ def test_nearest_in_blocks(spark):
         assert [k for _, k in sorted(got[q])] == want
 
 
+def test_nearest_with_many_ties_in_small_blocks(spark, monkeypatch):
+    """Few similarities are held at a time; of equal ones the smaller keys stay."""
+    monkeypatch.setattr(I, "HELD", (2, 3))
+    df = spark.createDataFrame([(k, [1.0, float(k % 2)]) for k in range(40)], "key long, vector array<double>")
+    got = sorted((r["query"], r["rank"], r.key) for r in I.nearest(df.where("key < 10"), df, 5).collect())
+    assert got == [(q, n + 1, x) for q in range(10) for n, x in enumerate([k for k in range(40) if k % 2 == q % 2 and k != q][:5])]
+
+
+def test_search_of_units_equals_a_saved_index(spark):
+    units = spark.createDataFrame([(k, [f"w{(k * j) % 23}" for j in range(1, 2 + k % 9)]) for k in range(80)] + [(99, [])], "key int, words array<string>")
+    asked = spark.createDataFrame([(n, [f"w{t}" for t in range(n, n + 6)]) for n in range(9)] + [(10, ["absent"])], "query int, words array<string>")
+    saved = I.postings(units, F.col("words")), I.unit_lengths(units, F.col("words"))
+    for few, share in ((None, 1.0), (3, 0.2)):
+        assert rows(I.search_units(units, asked, 5, few, share)) == rows(I.search_index(*saved, asked, 5, few, share))
+
+
 def test_verify_statuses(spark):
     words = [f"w{k}{chr(97 + k % 26)}" for k in range(40)]
     swapped = [w if k % 6 else "changed" for k, w in enumerate(words)]
