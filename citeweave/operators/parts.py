@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeweave.functions.align import align
+from citeweave.functions.align import place
 from citeweave.functions.text import bound, linkage_norm
 from citeweave.operators.common import first_of
 from citeweave.plans.materialize import materialize
@@ -114,7 +114,7 @@ def quoted_speech(editions: DataFrame) -> DataFrame:
     texts = shown.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "key", "a", "b"))).alias("t"))
     low = F.greatest((F.col("start") - 1) * NEAR, F.lit(0))
     met = starts.join(words, ["id", "quote"]).join(texts, "id").withColumn("w", F.slice("t", (low + 1).cast("int"), (F.size("want") + 3 * NEAR).cast("int")))
-    met = met.repartition("id", "quote").select("id", "quote", "w", align(F.col("want"), F.transform("w", lambda x: x["key"])).alias("x"))
+    met = met.repartition("id", "quote").select("id", "quote", "w", place(F.col("want"), F.transform("w", lambda x: x["key"])).alias("x"))
     met = materialize(met.select("id", "quote", "w", "x.coverage", "x.first", "x.last"))  # a filter would align once more
     met = met.where((F.col("coverage") >= SAID_SHARE) & (F.col("first") >= 0)).select("id", "quote", F.get("w", F.col("first"))["a"].alias("a"), F.get("w", F.col("last"))["b"].alias("b"))
     before = F.max("b").over(Window.partitionBy("id").orderBy("quote").rowsBetween(Window.unboundedPreceding, -1))

@@ -91,3 +91,18 @@ def test_matching_words_against_difflib():
         a, b = ([rng.randint(0, rng.choice([2, 6, 40])) for _ in range(rng.randint(0, 25))] for _ in "ab")
         want = sum(x.size for x in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
         assert A.matching_words(np.array(a, np.int64), np.array(b, np.int64)) == want, (a, b)
+
+
+def test_edit_distance_of_words_needs_no_arrays(monkeypatch):
+    """Short words are compared letter by letter, to the same distances as by rows of arrays."""
+    import random
+
+    from citeweave.functions import align as A
+
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(0, 9)))
+    pairs = [(word(), word()) for _ in range(300)]
+    tail = "".join(rng.choice("xyz") for _ in range(40))
+    by_arrays = [A.edit_distance(a + tail, b + tail) for a, b in pairs]  # an equal end does not change the distance
+    monkeypatch.setattr(A, "np", None)
+    assert [A.edit_distance(a, b) for a, b in pairs] == by_arrays
