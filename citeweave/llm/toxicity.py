@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,8 +30,8 @@ PASSAGE = 4
 #: Context of a text's first word.
 START = -1
 
-#: Bits of the set of words that stand before a pair.
-BITS, FULL = 64, -1
+#: Bits of the filter of the pairs whose contexts are counted, at most; with more pairs more others pass it and are counted too.
+FILTER_BITS = 1 << 27
 
 #: Words that are counted together before they are shuffled, and words of a block of texts.
 TOGETHER = 1 << 21
@@ -74,28 +75,25 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return w, h, offsets
 
 
-def _pair_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, w, t, o) of (words, toxic): the distinct pairs of some texts at a time, with a bit set of the words before them for each class."""
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, w, t, o) of (words, toxic): the distinct pairs of some texts at a time, with their occurrences in each class."""
 
     def made(held):
-        w, h, bit, toxic = (np.concatenate(x) for x in zip(*held))
+        w, h, toxic = (np.concatenate(x) for x in zip(*held))
         keys = pair_key(h, w)
         order = np.argsort(keys, kind="stable")
-        keys, bit, toxic = keys[order], bit[order], toxic[order]
+        keys, toxic = keys[order], toxic[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        sets = [np.bitwise_or.reduceat(np.where(toxic == c, bit, np.uint64(0)), first).view(np.int64) for c in (1, 0)]
+        t = np.add.reduceat(toxic, first)
+        n = np.diff(np.append(first, len(keys)))
         at = order[first]
         by_word = np.argsort(w[at])  # equal words side by side take less room
-        return pa.RecordBatch.from_arrays([pa.array(x[by_word]) for x in (h[at], w[at], *sets)], names=["h", "w", "t", "o"])
+        return pa.RecordBatch.from_arrays([pa.array(x[by_word]) for x in (h[at], w[at], t, n - t)], names=["h", "w", "t", "o"])
 
     held, size = [], 0
     for batch in batches:
         w, h, offsets = _flat(batch.column(0))
-        before = np.empty_like(h)
-        before[1:] = h[:-1]
-        before[offsets[:-1][offsets[:-1] < len(w)]] = START
-        bit = np.uint64(1) << (pair_key(before, before).view(np.uint64) & np.uint64(BITS - 1))
-        held.append((w, h, bit, np.repeat(batch.column(1).to_numpy(), np.diff(offsets))))
+        held.append((w, h, np.repeat(batch.column(1).to_numpy().astype(np.int64), np.diff(offsets))))
         size += len(w)
         if size >= TOGETHER:
             yield made(held)
@@ -104,28 +102,53 @@ def _pair_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield made(held)
 
 
-def _contexts(bits: np.ndarray) -> np.ndarray:
-    """Number of different words that set the bits, as many as are most likely; a full set counts as one short of full."""
-    n = np.minimum(np.bitwise_count(bits.view(np.uint64)).astype(np.float64), BITS - 1)
-    return np.rint(-BITS * np.log1p(-n / BITS)).astype(np.int64)
+def _contexts(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(h, w, x, t, o) of (words, toxic): the pairs that pass the filter with each word x before them, some texts at a time, and whether in each class."""
+
+    def made(held):
+        w, h, x, toxic = (np.concatenate(c) for c in zip(*held))
+        keys = pair_key(x, pair_key(h, w))
+        order = np.argsort(keys, kind="stable")
+        keys, toxic = keys[order], toxic[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        t, o = np.maximum.reduceat(toxic, first), np.maximum.reduceat(1 - toxic, first)
+        at = order[first]
+        by_pair = np.lexsort((h[at], w[at]))
+        return pa.RecordBatch.from_arrays([pa.array(c[by_pair]) for c in (h[at], w[at], x[at], t, o)], names=["h", "w", "x", "t", "o"])
+
+    held, size = [], 0
+    for batch in batches:
+        w, h, offsets = _flat(batch.column(0))
+        x = np.empty_like(h)
+        x[1:] = h[:-1]
+        x[offsets[:-1][offsets[:-1] < len(w)]] = START
+        keep = _passes(wanted, pair_key(h, w))
+        toxic = np.repeat(batch.column(1).to_numpy().astype(np.int64), np.diff(offsets))
+        held.append((w[keep], h[keep], x[keep], toxic[keep]))
+        size += int(keep.sum())
+        if size >= TOGETHER:
+            yield made(held)
+            held, size = [], 0
+    if size:
+        yield made(held)
 
 
 def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, w, t, o) of pairs with enough contexts in a class, and rows (null, w, t, o), parts of the number of contexts of every word."""
+    """Rows (key, null, null, null) of pairs that may have enough contexts in a class, and rows (null, w, t, o), parts of the number of contexts of every word."""
 
     def parts(held):
         w, t, o = (np.concatenate(x) for x in zip(*held))
         words, place = np.unique(w, return_inverse=True)
         sums = (np.bincount(place, weights=x != 0, minlength=len(words)).astype(np.int64) for x in (t, o))
-        return pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int64()), pa.array(words), *map(pa.array, sums)], names=["h", "w", "t", "o"])
+        return pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int64()), pa.array(words), *map(pa.array, sums)], names=["key", "w", "t", "o"])
 
     held, size = [], 0
     for batch in batches:
         h, w, t, o = (batch.column(k).to_numpy() for k in range(4))
-        nt, no = _contexts(t), _contexts(o)
-        often = (np.maximum(nt, no) > DISCOUNT**2) & (o != FULL)  # a full set only tells that there are many
+        often = np.maximum(t, o) > DISCOUNT**2  # there are no more contexts than occurrences
         if often.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[often]) for x in (h, w, nt, no)], names=["h", "w", "t", "o"])
+            none = pa.nulls(int(often.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(pair_key(h[often], w[often])), none, none, none], names=["key", "w", "t", "o"])
         held.append((w, t, o))
         size += len(w)
         if size >= TOGETHER:
@@ -135,6 +158,22 @@ def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield parts(held)
 
 
+def _filter(keys: DataFrame, most_bits: int = FILTER_BITS) -> np.ndarray:
+    """A bit for each of `keys` (key), in words of 64; few other keys have theirs set as long as these are few for `most_bits`."""
+    slots = max(1, min(most_bits, 1 << (16 * keys.count()).bit_length()) // 64)
+    slot = F.shiftrightunsigned("key", 6).bitwiseAND(F.lit(slots - 1)).alias("slot")
+    bit = F.expr("shiftleft(1L, cast(key & 63 AS int))")
+    table = keys.groupBy(slot).agg(F.bit_or(bit).alias("bits")).toArrow()
+    made = np.zeros(slots, dtype=np.uint64)
+    made[table.column("slot").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
+    return made
+
+
+def _passes(made: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    k = keys.view(np.uint64)
+    return (made[(k >> np.uint64(6)) & np.uint64(len(made) - 1)] >> (k & np.uint64(63))) & np.uint64(1) != 0
+
+
 @F.pandas_udf(T.LongType())
 def _keyed(h: pd.Series, w: pd.Series) -> pd.Series:
     return pd.Series(pair_key(h.to_numpy(), w.to_numpy()))
@@ -147,12 +186,13 @@ def language_models(counted: DataFrame) -> DataFrame:
     do not raise: of a word, the different words before it; of a pair, those before the pair. A class's estimate of a word
     is its discounted count by the class's sum; of a pair, its discounted count by that of its first word. To both, the
     estimate from the counts of both classes is added, with one weight: what is rare in both is equally likely in both and
-    left out.
+    left out. Pairs that do not even occur often enough are told apart by a first scan; of the others, and of few besides,
+    every word before them is counted by a second one.
     """
-    bits = lambda c: F.bit_or(c).alias(c)
-    pairs = counted.mapInArrow(_pair_contexts, "h long, w long, t long, o long").groupBy("h", "w").agg(bits("t"), bits("o"))
-    levels = materialize(pairs.mapInArrow(_levels, "h long, w long, t long, o long"))
-    words = materialize(levels.where("h is null").groupBy("w").agg(F.sum("t").alias("t"), F.sum("o").alias("o")))
+    add = lambda c: F.sum(c).alias(c)
+    pairs = counted.mapInArrow(_pairs, "h long, w long, t long, o long").groupBy("h", "w").agg(add("t"), add("o"))
+    levels = materialize(pairs.mapInArrow(_levels, "key long, w long, t long, o long"))
+    words = materialize(levels.where("key is null").groupBy("w").agg(add("t"), add("o")))
     sums = (F.coalesce(F.sum(c), F.lit(0)) for c in ("t", "o"))
     toxic, ordinary, free = words.agg(*sums, F.coalesce(F.sum(discount(F.col("t")) + discount(F.col("o"))), F.lit(0.0))).first()
     shared = free / max(1, toxic + ordinary)
@@ -164,7 +204,10 @@ def language_models(counted: DataFrame) -> DataFrame:
 
     single = words.where(F.greatest("t", "o") > DISCOUNT**2).select(F.col("w").alias("key"), log_ratio(F.lit(toxic), F.lit(ordinary)))
     contexts = words.select(F.col("w").alias("h"), F.col("t").alias("ht"), F.col("o").alias("ho"))
-    double = levels.where("h is not null").join(contexts, "h").select(_keyed("h", "w").alias("key"), log_ratio(F.col("ht"), F.col("ho")))
+    wanted = counted.sparkSession.sparkContext.broadcast(_filter(levels.where("key is not null").select("key")))
+    before = counted.mapInArrow(lambda batches: _contexts(batches, wanted.value), "h long, w long, x long, t long, o long").groupBy("h", "w", "x").agg(F.max("t").alias("t"), F.max("o").alias("o"))
+    often = before.groupBy("h", "w").agg(add("t"), add("o")).where(F.greatest("t", "o") > DISCOUNT**2)
+    double = often.join(contexts, "h").select(_keyed("h", "w").alias("key"), log_ratio(F.col("ht"), F.col("ho")))
     return materialize(single.union(double))
 
 
@@ -202,16 +245,20 @@ def _with_scores(batches: Iterator[pa.RecordBatch], passages: Passages) -> Itera
         yield pa.RecordBatch.from_arrays([*rest, pa.array(passages.best(batch.column(0)))], names=[*batch.schema.names[1:], "llr"])
 
 
-def _scored(df: DataFrame, model: DataFrame, most_bytes: int) -> DataFrame:
-    """`df` (words, ...) with `llr` in place of the words. A model of more than `most_bytes` is not broadcast: texts are dealt
+def held_model(model: DataFrame, most_bytes: int) -> Broadcast | None:
+    """Keys and log ratios of a model of at most `most_bytes`, else nothing."""
+    if model.count() > most_bytes // 12:
+        return None
+    found = model.toArrow()
+    return model.sparkSession.sparkContext.broadcast((found.column("key").to_numpy(), found.column("llr").to_numpy()))
+
+
+def _scored(df: DataFrame, model: DataFrame, held: Broadcast | None) -> DataFrame:
+    """`df` (words, ...) with `llr` in place of the words. A model that is not `held` is not broadcast: texts are dealt
     to blocks, the distinct keys of a block are joined with it, and what they find is cogrouped with the block's texts."""
-    spark = df.sparkSession
     rest = [f for f in df.schema.fields if f.name != "words"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "llr double"])
-    rows = most_bytes // 12
-    found = model.limit(rows + 1).toPandas() if model.count() <= rows else None  # at most `most_bytes`
-    if found is not None:
-        held = spark.sparkContext.broadcast((found["key"].to_numpy(dtype=np.int64), found["llr"].to_numpy(dtype=np.float32)))
+    if held is not None:
         return df.mapInArrow(lambda batches: _with_scores(batches, Passages(*held.value)), schema)
 
     size = df.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
@@ -270,11 +317,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("int").alias("toxic")).where(fold(F.col("_id")) != 0)
     taught = df.join(broadcast_if_small(materialize(known)), F.col("doc_id") == F.col("_id")).select("words", "toxic", fold(F.col("doc_id")).alias("fold"))
     model = language_models(taught.where("fold > 1").select("words", "toxic"))
+    held = held_model(model, model_bytes)
     steps = F.floor((F.col("llr") - _LOW) / (_HIGH - _LOW) * _BINS)
     bins = F.least(F.greatest(steps, F.lit(0)), F.lit(_BINS - 1)).cast("int").alias("bin")
-    seen = _scored(taught.where("fold = 1").select("words", "toxic"), model, model_bytes).groupBy(bins, "toxic").count().collect()  # at most two rows a bin
+    seen = _scored(taught.where("fold = 1").select("words", "toxic"), model, held).groupBy(bins, "toxic").count().collect()  # at most two rows a bin
     at, slope = threshold({(r["bin"], r["toxic"]): r["count"] for r in seen})
     score = 1 / (1 + F.exp(-F.lit(slope) * (F.col("llr") - at)))
     held_out = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out")
-    scored = _scored(df, model, model_bytes).withColumn("score", score)
+    scored = _scored(df, model, held).withColumn("score", score)
     return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "llr")

@@ -209,6 +209,19 @@ def test_language_models(spark):
     assert all(abs(got[key] - v) < (1e-5 if isinstance(x, str) else 0.4) for (x, v), key in zip(want.items(), expected))
 
 
+def test_language_models_of_frequent_pairs(spark):
+    """Every word before a pair counts, also where there are hundreds, in one class or both."""
+    rows = [([f"a{i}", "of", "the"], 0) for i in range(700)] + [([f"b{i}", "you", "fool"], 1) for i in range(90)] + [([f"c{i % 130}", "you", "fool"], 0) for i in range(300)]
+    want = models(rows)
+    hashed = {r.w: r.h for r in spark.createDataFrame([(w,) for w in {w for r, _ in rows for w in r}], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    df = spark.createDataFrame([([hashed[w] for w in r], t) for r, t in rows], "words array<long>, toxic int")
+    got = {r.key: r.llr for r in toxicity.language_models(df).collect()}
+    pair = lambda h, w: int(toxicity.pair_key(toxicity.np.array([hashed[h]]), toxicity.np.array([hashed[w]]))[0])
+    expected = {hashed[x] if isinstance(x, str) else pair(*x): v for x, v in want.items()}
+    assert {("of", "the"), ("you", "fool")} <= want.keys() and got.keys() == expected.keys()
+    assert all(abs(got[key] - v) < 1e-5 for key, v in expected.items())
+
+
 INSULTS = ["zorgling", "blatfink", "crumwit", "snarkle"]
 
 
