@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeweave.llm.common import let, materialize
+from citeweave.operators.common import broadcast_if_small
 
 #: Cells per table of the printed fingerprint, and the least of a sketch that is peeled.
 WIDTH = 8
@@ -113,13 +114,14 @@ def peeled(pairs: DataFrame, trial: int = 0) -> DataFrame:
     return cells
 
 
-def differences(pairs: DataFrame, digests: bool = False) -> DataFrame:
+def differences(pairs: DataFrame, digests: bool = False, again: DataFrame | None = None) -> DataFrame:
     """(rid, kind, n_differing) of (rid, kind, width, a, b), for the pairs that differ; with `digests` also `plus` and `minus`.
 
     `plus` are the digests that only `a` has, `minus` those that only `b` has. Pairs that cannot be peeled are tried
-    again at twice the width, as often as it takes. `pairs` should be dealt by rid.
+    again at twice the width, as often as it takes. `pairs` should be dealt by rid; `again` has the same pairs as they
+    can be read again at little cost, without a shuffle, of which those that failed alone are dealt.
     """
-    found = None
+    found, again = None, (pairs if again is None else again).select("rid", "kind", "a", "b")
     for trial in count():
         single = F.col("single").cast("int")
         sums = [F.sum(single).cast("long").alias("n_differing"), (F.min(single) == 1).alias("done"), F.first("width").alias("width")]
@@ -132,7 +134,8 @@ def differences(pairs: DataFrame, digests: bool = False) -> DataFrame:
         failed = tried.where("not done").select("rid", "kind", (F.col("width") * 2).alias("width"))
         if failed.isEmpty():
             return found
-        pairs = pairs.drop("width").join(failed, ["rid", "kind"]).repartition("rid")
+        left = materialize(again.join(broadcast_if_small(failed), ["rid", "kind"]))
+        pairs, again = left.repartition("rid"), left.drop("width")
 
 
 def likeness(n_a: Column, n_b: Column, n_differing: Column) -> Column:
@@ -186,12 +189,14 @@ def document_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "
         F.monotonically_increasing_id().alias("rid"), "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         F.array("digests", paragraph_digests(F.col("edited")), "next_digests").alias("lists"),
     ))
-    dealt = df.select("rid", "lists").repartition("rid")
+    # The filter is what both uses of `dealt` come to anyway: with it they are alike, and share one shuffle.
+    dealt = df.select("rid", "lists").where("rid is not null and lists is not null and size(lists) > 0").repartition("rid")
     prints = fingerprints(dealt, 3)
     widths = F.array(*(F.struct(F.lit(k).alias("kind"), estimated_width(F.col("cells"), 0, k).alias("width")) for k in (1, 2)))
     pairs = dealt.join(prints.select("rid", widths.alias("widths")), "rid").select("rid", "lists", F.explode("widths").alias("w"))
-    pairs = pairs.select("rid", "w.kind", "w.width", F.get("lists", F.lit(0)).alias("a"), F.get("lists", F.col("w.kind")).alias("b"))
-    found = differences(pairs)
+    both = [F.get("lists", F.lit(0)).alias("a"), F.get("lists", F.col("kind")).alias("b")]
+    pairs = pairs.select("rid", "w.kind", "w.width", "lists").select("rid", "kind", "width", *both)
+    found = differences(pairs, again=df.select("rid", F.explode(F.array(F.lit(1), F.lit(2))).alias("kind"), "lists").select("rid", "kind", *both))
     by_kind = found.groupBy("rid").agg(*(F.max(F.when(F.col("kind") == k, F.col("n_differing"))).alias(f"differing{k}") for k in (1, 2)))
     sizes = df.select("rid", "doc_id", "n_chars", "edited_sha256", *(F.size(F.get("lists", F.lit(k))).alias(f"size{k}") for k in range(3)))
     shown = prints.select("rid", printed(F.col("cells"), 0).alias("fingerprint"), printed(F.col("cells"), 1).alias("edited_fingerprint"))

@@ -420,6 +420,19 @@ def test_sketch_retries_larger_on_failure(spark):
     assert got[2].plus == list(range(400)) and got[2].minus == list(range(400, 800))
 
 
+def test_sketch_retries_shuffle_failed_pairs_alone(spark, monkeypatch):
+    """Sketches that are much too small at first: the retries do not come back to the shuffle of all digests."""
+    plans = []
+    monkeypatch.setattr(sketches, "estimated_width", lambda *_: F.lit(sketches.WIDTH))
+    monkeypatch.setattr(sketches, "materialize", lambda df, write=sketches.materialize: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df))
+    texts = [(d, "\n".join(f"line {k} of {d}" for k in range(60)), None) for d in range(4)]
+    got = {r.doc_id: r for r in sketches.document_fingerprints(spark.createDataFrame([x[:2] for x in texts], "doc_id long, text string")).collect()}
+    want = {k[0]: k for k in sketch_rows(texts)}
+    assert all(abs(r.near_edited - want[d][5]) < 1e-9 and r.near_next == want[d][6] for d, r in got.items())
+    retries = [p for p in plans[2:] if "RepartitionByExpression" in p]
+    assert retries and all(p.count("RepartitionByExpression") == 1 for p in retries)
+
+
 def check_packing(df, texts):
     from tokenizers import Tokenizer
 
