@@ -18,11 +18,16 @@ def _least(edges: DataFrame) -> DataFrame:
     return materialize(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")))
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """Marks `df`, a table with a row for each node, so that it is not broadcast in joins: that would send it to the driver in every round."""
+    return df.hint("merge")
+
+
 def _met(edges: DataFrame, least: DataFrame) -> DataFrame:
     """Edges with the minimum of `u`. The edges of hubs are not shuffled: their minima, one for `HUB` edges at most, come to them."""
     hubs = broadcast_if_small(least.where(F.col("degree") > HUB).select("u", "m"))
     rest = least.where(F.col("degree") <= HUB).select("u", "m")
-    return edges.join(hubs, "u").unionByName(edges.join(hubs, "u", "left_anti").join(rest, "u"))
+    return edges.join(hubs, "u").unionByName(edges.join(hubs, "u", "left_anti").join(by_shuffle(rest), "u"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -67,10 +72,10 @@ def extended_components(components: DataFrame, edges: DataFrame, u: str = "u", v
     """
     known = components.select("node", "component")
     ends = edges.where(F.col(u).isNotNull() & F.col(v).isNotNull() & (F.col(u) != F.col(v))).select(F.col(u).alias("_a"), F.col(v).alias("_b"))
-    at = ends.join(known.toDF("_a", "_ca"), "_a", "left").join(known.toDF("_b", "_cb"), "_b", "left")
+    at = ends.join(by_shuffle(known.toDF("_a", "_ca")), "_a", "left").join(by_shuffle(known.toDF("_b", "_cb")), "_b", "left")
     at = materialize(at.select("_a", "_b", F.coalesce("_ca", "_a").alias("u"), F.coalesce("_cb", "_b").alias("v")))
     moved = materialize(connected_components(at).toDF("component", "_to"))
     old = known.join(broadcast_if_small(moved), "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
     fresh = at.select(F.col("_a").alias("node"), F.col("u").alias("component")).union(at.select(F.col("_b").alias("node"), F.col("v").alias("component"))).distinct()
-    fresh = fresh.join(known.select("node"), "node", "left_anti").join(moved, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+    fresh = fresh.join(by_shuffle(known.select("node")), "node", "left_anti").join(by_shuffle(moved), "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
     return old.unionByName(fresh)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from citeweave.functions.text import ascii_folded
 from citeweave.operators.common import broadcast_if_small, first_of, null_safe_join, numbered, when_of
-from citeweave.operators.graph import connected_components
+from citeweave.operators.graph import by_shuffle, connected_components
 from citeweave.plans.materialize import materialize
 
 # Grade classes by rank, and which of them accept or reject.
@@ -177,9 +177,9 @@ def families(links: DataFrame, ranks: DataFrame) -> DataFrame:
 
 def named_families(components: DataFrame, ranks: DataFrame) -> DataFrame:
     """(key, family_id) of components (node, component), as `families`; components that took further links give new names."""
-    df = components.join(ranks, components["node"] == ranks["id"]).select("component", "key", "rank")
+    df = components.join(by_shuffle(ranks), F.col("node") == F.col("id")).select("component", "key", "rank")
     name = df.groupBy("component").agg(F.min(F.struct("rank", "key")).alias("_m"))
-    return df.join(name, "component").select("key", F.col("_m.key").alias("family_id"))
+    return df.join(by_shuffle(name), "component").select("key", F.col("_m.key").alias("family_id"))
 
 
 def corpus_ids(units: DataFrame, ranks: DataFrame) -> DataFrame:

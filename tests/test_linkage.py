@@ -313,3 +313,13 @@ def test_presence_shuffles_only_grams_that_are_asked_for(spark):
     found = L.presence(probes, spark.createDataFrame([("a",), ("a",), ("c",)], "gram string"))
     assert rows(found) == [(1, "some"), (2, "all"), (3, "none")]
     assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_components_keep_node_tables_off_the_driver(spark, monkeypatch):
+    """Only the minima of hubs are broadcast; a table with a row for each node is not, however small."""
+    plans = []
+    monkeypatch.setattr(graph, "materialize", lambda df, write=graph.materialize: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "e")], "u string, v string")
+    assert {tuple(r) for r in graph.connected_components(edges).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "d")}
+    stars = [p for p in plans if "Join" in p]
+    assert stars and all("SortMergeJoin" in p for p in stars)
