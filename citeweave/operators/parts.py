@@ -42,56 +42,68 @@ def tokens(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
 def split_records(records: DataFrame, chain_words: list[str] = CHAIN_WORDS, speech_words: list[str] = SPEECH_WORDS, remarks: dict[str, str] = COMPILER_REMARKS) -> DataFrame:
     """(id, chain, body, notes, method) of reports (id, text, book, parallel), one row for each.
 
-    Tokens get kinds, and windows over a record's tokens find where its parts begin. A compiler's remark in the later part
-    is cut off as `notes`. What is left begins its body where the head of the parallel text stands; else at the first
-    opening quote, unless that is among the first three words or in the last part; else behind the first word of speech
-    that follows the last one of transmission closely. A record without any of these is a body alone, as is one whose
-    body would be empty; null and empty texts have an empty body. Ids are unique.
+    A record's tokens stay in its row, as an array, and filters on it find where its parts begin, so nothing is shuffled
+    or sorted and a task holds the tokens of one record at a time. A compiler's remark in the later part is cut off as
+    `notes`. What is left begins its body where the head of the parallel text stands; else at the first opening quote,
+    unless that is among the first three words or in the last part; else behind the first word of speech that follows the
+    last one of transmission closely. A record without any of these is a body alone, as is one whose body would be empty;
+    null and empty texts have an empty body.
     """
-    heads = tokens(records.where(F.col("parallel").isNotNull()), "parallel", ["id"]).where("key != ''")
-    heads = heads.withColumn("_k", F.row_number().over(Window.partitionBy("id").orderBy("i"))).where(F.col("_k") <= HEAD)
-    heads = heads.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "key"))), lambda x: x["key"]).alias("head"))
-    rows = tokens(records, "text", ["id"]).join(records.select("id", "book"), "id").join(heads, "id", "left")
-
-    whole = Window.partitionBy("id")
-    ordered = whole.orderBy("i")
-    first = lambda c: F.min(F.when(c, F.col("i"))).over(whole)
-    remark = F.lit(False)
-    for book, phrase in remarks.items():
-        here = F.col("book") == book
-        for k, word in enumerate(phrase.split()):
-            here = here & (F.lead("key", k).over(ordered) == word)
-        remark = remark | F.coalesce(here, F.lit(False))
-    rows = rows.withColumns({"_n": F.count("*").over(whole), "_remark": remark})
-    rows = rows.withColumn("_cut", F.coalesce(first(F.col("_remark") & (F.col("i") > REMARK_AFTER * F.col("_n"))), F.col("_n")))
-    kept = F.col("i") < F.col("_cut")
-    ahead = F.collect_list(F.when(kept, F.col("key"))).over(ordered.rowsBetween(Window.currentRow, HEAD_WITHIN - 1))
-    ahead = F.slice(F.array_remove(ahead, ""), F.lit(1), F.greatest(F.size("head"), F.lit(0)))
-    upto = lambda share: F.col("i") <= F.floor(share * F.col("_cut"))
-    opens = F.lit(False)
-    for mark in QUOTES:
-        opens = opens | F.col("word").startswith(mark)
-    rows = rows.withColumns({
-        "_aligned": F.when(kept & (F.size("head") > 0) & (ahead == F.col("head")), F.col("i")),
-        "_quote": first(kept & opens & upto(QUOTE_WITHIN)),
-        "_last": F.max(F.when(kept & F.col("key").isin(chain_words) & upto(CHAIN_WITHIN), F.col("i"))).over(whole),
-    })
-    spoken = kept & F.col("key").isin(speech_words) & (F.col("i") > F.col("_last")) & (F.col("i") < F.col("_last") + SPEECH_WITHIN)
-    rows = rows.withColumns({"_aligned": F.min("_aligned").over(whole), "_speech": first(spoken) + 1})
-    quote = F.when(F.col("_quote") > 2, F.col("_quote"))
-    method = F.when(F.col("_aligned").isNotNull(), "aligned_to_parallel").when(quote.isNotNull(), "quote_mark").when(F.col("_speech").isNotNull(), "chain_then_speech")
-    rows = rows.withColumns({"_start": F.coalesce("_aligned", quote, "_speech"), "method": method})
-    rows = rows.withColumn("_start", F.when(F.col("_start") < F.col("_cut"), F.col("_start")))
-    part = F.when(~kept, "notes").when(F.col("i") >= F.coalesce("_start", F.lit(0)), "body").otherwise("chain")
-    found = rows.withColumn("part", part).groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct("i", "word", "part"))).alias("w"),  # the tokens of one record
-        F.max(F.when(F.col("_start").isNotNull(), F.col("method"))).alias("method"),
-    )
-    said = lambda p: F.array_join(F.transform(F.filter("w", lambda x: x["part"] == p), lambda x: x["word"]), " ")
-    parts = found.select("id", F.nullif(said("chain"), F.lit("")).alias("chain"), said("body").alias("body"), F.nullif(said("notes"), F.lit("")).alias("notes"), "method")
-    parts = records.select("id").join(parts, "id", "left")
-    bare = F.when(F.col("method").isNull(), F.col("body")).otherwise(F.regexp_replace("body", '^[ "«»“”]+|[ "«»“”]+$', ""))
-    return parts.select("id", "chain", F.coalesce(bare, F.lit("")).alias("body"), "notes", F.coalesce("method", F.lit("unsplit")).alias("method"))
+    words = lambda text: F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"\S+"), F.lit(0))
+    none = F.array().cast("array<string>")
+    head = F.aggregate(words("parallel"), none, lambda h, w: F.when(F.size(h) < HEAD, F.concat(h, F.array_remove(F.array(token_key(w)), ""))).otherwise(h))
+    found = bound(F.transform(words("text"), lambda w, i: F.struct(i.alias("i"), w.alias("word"), token_key(w).alias("key"))), lambda t: bound(head, lambda h: _parts(t, h, chain_words, speech_words, remarks)))
+    return records.select("id", found.alias("_p")).select("id", "_p.chain", "_p.body", "_p.notes", "_p.method")
+
+
+def _parts(t: Column, head: Column, chain_words: list[str], speech_words: list[str], remarks: dict[str, str]) -> Column:
+    """Struct of a record's parts, for its tokens (i, word, key) and the first keys of its parallel text."""
+    places = lambda rows, here: F.transform(F.filter(rows, here), lambda x: x["i"])
+    said = lambda rows: F.array_join(F.transform(rows, lambda x: x["word"]), " ")
+
+    def remark(x: Column) -> Column:
+        here = F.lit(False)
+        for book, phrase in remarks.items():
+            these = F.col("book") == book
+            for k, word in enumerate(phrase.split()):
+                these = these & (F.get(t, x["i"] + k)["key"] == word)
+            here = here | F.coalesce(these, F.lit(False))
+        return (x["i"] > REMARK_AFTER * F.size(t)) & here
+
+    def opens(x: Column) -> Column:
+        here = F.lit(False)
+        for mark in QUOTES:
+            here = here | x["word"].startswith(mark)
+        return here
+
+    def started(kept: Column) -> Column:
+        upto = lambda x, share: x["i"] <= F.floor(share * F.size(kept))
+        ahead = lambda x: F.array_remove(F.transform(F.slice(kept, x["i"] + 1, HEAD_WITHIN), lambda y: y["key"]), "")
+        heads = lambda x: x["key"].isin("") | (x["key"] == F.get(head, F.lit(0)))  # noqa: E731 (most words are ruled out by this alone)
+        aligned = F.when(F.size(head) > 0, F.array_min(places(kept, lambda x: heads(x) & (F.slice(ahead(x), F.lit(1), F.size(head)) == head))))
+        quote = F.array_min(places(kept, lambda x: opens(x) & upto(x, QUOTE_WITHIN)))
+        last = F.array_max(places(kept, lambda x: x["key"].isin(chain_words) & upto(x, CHAIN_WITHIN)))
+        spoken = lambda x, after: x["key"].isin(speech_words) & (x["i"] > after) & (x["i"] < after + SPEECH_WITHIN)
+        speech = bound(last, lambda after: F.array_min(places(kept, lambda x: spoken(x, after))) + 1)
+        ways = F.array(*(
+            F.struct(start.cast("int").alias("start"), F.lit(method).alias("method"))
+            for start, method in [(aligned, "aligned_to_parallel"), (bound(quote, lambda q: F.when(q > 2, q)), "quote_mark"), (speech, "chain_then_speech")]
+        ))
+        way = F.get(F.filter(ways, lambda x: x["start"].isNotNull()), F.lit(0))
+        return bound(way, lambda x: F.when(x["start"] < F.size(kept), x))
+
+    def parts(kept: Column, x: Column) -> Column:
+        start = F.coalesce(x["start"], F.lit(0))
+        behind = said(F.slice(kept, start + 1, F.size(kept)))
+        return F.struct(
+            F.nullif(said(F.slice(kept, F.lit(1), start)), F.lit("")).alias("chain"),
+            F.when(x["start"].isNull(), behind).otherwise(F.regexp_replace(behind, '^[ "«»“”]+|[ "«»“”]+$', "")).alias("body"),
+            F.nullif(said(F.slice(t, F.size(kept) + 1, F.size(t))), F.lit("")).alias("notes"),
+            F.coalesce(x["method"], F.lit("unsplit")).alias("method"),
+        )
+
+    cut = F.coalesce(F.array_min(places(t, remark)), F.size(t))
+    return bound(F.slice(t, F.lit(1), cut), lambda kept: bound(started(kept), lambda x: parts(kept, x)))
 
 
 def quoted_speech(editions: DataFrame) -> DataFrame:

@@ -124,3 +124,12 @@ def test_split_records(spark):
     got = {r.id: (r.chain, r.body, r.notes, r.method) for r in X.split_records(df).collect()}
     assert got == {k: c[3] for k, c in enumerate(cases)}
     assert X.split_records(df.limit(0)).count() == 0
+
+
+def test_split_records_in_their_rows(spark):
+    rows = [(1, "x y « one two", None, None), (1, "a b c « d", None, None), (None, "la la le « un", None, "zz")]
+    df = spark.createDataFrame(rows, "id int, text string, book string, parallel string")
+    parts = X.split_records(df)
+    assert sorted((r.chain or "", r.body, r.method) for r in parts.collect()) == [("", "x y « one two", "unsplit"), ("a b c", "d", "quote_mark"), ("la la le", "un", "quote_mark")]
+    plan = parts._jdf.queryExecution().executedPlan().toString()  # no memory of a task that grows with its rows
+    assert not [node for node in ("Exchange", "Sort", "Window", "Aggregate", "Join") if node in plan]
