@@ -31,12 +31,23 @@ def token_key(word: Column) -> Column:
     return F.when(word.rlike(r"[\u0600-\u06FF]"), bound(linkage_norm(word, composed=True), lambda arabic: F.when(arabic != "", arabic).otherwise(latin))).otherwise(latin)
 
 
-def tokens(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """(keys, i, word, key, a, b): the words of a text with their place and the characters from `a` to before `b` that they take."""
-    spaced = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"\s*\S+"), F.lit(0))
-    rows = df.select(*keys, F.posexplode(spaced).alias("i", "_s")).withColumn("word", F.regexp_replace("_s", r"^\s+", ""))
-    end = F.sum(F.length("_s")).over(Window.partitionBy(*keys).orderBy("i"))
-    return rows.withColumns({"b": end, "key": token_key(F.col("word"))}).withColumn("a", F.col("b") - F.length("word")).select(*keys, "i", "word", "key", "a", "b")
+def words_in(text: str) -> Column:
+    return F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"\S+"), F.lit(0))
+
+
+def tokens(df: DataFrame, text: str, keys: list[str], places: bool = False) -> DataFrame:
+    """(keys, n, key): the words of a text that have a key, numbered from 0; with `places` also the characters from `a` to before `b` that they take.
+
+    Numbers and places are found in the text's own row, so that its tokens need not be shuffled and sorted for them.
+    """
+    blank = lambda c: c.isin(*" \t\n\x0B\f\r")
+    chars = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit("(?s)."), F.lit(0))
+    begins = bound(chars, lambda cs: F.filter(F.transform(cs, lambda c, i: F.when(~blank(c) & ((i == 0) | blank(F.get(cs, i - 1))), i.cast("long"))), lambda i: i.isNotNull()))
+    if places:
+        found = bound(begins, lambda at: F.transform(words_in(text), lambda w, i: F.struct(token_key(w).alias("key"), F.get(at, i).alias("a"), (F.get(at, i) + F.length(w)).alias("b"))))
+    else:
+        found = F.transform(words_in(text), lambda w: F.struct(token_key(w).alias("key")))
+    return df.select(*keys, F.posexplode(F.filter(found, lambda t: t["key"] != "")).alias("n", "t")).select(*keys, "n", "t.*")
 
 
 def split_records(records: DataFrame, chain_words: list[str] = CHAIN_WORDS, speech_words: list[str] = SPEECH_WORDS, remarks: dict[str, str] = COMPILER_REMARKS) -> DataFrame:
@@ -49,10 +60,9 @@ def split_records(records: DataFrame, chain_words: list[str] = CHAIN_WORDS, spee
     last one of transmission closely. A record without any of these is a body alone, as is one whose body would be empty;
     null and empty texts have an empty body.
     """
-    words = lambda text: F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"\S+"), F.lit(0))
     none = F.array().cast("array<string>")
-    head = F.aggregate(words("parallel"), none, lambda h, w: F.when(F.size(h) < HEAD, F.concat(h, F.array_remove(F.array(token_key(w)), ""))).otherwise(h))
-    found = bound(F.transform(words("text"), lambda w, i: F.struct(i.alias("i"), w.alias("word"), token_key(w).alias("key"))), lambda t: bound(head, lambda h: _parts(t, h, chain_words, speech_words, remarks)))
+    head = F.aggregate(words_in("parallel"), none, lambda h, w: F.when(F.size(h) < HEAD, F.concat(h, F.array_remove(F.array(token_key(w)), ""))).otherwise(h))
+    found = bound(F.transform(words_in("text"), lambda w, i: F.struct(i.alias("i"), w.alias("word"), token_key(w).alias("key"))), lambda t: bound(head, lambda h: _parts(t, h, chain_words, speech_words, remarks)))
     return records.select("id", found.alias("_p")).select("id", "_p.chain", "_p.body", "_p.notes", "_p.method")
 
 
@@ -116,9 +126,8 @@ def quoted_speech(editions: DataFrame) -> DataFrame:
     plain = F.regexp_replace(F.regexp_extract("marked", r"(?s)\[matn\](.*?)\[/matn\]", 1), r"\[/?[a-z]+(?:\s[^\]]*)?\]", "")
     asked = editions.where(~F.coalesce(F.col("shown").rlike("[«»“]"), F.lit(True)))
     quotes = asked.select("id", F.posexplode(F.regexp_extract_all(plain, F.lit('"[^"]*"'), F.lit(0))).alias("quote", "text"))
-    numbered = lambda rows, keys: rows.where("key != ''").withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("i")) - 1)
-    wanted = materialize(numbered(tokens(quotes, "text", ["id", "quote"]), ["id", "quote"]))
-    shown = materialize(numbered(tokens(asked, "shown", ["id"]), ["id"]))
+    wanted = materialize(tokens(quotes, "text", ["id", "quote"]))
+    shown = materialize(tokens(asked, "shown", ["id"], places=True))
     began = F.floor((F.col("s.n") - F.col("q.n")) / NEAR).alias("start")
     starts = wanted.alias("q").join(shown.alias("s"), ["id", "key"]).groupBy("id", "quote", began).agg(F.count("*").alias("hits"))
     starts = first_of(starts, ["id", "quote"], [F.desc("hits"), "start"])

@@ -133,3 +133,13 @@ def test_split_records_in_their_rows(spark):
     assert sorted((r.chain or "", r.body, r.method) for r in parts.collect()) == [("", "x y « one two", "unsplit"), ("a b c", "d", "quote_mark"), ("la la le", "un", "quote_mark")]
     plan = parts._jdf.queryExecution().executedPlan().toString()  # no memory of a task that grows with its rows
     assert not [node for node in ("Exchange", "Sort", "Window", "Aggregate", "Join") if node in plan]
+
+
+def test_tokens_in_their_rows(spark):
+    text = " \n😀 a,\t—  قَالَ\x0bb2\u00a0c "
+    df = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "x")], "id int, t string")
+    found = X.tokens(df, "t", ["id"], places=True)
+    assert sorted((r.id, r.n, r.key, (text if r.id == 1 else "x")[r.a : r.b]) for r in found.collect()) == [(1, 0, "a", "a,"), (1, 1, "قال", "قَالَ"), (1, 2, "b2c", "b2\u00a0c"), (4, 0, "x", "x")]
+    assert dict(found.dtypes)["a"] == "bigint" and sorted((r.id, r.n, r.key) for r in X.tokens(df, "t", ["id"]).collect()) == [(1, 0, "a"), (1, 1, "قال"), (1, 2, "b2c"), (4, 0, "x")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [node for node in ("Exchange", "Sort", "Window") if node in plan]
