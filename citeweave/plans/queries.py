@@ -424,16 +424,13 @@ def script_share(spark, sf_dir):
 
 
 @query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings),
-s AS (SELECT q.vec_id AS q, q.label = v.label AS hit, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.e, v.e), 9) DESC, v.vec_id) AS rank FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0),
+s AS (SELECT q.vec_id AS q, q.label = v.label AS hit, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.e, v.e), 9) DESC, v.vec_id) AS rank FROM v q JOIN v ON q.vec_id <> v.vec_id),
 f AS (SELECT q, min(CASE WHEN hit THEN rank END) AS first FROM s WHERE rank <= 50 GROUP BY 1)
 SELECT count(*) AS queries, round(avg(CASE WHEN first = 1 THEN 1.0 ELSE 0 END), 6) AS recall_1, round(avg(CASE WHEN first <= 10 THEN 1.0 ELSE 0 END), 6) AS recall_10, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr FROM f""")
 def recall_mrr(spark, sf_dir):
+    """Every vector asks for its neighbours among all others."""
     e = table(spark, sf_dir, "embeddings")
-    v = e.select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
-    labels = e.select("vec_id", "label")
-    near = I.nearest(v.where("key % 20 = 0"), v, 50)
-    df = near.join(labels.withColumnsRenamed({"vec_id": "query", "label": "want"}), "query").join(labels.withColumnsRenamed({"vec_id": "key", "label": "got"}), "key")
-    first = df.groupBy("query").agg(F.min(F.when(F.col("want") == F.col("got"), F.col("rank"))).alias("first"))
+    first = E.first_hits(e.select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector")), 50)
     share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 6)
     return first.agg(F.count("*").alias("queries"), share(F.col("first") == 1).alias("recall_1"), share(F.col("first") <= 10).alias("recall_10"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
 
