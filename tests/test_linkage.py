@@ -323,3 +323,33 @@ def test_components_keep_node_tables_off_the_driver(spark, monkeypatch):
     assert {tuple(r) for r in graph.connected_components(edges).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "d")}
     stars = [p for p in plans if "Join" in p]
     assert stars and all("SortMergeJoin" in p for p in stars)
+
+
+def test_texts_without_a_partner_look_for_none(spark, monkeypatch):
+    """Nearly all grams stand in one text alone, and next to none is ranked: only the two copies look for partners, and no text's grams are written for two sides."""
+    monkeypatch.setattr(similar, "FEW", -1)
+    monkeypatch.setattr(similar, "RANKED", 3)
+    rng = random.Random(9)
+    made = [(k, [f"w{rng.randint(0, 40)}" if j < 6 else f"u{k}-{j}" for j in range(60)]) for k in range(40)]
+    made += [(100, made[0][1][:58]), (101, made[1][1][3:])]
+    df = spark.createDataFrame(made, "id long, words array<string>")
+    written, plain = [], similar.materialize
+    monkeypatch.setattr(similar, "materialize", lambda d: written.append(plain(d)) or written[-1])
+    want = {(0, 100), (100, 0), (1, 101), (101, 1)}
+    for right in (None, df):
+        written.clear()
+        assert {(r.left_id, r.right_id) for r in similar.contained_pairs(df, right, 0.8).collect() if r.left_id != r.right_id} == want
+        looked = next(d for d in written if "need" in d.columns)
+        if right is None:
+            assert {r.left_id for r in looked.select("left_id").distinct().collect()} == {0, 1, 100, 101}
+        else:
+            assert not any(t == "binary" or t.startswith("array") for d in written for c, t in d.dtypes if c == "grams")
+
+
+def test_equal_texts_count_once_if_asked(spark, monkeypatch):
+    monkeypatch.setattr(similar, "FEW", -1)
+    words = [f"w{k}" for k in range(30)]
+    df = spark.createDataFrame([("c", words), ("a", words), ("b", words[:28]), ("d", []), ("e", None), ("f", ["x"]), ("g", ["x"])], "id string, words array<string>")
+    got = lambda first: {(r.left_id, r.right_id) for r in similar.contained_pairs(df, None, 0.8, first=first).collect()}
+    assert got(True) == {("a", "b"), ("b", "a")}
+    assert got(False) == {(x, y) for x in "abc" for y in "abc" if x != y} | {("f", "g"), ("g", "f")}
