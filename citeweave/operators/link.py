@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from citeweave.functions.align import containment, similarity
 from citeweave.operators.common import broadcast_if_small, first_of, top, when_of
 from citeweave.operators.records import match_cascade
-from citeweave.operators.similar import contained_pairs, overlapping_pairs
+from citeweave.operators.similar import contained_pairs, needed, overlapping_pairs
 from citeweave.plans.materialize import materialize
 
 
@@ -60,7 +60,8 @@ def by_numbers(numbers: str, accept):
 def by_grams(part: str, share: float, least: float, whole: bool = False):
     """Edges of a cascade pass: pairs in which the right `words` have at least `share` of the grams of the left `part`, with the share of them that is there, or of both texts' grams with `whole`, as weight of at least `least`."""
     def edges(left: DataFrame, right: DataFrame) -> DataFrame:
-        pairs = contained_pairs(left.select("id", F.col(part).alias("words")), right.select("id", "words"), share)
+        must = max(share, least / (2 - least) - 1e-9) if whole else max(share, least)  # the weight alone asks for so many of the left text's grams
+        pairs = contained_pairs(left.select("id", F.col(part).alias("words")), right.select("id", "words"), must).where(F.col("shared") >= needed(F.col("left_size"), share))
         weight = 2 * F.col("shared") / (F.col("left_size") + F.col("right_size")) if whole else F.col("shared") / F.col("left_size")
         return pairs.withColumn("weight", weight).where(F.col("weight") >= least).select("left_id", "right_id", "weight")
 

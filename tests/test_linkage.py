@@ -353,3 +353,13 @@ def test_equal_texts_count_once_if_asked(spark, monkeypatch):
     got = lambda first: {(r.left_id, r.right_id) for r in similar.contained_pairs(df, None, 0.8, first=first).collect()}
     assert got(True) == {("a", "b"), ("b", "a")}
     assert got(False) == {(x, y) for x in "abc" for y in "abc" if x != y} | {("f", "g"), ("g", "f")}
+
+
+def test_text_pass_asks_for_what_the_weight_needs(spark, monkeypatch):
+    """A weight of 0.55 of both texts' grams needs 0.379 of the left one's, so pairs with fewer are not looked for; whoever has them is found."""
+    asked, plain = [], L.contained_pairs
+    monkeypatch.setattr(L, "contained_pairs", lambda l, r, share: asked.append(share) or plain(l, r, share))
+    words = [f"w{k}" for k in range(103)]  # a hundred grams
+    df = lambda rows: spark.createDataFrame(rows, "id long, words array<string>")
+    edges = L.by_grams("words", 0.2, 0.55, whole=True)(df([(1, words)]), df([(2, words[:41]), (3, words[:40])]))  # 38 and 37 of them
+    assert rows(edges.select("left_id", "right_id")) == [(1, 2)] and asked[0] > 0.379
