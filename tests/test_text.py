@@ -106,3 +106,34 @@ def test_edit_distance_of_words_needs_no_arrays(monkeypatch):
     by_arrays = [A.edit_distance(a + tail, b + tail) for a, b in pairs]  # an equal end does not change the distance
     monkeypatch.setattr(A, "np", None)
     assert [A.edit_distance(a, b) for a, b in pairs] == by_arrays
+
+
+@pytest.mark.parametrize("cells", [1, 300, A.CELLS])
+def test_pairs_aligned_together_as_alone(monkeypatch, cells):
+    """Pairs of all lengths, empty ones included, give what each gives alone, and words of all lengths their edits."""
+    import random
+
+    monkeypatch.setattr(A, "CELLS", cells)
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    words += [w[:-1] + rng.choice("abcde") for w in words if len(w) > 3] + ["الكتاب", "كتاب", "والكتاب", "قال", "وقال", "ا", ""]
+    sources = [[rng.choice(words) for _ in range(rng.choice([0, 1, 3, 12, 30]))] for _ in range(150)]
+    spoken = [[w for w in s[2:12] if rng.random() < 0.8] + [rng.choice(words)] * rng.randint(0, 2) for s in sources]
+    alone = [A.local_alignment(a, b, A.Relations(A._stem)) for a, b in zip(spoken, sources)]
+    together = A.placements(spoken, sources, A.Relations(A._stem))
+    assert [tuple(x) for x in zip(*(c.tolist() for c in together))] == [(x["coverage"], x["first"], x["last"]) for x in alone]
+    pairs = [(rng.choice(words), rng.choice(words)) for _ in range(300)] + [("a" * 40, "ab" * 30), ("", "abc"), ("", "")]
+    assert A.edit_distances(*map(list, zip(*pairs))).tolist() == [A.edit_distance(a, b) for a, b in pairs]
+
+
+def test_places_are_found_together(spark, monkeypatch):
+    """A batch of pairs is aligned as one, not pair by pair."""
+    asked, plain = [], A.placements
+    monkeypatch.setattr(A, "local_alignment", None)
+    monkeypatch.setattr(A, "placements", lambda spoken, source, relation: asked.append(len(spoken)) or plain(spoken, source, relation))
+    spoken, source = [["one", "two"]] * 40 + [["xyz"]], [["zero", "one", "two", "three"]] * 41
+    got = A.placements(spoken, source, A.Relations(A._stem))
+    assert [x.tolist() for x in got] == [[1.0] * 40 + [0.0], [1] * 40 + [-1], [2] * 40 + [-1]] and asked == [41]
+    df = spark.createDataFrame(list(zip(spoken, source)) + [(None, ["a"]), (["a"], None)], "a array<string>, b array<string>").coalesce(1)
+    rows = df.select(A.place(F.col("a"), F.col("b")).alias("x")).select("x.*").collect()
+    assert sorted(tuple(r) for r in rows) == sorted([(1.0, 1, 2)] * 40 + [(0.0, -1, -1)] * 3)
