@@ -45,12 +45,16 @@ def by_numbers(numbers: str, accept):
     """Edges of a cascade pass: a left record's `numbers` (array, preferred first) against the right ones' `number`.
 
     `accept` gives columns of both sides and the weight, below 1 and null for a pair that does not count; the weight of
-    a pair is reckoned where the two meet, so no pair is shuffled that does not count.
+    a pair is reckoned where the two meet, so no pair is shuffled that does not count, nor a record whose numbers the
+    other side has not.
     """
     def edges(left: DataFrame, right: DataFrame) -> DataFrame:
         own, theirs, weight = accept
-        wanted = left.select(F.col("id").alias("left_id"), F.posexplode(numbers).alias("place", "number"), *own)
-        pairs = wanted.join(right.select("number", F.col("id").alias("right_id"), *theirs), "number").select("left_id", "right_id", "place", weight.alias("weight"))
+        there = broadcast_if_small(right.select("number").distinct())
+        asked = broadcast_if_small(left.select(F.explode(numbers).alias("number")).distinct())
+        wanted = left.select("*", F.posexplode(numbers).alias("place", "number")).join(there, "number", "left_semi").select(F.col("id").alias("left_id"), "place", "number", *own)
+        found = right.join(asked, "number", "left_semi").select("number", F.col("id").alias("right_id"), *theirs)
+        pairs = wanted.join(found, "number").select("left_id", "right_id", "place", weight.alias("weight"))
         best = pairs.where("weight is not null").groupBy("left_id", "right_id").agg(F.min("place").alias("place"), F.max("weight").alias("weight"))
         return best.select("left_id", "right_id", (F.col("weight") - F.col("place")).alias("weight"))
 

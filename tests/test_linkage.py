@@ -363,3 +363,13 @@ def test_text_pass_asks_for_what_the_weight_needs(spark, monkeypatch):
     df = lambda rows: spark.createDataFrame(rows, "id long, words array<string>")
     edges = L.by_grams("words", 0.2, 0.55, whole=True)(df([(1, words)]), df([(2, words[:41]), (3, words[:40])]))  # 38 and 37 of them
     assert rows(edges.select("left_id", "right_id")) == [(1, 2)] and asked[0] > 0.379
+
+
+def test_records_without_a_partner_by_number_are_left_out(spark):
+    """What a pair is weighed by is made only of records whose number the other side has."""
+    made = F.when(F.col("id") >= 8, F.raise_error(F.lit("no such number there"))).otherwise(F.lit(0.5))
+    left = spark.createDataFrame([(1, ["7", "9"]), (3, ["5", "6"]), (9, ["4"])], "id long, numbers array<string>")
+    right = spark.createDataFrame([(2, "9"), (4, "6"), (8, "1"), (10, None)], "id long, number string")
+    weight = F.coalesce("_a", F.lit(0.0)) + F.coalesce("_w", F.lit(0.0)) / 2
+    edges = L.by_numbers("numbers", ([made.alias("_a")], [made.alias("_w")], weight))(left, right)
+    assert rows(edges) == [(1, 2, 0.75 - 1), (3, 4, 0.75 - 1)]
